@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanveil.cluster import checkpoint
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Kinds in the order in which spans that start together are listed.
 KINDS = (*BASE_KINDS, "secret", "ssn", "iban", "name")
@@ -265,5 +267,5 @@ def decide(found: DataFrame, model: dict[str, float], threshold: float = 0.5) ->
 
 def find(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row per document: base figures, and spans (start, end, kind, base, pattern)."""
-    found = scan(docs).checkpoint()  # the texts are read once; only spans are kept
+    found = checkpoint(scan(docs))  # the texts are read once; only spans are kept
     return decide(found, train(found), threshold)

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import licenses, pii, quality
+from spanveil.cluster import ship
+from spanveil.llm import extract, licenses, mixing, pii, quality, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,9 +31,48 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integers(_read(spark, sf_dir, "embeddings"))
+    return topk.search(vectors, vectors.where(F.col("id") % 100 == 0), 10).select("query_id", "rank", "vec_id", "score")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.assign(_read(spark, sf_dir, "documents"))
+    size = F.col("_mix_size")
+    return rows.select(
+        "doc_id",
+        size.alias("size"),
+        F.col("_mix_source_size").alias("source_size"),
+        F.col("_mix_target").alias("target"),
+        (size * F.size("_mix_takes")).cast("long").alias("taken"),
+        F.col("_mix_takes").alias("shards"),
+    )
+
+
+def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    return extract.extract(pages, extract.train(pages))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+_TOPK = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_topk": _TOPK}
