@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanveil.cluster import ship
-from spanveil.llm import extract, licenses, mixing, pii, quality, topk
+from spanveil.llm import extract, licenses, mixing, pieces, pii, quality, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.encode(docs, proof="lossless")
+    return coded.select("doc_id", F.greatest(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "lossless")
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_read(spark, sf_dir, "documents"))
     said = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
