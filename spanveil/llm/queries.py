@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanveil.cluster import ship
-from spanveil.llm import extract, licenses, mixing, pieces, pii, quality, topk
+from spanveil.llm import extract, licenses, linedup, mixing, pieces, pii, quality, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(pages, extract.train(pages))
 
 
+def op10_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.report(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 

@@ -153,3 +153,21 @@ def first_of(key: np.ndarray) -> np.ndarray:
 def columns(batch: pa.RecordBatch, extra: dict[str, pa.Array]) -> pa.RecordBatch:
     """A batch of the given columns."""
     return pa.RecordBatch.from_arrays(list(extra.values()), names=list(extra))
+
+
+_BYTE2 = mix(np.arange(256, dtype=_U) * _P + _U(0xA24BAED4963EE407))
+
+
+def hash_runs2(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """A second, independent hash of each byte run."""
+    p, q = _powers(len(data) + 1)
+    c = np.zeros(len(data) + 1, _U)
+    np.cumsum(_BYTE2[data] * p[: len(data)], out=c[1:])
+    return mix((c[e] - c[s]) * q[s] - (e - s).astype(_U))
+
+
+def lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A list column out of flat values and the number of each row."""
+    cut = np.zeros(len(counts) + 1, np.int32)
+    np.cumsum(counts, out=cut[1:])
+    return pa.ListArray.from_arrays(pa.array(cut), pa.array(values))
