@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanveil.cluster import ship
-from spanveil.llm import extract, licenses, linedup, mixing, nearcopy, pieces, pii, quality, topk
+from spanveil.llm import extract, licenses, linedup, maxent, mixing, nearcopy, pieces, pii, quality, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where(F.col("id") % 100 == 0), 10).select("query_id", "rank", "vec_id", "score")
 
 
+def op6_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(_read(spark, sf_dir, "documents"))
+
+
 def op7_nearcopy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopy.report(_read(spark, sf_dir, "documents"))
 
