@@ -130,12 +130,12 @@ def luhn_digit(body: Column) -> Column:
 def card_or_ssn(run: Column) -> Column:
     """The class of a digit run: CREDIT_CARD, SSN or null."""
     d = digits(run)
-    return F.when(F.length(d).between(14, 16) & F.luhn_check(d), "CREDIT_CARD").when(valid_ssn(d), "SSN")
+    return F.when(F.length(d).between(14, 16) & F.call_function("luhn_check", d), "CREDIT_CARD").when(valid_ssn(d), "SSN")
 
 
 def normal_class(label: Column) -> Column:
     """A label's policy class."""
-    name = F.trim(F.lit("_"), F.regexp_replace(F.upper(label), "[^A-Z0-9]+", "_"))
+    name = F.trim(F.regexp_replace(F.upper(label), "[^A-Z0-9]+", "_"), F.lit("_"))
     return F.coalesce(F.element_at(mapping(CLASS_ALIASES), name), name)
 
 
@@ -192,7 +192,7 @@ def fingerprint(text: Column) -> Column:
 
 def safe_stem(name: Column, key: Column, width: int = 10) -> Column:
     """A file stem out of any name, told apart by a hash of its key."""
-    stem = F.trim(F.lit("-"), F.regexp_replace(name, "[^A-Za-z0-9_.-]+", "-"))
+    stem = F.trim(F.regexp_replace(name, "[^A-Za-z0-9_.-]+", "-"), F.lit("-"))
     return F.concat_ws("-", stem, F.substring(F.sha2(key, 256), 1, width))
 
 

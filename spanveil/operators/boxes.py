@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import cmp_to_key
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanveil.functions import geometry as geo
+from spanveil.operators.grouped import per_group, per_pair
 
 
 def suppress(regions: DataFrame, frame: str = "frame_id", limit: float = 0.7, most: int = 300) -> DataFrame:
@@ -39,11 +40,10 @@ def fuse(regions: DataFrame, frame: str = "frame_id") -> DataFrame:
     """
     kind = regions.schema[frame].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["score", "id"], ascending=[False, True], kind="stable")
+    def run(f: object, rows: list[dict]) -> list[tuple]:
         out: list[list] = []
-        for r in rows.itertuples(index=False):
-            new = [(r.x1, r.y1, r.x2, r.y2), list(r.labels), list(r.sources), r.score]
+        for r in sorted(rows, key=lambda r: (-r["score"], r["id"])):
+            new = [(r["x1"], r["y1"], r["x2"], r["y2"]), r["labels"], r["sources"], r["score"]]
             at = len(out) - 1
             while at >= 0:
                 if should_merge(new[0], out[at][0]):
@@ -54,26 +54,22 @@ def fuse(regions: DataFrame, frame: str = "frame_id") -> DataFrame:
                 at -= 1
             out.append(new)
         out.sort(key=lambda x: (x[0][1], x[0][0]))
-        f = pdf[frame].iloc[0] if len(pdf) else None
-        return pd.DataFrame([(f, i, *b, " + ".join(labels), labels, sources, s) for i, (b, labels, sources, s) in enumerate(out)], columns=[frame, "idx", "x1", "y1", "x2", "y2", "label", "labels", "sources", "score"])
+        return [(f, i, *b, " + ".join(labels), labels, sources, s) for i, (b, labels, sources, s) in enumerate(out)]
 
-    return regions.groupBy(frame).applyInPandas(run, f"{frame} {kind}, idx int, x1 double, y1 double, x2 double, y2 double, label string, labels array<string>, sources array<string>, score double")
+    return per_group(regions, frame, run, f"{frame} {kind}, idx int, x1 double, y1 double, x2 double, y2 double, label string, labels array<string>, sources array<string>, score double")
 
 
 def reading_order(findings: DataFrame, frame: str = "frame_id", slack: float = 10.0) -> DataFrame:
     """A place for each finding: rows by y (within ``slack`` of the row before), then x."""
     kind = findings.schema[frame].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import functools
-
-        def compare(a, b) -> float:
-            return a.x1 - b.x1 if abs(a.y1 - b.y1) <= slack else a.y1 - b.y1
+    def compare(a: dict, b: dict) -> float:
+        return a["x1"] - b["x1"] if abs(a["y1"] - b["y1"]) <= slack else a["y1"] - b["y1"]
 
-        rows = sorted(pdf.sort_values("id").itertuples(index=False), key=functools.cmp_to_key(compare))
-        return pd.DataFrame([(getattr(r, frame), r.id, i) for i, r in enumerate(rows)], columns=[frame, "id", "place"])
+    def run(f: object, rows: list[dict]) -> list[tuple]:
+        return [(f, r["id"], i) for i, r in enumerate(sorted(sorted(rows, key=lambda r: r["id"]), key=cmp_to_key(compare)))]
 
-    return findings.select(frame, "id", "x1", "y1").groupBy(frame).applyInPandas(run, f"{frame} {kind}, id long, place int")
+    return per_group(findings.select(frame, "id", "x1", "y1"), frame, run, f"{frame} {kind}, id long, place int")
 
 
 def best_coverage(truth: DataFrame, regions: DataFrame, frame: str = "frame_id") -> DataFrame:
@@ -91,57 +87,54 @@ def masked_area(regions: DataFrame, frame: str = "frame_id", width: str = "width
     return regions.groupBy(frame, width, height).agg(F.sum(a).alias("a")).select(frame, F.when(F.col(width) * F.col(height) > 0, F.least(F.lit(1.0), F.col("a") / (F.col(width) * F.col(height)))).otherwise(0.0).alias("masked_area"))
 
 
+def _iou(a: dict, b: dict) -> float:
+    w, h = min(a["x2"], b["x2"]) - max(a["x1"], b["x1"]), min(a["y2"], b["y2"]) - max(a["y1"], b["y1"])
+    if w <= 0 or h <= 0:
+        return 0.0
+    return w * h / ((a["x2"] - a["x1"]) * (a["y2"] - a["y1"]) + (b["x2"] - b["x1"]) * (b["y2"] - b["y1"]) - w * h)
+
+
 def greedy_match(truth: DataFrame, detections: DataFrame, frame: str = "frame_id", least: float = 0.5) -> DataFrame:
     """One detection at most for each true box: detections by falling score take the unused true box of their class with the greatest IoU, if it is ``least`` or more."""
     kind = truth.schema[frame].dataType.simpleString()
 
-    def run(t: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        used: set[int] = set()
+    def run(f: object, t: list[dict], d: list[dict]) -> list[tuple]:
+        free = {x["id"]: x for x in sorted(t, key=lambda x: x["id"])}
         out = []
-        tb = t[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        ta = np.maximum(0, tb[:, 2] - tb[:, 0]) * np.maximum(0, tb[:, 3] - tb[:, 1])
-        for r in d.sort_values(["score", "id"], ascending=[False, True]).itertuples(index=False):
-            if not len(t):
-                break
-            i = np.maximum(0, np.minimum(tb[:, 2], r.x2) - np.maximum(tb[:, 0], r.x1)) * np.maximum(0, np.minimum(tb[:, 3], r.y2) - np.maximum(tb[:, 1], r.y1))
-            u = ta + max(0.0, r.x2 - r.x1) * max(0.0, r.y2 - r.y1) - i
-            v = np.where(u > 0, i / np.where(u > 0, u, 1), 0.0)
-            v[[k for k in range(len(t)) if k in used or t["class_id"].iloc[k] != r.class_id]] = -1
-            k = int(v.argmax())
-            if v[k] >= least:
-                used.add(k)
-                out.append((t[frame].iloc[k], int(t["id"].iloc[k]), int(r.id), float(v[k])))
-        return pd.DataFrame(out, columns=[frame, "truth_id", "detection_id", "iou"])
-
-    return truth.groupBy(frame).cogroup(detections.groupBy(frame)).applyInPandas(run, f"{frame} {kind}, truth_id long, detection_id long, iou double")
+        for r in sorted(d, key=lambda r: (-r["score"], r["id"])):
+            v, k = max(((_iou(x, r), -i) for i, x in free.items() if x["class_id"] == r["class_id"]), default=(0.0, 0))
+            if v >= least:
+                del free[-k]
+                out.append((f, -k, r["id"], v))
+        return out
+
+    cols = [frame, "id", "x1", "y1", "x2", "y2", "class_id"]
+    return per_pair(truth.select(*cols), detections.select(*cols, "score"), frame, run, f"{frame} {kind}, truth_id long, detection_id long, iou double")
 
 
 def associate(cues: DataFrame, values: DataFrame, frame: str = "frame_id", reach: float = 400.0) -> DataFrame:
     """Each cue's value, one to one, in cue order: on the same line to the right by distance, else below by distance."""
     kind = cues.schema[frame].dataType.simpleString()
 
-    def run(c: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+    def rank(q: dict, x: dict) -> tuple | None:
+        if x["y1"] <= (q["y1"] + q["y2"]) / 2 <= x["y2"] and x["x1"] >= q["x1"] and x["x1"] - q["x2"] <= reach:
+            return 0, max(0.0, x["x1"] - q["x2"]), x["id"]
+        if x["y1"] >= q["y2"] - 2 and min(x["x2"], q["x2"]) > max(x["x1"], q["x1"]) and x["y1"] - q["y2"] <= reach / 4:
+            return 1, x["y1"] - q["y2"], x["id"]
+        return None
+
+    def run(f: object, c: list[dict], v: list[dict]) -> list[tuple]:
         used: set[int] = set()
         out = []
-        for q in c.sort_values("id").itertuples(index=False):
-            best = None
-            mid = (q.y1 + q.y2) / 2
-            for x in v.sort_values("id").itertuples(index=False):
-                if x.id in used:
-                    continue
-                if x.y1 <= mid <= x.y2 and x.x1 >= q.x1 and x.x1 - q.x2 <= reach:
-                    rank = (0, max(0.0, x.x1 - q.x2), x.id)
-                elif x.y1 >= q.y2 - 2 and min(x.x2, q.x2) > max(x.x1, q.x1) and x.y1 - q.y2 <= reach / 4:
-                    rank = (1, x.y1 - q.y2, x.id)
-                else:
-                    continue
-                best = min(best or rank, rank)
+        for q in sorted(c, key=lambda q: q["id"]):
+            best = min((k for x in v if x["id"] not in used and (k := rank(q, x))), default=None)
             if best:
                 used.add(best[2])
-                out.append((getattr(q, frame), int(q.id), int(best[2]), int(best[0]), float(best[1])))
-        return pd.DataFrame(out, columns=[frame, "cue_id", "value_id", "direction", "distance"])
+                out.append((f, q["id"], best[2], best[0], best[1]))
+        return out
 
-    return cues.groupBy(frame).cogroup(values.groupBy(frame)).applyInPandas(run, f"{frame} {kind}, cue_id long, value_id long, direction int, distance double")
+    cols = [frame, "id", "x1", "y1", "x2", "y2"]
+    return per_pair(cues.select(*cols), values.select(*cols), frame, run, f"{frame} {kind}, cue_id long, value_id long, direction int, distance double")
 
 
 def same_box(regions: DataFrame, frame: str = "frame_id") -> DataFrame:
@@ -160,19 +153,19 @@ def padded_rois(regions: DataFrame, frame: str = "frame_id", pad: float = 8.0) -
     """Padded boxes, each merged into the first kept one that it meets."""
     kind = regions.schema[frame].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(f: object, rows: list[dict]) -> list[tuple]:
         out: list[list[float]] = []
-        for r in pdf.sort_values("id").itertuples(index=False):
-            b = [max(0.0, r.x1 - pad), max(0.0, r.y1 - pad), r.x2 + pad, r.y2 + pad]
+        for r in sorted(rows, key=lambda r: r["id"]):
+            b = [max(0.0, r["x1"] - pad), max(0.0, r["y1"] - pad), r["x2"] + pad, r["y2"] + pad]
             for k in out:
                 if b[0] < k[2] and b[2] > k[0] and b[1] < k[3] and b[3] > k[1]:
                     k[:] = [min(k[0], b[0]), min(k[1], b[1]), max(k[2], b[2]), max(k[3], b[3])]
                     break
             else:
                 out.append(b)
-        return pd.DataFrame([(pdf[frame].iloc[0], i, *b) for i, b in enumerate(out)], columns=[frame, "id", "x1", "y1", "x2", "y2"])
+        return [(f, i, *b) for i, b in enumerate(out)]
 
-    return regions.groupBy(frame).applyInPandas(run, f"{frame} {kind}, id long, x1 double, y1 double, x2 double, y2 double")
+    return per_group(regions.select(frame, "id", "x1", "y1", "x2", "y2"), frame, run, f"{frame} {kind}, id long, x1 double, y1 double, x2 double, y2 double")
 
 
 def decoded(cells: DataFrame, size: int = 640, pad_share: float = 0.04, pad_least: float = 2.0) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanveil.functions import rules
 from spanveil.operators import boxes
+from spanveil.operators.grouped import per_pair
 
 COVERED = 0.98
 
@@ -135,27 +135,27 @@ def entity_pairs(truth: DataFrame, predicted: DataFrame, key: str = "doc_id") ->
     """True and predicted spans of a text, paired by falling overlap share, each once; then what is left of both."""
     kind = truth.schema[key].dataType.simpleString()
 
-    def run(t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+    def run(k: object, t: list[dict], p: list[dict]) -> list[tuple]:
         cand = []
-        for i, a in enumerate(t.itertuples(index=False)):
-            for j, b in enumerate(p.itertuples(index=False)):
-                both = min(a.end, b.end) - max(a.start, b.start)
+        for i, a in enumerate(t):
+            for j, b in enumerate(p):
+                both = min(a["end"], b["end"]) - max(a["start"], b["start"])
                 if both > 0:
-                    cand.append((-both / (max(a.end, b.end) - min(a.start, b.start)), i, j))
+                    cand.append((-both / (max(a["end"], b["end"]) - min(a["start"], b["start"])), i, j))
         ui: set[int] = set()
         uj: set[int] = set()
-        out = []
-        k = t[key].iloc[0] if len(t) else p[key].iloc[0]
+        out: list[tuple] = []
         for v, i, j in sorted(cand):
             if i not in ui and j not in uj:
                 ui.add(i)
                 uj.add(j)
-                out.append((k, t["label"].iloc[i], p["label"].iloc[j], -v))
-        out += [(k, t["label"].iloc[i], None, 0.0) for i in range(len(t)) if i not in ui]
-        out += [(k, None, p["label"].iloc[j], 0.0) for j in range(len(p)) if j not in uj]
-        return pd.DataFrame(out, columns=[key, "truth_class", "predicted_class", "overlap"])
+                out.append((k, t[i]["label"], p[j]["label"], -v))
+        out += [(k, x["label"], None, 0.0) for i, x in enumerate(t) if i not in ui]
+        out += [(k, None, x["label"], 0.0) for j, x in enumerate(p) if j not in uj]
+        return out
 
-    return truth.groupBy(key).cogroup(predicted.groupBy(key)).applyInPandas(run, f"{key} {kind}, truth_class string, predicted_class string, overlap double")
+    cols = [key, "start", "end", "label"]
+    return per_pair(truth.select(*cols), predicted.select(*cols), key, run, f"{key} {kind}, truth_class string, predicted_class string, overlap double")
 
 
 def entity_scores(truth: DataFrame, predicted: DataFrame, keys: tuple[str, ...] = ("doc_id", "start", "end", "label")) -> DataFrame:

@@ -24,7 +24,7 @@ def cooled_down(reviews: DataFrame, by: str, step: str, window: int = 8) -> Data
 def changed(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     """Rows whose value differs from the row before."""
     w = Window.partitionBy(*by).orderBy(order)
-    return rows.withColumn("_p", F.lag(value).over(w)).where(~F.col(value).eqNullSafe(F.col("_p")) | (F.row_number().over(w) == 1)).drop("_p")
+    return rows.withColumn("_p", F.lag(value).over(w)).withColumn("_n", F.row_number().over(w)).where(~F.col(value).eqNullSafe(F.col("_p")) | (F.col("_n") == 1)).drop("_p", "_n")
 
 
 def ring(rows: DataFrame, by: str, order: str, capacity: int = 32) -> DataFrame:

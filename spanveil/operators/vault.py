@@ -6,6 +6,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,21 +110,62 @@ def resolve(texts: DataFrame, vault: DataFrame, key: str, column: str = "text")
     return texts.join(found, F.col(key) == F.col("_k"), "left").withColumn("resolved", out).withColumn("unknown", F.coalesce("unknown", F.array().cast("array<string>"))).drop("_k", "_have")
 
 
-def leaks(outputs: DataFrame, values: DataFrame, key: str, output: str = "text", value: str = "value", normalise: bool = True) -> DataFrame:
+#: Hidden values up to which one automaton over them is sent to all tasks; beyond, texts and values meet in a join.
+AUTOMATON = 100_000
+
+
+def leaks(outputs: DataFrame, values: DataFrame, key: str, output: str = "text", value: str = "value", normalise: bool = True, most: int = AUTOMATON) -> DataFrame:
     """Pairs of an output and a hidden value that it contains, by normal form (3 characters or more) or by digits (6 or more).
 
-    The needles meet the texts by their first three characters, so only texts
-    that have that trigram are compared: no cross join.
+    Up to ``most`` values, each text runs once through an automaton of all of
+    them. More values meet the texts by a hash of their first characters.
     """
     form = (lambda c: F.regexp_replace(casefold(nfkc(c)), r"\s+", "")) if normalise else (lambda c: F.lower(F.regexp_replace(F.col(c), r"\s+", "")))
     outs = outputs.select(F.col(key), form(output).alias("hay"), rules.digits(F.col(output)).alias("hay_digits"))
     vals = values.select(F.col(value).alias("value"), form(value).alias("needle"), rules.digits(F.col(value)).alias("digits")).distinct()
+    some = vals.limit(most + 1).collect()
+    if len(some) > most:
+        return _leaks_joined(outs, vals, key)
+    kind = outs.schema[key].dataType.simpleString()
+    rows = [(r["value"], r["needle"], r["digits"]) for r in some]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        found = []
+        for column, least, name in ((1, 3, "normalized"), (2, 6, "digits")):
+            by: dict[str, list[str]] = {}
+            for r in rows:
+                if r[column] and len(r[column]) >= least:
+                    by.setdefault(r[column], []).append(r[0])
+            auto = ahocorasick.Automaton()
+            for k, v in by.items():
+                auto.add_word(k, (k, v))
+            if by:
+                auto.make_automaton()
+            found.append((column, name, auto, by))
+        for b in batches:
+            keys, out = b.column(0).to_pylist(), []
+            for column, name, auto, by in found:
+                if by:
+                    for k, t in zip(keys, b.column(column).to_pylist(), strict=True):
+                        out += [(k, v, name) for v in {v for _, (_, vs) in auto.iter(t or "") for v in vs}]
+            cols = list(zip(*out, strict=True)) if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.column(0).type), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=[key, "value", "kind"])
+
+    return outs.mapInArrow(run, f"{key} {kind}, value string, kind string")
+
+
+def _leaks_joined(outs: DataFrame, vals: DataFrame, key: str) -> DataFrame:
+    """The same by a join on the hash of a value's first characters, for any number of values."""
 
     def met(hay: str, needle: str, least: int, kind: str) -> DataFrame:
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(hay) - 2, F.lit(1))), lambda i: F.substring(F.col(hay), i, F.lit(3))))
-        a = outs.where(F.length(hay) >= least).select(key, hay, F.explode(grams).alias("g"))
-        b = vals.where(F.length(needle) >= least).select("value", needle, F.substring(needle, 1, 3).alias("g"))
-        return a.join(b, "g").where(F.contains(F.col(hay), F.col(needle))).select(key, "value", F.lit(kind).alias("kind"))
+        a = outs.where(F.length(hay) >= least)
+        at = F.sequence(F.lit(1), F.length(hay) - least + 1)
+        grams = F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.substring(F.col(hay), i, F.lit(least)))))
+        b = vals.where(F.length(needle) >= least).select("value", needle, F.xxhash64(F.substring(needle, 1, least)).alias("g"))
+        near = a.select(F.col(key).alias("_k"), F.explode(grams).alias("g")).join(b, "g").select("_k", "value", needle)
+        return near.join(a, F.col("_k") == F.col(key)).where(F.contains(F.col(hay), F.col(needle))).select(key, "value", F.lit(kind).alias("kind"))
 
     return met("hay", "needle", 3, "normalized").unionByName(met("hay_digits", "digits", 6, "digits")).distinct()
 

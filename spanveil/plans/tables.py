@@ -60,7 +60,7 @@ def _views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 _COVER = """
 , p AS (SELECT t.frame_id, t.id, t.class, t.source_class, r.label, r.id AS rid,
-  greatest(0, least(t.x2, r.x2) - greatest(t.x1, r.x1)) * greatest(0, least(t.y2, r.y2) - greatest(t.y1, r.y1)) / ((t.x2 - t.x1) * (t.y2 - t.y1)) AS cov
+  CASE WHEN r.frame_id IS NOT NULL THEN greatest(0, least(t.x2, r.x2) - greatest(t.x1, r.x1)) * greatest(0, least(t.y2, r.y2) - greatest(t.y1, r.y1)) / ((t.x2 - t.x1) * (t.y2 - t.y1)) END AS cov
   FROM t LEFT JOIN r ON t.frame_id = r.frame_id),
 b AS (SELECT frame_id, id, class, source_class, coalesce(max(cov), 0) >= 0.98 AS hit FROM p GROUP BY 1, 2, 3, 4)
 """
@@ -269,7 +269,7 @@ def record_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def synthetic_luhn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Made-up cards, and how many pass the Luhn check (all)."""
     v = spark.range(2000).select(synthetic.fake_values(F.col("id")).alias("v"))
-    return v.agg(F.count("*").alias("n"), F.count_if(F.luhn_check("v.card")).alias("valid"))
+    return v.agg(F.count("*").alias("n"), F.count_if(F.call_function("luhn_check", F.col("v.card"))).alias("valid"))
 
 
 def support_minimums(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,7 +228,7 @@ def url_keep_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which model spans survive their context (fixed examples)."""
     rows = [
-        (1, "Margulis", [(0, 3, "GIVEN_NAME", 0.551, "ner", "Mar"), (3, 6, "SURNAME", 0.3, "ner", "gul")]),
+        (1, "Margulis", [(0, 3, "GIVEN_NAME", 0.551, "ner", "Mar"), (3, 6, "GIVEN_NAME", 0.529, "ner", "gul")]),
         (2, "John Smith", [(0, 4, "GIVEN_NAME", 0.462, "ner", "John"), (5, 10, "SURNAME", 0.85, "ner", "Smith")]),
         (3, "build 5173 done", [(6, 10, "BUILDING_NUMBER", 0.9, "ner", "5173")]),
         (4, "Ship to 12 Oak Street", [(8, 10, "BUILDING_NUMBER", 0.9, "ner", "12"), (11, 21, "STREET_NAME", 0.9, "ner", "Oak Street")]),
