@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from spanveil.functions import rules
 from spanveil.operators import spans as sp
@@ -30,13 +31,13 @@ def grouped_policy(policy: DataFrame) -> DataFrame:
     return policy.groupBy("level").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "pii_class"))), lambda x: x["pii_class"]), ",").alias("classes"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Unicode compatibility form (no built-in has it)."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold(texts: pd.Series) -> pd.Series:
     """Full case folding (lower() keeps ß and the like)."""
     return texts.map(lambda t: None if t is None else t.casefold())
