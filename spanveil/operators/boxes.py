@@ -33,6 +33,11 @@ def should_merge(a: tuple, b: tuple) -> bool:
     return i / max(1.0, sa + sb - i) >= 0.35 or i / max(1.0, min(sa, sb)) >= 0.55
 
 
+def _joined(new: list, old: list) -> list:
+    a, b = new[0], old[0]
+    return [(min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])), list(dict.fromkeys([*new[1], *old[1]])), list(dict.fromkeys([*new[2], *old[2]])), max(new[3], old[3])]
+
+
 def fuse(regions: DataFrame, frame: str = "frame_id") -> DataFrame:
     """Regions of a frame that overlap enough as one, again and again until none do; labels and sources are joined in order of score.
 
@@ -42,16 +47,19 @@ def fuse(regions: DataFrame, frame: str = "frame_id") -> DataFrame:
 
     def run(f: object, rows: list[dict]) -> list[tuple]:
         out: list[list] = []
+        size = 0
         for r in sorted(rows, key=lambda r: (-r["score"], r["id"])):
             new = [(r["x1"], r["y1"], r["x2"], r["y2"]), r["labels"], r["sources"], r["score"]]
-            at = len(out) - 1
-            while at >= 0:
-                if should_merge(new[0], out[at][0]):
-                    old = out.pop(at)
-                    a, b = new[0], old[0]
-                    new = [(min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])), list(dict.fromkeys([*new[1], *old[1]])), list(dict.fromkeys([*new[2], *old[2]])), max(new[3], old[3])]
-                    at = len(out)  # a wider box may reach others
-                at -= 1
+            # first all that the box itself meets, then what the union meets, until it meets nothing
+            for i in reversed([i for i, k in enumerate(out) if should_merge(new[0], k[0])]):
+                new = _joined(new, out.pop(i))
+            met = len(out) < size
+            while met:
+                met = False
+                for i in range(len(out) - 1, -1, -1):
+                    if should_merge(new[0], out[i][0]):
+                        new, met = _joined(new, out.pop(i)), True
+            size = len(out) + 1
             out.append(new)
         out.sort(key=lambda x: (x[0][1], x[0][0]))
         return [(f, i, *b, " + ".join(labels), labels, sources, s) for i, (b, labels, sources, s) in enumerate(out)]
