@@ -165,12 +165,10 @@ def best_region(items: list[tuple[str, str, str, bool]], w: Weights) -> tuple[in
     for i, (what, name, text, _) in enumerate(items):
         if what == "w":
             s = w.word.get(_name(name), w.word_default) * len(text.split())
-        elif what == "-":
-            s = -abs(w.word_default) * 0.25 * len(text.split())
-        elif what in "tx":
+        elif what == "t":
             s = w.tag.get(_name(name), w.tag_default)
         else:
-            s = 0.0
+            s = 0.0  # what is left out anyway neither speaks for a region nor ends it
         if run <= 0:
             run, start = 0.0, i
         run += s
