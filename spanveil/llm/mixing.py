@@ -12,7 +12,7 @@ Only tables of one row a source and block (at most ``BLOCKS`` of each source)
 are gathered; a source's rows are never in one task, however hot it is.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in
-order; a source without words has target 0; equal rows share their fate, since
+order; a source without words has target 0; a text without words is not taken; equal rows share their fate, since
 rows are told apart by id, source and size; an empty table gives an empty mix;
 further columns pass through ``mix`` as they are.
 """
@@ -29,7 +29,7 @@ CAP = 3
 BLOCKS = 256
 SHARDS = 64
 SEED = 20240607
-#: Rows of the block table up to which it is broadcast; beyond, it is joined by shuffle.
+#: Rows of a source or block table up to which it is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 100_000
 
 _PRE = "_mix_"
@@ -77,11 +77,17 @@ def targets(rows: DataFrame) -> DataFrame:
         .withColumn("level", F.col("left") / F.col("share"))
         .withColumn("capped", F.col("fullness") <= F.col("level"))
     )
-    level = F.coalesce(F.min_by(F.when(~F.col("capped"), F.col("level")), F.when(~F.col("capped"), F.col("fullness"))).over(every), F.lit(0.0))
+    first = F.when(~F.col("capped"), F.struct("fullness", "rank"))
+    level = F.coalesce(F.min_by(F.when(~F.col("capped"), F.col("level")), first).over(every), F.lit(0.0))
     return t.select("source", "source_size", "rank", "weight", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("weight") * level).alias("target"))
 
 
-def quotas(rows: DataFrame, goal: DataFrame) -> DataFrame:
+def _sent(df: DataFrame, small: bool) -> DataFrame:
+    """A table broadcast, if a count has shown it to be small."""
+    return F.broadcast(df) if small else df
+
+
+def quotas(rows: DataFrame, goal: DataFrame, small: bool) -> DataFrame:
     """One row for each source and block: how often it is taken whole, and what is taken of a cut block and by the filling document."""
     in_order = Window.partitionBy("rank").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     g = goal.withColumn("passes", F.when(F.col("source_size") > 0, F.least(F.lit(CAP), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int"))
@@ -90,7 +96,7 @@ def quotas(rows: DataFrame, goal: DataFrame) -> DataFrame:
         rows.groupBy("source", "block")
         .agg(F.sum("size").alias("words"))
         .alias("b")
-        .join(F.broadcast(g).alias("g"), F.expr("b.source <=> g.source"))
+        .join(_sent(g, small).alias("g"), F.expr("b.source <=> g.source"))
         .select("g.source", "rank", "passes", "rest", "block", "words", "source_size", "target")
         .withColumn("before", F.coalesce(F.sum("words").over(in_order), F.lit(0)))
         .withColumn("whole", F.col("before") + F.col("words") <= F.col("rest"))
@@ -99,9 +105,9 @@ def quotas(rows: DataFrame, goal: DataFrame) -> DataFrame:
     return b
 
 
-def cuts(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+def cuts(rows: DataFrame, blocks: DataFrame, small: bool) -> DataFrame:
     """For each source with a cut block: the last key taken of it, and the key of the document that fills the gap best."""
-    edge = F.broadcast(blocks.where("cut").select(F.col("source").alias("s"), F.col("block").alias("cut_block"), (F.col("rest") - F.col("before")).alias("room")))
+    edge = _sent(blocks.where("cut").select(F.col("source").alias("s"), F.col("block").alias("cut_block"), (F.col("rest") - F.col("before")).alias("room")), small)
     later = rows.join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") >= F.col("cut_block")))
     line = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     cut = (
@@ -115,7 +121,7 @@ def cuts(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     gap = F.col("room") - F.coalesce("got", F.lit(0))
     free = (F.col("block") > F.col("cut_block")) | F.col("last_key").isNull() | (F.col("key") > F.col("last_key"))
     return (
-        later.join(F.broadcast(cut), F.col("source").eqNullSafe(F.col("s2")), "left")
+        later.join(_sent(cut, small), F.col("source").eqNullSafe(F.col("s2")), "left")
         .withColumn("miss", F.abs(gap - F.col("size")))
         .groupBy("source")
         .agg(
@@ -194,7 +200,9 @@ def tree(blocks: DataFrame, shards: int = SHARDS) -> DataFrame:
 def plan(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """One row for each source and block: source figures, its whole takes and extra take with their shards, and the cut."""
     rows = checkpoint(sized(docs))  # ids and sizes, no texts
-    blocks = checkpoint(quotas(rows, targets(rows)))
+    goal = checkpoint(targets(rows))
+    small = goal.count() <= BROADCAST_ROWS  # a row for each source
+    blocks = checkpoint(quotas(rows, goal, small))
     unit = blocks.select(
         "rank",
         "block",
@@ -214,7 +222,7 @@ def plan(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         blocks.join(drawn.withColumnRenamed("rank", "r2").withColumnRenamed("block", "b2"), (F.col("rank") == F.col("r2")) & (F.col("block") == F.col("b2")), "left")
         .drop("r2", "b2")
         .alias("p")
-        .join(F.broadcast(cuts(rows, blocks)).alias("c"), F.expr("p.source <=> c.source"), "left")
+        .join(_sent(cuts(rows, blocks, small), small).alias("c"), F.expr("p.source <=> c.source"), "left")
         .select("p.*", "c.cut_block", "c.last_key", "c.fill_key")
     )
 
@@ -226,7 +234,7 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     block = F.pmod(_hash(2, key), F.lit(BLOCKS)).cast("int")
     own = docs.withColumn(f"{_PRE}size", size_of(F.col("text"))).withColumn(f"{_PRE}key", _hash(1, F.col("doc_id"), F.col("source"), size)).withColumn(f"{_PRE}at", block)
     small = p.count() <= BROADCAST_ROWS
-    joined = own.join(F.broadcast(p) if small else p, F.col("source").eqNullSafe(F.col(f"{_PRE}source")) & (F.col(f"{_PRE}at") == F.col(f"{_PRE}block")), "left")
+    joined = own.join(_sent(p, small), F.col("source").eqNullSafe(F.col(f"{_PRE}source")) & (F.col(f"{_PRE}at") == F.col(f"{_PRE}block")), "left")
     extra = (
         F.col(f"{_PRE}whole")
         | ((F.col(f"{_PRE}at") == F.col(f"{_PRE}cut_block")) & (key <= F.col(f"{_PRE}last_key")))
@@ -234,7 +242,7 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
     passes = F.col(f"{_PRE}passes")
     spare = F.pmod(_hash(5, key), F.lit(shards)).cast("int")
-    count = passes + F.when(F.coalesce(extra, F.lit(False)) & (size > 0), 1).otherwise(0)
+    count = F.when(size > 0, passes + F.when(F.coalesce(extra, F.lit(False)), 1).otherwise(0)).otherwise(0)
     drawn = F.coalesce(F.transform(f"{_PRE}drawn", lambda x: x["shard"]), F.array().cast("array<int>"))
     # The filling document may lie outside the drawn blocks: it goes to a shard by its hash.
     takes = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.coalesce(F.get(drawn, i - 1), spare))
