@@ -40,7 +40,7 @@ CLASSES = SINGLE + HASHED
 BITS = 12
 ROWS = 3 << BITS
 ROUNDS = 2
-BATCH = 8192
+BATCH = 4096
 RATE = 0.5
 BLOCK = 192
 
@@ -73,7 +73,7 @@ def _context(tok: np.ndarray, row: np.ndarray) -> np.ndarray:
     same = row[2:] == row[:-2]
     two[2:][same] = tok[:-2][same]
     shift = _U(64 - BITS)
-    out = np.empty((3, len(tok)), np.int32)
+    out = np.empty((3, len(tok)), np.int16)  # rows of 3 << BITS features; sorted by radix
     out[0] = vec.mix(one) >> shift
     out[1] = (vec.mix(one * _U(0x9E3779B97F4A7C15) + two) >> shift) + _U(1 << BITS)
     out[2] = (vec.mix(two + _U(77)) >> shift) + _U(2 << BITS)
@@ -88,6 +88,7 @@ class Vocabulary:
     count: np.ndarray
     single: np.ndarray  # class of each of these words, or -1
     below: np.ndarray  # what counts are divided by, of each class
+    share: np.ndarray  # of each class, smoothed
     tokens: int
     distinct: int
 
@@ -151,13 +152,14 @@ def vocabulary(table: DataFrame, hot: float = HOT) -> Vocabulary:
     count = np.array([r["c"] for r in rows], np.int64)
     single = np.array([top.get(r["word"], -1) for r in rows], np.int64)
     below = np.full(CLASSES, 0.1)
+    mass = np.full(CLASSES, 0.1 / HASHED)  # a class that no token has met keeps the share of unknown words
     for r in rows:
         if r["word"] in top:
-            below[top[r["word"]]] = r["c"] + 0.1
+            below[top[r["word"]]] = mass[top[r["word"]]] = r["c"] + 0.1
     rest = table.where(~F.col("word").isin(list(top))) if top else table
     for r in rest.groupBy((F.shiftrightunsigned("word", 40) % HASHED).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
-        below[SINGLE + r["k"]] = r["n"] + 0.1 * (r["v"] + 1)
-    return Vocabulary(word, count, single, below, n, v)
+        below[SINGLE + r["k"]] = mass[SINGLE + r["k"]] = r["n"] + 0.1 * (r["v"] + 1)
+    return Vocabulary(word, count, single, below, mass / mass.sum(), n, v)
 
 
 def _softmax(w: np.ndarray, f: np.ndarray) -> np.ndarray:
@@ -186,7 +188,8 @@ def _update(w: np.ndarray, seen: np.ndarray, f: np.ndarray, y: np.ndarray) -> No
 
 def train(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
     """The class weights (features x classes), from one pass over all training documents in ``rounds`` shares."""
-    w = np.zeros((ROWS, CLASSES), np.float32)
+    # the start is the class distribution without context, a third of it from each feature
+    w = np.tile((np.log(np.maximum(voc.share, 1e-12)) / 3).astype(np.float32), (ROWS, 1))
     rows = docs.where(in_training(F.col("doc_id"))).select("text", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)), F.lit(rounds)).alias("share"))
     kind = "block int, task long, w binary, n binary"
 
