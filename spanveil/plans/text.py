@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanveil.cluster import ship
-from spanveil.functions import rules
+from spanveil.functions import cues, rules
 from spanveil.operators import spans, vault
 
 
@@ -250,7 +250,52 @@ def token_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.explode(vault.references(F.col("scrubbed"))).alias("placeholder")).groupBy("placeholder").agg(F.count("*").alias("n_docs"))
 
 
+_FIELD_TEXTS = ("E-mail address:", "Full name *", "Card number", "CVV", "Tax ID", "Submit", "Address line 2", "passphrase")
+
+
+def bare_cue_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.createDataFrame([(i, x) for i, x in enumerate(_CUE_TEXTS)], "id long, text string")
+    return t.select("id", F.array_join(F.array_sort(cues.bare_cues(F.col("text"))), ",").alias("labels"))
+
+
+_BARE_SQL = "WITH t(id, text) AS (VALUES " + ", ".join(f"({i}, {sq(x)})" for i, x in enumerate(_CUE_TEXTS)) + ") SELECT CAST(id AS BIGINT) AS id, coalesce(array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(
+    f"CASE WHEN regexp_matches(text, {sq(p)}) THEN '{k}' END" for k, p in cues.BARE_CUES
+) + "], lambda x: x IS NOT NULL))), ','), '') AS labels FROM t"
+
+
+def field_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.createDataFrame([(i, x) for i, x in enumerate(_FIELD_TEXTS)], "id long, text string")
+    return t.select("id", cues.field_cue(F.col("text")).alias("label"))
+
+
+_FIELD_SQL = "WITH t(id, text) AS (VALUES " + ", ".join(f"({i}, {sq(x)})" for i, x in enumerate(_FIELD_TEXTS)) + r"), n AS (SELECT id, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '[\s:*]+$', '') AS s FROM t) SELECT CAST(id AS BIGINT) AS id, CASE " + " ".join(
+    f"WHEN regexp_matches(s, {sq('(?i)' + p)}) THEN '{k}'" for k, p in cues.FIELD_CUES
+) + " END AS label FROM n"
+
+
+def label_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of another model in the engine's vocabulary, with their policy level."""
+    t = spark.createDataFrame([(k,) for k in (*cues.MODEL_LABELS, "odd_label")], "source_label string")
+    return t.withColumn("label", cues.model_label(F.col("source_label"))).withColumn("level", rules.level_of(F.col("label")))
+
+
+_VOCABULARY_SQL = "WITH t(source_label, label) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in (*cues.MODEL_LABELS.items(), ("odd_label", "ODD_LABEL"))) + f"), c AS (SELECT *, {_ALIAS} AS pii_class FROM t) SELECT source_label, label, {_LEVEL} AS level FROM c"
+
+
+def documents_by_visual_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Found spans by the visual class that they are shown as."""
+    s = vault.levels(spans.exploded(read(spark, sf_dir, "documents")))
+    return s.groupBy(F.coalesce(cues.visual_class(F.col("pii_class")), F.lit("NONE")).alias("visual_class")).agg(F.count("*").alias("n"))
+
+
+_VISUAL_SQL = _SPANS + f", c AS (SELECT {_ALIAS} AS pii_class FROM found) SELECT CASE pii_class " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in cues.VISUAL_CLASSES.items()) + " ELSE 'NONE' END AS visual_class, count(*) AS n FROM c GROUP BY 1"
+
+
 QUERIES = {
+    "bare_cue_labels": bare_cue_labels,
+    "field_cues": field_cues,
+    "label_vocabulary": label_vocabulary,
+    "documents_by_visual_class": documents_by_visual_class,
     "pii_class_counts": pii_class_counts,
     "email_findings": email_findings,
     "ip_findings": ip_findings,
@@ -280,6 +325,10 @@ QUERIES = {
 }
 
 ORACLES = {
+    "bare_cue_labels": _BARE_SQL,
+    "field_cues": _FIELD_SQL,
+    "label_vocabulary": _VOCABULARY_SQL,
+    "documents_by_visual_class": _VISUAL_SQL,
     "pii_class_counts": _SPANS + f", c AS (SELECT *, {_ALIAS} AS pii_class FROM found) SELECT pii_class, {_LEVEL} AS level, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM c GROUP BY 1, 2",
     "email_findings": _EMAIL_SQL,
     "ip_findings": _IP_SQL,

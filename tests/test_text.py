@@ -127,3 +127,36 @@ def test_scalars(spark):
     assert tuple(r) == ("::1", 5173, True, True, False)
     assert one(spark, "run API_KEY=abc ok", rules.redact_assignments) == "run API_KEY=[REDACTED] ok"
     assert one(spark, "411111111111111", rules.luhn_digit) == "1"
+
+
+def test_field_cues_and_plausibility(spark):
+    from spanveil.functions import cues
+
+    df = spark.createDataFrame([("Card number 4000 0000 0000 0002 Security c0de 007", None), ("E-mail  address: *", "EMAIL"), ("Tax ID", "GOVERNMENT_ID"), ("Submit", None)], "t string, f string")
+    rows = df.select("f", cues.bare_cues(F.col("t")).alias("b"), cues.field_cue(F.col("t")).alias("g")).collect()
+    assert rows[0]["b"] == ["CVC", "CARD_NUMBER"] and all(r["f"] == r["g"] for r in rows)
+    v = spark.createDataFrame([("EMAIL", "a@b.c", True), ("CVC", "12", False), ("CVC", "123", True), ("NAME", "Ann O'Neil", True), ("NAME", "save", False), ("CARD_NUMBER", "4111 1111 1111 1111", True)], "l string, t string, w boolean")
+    assert all(r["w"] == r["p"] for r in v.select("w", cues.plausible(F.col("l"), F.col("t")).alias("p")).collect())
+
+
+def test_contextual_names_and_dispositions(spark):
+    from spanveil.functions import cues
+
+    df = spark.createDataFrame([("Hello, Maria del Rey", "Maria del Rey"), ("Deliver to John Smith", "John Smith"), ("Hi Guest", None), ("something", None)], "t string, n string")
+    assert all(r["n"] == (r["x"] and r["x"]["name"]) for r in df.select("n", cues.contextual_name(F.col("t")).alias("x")).collect())
+    k = spark.createDataFrame([("PII_FIRSTNAME", "map", "NAME"), ("PII_COMPANY", "hard-negative", None), ("PII_CARD_CVV2", "map", "CVC"), ("ODD", "unmapped", None), ("PII_DOB_YEAR", "map", "SENSITIVE_FIELD")], "k string, a string, c string")
+    assert all((r["a"], r["c"]) == tuple(r["d"]) for r in k.select("a", "c", cues.disposition(F.col("k")).alias("d")).collect())
+
+
+def test_actions(spark):
+    from spanveil.operators import actions as ac
+
+    a = spark.createDataFrame([(1, '{"tool_calls":[{"name":"send","url":"u"},{"type":"function","function":{"name":"f"}}],"tool_call":{"tool_name":"t"}}'), (2, '{"tool_name":"x","args":{"target":" d "}}'), (3, '{"action":{"type":"click"}}'), (4, '{"action":"type","text":"hi"}'), (5, '{"note":"n"}')], "id int, action string")
+    got = ac.calls(a, "id").select("id", ac.call_name(F.col("call")).alias("n"), ac.call_target(F.col("call")).alias("t")).collect()
+    assert sorted((r["id"], r["n"], r["t"] or "") for r in got) == [(1, "f", ""), (1, "send", "u"), (1, "t", ""), (2, "x", "d"), (3, "click", ""), (4, "type", "")]
+    t = spark.createDataFrame([('so {"a":1} then {"b":{"c":2}} end',), ("none {",)], "t string")
+    assert [r["x"] for r in t.select(ac.last_object("t").alias("x")).collect()] == ['{"b": {"c": 2}}', None]
+    s = spark.createDataFrame([('{"properties":{"a":{"type":"string","enum":["x"]},"b":{"properties":{"c":{}}}}}',)], "t string").select(ac.schema_shape("t").alias("s")).first()["s"]
+    assert s["string_fields"] == ["a"] and "b" in s["property_paths"] and s["enums"] == ["x"]
+    tools = spark.createDataFrame([("add", '{"a":1,"b":2}', "3"), ("sort", '{"items":["b","a"]}', "a, b"), ("echo", '{"text":"q"}', "q")], "n string, a string, w string")
+    assert all(r["w"] == r["g"] for r in tools.select("w", ac.run_tool(F.col("n"), F.col("a")).alias("g")).collect())
