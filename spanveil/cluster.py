@@ -24,7 +24,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers that can't import it themselves: Spark's file server hands a zip to each."""
+    """Prepares a session: smaller Arrow batches, and this package importable in Python workers that can't import it themselves (Spark's file server hands a zip to each)."""
+    # Batches are bounded by rows of long texts, not of short ones; a setting of the user's own stays.
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
