@@ -23,17 +23,21 @@ def matches(text: Column, pattern: str) -> Column:
 
     No built-in gives match places; the texts between matches do (split and extract agree on them).
     """
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
+    kind = "array<struct<start:int,end:int,text:string>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + x["gap"]
         e = s + F.length(x["m"])
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("start"), e.alias("end"), x["m"].alias("text")))).alias("out"))
 
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("gap")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
+    def placed(found: Column) -> Column:
+        gaps = F.split(text, pattern, -1)
+        pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("gap")))
+        return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(F.array().cast(kind))
+
+    # the matches are bound to a name: each text is scanned once, and split only if there are any
+    return F.element_at(F.transform(F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), placed), 1)
 
 
 def detect(text: Column) -> Column:
@@ -55,9 +59,18 @@ def detect(text: Column) -> Column:
     )
 
 
+def spread(rows: DataFrame, *keep: str, **array: Column) -> DataFrame:
+    """One row for each element of an array (its name gives the column's).
+
+    An outer explode, as Spark guards an inner one with filters that compute the array again.
+    """
+    (name, values), *_ = array.items()
+    return rows.select(*keep, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())
+
+
 def exploded(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each rule span: key and the span's fields."""
-    return docs.select(F.col(key), F.explode(detect(F.col(text))).alias("s")).select(key, "s.*")
+    return spread(docs, key, s=detect(F.col(text))).select(key, "s.*")
 
 
 def _preferred(a: Column, b: Column) -> Column:

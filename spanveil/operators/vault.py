@@ -63,7 +63,7 @@ def scrub(docs: DataFrame, nonce: str = "0000", key: str = "doc_id", keep: tuple
     """Texts with every rule span as its token (or a marker, if blocked), and the vault."""
     d = docs.withColumn("_spans", sp.merge(F.filter(sp.detect(F.col("text")), lambda s: ~s["label"].isin(*keep))))
     hit = d.where(F.size("_spans") > 0)
-    flat = hit.select(F.col(key), F.explode("_spans").alias("s")).select(key, "s.*")
+    flat = sp.spread(hit, key, s=F.col("_spans")).select(key, "s.*")
     vault = tokens(flat, [key, "start"], nonce)
     named = (
         levels(flat)

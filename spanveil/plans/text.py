@@ -53,7 +53,7 @@ def pii_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _findings(table: str, key: str, text: str, pattern: str, hint):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = read(spark, sf_dir, table).where(hint(F.col(text)))
-        return rows.select(key, F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("value"))
+        return spans.spread(rows, key, value=F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
     return run, f"SELECT {key}, m AS value FROM ({_exploded(table, key, text, pattern)})"
 
@@ -76,7 +76,7 @@ def ssn_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def span_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").where(F.contains("text", F.lit("@")))
-    return d.select("doc_id", F.explode(spans.matches(F.col("text"), rules.EMAIL)).alias("m")).select("doc_id", "m.start", "m.end", F.col("m.text").alias("value"))
+    return spans.spread(d, "doc_id", m=spans.matches(F.col("text"), rules.EMAIL)).select("doc_id", "m.start", "m.end", F.col("m.text").alias("value"))
 
 
 _OFFSETS = f"""
@@ -92,7 +92,7 @@ SELECT doc_id, CAST(st AS INTEGER) AS start, CAST(st + length(value) AS INTEGER)
 
 def span_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
-    return d.select("doc_id", F.explode(spans.merge(spans.detect(F.col("text")))).alias("s")).select("doc_id", "s.*")
+    return spans.spread(d, "doc_id", s=spans.merge(spans.detect(F.col("text")))).select("doc_id", "s.*")
 
 
 _CUE_TEXTS = (
@@ -124,7 +124,7 @@ _CUE_SQL = "WITH t(id, text) AS (VALUES " + ", ".join(f"({i}, {sq(x)})" for i, x
 
 
 def cues_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(rules.value_cues(F.col("text")))).alias("label"))
+    d = spans.spread(read(spark, sf_dir, "documents"), "doc_id", label=F.array_distinct(rules.value_cues(F.col("text"))))
     return d.groupBy("label").agg(F.count("*").alias("n"))
 
 
@@ -213,8 +213,8 @@ def text_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interval_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digit runs that share a character with a found span."""
     d = read(spark, sf_dir, "documents")
-    a = d.where(F.col("text").rlike(r"\d\.\d")).select("doc_id", F.explode(spans.matches(F.col("text"), rules.DIGIT_RUN)).alias("m")).select("doc_id", "m.*")
-    b = d.where(F.col("text").rlike(r"\d\.\d")).select("doc_id", F.explode(spans.matches(F.col("text"), rules.IPV4)).alias("m")).select("doc_id", "m.*")
+    a = spans.spread(d.where(F.col("text").rlike(r"\d\.\d")), "doc_id", m=spans.matches(F.col("text"), rules.DIGIT_RUN)).select("doc_id", "m.*")
+    b = spans.spread(d.where(F.col("text").rlike(r"\d\.\d")), "doc_id", m=spans.matches(F.col("text"), rules.IPV4)).select("doc_id", "m.*")
     j = spans.overlap(a, b, "doc_id")
     return j.groupBy("s.doc_id").agg(F.count("*").alias("n"))
 
