@@ -2,8 +2,8 @@
 
 DataFrame functions only. Each source is dealt by a row hash into ``BLOCKS``
 blocks, in permuted order. A source's target asks for whole passes over its
-blocks, some further whole blocks, a cut block, and one filling document; these
-block quotas are exact. A binary tree then splits the quotas of all sources
+blocks, some further whole blocks, a cut block, and a few documents added or dropped to come
+nearer; these block quotas are exact. A binary tree then splits the quotas of all sources
 among the output shards (at each node, the left half's counts are multivariate
 hypergeometric, drawn by inverse CDF from a hash), each shard draws its disjoint
 run of every source's permuted blocks, and rows are shuffled locally by a hash.
@@ -28,6 +28,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
 BLOCKS = 256
 SHARDS = 64
+#: Documents moved, at most, to bring a source nearer its target.
+ROUNDS = 4
 SEED = 20240607
 #: Rows of a source or block table up to which it is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 100_000
@@ -88,7 +90,7 @@ def _sent(df: DataFrame, small: bool) -> DataFrame:
 
 
 def quotas(rows: DataFrame, goal: DataFrame, small: bool) -> DataFrame:
-    """One row for each source and block: how often it is taken whole, and what is taken of a cut block and by the filling document."""
+    """One row for each source and block: how often it is taken whole, and what is taken of a cut block."""
     in_order = Window.partitionBy("rank").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     g = goal.withColumn("passes", F.when(F.col("source_size") > 0, F.least(F.lit(CAP), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int"))
     g = g.withColumn("rest", F.when(F.col("passes") >= CAP, 0.0).otherwise(F.col("target") - F.col("passes") * F.col("source_size")))
@@ -105,31 +107,47 @@ def quotas(rows: DataFrame, goal: DataFrame, small: bool) -> DataFrame:
     return b
 
 
-def cuts(rows: DataFrame, blocks: DataFrame, small: bool) -> DataFrame:
-    """For each source with a cut block: the last key taken of it, and the key of the document that fills the gap best."""
-    edge = _sent(blocks.where("cut").select(F.col("source").alias("s"), F.col("block").alias("cut_block"), (F.col("rest") - F.col("before")).alias("room")), small)
-    later = rows.join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") >= F.col("cut_block")))
+def cuts(rows: DataFrame, blocks: DataFrame, small: bool, rounds: int = ROUNDS) -> DataFrame:
+    """For each source with a cut block: the last key taken of it, and the keys of the documents added or dropped to come nearer the target.
+
+    Each round moves the document whose size is nearest to what is missing (or
+    too much); the state that came nearest counts. A round is one partial
+    aggregate over ids and sizes.
+    """
+    edge = blocks.where("cut").select(F.col("source").alias("s"), F.col("block").alias("cut_block"), "rest", (F.col("rest") - F.col("before")).alias("room"))
+    own = rows.join(_sent(edge, small), F.col("source").eqNullSafe(F.col("s")))
     line = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    cut = (
-        later.where(F.col("block") == F.col("cut_block"))
+    last = (
+        own.where(F.col("block") == F.col("cut_block"))
         .withColumn("sum", F.sum("size").over(line))
         .where(F.col("sum") <= F.col("room"))
         .groupBy("source")
         .agg(F.max("key").alias("last_key"), F.max("sum").alias("got"))
         .select(F.col("source").alias("s2"), "last_key", "got")
     )
+    none = F.array().cast("array<long>")
     gap = F.col("room") - F.coalesce("got", F.lit(0))
-    free = (F.col("block") > F.col("cut_block")) | F.col("last_key").isNull() | (F.col("key") > F.col("last_key"))
-    return (
-        later.join(_sent(cut, small), F.col("source").eqNullSafe(F.col("s2")), "left")
-        .withColumn("miss", F.abs(gap - F.col("size")))
-        .groupBy("source")
-        .agg(
-            F.first("cut_block").alias("cut_block"),
-            F.first("last_key").alias("last_key"),
-            F.min_by("key", F.when(free & (F.col("miss") < gap), F.struct("miss", "key"))).alias("fill_key"),
-        )
-    )
+    state = edge.join(_sent(last, small), F.col("s").eqNullSafe(F.col("s2")), "left").select("s", "cut_block", "last_key", gap.alias("gap"), none.alias("add"), none.alias("drop"), F.lit(0).cast("long").alias("moved"))
+    state = checkpoint(state.withColumn("best", F.struct(F.abs("gap").alias("miss"), "add", "drop")))
+    for _ in range(rounds):
+        j = rows.join(_sent(state, small), F.col("source").eqNullSafe(F.col("s")))
+        first = (F.col("block") < F.col("cut_block")) | ((F.col("block") == F.col("cut_block")) & F.coalesce(F.col("key") <= F.col("last_key"), F.lit(False)))
+        taken = (first & ~F.array_contains("drop", F.col("key"))) | F.array_contains("add", F.col("key"))
+        can = (F.col("size") > 0) & (F.col("key") != F.col("moved")) & F.when(F.col("gap") > 0, ~taken).otherwise(taken)
+        rank = F.when(can, F.struct(F.abs(F.abs("gap") - F.col("size")).alias("miss"), F.col("key")))
+        pick = j.groupBy("s").agg(F.min_by(F.struct("key", "size"), rank).alias("p")).where(F.col("p").isNotNull()).select(F.col("s").alias("s3"), "p")
+        state = state.join(_sent(pick, small), F.col("s").eqNullSafe(F.col("s3")), "left")
+        k, more = F.array(F.col("p.key")), F.col("gap") > 0
+        away = lambda a: F.array_except(a, k)
+        onto = lambda a, other: F.when(F.array_contains(other, F.col("p.key")), a).otherwise(F.array_union(a, k))
+        moves = F.col("p").isNotNull() & (F.col("gap") != 0)
+        add = F.when(~moves, F.col("add")).when(more, onto(F.col("add"), F.col("drop"))).otherwise(away(F.col("add")))
+        drop = F.when(~moves, F.col("drop")).when(more, away(F.col("drop"))).otherwise(onto(F.col("drop"), F.col("add")))
+        new = F.when(~moves, F.col("gap")).when(more, F.col("gap") - F.col("p.size")).otherwise(F.col("gap") + F.col("p.size"))
+        state = state.select("s", "cut_block", "last_key", new.alias("gap"), add.alias("add"), drop.alias("drop"), F.coalesce("p.key", "moved").alias("moved"), "best")
+        now = F.struct(F.abs("gap").alias("miss"), "add", "drop")
+        state = checkpoint(state.withColumn("best", F.when(F.abs("gap") < F.col("best.miss"), now).otherwise(F.col("best"))))
+    return state.select(F.col("s").alias("source"), "cut_block", "last_key", F.col("best.add").alias("add_keys"), F.col("best.drop").alias("drop_keys"))
 
 
 def _ln_factorial(x: Column) -> Column:
@@ -223,28 +241,26 @@ def plan(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         .drop("r2", "b2")
         .alias("p")
         .join(_sent(cuts(rows, blocks, small), small).alias("c"), F.expr("p.source <=> c.source"), "left")
-        .select("p.*", "c.cut_block", "c.last_key", "c.fill_key")
+        .select("p.*", "c.cut_block", "c.last_key", "c.add_keys", "c.drop_keys")
     )
 
 
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """The rows with ``_mix_size``, ``_mix_source_size``, ``_mix_target`` and ``_mix_takes``: the shards that take the row, one for each copy."""
-    p = checkpoint(plan(docs, shards).select(*[F.col(c).alias(_PRE + c) for c in ("source", "block", "passes", "whole", "cut_block", "last_key", "fill_key", "drawn", "source_size", "target")]))
+    p = checkpoint(plan(docs, shards).select(*[F.col(c).alias(_PRE + c) for c in ("source", "block", "passes", "whole", "cut_block", "last_key", "add_keys", "drop_keys", "drawn", "source_size", "target")]))
     size, key = F.col(f"{_PRE}size"), F.col(f"{_PRE}key")
     block = F.pmod(_hash(2, key), F.lit(BLOCKS)).cast("int")
     own = docs.withColumn(f"{_PRE}size", size_of(F.col("text"))).withColumn(f"{_PRE}key", _hash(1, F.col("doc_id"), F.col("source"), size)).withColumn(f"{_PRE}at", block)
     small = p.count() <= BROADCAST_ROWS
     joined = own.join(_sent(p, small), F.col("source").eqNullSafe(F.col(f"{_PRE}source")) & (F.col(f"{_PRE}at") == F.col(f"{_PRE}block")), "left")
-    extra = (
-        F.col(f"{_PRE}whole")
-        | ((F.col(f"{_PRE}at") == F.col(f"{_PRE}cut_block")) & (key <= F.col(f"{_PRE}last_key")))
-        | (key == F.col(f"{_PRE}fill_key"))
-    )
+    never = F.lit(False)
+    first = F.col(f"{_PRE}whole") | F.coalesce((F.col(f"{_PRE}at") == F.col(f"{_PRE}cut_block")) & (key <= F.col(f"{_PRE}last_key")), never)
+    extra = (first & ~F.coalesce(F.array_contains(f"{_PRE}drop_keys", key), never)) | F.coalesce(F.array_contains(f"{_PRE}add_keys", key), never)
     passes = F.col(f"{_PRE}passes")
     spare = F.pmod(_hash(5, key), F.lit(shards)).cast("int")
     count = F.when(size > 0, passes + F.when(F.coalesce(extra, F.lit(False)), 1).otherwise(0)).otherwise(0)
     drawn = F.coalesce(F.transform(f"{_PRE}drawn", lambda x: x["shard"]), F.array().cast("array<int>"))
-    # The filling document may lie outside the drawn blocks: it goes to a shard by its hash.
+    # A document that was added may lie outside the drawn blocks: it goes to a shard by its hash.
     takes = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.coalesce(F.get(drawn, i - 1), spare))
     return joined.withColumn(f"{_PRE}takes", F.when(F.coalesce(count, F.lit(0)) > 0, takes).otherwise(F.array().cast("array<int>")))
 
