@@ -160,7 +160,8 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     runs = checkpoint(rows.mapInArrow(windows, f"n int, x long, y long, doc_id {kind}, rid long, first int, last int").distinct())
     place = F.struct(F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("v"), F.col("rid").alias("w"), F.col("first").alias("f"))
-    original = runs.groupBy("n", "x", "y").agg(F.count("*").alias("copies"), F.min(place).alias("origin")).where(F.col("copies") > 1)
+    # kept apart from the runs, so that Spark may split the part of a run with very many copies
+    original = checkpoint(runs.groupBy("n", "x", "y").agg(F.count("*").alias("copies"), F.min(place).alias("origin")).where(F.col("copies") > 1))
     later = runs.join(original, ["n", "x", "y"]).where(place > F.col("origin"))
     gone = later.groupBy("rid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", "last"))))).alias("removed"))
     return seqs.select("rid", "doc_id", "n_lines").join(gone, "rid", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
