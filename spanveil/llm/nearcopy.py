@@ -6,8 +6,11 @@ keeps them in text order: two texts agree in a sketch with a chance that falls
 with edits and with reordering. Equal texts are one node, so copies cost no
 pairs. Texts that share a sketch are candidates: all pairs of a bucket of up to
 ``ALL_PAIRS`` texts; in a larger bucket each text with the text that shares most
-sketches of all, and again so among those that agree in the next sketch as well,
-so that pairs grow with texts and not with their square. Candidates are verified
+sketches of all, and again so among those that agree in the next sketch as well.
+Texts of a larger bucket that these links leave in several classes are then all
+compared across classes, but for pairs that cannot be similar: two texts of
+similarity 0.8 share a k-mer among the first fifth of each, in any one order of
+all k-mers (here the rarer ones first). Candidates are verified
 on whole texts: common labelled k-mers within a band around the diagonal are
 aligned (longest common subsequence), and aligned / (all - aligned) must reach
 ``SIMILARITY``. Linked texts form classes (connected components by large-star and
@@ -39,6 +42,11 @@ ELL = 3
 ALL_PAIRS = 12
 #: Candidate texts up to which their ids are broadcast to fetch the texts; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Texts from which common k-mers are learned, and how many of these; both bear on the order of k-mers only.
+ORDER_TEXTS = 5000
+ORDER_KMERS = 50_000
+#: Texts of each group that are compared with all of it in the first round.
+PIVOTS = 8
 #: Width of the band, as a share of the longer text's k-mers, on either side.
 BAND = 0.25
 
@@ -140,8 +148,8 @@ def _bucket_pairs(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFram
     return few.unionByName(star), many.drop("n", "leader")
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """a, b: distinct candidate pairs of the texts (tid, sk)."""
+def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a, b: distinct candidate pairs of the texts (tid, sk); and the rows (s, key, tid) in large buckets."""
     nxt = F.transform("sk", lambda x, i: F.element_at("sk", F.pmod(i + 1, F.size("sk")) + 1))
     rows = texts.select("tid", F.posexplode(F.arrays_zip("sk", nxt.alias("nx"))).alias("s", "z")).select("tid", F.col("s").cast("byte").alias("s"), F.col("z.sk").alias("key"), F.col("z.nx").alias("nx"))
     n = checkpoint(rows.groupBy("s", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1))
@@ -150,7 +158,7 @@ def candidates(texts: DataFrame) -> DataFrame:
     rows = checkpoint(shared.drop("n").join(support, "tid"))
     pairs, large = _bucket_pairs(rows, ["s", "key"])
     finer, _ = _bucket_pairs(large, ["s", "key", "nx"])
-    return pairs.unionByName(finer).distinct()
+    return pairs.unionByName(finer).distinct(), large.select("s", "key", "tid")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -198,8 +206,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
 
-def links(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The candidate pairs whose whole texts are similar. texts: tid and least, the id of one row of each text.
+def fetch(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """tid and text of the candidate texts. texts: tid and least, the id of one row of each text.
 
     Only that row's text is fetched: copies of one text, however many, never meet.
     """
@@ -208,7 +216,11 @@ def links(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
     rows = docs.select(text_id(F.col("text")).alias("tid"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     few = used.count() <= BROADCAST_ROWS
     own = rows.join(F.broadcast(used) if few else used, (F.col("tid") == F.col("_tid")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    texts = checkpoint(own.groupBy("tid").agg(F.first("text").alias("text")))
+    return checkpoint(own.groupBy("tid").agg(F.first("text").alias("text")))
+
+
+def links(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The candidate pairs whose whole texts (tid, text) are similar."""
     return (
         pairs.join(texts.select(F.col("tid").alias("a"), F.col("text").alias("ta")), "a")
         .join(texts.select(F.col("tid").alias("b"), F.col("text").alias("tb")), "b")
@@ -217,6 +229,85 @@ def links(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def _kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for _, _, data, offs in vec.chunks(b.column(1)):
+            g, n = np.unique(_labelled(data, offs, WORDS)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], names=["g", "c"])
+
+
+def prefixes(texts: DataFrame) -> DataFrame:
+    """tid, n (k-mers) and gs: the first k-mers of each text (tid, text) in order, of which similar texts share one.
+
+    With n k-mers, a text shares 0.8 n or more with any similar one, so not all of its first n - 0.8 n + 1 are
+    missing there. That holds for any order; the commonest of a sample of texts go last, to keep groups small.
+    """
+    some = texts.orderBy(F.xxhash64("tid"), "tid").limit(ORDER_TEXTS).mapInArrow(_kmers, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).where("c > 2")
+    known = sorted((r["g"] % (1 << 64), r["c"]) for r in some.orderBy(F.desc("c"), "g").limit(ORDER_KMERS).collect())
+    word, count = np.array([k for k, _ in known], _U), np.array([c for _, c in known], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, data, offs in vec.chunks(b.column(1)):
+                g, row = _labelled(data, offs, WORDS)
+                common = np.zeros(len(g), np.int64)
+                if len(word):
+                    at = np.minimum(np.searchsorted(word, g), len(word) - 1)
+                    common = np.where(word[at] == g, count[at], 0)
+                n = np.bincount(row, minlength=j - i)
+                order = np.lexsort((g, common, row))
+                nth = np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n)
+                first = n - np.ceil(SIMILARITY * n - 1e-9).astype(np.int64) + 1
+                kept = order[nth < first[row]]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(i, j - i), pa.array(n.astype(np.int32)), vec.lists(g[kept].view(np.int64), np.minimum(first, n))],
+                    names=["tid", "n", "gs"],
+                )
+
+    return texts.select("tid", "text").mapInArrow(run, "tid long, n int, gs array<long>")
+
+
+def joined(large: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """roots (tid, root), after all similar pairs of large buckets (s, key, tid) whose texts lie in several classes.
+
+    Texts of a group (one k-mer) are compared with those of other classes in rounds, first about ``PIVOTS`` texts
+    of each group with all of it, then more each time; what a round links needs no comparison in the next.
+    """
+
+    def several(rows: DataFrame, keys: list[str]) -> DataFrame:
+        rows = rows.join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+        mixed = rows.groupBy(*keys).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi"))
+        return checkpoint(rows.join(mixed.select(*keys), keys))
+
+    own = several(large, ["s", "key"]).select("tid").distinct()
+    first = checkpoint(prefixes(checkpoint(own.join(texts, "tid"))))
+    rows = first.select("tid", "n", F.posexplode("gs").alias("at", "g"))
+    rows = checkpoint(rows.join(rows.groupBy("g").agg(F.count("*").alias("k")).where(F.col("k") > 1), "g"))
+    # a text's place in [0, k) of its largest group: places below a bound are that many texts, about
+    u = F.pmod(F.xxhash64("tid", F.lit(13)), F.lit(1 << 30)) / (1 << 30)
+    rows = rows.drop("k").join(rows.groupBy("tid").agg(F.max("k").alias("k")), "tid").withColumn("u", u).withColumn("place", u * F.col("k"))
+    need = SIMILARITY / (1 + SIMILARITY) * (F.col("n") + F.col("nx")) - 1e-9  # k-mers that similar texts share at least
+    low, high = 0, PIVOTS
+    while True:
+        rows = several(rows, ["g"])
+        most = rows.agg(F.max("k")).first()[0]
+        if most is None or low >= most:
+            return roots
+        x = rows.where((F.col("place") >= low) & (F.col("place") < high)).select("g", F.col("tid").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("u").alias("ux"), F.col("root").alias("rx"))
+        # where two texts first meet in the order, all that they share is still to come in both
+        met = rows.join(x, "g").where((F.col("root") != F.col("rx")) & (F.struct("ux", "x") < F.struct("u", "tid")) & (F.least(F.col("n") - F.col("at"), F.col("nx") - F.col("ax")) >= need))
+        pairs = met.select(F.least("tid", "x").alias("a"), F.greatest("tid", "x").alias("b")).distinct()
+        # what they share beyond their first k-mers is bounded by what is left of the one or the other
+        left = F.greatest(F.col("n") - F.size("gs"), F.col("nx") - F.size("gx"))
+        pairs = pairs.join(first.withColumnRenamed("tid", "a"), "a").join(first.select(F.col("tid").alias("b"), F.col("n").alias("nx"), F.col("gs").alias("gx")), "b")
+        pairs = checkpoint(pairs.where(F.size(F.array_intersect("gs", "gx")) + left >= need).select("a", "b"))
+        new = checkpoint(links(texts, pairs))
+        if not new.isEmpty():
+            roots = checkpoint(components(roots.select(F.col("tid").alias("a"), F.col("root").alias("b")).unionByName(new)))
+        rows = rows.drop("root")
+        low, high = high, high * 8
+
+
 def components(edges: DataFrame) -> DataFrame:
     """tid, root: of the nodes of edges (a, b), with the smallest node of each connected component as its root."""
     e = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v")).distinct())
@@ -241,8 +332,12 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = checkpoint(sketches(docs))
     texts = rows.groupBy("tid").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("sk").alias("sk"))
     texts = checkpoint(texts)
-    pairs = checkpoint(candidates(texts.where(F.size("sk") > 0).select("tid", "sk")))
-    roots = components(links(docs, texts, pairs))
+    pairs, large = candidates(texts.where(F.size("sk") > 0).select("tid", "sk"))
+    pairs = checkpoint(pairs)
+    held = fetch(docs, texts, pairs)
+    roots = checkpoint(components(links(held, pairs)))
+    if not large.isEmpty():
+        roots = joined(large, held, roots)
     grouped = texts.select("tid", "least", "n").join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     size = grouped.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.min_by("tid", F.struct(F.col("least").isNull(), "least", "tid")).alias("head"))
     named = checkpoint(grouped.join(size, "root").select("tid", "class_id", "class_size", "head"))

@@ -91,6 +91,40 @@ def test_near_copies_of_one_large_family(spark):
     assert {(r["class_id"], r["class_size"]) for r in got} == {(0, 150)}
 
 
+def _classes_by_all_pairs(docs):
+    import pyarrow as pa
+
+    from spanveil.llm import vec
+
+    labelled = [(i, nearcopy._labelled(*vec.utf8(pa.array([t])), nearcopy.WORDS)[0]) for i, t in docs]
+    root = {i: i for i, _ in docs}
+    for k, (i, a) in enumerate(labelled):
+        for j, b in labelled[:k]:
+            if root[i] != root[j] and nearcopy.similarity(a, b) >= nearcopy.SIMILARITY:
+                lo, hi = sorted((root[i], root[j]))
+                root = {x: lo if r == hi else r for x, r in root.items()}
+    return root
+
+
+def test_near_copies_of_large_families_below_the_leader(spark):
+    rnd = random.Random(1)
+    docs, t = [], [f"w{i}" for i in range(240)]
+    for i in range(40):  # each near the one before, the ends far apart
+        docs.append((i, " ".join(t)))
+        for q in rnd.sample(range(240), 2):
+            t[q] = f"c{i}x{q}"
+    for i in range(100):  # variants of an absent text, many pairs about as similar as the threshold
+        t = [f"v{q}" for q in range(200)]
+        for q in rnd.sample(range(200), 3 + i % 2):
+            t[q] = f"d{i}x{q}"
+        docs.append((1000 + i, " ".join(t)))
+    rnd.shuffle(docs)
+    want = _classes_by_all_pairs(docs)
+    assert all(want[i] == 0 for i in range(40))
+    got = {r["doc_id"]: r["class_id"] for r in nearcopy.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_near_copies_odd_rows(spark):
     df = data.odd(spark)
     got = defaultdict(set)
