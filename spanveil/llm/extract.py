@@ -7,7 +7,9 @@ most ``MAX_PAGES`` pages (by a hash of the id) whose own markup labels the main
 text with exactly one <article>. A linear scan finds the contiguous region with
 the greatest sum; within it, elements that hold no main text by their kind or
 class (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-comments) are left out. Blocks keep page order.
+comments) are left out. Blocks keep page order. Only tags and words that are scored are
+counted, a tag never costs more than half a word of its own element, and a kind
+that the labelled pages do not show neither ends a region nor outweighs its words.
 
 Edge cases: a null or empty page gives an empty text; pages without any region
 of positive score give an empty text; unclosed elements end where the article
@@ -29,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_PAGES = 1000
+#: Score of a link's word where no labelled page has a link that is scored.
+UNSEEN = 0.1
 
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTR = re.compile(r"(?:^|[\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -220,7 +224,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for what, name, text, inside in parse(page):
                 if what == "w":
                     count["w " + _name(name), inside] += len(text.split())
-                elif what in "tx":
+                elif what == "t":  # what is left out is not scored either
                     count["t " + _name(name), inside] += 1
     yield pa.RecordBatch.from_pydict({"feature": [k for k, _ in count], "inside": [i for _, i in count], "n": list(count.values())}, schema=pa.schema([("feature", pa.string()), ("inside", pa.bool_()), ("n", pa.int64())]))
 
@@ -239,14 +243,18 @@ def train(pages: DataFrame, max_pages: int = MAX_PAGES) -> Weights:
     w = Weights()
     if not rows:
         return w
-    for r in rows:
-        kind, _, name = r["feature"].partition(" ")
-        odds = math.log((r["a"] + 0.5) / (r["b"] + 0.5))
+    w.word["a"], w.tag, w.tag_default = UNSEEN, {}, -UNSEEN / 2
+    odds = {r["feature"]: math.log((r["a"] + 0.5) / (r["b"] + 0.5)) for r in rows}
+    for feature, x in odds.items():
+        kind, _, name = feature.partition(" ")
         if kind == "w":
-            w.word[name] = max(-2.0, min(2.0, odds))
-        else:
-            # tags never score positive; those that mostly stand outside end a region
-            w.tag[name] = -0.02 if odds > 0 else max(-8.0, odds * 4 - 1)
+            w.word[name] = max(-2.0, min(2.0, x))
+    for feature, x in odds.items():
+        kind, _, name = feature.partition(" ")
+        if kind == "t":
+            # tags never score positive; a start and an end tag together cost one word of their element at most
+            own = abs(w.word.get(name.lstrip("/"), w.word_default))
+            w.tag[name] = -0.02 if x > 0 else max(-own / 2, x * 4 - 1)
     return w
 
 

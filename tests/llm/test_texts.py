@@ -155,3 +155,17 @@ def test_extract_main_text(spark):
         assert got[2]["text"] == got[3]["text"] == "" and got[4]["text"] == MAIN
         assert len(got[5]["text"].split()) == 30_000
     assert extract.extract(pages.limit(0), extract.train(pages.limit(0))).count() == 0
+
+
+def test_extract_keeps_lists_links_tables_and_divs(spark):
+    prose = "".join(f"<p>Prose number {i} goes on for a dozen words or so in each paragraph.</p>" for i in range(4))
+    inner = ("<ul>" + "".join(f"<li>Item {i} of the list</li>" for i in range(4)) + "</ul>", '<p>See <a href="/x">this page</a></p>', "<table><tr><td>One cell</td><td>Two cells</td></tr></table>", "<div><div>Short wrapped words</div></div>", '<ul><li><a href="/y">Linked item with words</a></li></ul>')
+    menu = '<nav><ul><li><a href="/">Home</a></li><li><a href="/b">More</a></li></ul></nav><div class="ad"><div>Buy now</div></div>'
+    page = lambda body: f"<html><body>{menu}<article><h1>Head line</h1>{body}</article><footer><ul><li><a>Top</a></li></ul></footer></body></html>"
+    labelled = spark.createDataFrame([(i, "u", page(prose)) for i in range(30)], "page_id long, url string, html string")
+    w = extract.train(labelled)
+    for x in inner:
+        words = re.sub("<[^>]*>", " ", x).split()
+        for body in (x + prose, prose + x, "<p>Brief start.</p>" + x + prose, prose + x + "<p>Brief end.</p>"):
+            got = extract.text_of(page(body), w).split()
+            assert got == ["Head", "line", *re.sub("<[^>]*>", " ", body).split()], (x, words)
