@@ -3,9 +3,9 @@
 All rolling word 2-gram hashes of all texts meet the template positions in a
 Spark join (the templates are the fixed list below: a bounded broadcast). Each
 hit votes for the diagonal (text position minus template position) of its
-template; neighbouring diagonals of long templates are merged, and a span is
-verified when every word pair (phrases) or a set share of them (templates) is
-found in order. The fixed phrases give the base labels and places; the longer
+template; a span is verified when every word pair (phrases) or a set share of
+them (templates) is found in order: a chain of hits that rise in the text and in
+the template and move by at most ``DRIFT`` diagonals at a step. The fixed phrases give the base labels and places; the longer
 templates add labels and the score.
 
 Edge cases: a null or empty text has no words, no labels and score 0; equal rows
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.llm import vec
@@ -45,7 +45,7 @@ TEMPLATES = (
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
 )
 COVER = 0.8
-#: Diagonals of one template that lie this close are one span.
+#: Diagonals by which a span of one template may move from one word pair to the next.
 DRIFT = 3
 
 
@@ -86,6 +86,24 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _rolling(batches, False)
 
 
+def chain(pos: list[int], tpos: list[int], size: int) -> int:
+    """The most hits (by text position, then template position) that rise in both and move by at most DRIFT diagonals at a step."""
+    best, lo = [1] * len(pos), 0
+    for i, (p, t) in enumerate(zip(pos, tpos, strict=True)):
+        while pos[lo] < p - size - DRIFT:
+            lo += 1
+        for j in range(lo, i):
+            if pos[j] < p and tpos[j] < t and abs((p - t) - (pos[j] - tpos[j])) <= DRIFT and best[j] >= best[i]:
+                best[i] = best[j] + 1
+    return max(best, default=0)
+
+
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        share = [chain([h["pos"] for h in hits], [h["tpos"] for h in hits], n) / n for hits, n in zip(b.column(4).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(share, pa.float64())], names=["doc_id", "key", "tpl", "share"])
+
+
 def rolling(docs: DataFrame, with_grams: bool = True) -> DataFrame:
     """doc_id, a hash of the text, n_words, and all rolling word pair hashes of each text."""
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, n_words long"
@@ -108,14 +126,14 @@ def scan(docs: DataFrame) -> DataFrame:
     # One vote for each template position and diagonal. Repeated ids with equal texts vote alike; distinct votes count once.
     line = hit.groupBy("doc_id", "key", "tpl", "diag").agg(F.count_distinct("tpos").alias("votes"))
     phrase = line.where((F.col("tpl") < len(PHRASES)) & (F.col("votes") == F.element_at(sizes, F.col("tpl") + 1)))
-    near = Window.partitionBy("doc_id", "key", "tpl").orderBy("diag")
-    island = Window.partitionBy("doc_id", "key", "tpl").orderBy("diag").rowsBetween(Window.unboundedPreceding, 0)
+    kind = docs.schema["doc_id"].dataType.simpleString()
     long = (
-        line.where(F.col("tpl") >= len(PHRASES))
-        .withColumn("new", F.when(F.col("diag") - F.lag("diag").over(near) <= DRIFT, 0).otherwise(1))
-        .withColumn("span", F.sum("new").over(island))
-        .groupBy("doc_id", "key", "tpl", "span")
-        .agg(F.least(F.lit(1.0), F.sum("votes") / F.element_at(sizes, F.first("tpl") + 1)).alias("share"))
+        hit.where(F.col("tpl") >= len(PHRASES))
+        .groupBy("doc_id", "key", "tpl")
+        .agg(F.count_distinct("tpos").alias("met"), F.collect_set(F.struct("pos", "tpos")).alias("hits"), F.element_at(sizes, F.first("tpl") + 1).alias("size"))
+        .where(F.col("met") >= COVER * F.col("size"))
+        .select("doc_id", "key", "tpl", "size", F.array_sort("hits").alias("hits"))
+        .mapInArrow(_chained, f"doc_id {kind}, key long, tpl int, share double")
         .where(F.col("share") >= COVER)
     )
     found = (

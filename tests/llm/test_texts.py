@@ -169,3 +169,11 @@ def test_extract_keeps_lists_links_tables_and_divs(spark):
         for body in (x + prose, prose + x, "<p>Brief start.</p>" + x + prose, prose + x + "<p>Brief end.</p>"):
             got = extract.text_of(page(body), w).split()
             assert got == ["Head", "line", *re.sub("<[^>]*>", " ", body).split()], (x, words)
+
+
+def test_licenses_count_each_template_position_once(spark):
+    whole = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"
+    rows = [(1, "apache license " * 6), (2, whole), (3, whole.replace("charge", "all charge").replace("copy", "new copy")), (4, " ".join(reversed(whole.split()))), (5, "licensed under the apache license version 2 0 " * 3)]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == ("apache", 1.0) and got[2] == ("mit", 1.0) and got[3][0] == "mit" and 0.75 < got[3][1] < 1.0
+    assert got[4] == ("", 0.0) and got[5] == ("apache,apache-2.0", 1.0)
