@@ -46,7 +46,7 @@ _WIDE = (
     ("ssn", re.compile(r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")),
     ("card", re.compile(r"(?<![0-9A-Za-z.-])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9A-Za-z])")),
     ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")),
-    ("secret", re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}+|AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9_-]{8,128}+|eyJ[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]{4,}+)(?![0-9A-Za-z])")),
+    ("secret", re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9_-]{8,}+|eyJ[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]{4,}+)(?![0-9A-Za-z])")),
     ("name", re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Dear|[Nn]ame[:=]) ?\.? ?([A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30}){0,2})(?![A-Za-z])")),
 )
 _HINT = {"email": ("at)", "at]"), "name": ("Mr", "Ms", "Dr", "Dear", "ame:", "ame=")}

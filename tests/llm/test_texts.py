@@ -177,3 +177,9 @@ def test_licenses_count_each_template_position_once(spark):
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == ("apache", 1.0) and got[2] == ("mit", 1.0) and got[3][0] == "mit" and 0.75 < got[3][1] < 1.0
     assert got[4] == ("", 0.0) and got[5] == ("apache,apache-2.0", 1.0)
+
+
+def test_pii_long_secrets_are_candidates():
+    for s in ("0123456789abcdef" * 20, "sk-proj-" + "Ab3_" * 50):
+        assert pii.candidates(f"key {s} end") == [(4, 4 + len(s), "secret", False)]
+    assert pii.candidates("0123456789abcdef" * 20_000 + "g") == []
