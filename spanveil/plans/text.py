@@ -238,10 +238,10 @@ def context_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def premask_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Masked texts, and how many stretches of each come from the text."""
-    d = read(spark, sf_dir, "documents").where(F.contains("text", F.lit("@")))
+    """Masked texts' lengths (null for a null text), and how many stretches of each are masked (0 where nothing is found)."""
+    d = read(spark, sf_dir, "documents")
     m = d.select("doc_id", spans.premask(F.col("text"), spans.detect(F.col("text"))).alias("m"))
-    return m.select("doc_id", F.length("m.text").alias("masked_chars"), F.size(F.filter("m.map", lambda r: r["mask"])).alias("n_masks"))
+    return m.select("doc_id", F.length("m.text").alias("masked_chars"), F.coalesce(F.size(F.filter("m.map", lambda r: r["mask"])), F.lit(0)).alias("n_masks"))
 
 
 def token_references(spark: SparkSession, sf_dir: str) -> DataFrame:

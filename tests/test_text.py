@@ -160,3 +160,18 @@ def test_actions(spark):
     assert s["string_fields"] == ["a"] and "b" in s["property_paths"] and s["enums"] == ["x"]
     tools = spark.createDataFrame([("add", '{"a":1,"b":2}', "3"), ("sort", '{"items":["b","a"]}', "a, b"), ("echo", '{"text":"q"}', "q")], "n string, a string, w string")
     assert all(r["w"] == r["g"] for r in tools.select("w", ac.run_tool(F.col("n"), F.col("a")).alias("g")).collect())
+
+
+def test_premask_projection_takes_all_documents(spark, tmp_path):
+    from spanveil.plans import text as plans
+
+    rows = [(1, "mail a@b.org"), (2, "host 10.0.0.1 and https://x.org/a"), (3, "card 4111 1111 1111 1111"), (4, "nothing"), (5, ""), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["s"] for r in docs.select("doc_id", spans.merge(spans.detect(F.col("text"))).alias("s")).collect()}
+    want = {}
+    for k, t in rows:
+        own = found[k] or []
+        want[k] = (None if t is None else len(t) + sum(len(s["label"]) + 2 - (s["end"] - s["start"]) for s in own), len(own))
+    got = {r["doc_id"]: (r["masked_chars"], r["n_masks"]) for r in plans.premask_projection(spark, str(tmp_path)).collect()}
+    assert got == want and got[2][1] == 2 and got[3][1] == 1 and got[4] == (7, 0) and got[5] == (0, 0) and got[6] == (None, 0)
