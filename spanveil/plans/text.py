@@ -185,6 +185,14 @@ def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vault.leaks(docs, items, "doc_id", normalise=False).select("doc_id", F.md5("value").alias("value"), "kind")
 
 
+def leak_scan_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a whole benchmark item (line 0) or one of its lines (from 1), in the production form."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("value")))
+    parts = F.concat(F.array(F.struct(F.lit(0).alias("line"), F.col("text").alias("value"))), lines)
+    items = spans.spread(read(spark, sf_dir, "benchmark"), "item_id", p=parts).select("item_id", "p.*")
+    return vault.leaks(read(spark, sf_dir, "documents"), items, "doc_id").join(items, "value").select("doc_id", "item_id", "line", "kind").distinct()
+
+
 _LEAKS = r"""
 WITH v AS (SELECT DISTINCT split_part(text, chr(10), 1) AS value FROM benchmark),
 n AS (SELECT value, lower(regexp_replace(value, '\s+', '', 'g')) AS needle, regexp_replace(value, '[^0-9]', '', 'g') AS digits FROM v),
@@ -314,6 +322,7 @@ QUERIES = {
     "scrub_leaks": scrub_leaks,
     "resolve_round_trip": resolve_round_trip,
     "leak_scan": leak_scan,
+    "leak_scan_items": leak_scan_items,
     "role_mask_texts": role_mask_texts,
     "first_user_text": first_user_text,
     "text_fingerprints": text_fingerprints,

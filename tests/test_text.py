@@ -175,3 +175,16 @@ def test_premask_projection_takes_all_documents(spark, tmp_path):
         want[k] = (None if t is None else len(t) + sum(len(s["label"]) + 2 - (s["end"] - s["start"]) for s in own), len(own))
     got = {r["doc_id"]: (r["masked_chars"], r["n_masks"]) for r in plans.premask_projection(spark, str(tmp_path)).collect()}
     assert got == want and got[2][1] == 2 and got[3][1] == 1 and got[4] == (7, 0) and got[5] == (0, 0) and got[6] == (None, 0)
+
+
+def test_leak_scan_items_takes_every_line(spark, tmp_path):
+    from spanveil.plans import text as plans
+
+    items = [(0, "first line\nsecond Stra\u00dfe line"), (1, "first line\nother end"), (2, None)]
+    docs = [(1, "has SECOND strasse line only"), (2, "first line"), (3, "the first  line\nother end."), (4, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    form = lambda t: "".join(t.casefold().split())
+    want = {(d, i, n) for d, t in docs if t for i, x in items if x for n, v in enumerate([x, *x.split("\n")]) if form(v) in form(t)}
+    assert {(r["doc_id"], r["item_id"], r["line"]) for r in plans.leak_scan_items(spark, str(tmp_path)).collect()} == want
+    assert (1, 0, 2) in want and (3, 1, 0) in want
