@@ -116,7 +116,7 @@ AUTOMATON = 100_000
 
 
 def leaks(outputs: DataFrame, values: DataFrame, key: str, output: str = "text", value: str = "value", normalise: bool = True, most: int = AUTOMATON) -> DataFrame:
-    """Pairs of an output and a hidden value that it contains, by normal form (3 characters or more) or by digits (6 or more).
+    """Distinct pairs of an output's key (null is one, too) and a hidden value that it contains, by normal form (3 characters or more) or by digits (6 or more).
 
     Up to ``most`` values, each text runs once through an automaton of all of
     them. More values meet the texts by a hash of their first characters.
@@ -154,7 +154,7 @@ def leaks(outputs: DataFrame, values: DataFrame, key: str, output: str = "text",
             cols = list(zip(*out, strict=True)) if out else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.column(0).type), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=[key, "value", "kind"])
 
-    return outs.mapInArrow(run, f"{key} {kind}, value string, kind string")
+    return outs.mapInArrow(run, f"{key} {kind}, value string, kind string").distinct()
 
 
 def _leaks_joined(outs: DataFrame, vals: DataFrame, key: str) -> DataFrame:
@@ -166,7 +166,7 @@ def _leaks_joined(outs: DataFrame, vals: DataFrame, key: str) -> DataFrame:
         grams = F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.substring(F.col(hay), i, F.lit(least)))))
         b = vals.where(F.length(needle) >= least).select("value", needle, F.xxhash64(F.substring(needle, 1, least)).alias("g"))
         near = a.select(F.col(key).alias("_k"), F.explode(grams).alias("g")).join(b, "g").select("_k", "value", needle)
-        return near.join(a, F.col("_k") == F.col(key)).where(F.contains(F.col(hay), F.col(needle))).select(key, "value", F.lit(kind).alias("kind"))
+        return near.join(a, F.col("_k").eqNullSafe(F.col(key))).where(F.contains(F.col(hay), F.col(needle))).select(key, "value", F.lit(kind).alias("kind"))
 
     return met("hay", "needle", 3, "normalized").unionByName(met("hay_digits", "digits", 6, "digits")).distinct()
 

@@ -188,3 +188,11 @@ def test_leak_scan_items_takes_every_line(spark, tmp_path):
     want = {(d, i, n) for d, t in docs if t for i, x in items if x for n, v in enumerate([x, *x.split("\n")]) if form(v) in form(t)}
     assert {(r["doc_id"], r["item_id"], r["line"]) for r in plans.leak_scan_items(spark, str(tmp_path)).collect()} == want
     assert (1, 0, 2) in want and (3, 1, 0) in want
+
+
+def test_leaks_of_repeated_and_null_keys_agree(spark):
+    outs = spark.createDataFrame([(1, "secretword"), (1, "a secret word"), (None, "secret word"), (None, "secretword 5551234")], "id int, text string")
+    vals = spark.createDataFrame([("secretword",), ("5551234",)], "value string")
+    want = [("1", "secretword", "normalized"), ("None", "5551234", "digits"), ("None", "5551234", "normalized"), ("None", "secretword", "normalized")]
+    for most in (10, 1):
+        assert sorted((str(r["id"]), r["value"], r["kind"]) for r in vault.leaks(outs, vals, "id", most=most).collect()) == want
