@@ -35,12 +35,13 @@ from spanveil.llm import vec
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THETA = 1.0
-#: Characters that are handled together, about.
-CHARS = 2_000_000
-#: Longest word that is filtered together with others.
+#: Bytes of texts that are handled together, about.
+CHARS = 1 << 18
+#: Longest word that is filtered together with others, and the characters of words that are.
 SHORT = 48
-#: Lattice nodes that a worker keeps for later batches, at most.
-KEEP = 1_500_000
+TOGETHER = 24_000
+#: Lattice nodes that a worker keeps for later batches, at most (but for those of one batch).
+KEEP = 300_000
 _SLOTS = 19
 
 _SPACE = "▁"
@@ -224,16 +225,19 @@ class Lattice:
     def filter(self, units: set[str]) -> None:
         """Adds the words that are not yet there."""
         new = list(units.difference(self.end))
-        if self.nodes > KEEP:
+        if not new:
+            return
+        if self.nodes + sum(map(len, new)) > KEEP:
             self.clear()
             new = list(units)
         lens = np.array(list(map(len, new)), np.int64)
         order = np.argsort(-lens, kind="stable")
         order = order[lens[order] <= SHORT]
         parts = [(self.cum, self.piece, self.prev, self.first)]
-        for i in range(0, len(order), 8_000):
-            o = order[i : i + 8_000]
-            parts.append(self._together([new[j] for j in o], lens[o]))
+        part = np.cumsum(lens[order]) // TOGETHER
+        for o in np.split(order, np.flatnonzero(np.diff(part)) + 1):
+            if len(o):
+                parts.append(self._together([new[j] for j in o], lens[o]))
         parts += [self._alone(new[j]) for j in np.flatnonzero(lens > SHORT)]
         at = 0
         for k, (c, i, p, f) in enumerate(parts):
@@ -337,7 +341,7 @@ def encode(docs: DataFrame, model: str = MODEL, theta: float = THETA, seed: int
     """docs with its ids as a further (or replaced) column; proof: name of a column that says whether the ids decode to the text."""
     keep = [c for c in docs.columns if c not in (out, proof)]
     more = [(out, "array<int>")] + ([(proof, "boolean")] if proof else [])
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"`{c}` {k}" for c, k in more])
+    schema = ", ".join([f"{vec.quoted(c)} {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{vec.quoted(c)} {k}" for c, k in more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(model, theta)
@@ -361,14 +365,15 @@ def encode(docs: DataFrame, model: str = MODEL, theta: float = THETA, seed: int
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, out, *([proof] if proof else [])])
 
     key = F.col(key) if isinstance(key, str) else key
-    rows = docs.select(F.col("text").alias("_text"), F.xxhash64(F.lit(seed), key).alias("_key"), *[F.col(f"`{c}`") for c in keep])
+    text, own = vec.free(docs, "coded_text", "coded_key")
+    rows = docs.select(F.col("text").alias(text), F.xxhash64(F.lit(seed), key).alias(own), *[F.col(vec.quoted(c)) for c in keep])
     return rows.mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", out: str = "text") -> DataFrame:
     """rows with the texts of their ids in column ``out``; null ids give a null text."""
     keep = [c for c in rows.columns if c not in (ids, out)]
-    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep] + [f"`{out}` string"])
+    schema = ", ".join([f"{vec.quoted(c)} {rows.schema[c].dataType.simpleString()}" for c in keep] + [f"{vec.quoted(out)} string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(model, THETA)
@@ -380,4 +385,5 @@ def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", out: str = "te
             texts = pa.compute.if_else(col.is_null(), None, texts).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], texts], names=[*keep, out])
 
-    return rows.select(F.col(ids).alias("_ids"), *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
+    (coded,) = vec.free(rows, "coded_ids")
+    return rows.select(F.col(vec.quoted(ids)).alias(coded), *[F.col(vec.quoted(c)) for c in keep]).mapInArrow(run, schema)

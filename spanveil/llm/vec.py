@@ -171,3 +171,19 @@ def lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     cut = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=cut[1:])
     return pa.ListArray.from_arrays(pa.array(cut), pa.array(values))
+
+
+def free(df, *wanted: str) -> list[str]:
+    """Column names that no column of a data frame has, whatever the case of its letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark SQL text, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
