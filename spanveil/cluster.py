@@ -6,7 +6,8 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -23,6 +24,28 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def numbered(df: DataFrame, *order: Column | str, name: str = "number") -> DataFrame:
+    """df with the place (from 1) of each row in an order; sorted over the cluster, with no task that sees all rows.
+
+    The sorted rows are kept, so ties have one order for all readers. Only the
+    number of rows of each partition reaches the driver.
+    """
+    own = name
+    while own.lower() in {c.lower() for c in df.columns}:
+        own += "_"
+    rows = checkpoint(df.orderBy(*order).withColumn(own, F.monotonically_increasing_id()))
+    part = F.shiftright(F.col(own), 33)
+    sizes = {r["p"]: r["n"] for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    base, first = 0, []
+    for p in sorted(sizes):
+        first += [F.lit(p), F.lit(base)]
+        base += sizes[p]
+    if not first:
+        return rows
+    start = F.element_at(F.create_map(*first), part)
+    return rows.withColumn(own, start + F.col(own).bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+
+
 def ship(spark: SparkSession) -> None:
     """Prepares a session: smaller Arrow batches, and this package importable in Python workers that can't import it themselves (Spark's file server hands a zip to each)."""
     # Batches are bounded by rows of long texts, not of short ones; a setting of the user's own stays.
