@@ -5,9 +5,9 @@ with weights by tag and by the kind of element that a word stands in. The weight
 are log odds of standing inside the main text, counted over labelled pages: at
 most ``MAX_PAGES`` pages (by a hash of the id) whose own markup labels the main
 text with exactly one <article>. A linear scan finds the contiguous region with
-the greatest sum; within it, elements that hold no main text by their kind or
-class (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-comments) are left out. Blocks keep page order. Only tags and words that are scored are
+the greatest sum; within it, elements that hold no main text by their kind or by
+a whole class or role (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+reader comments, articles inside an article) are left out. Blocks keep page order. Only tags and words that are scored are
 counted, a tag never costs more than half a word of its own element, and a kind
 that the labelled pages do not show neither ends a region nor outweighs its words.
 
@@ -35,7 +35,7 @@ MAX_PAGES = 1000
 UNSEEN = 0.1
 
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
-_ATTR = re.compile(r"(?:^|[\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTR = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 #: Elements whose content is no markup.
 _RAW = frozenset({"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "template"})
@@ -44,13 +44,18 @@ _OFF = frozenset({"nav", "footer", "aside", "form", "button", "select", "menu",
 _VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"})
 _INLINE = frozenset({"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"})
 _KNOWN = _INLINE | _OFF | frozenset({"html", "body", "article", "main", "section", "div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption", "header", "hr"})
-#: Words in a class, id or role that mark what is no main text.
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|signup|login|paywall"
-    r"|comments?|comment-list|respond|replies|disqus|reactions|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|sidebar|side-bar|widget|related|recommended|share|sharing|social"
-    r"|footer|masthead|site-header|page-header|topbar|toolbar|skip|search|contentinfo|complementary|dialog|form)(?:$|[\s_-]|\d)",
-    re.I,
+#: Elements that a name may mark as a part of the page (an id on a heading or an anchor is a link target only).
+_HOLDERS = frozenset({"div", "section", "ul", "ol", "table"})
+#: Words that name what is no main text, as a whole class or id, or as a part of one whose other parts are words of place.
+_NAMES = frozenset(
+    """ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe
+    signup login paywall comment comments commentlist respond replies disqus reactions nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar widget related recommended teaser
+    share sharing social footer masthead topbar toolbar skip search contentinfo complementary dialog form""".split()
 )
+_PLACES = frozenset(
+    "site page main top bottom left right side box bar container wrapper wrap area section block list item items link links slot unit inner outer post posts entry article global primary secondary reader readers user users thread header group panel row col column body wp".split()
+)
+_CUT = re.compile(r"[-_]+|(?<=[a-z])(?=[0-9])")
 _SPACE = re.compile(r"\s+")
 
 
@@ -103,57 +108,92 @@ def tokens(page: str) -> Iterator[tuple[int, str, str]]:
         yield 1, name, m[3]
 
 
-def _off(name: str, attrs: str, inside: bool) -> bool:
-    if name in _OFF or (name == "header" and not inside):
+def _named(value: str) -> bool:
+    """Whether a whole class, id or role names what is no main text: "site-nav" does, "navigation-methods" does not."""
+    parts = _CUT.split(value.lower())
+    if parts in (["site", "header"], ["page", "header"]):
         return True
-    if not attrs or name in ("html", "body", "article", "main"):
-        return False
+    return any(p in _NAMES for p in parts) and all(p in _NAMES or p in _PLACES or p.isdigit() for p in parts)
+
+
+def _off(name: str, attrs: str, depth: int) -> int:
+    """Whether an element holds no main text: 2 by its kind or place, 1 by what its attributes say, 0 not. depth: of open articles."""
+    if name in _OFF or (name == "header" and not depth) or (name == "article" and depth):
+        return 2
+    if not attrs or name in ("html", "body", "main"):
+        return 0
     if _HIDDEN.search(attrs):
-        return True
-    return any(_NAMES.search(v[0] or v[1] or v[2]) for v in _ATTR.findall(attrs))
+        return 1
+    for what, *values in _ATTR.findall(attrs):
+        value = "".join(values).strip()
+        if what.lower() == "id":
+            if name in _HOLDERS and _named(value):
+                return 1
+        elif any(map(_named, value.split())):
+            return 1
+    return 0
 
 
 def parse(page: str) -> list[tuple[str, str, str, bool]]:
-    """The page as items (what, name, text, inside an article): what is "w" for text that may count, "-" for text that is left out, "t" for a tag."""
+    """The page as items (what, name, text, inside an article): what is "w" for text that may count, "-" for text that is left out, "t" for a tag, "x" for one that is left out, "s" for space.
+
+    One pass with constant work for each tag. What is left out ends with its end
+    tag; where that is missing, with the next <article>, <main> or <body>. A
+    page's only article also ends what its attributes alone leave out.
+    """
+    found = list(tokens(page))
+    open_by: dict[str, list[int]] = {}
+    closed = set()
+    articles = 0
+    for i, (kind, name, _) in enumerate(found):
+        if kind == 1:
+            open_by.setdefault(name, []).append(i)
+            articles += name == "article"
+        elif kind == 2 and open_by.get(name):
+            closed.add(open_by[name].pop())
     out: list[tuple[str, str, str, bool]] = []
-    stack: list[tuple[str, bool]] = []  # open elements, and whether each is left out
-    off, inside = 0, 0
-    parent = ""
-    for kind, name, text in tokens(page):
+    stack: list[tuple[str, int, bool, str]] = []  # open elements: name, how left out, whether closed, and the name that their words go by
+    count: Counter[str] = Counter()
+    off = firm = inside = 0  # left out; of these, those that an article does not end
+
+    def pop() -> str:
+        nonlocal off, firm, inside
+        name, hide, shut, _ = stack.pop()
+        count[name] -= 1
+        off -= hide > 0
+        firm -= hide == 2 and shut or (hide == 1 and shut and articles != 1)
+        inside -= name in ("article", "main")
+        return name
+
+    for i, (kind, name, text) in enumerate(found):
+        parent = stack[-1][3] if stack else ""
         if kind == 0:
-            if text.strip():
-                out.append(("-" if off else "w", parent, text, inside > 0))
-            else:
-                out.append(("s", parent, text, inside > 0))
+            out.append((("-" if off else "w") if text.strip() else "s", parent, text, inside > 0))
             continue
         if kind == 1:
-            if name in ("article", "main", "body") and off:
-                stack, off = [], 0  # what was left open ends here
-            if name in ("article", "main"):
-                inside += 1
-            out.append(("t" if not off else "x", name, "", inside > 0))
-            if name not in _VOID and not text.endswith("/"):
-                hide = _off(name, text, inside > 0)
-                if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):
-                    while stack and stack[-1][0] == name:  # these close themselves
-                        off -= stack.pop()[1]
-                stack.append((name, hide))
-                off += hide
-                if hide:
-                    out[-1] = ("x", name, "", inside > 0)
-        else:
-            out.append(("t" if not off else "x", "/" + name, "", inside > 0))
-            if any(x[0] == name for x in stack):
+            if name in ("article", "main", "body") and off and not firm:
                 while stack:
-                    top, hide = stack.pop()
-                    off -= hide
-                    if top == name:
-                        break
-            if name in ("article", "main") and inside:
-                inside -= 1
-        parent = stack[-1][0] if stack else ""
-        if parent in _INLINE and parent != "a":
-            parent = next((x[0] for x in reversed(stack) if x[0] not in _INLINE or x[0] == "a"), "")
+                    pop()
+                parent = ""
+            if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):
+                while stack and stack[-1][0] == name:  # these close themselves
+                    pop()
+            opens = name not in _VOID and not text.endswith("/")
+            hide = _off(name, text, count["article"]) if opens else 0
+            inside += opens and name in ("article", "main")
+            out.append(("x" if off or hide else "t", name, "", inside > 0))
+            if opens:
+                shut = i in closed
+                above = stack[-1][3] if stack else ""
+                stack.append((name, hide, shut, name if name == "a" or name not in _INLINE else above))
+                count[name] += 1
+                off += hide > 0
+                firm += hide == 2 and shut or (hide == 1 and shut and articles != 1)
+        else:
+            out.append(("x" if off else "t", "/" + name, "", inside > 0))
+            if count[name]:
+                while pop() != name:
+                    pass
     return out
 
 
