@@ -176,9 +176,13 @@ def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def clean(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs without the deleted lines; a document of which no line with a word is left goes, one that had none stays."""
-    gone = removals(docs, min_words).where(F.size("removed") > 0).select(F.col("rid").alias("_rid"), F.col("removed").alias("_removed"))
-    rows = docs.withColumn("_key", row_key()).join(gone, F.col("_key") == F.col("_rid"), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("_removed"), i)), "\n")
-    rows = rows.withColumn("_text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept))
-    rows = rows.where(F.col("_removed").isNull() | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
-    return rows.select(*[F.col("_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    key, rid, removed, new = vec.free(docs, "line_key", "line_rid", "line_removed", "line_text")
+    gone = removals(docs, min_words).where(F.size("removed") > 0).select(F.col("rid").alias(rid), F.col("removed").alias(removed))
+    rows = docs.withColumn(key, row_key()).join(gone, F.col(key) == F.col(rid), "left")
+    # a text's lines are numbered, and an outer difference of two sets of numbers takes time linear in them
+    lines = F.split("text", "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
+    kept = F.array_join(F.transform(left, lambda i: F.get(F.col(new), i)), "\n")
+    rows = rows.withColumn(new, F.when(F.col(removed).isNotNull(), lines)).withColumn(new, F.when(F.col(removed).isNull(), F.col("text")).otherwise(kept))
+    rows = rows.where(F.col(removed).isNull() | F.col(new).rlike(r"[^\x20\x09-\x0D]"))
+    return rows.select(*[F.col(new).alias("text") if c == "text" else F.col(vec.quoted(c)) for c in docs.columns])
