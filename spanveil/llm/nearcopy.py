@@ -353,8 +353,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each class: that of the smallest doc_id."""
     c = checkpoint(classes(docs))
     # the class's head text, and of the rows with that text the one of the smallest id
-    head = c.where(F.col("tid") == F.col("head")).groupBy("tid").agg(F.min("doc_id").alias("_id")).withColumnRenamed("tid", "_tid")
-    rows = docs.withColumn("_text", text_id(F.col("text"))).join(head, (F.col("_text") == F.col("_tid")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    own, tid, least = vec.free(docs, "copy_text", "copy_tid", "copy_least")
+    head = c.where(F.col("tid") == F.col("head")).groupBy("tid").agg(F.min("doc_id").alias(least)).withColumnRenamed("tid", tid)
+    rows = docs.withColumn(own, text_id(F.col("text"))).join(head, (F.col(own) == F.col(tid)) & F.col("doc_id").eqNullSafe(F.col(least)), "left_semi")
     if not c.groupBy("tid", "doc_id").count().where("count > 1").isEmpty():
-        rows = rows.dropDuplicates(["_text", "doc_id"])  # rows repeated with their id
-    return rows.select(*[F.col(f"`{x}`") for x in docs.columns])
+        rows = rows.dropDuplicates([own, "doc_id"])  # rows repeated with their id
+    return rows.select(*[F.col(vec.quoted(x)) for x in docs.columns])
