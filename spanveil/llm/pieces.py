@@ -337,11 +337,17 @@ def _parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         i = j
 
 
+def _by_place(df: DataFrame) -> DataFrame:
+    """Columns named by their place: names with dots, or given twice, cannot be mapped."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def encode(docs: DataFrame, model: str = MODEL, theta: float = THETA, seed: int = 1, key: str | Column = "doc_id", out: str = "ids", proof: str | None = None) -> DataFrame:
     """docs with its ids as a further (or replaced) column; proof: name of a column that says whether the ids decode to the text."""
     keep = [c for c in docs.columns if c not in (out, proof)]
     more = [(out, "array<int>")] + ([(proof, "boolean")] if proof else [])
-    schema = ", ".join([f"{vec.quoted(c)} {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{vec.quoted(c)} {k}" for c, k in more])
+    names = [*keep, *[c for c, _ in more]]
+    schema = ", ".join(f"c{i} {k}" for i, k in enumerate([docs.schema[c].dataType.simpleString() for c in keep] + [k for _, k in more]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(model, theta)
@@ -362,18 +368,17 @@ def encode(docs: DataFrame, model: str = MODEL, theta: float = THETA, seed: int
                     else:
                         same &= np.array([bytes(data[offs[r] : offs[r + 1]]) == bytes(want[at[r] : at[r + 1]]) for r in range(len(same))], bool)
                     cols.append(pa.array(same))
-                yield pa.RecordBatch.from_arrays(cols, names=[*keep, out, *([proof] if proof else [])])
+                yield pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(len(names))])
 
     key = F.col(key) if isinstance(key, str) else key
-    text, own = vec.free(docs, "coded_text", "coded_key")
-    rows = docs.select(F.col("text").alias(text), F.xxhash64(F.lit(seed), key).alias(own), *[F.col(vec.quoted(c)) for c in keep])
-    return rows.mapInArrow(run, schema)
+    rows = docs.select(F.col("text"), F.xxhash64(F.lit(seed), key), *[F.col(vec.quoted(c)) for c in keep])
+    return _by_place(rows).mapInArrow(run, schema).toDF(*names)
 
 
 def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", out: str = "text") -> DataFrame:
     """rows with the texts of their ids in column ``out``; null ids give a null text."""
     keep = [c for c in rows.columns if c not in (ids, out)]
-    schema = ", ".join([f"{vec.quoted(c)} {rows.schema[c].dataType.simpleString()}" for c in keep] + [f"{vec.quoted(out)} string"])
+    schema = ", ".join(f"c{i} {k}" for i, k in enumerate([rows.schema[c].dataType.simpleString() for c in keep] + ["string"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(model, THETA)
@@ -383,7 +388,6 @@ def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", out: str = "te
             offs, data = lat.decode(n, np.asarray(col.flatten(), np.int64))
             texts = pa.LargeStringArray.from_buffers(len(b), pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
             texts = pa.compute.if_else(col.is_null(), None, texts).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], texts], names=[*keep, out])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], texts], names=[f"c{i}" for i in range(len(keep) + 1)])
 
-    (coded,) = vec.free(rows, "coded_ids")
-    return rows.select(F.col(vec.quoted(ids)).alias(coded), *[F.col(vec.quoted(c)) for c in keep]).mapInArrow(run, schema)
+    return _by_place(rows.select(F.col(vec.quoted(ids)), *[F.col(vec.quoted(c)) for c in keep])).mapInArrow(run, schema).toDF(*keep, out)
