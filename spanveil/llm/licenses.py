@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanveil.cluster import checkpoint
 from spanveil.llm import vec
 
 #: Fixed phrases and their labels.
@@ -117,7 +118,7 @@ def scan(docs: DataFrame) -> DataFrame:
     words = [len(t.split()) for t, _ in (*PHRASES, *TEMPLATES)]
     places = F.broadcast(spark.createDataFrame(_positions(), "gram long, tpl int, tpos int"))
     sizes = F.array(*[F.lit(n - 1) for n in words])
-    hit = (
+    hit = checkpoint(  # few rows beside the texts; both kinds of votes read them
         rolling(docs)
         .select("doc_id", "key", F.posexplode("gram").alias("pos", "gram"))
         .join(places, "gram")
