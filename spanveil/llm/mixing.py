@@ -22,7 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanveil.cluster import checkpoint
+from spanveil.cluster import checkpoint, numbered
+from spanveil.llm import vec
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
@@ -34,8 +35,6 @@ SEED = 20240607
 #: Rows of a source or block table up to which it is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 100_000
 
-_PRE = "_mix_"
-
 
 def size_of(text: Column) -> Column:
     """Number of words of a text; null: 0."""
@@ -63,25 +62,25 @@ def sized(docs: DataFrame) -> DataFrame:
 
 def targets(rows: DataFrame) -> DataFrame:
     """source, source_size, weight, target: the words of each source in the mix, filled like water up to the caps."""
-    every = Window.partitionBy()
-    by_name = Window.orderBy(F.asc_nulls_last("source"))
-    fill = Window.orderBy("fullness", "rank").rowsBetween(Window.unboundedPreceding, -1)
     weights = F.array(*[F.lit(w) for w in WEIGHTS])
+    named = numbered(rows.groupBy("source").agg(F.sum("size").alias("source_size")), F.asc_nulls_last("source"), name="rank")
     t = (
-        rows.groupBy("source")
-        .agg(F.sum("size").alias("source_size"))
-        .withColumn("rank", F.row_number().over(by_name))
-        .withColumn("weight", F.element_at(weights, F.pmod(F.col("rank") - 1, F.lit(len(WEIGHTS))) + 1))
+        named.withColumn("rank", F.col("rank").cast("int"))
+        .withColumn("weight", F.element_at(weights, (F.pmod(F.col("rank") - 1, F.lit(len(WEIGHTS))) + 1).cast("int")))
         .withColumn("cap", CAP * F.col("source_size"))
-        .withColumn("fullness", F.col("cap") / F.col("weight"))
-        .withColumn("left", F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(fill), F.lit(0)))
-        .withColumn("share", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(fill), F.lit(0.0)))
-        .withColumn("level", F.col("left") / F.col("share"))
-        .withColumn("capped", F.col("fullness") <= F.col("level"))
     )
-    first = F.when(~F.col("capped"), F.struct("fullness", "rank"))
-    level = F.coalesce(F.min_by(F.when(~F.col("capped"), F.col("level")), first).over(every), F.lit(0.0))
-    return t.select("source", "source_size", "rank", "weight", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("weight") * level).alias("target"))
+    # The level rises as sources reach their caps: each round is one aggregate, and no source is freed again.
+    level, bound = 0.0, -1
+    while True:
+        full = (F.col("cap") <= F.col("weight") * level) if bound >= 0 else F.lit(False)
+        s = t.agg(
+            F.sum("source_size").alias("all"), F.sum(F.when(full, F.col("cap"))).alias("used"), F.sum(F.when(~full, F.col("weight"))).alias("open"), F.count_if(full).alias("n")
+        ).first()
+        if s["n"] == bound or not s["open"]:
+            break
+        bound, level = s["n"], ((s["all"] or 0) - (s["used"] or 0)) / s["open"]
+    full = F.col("cap") <= F.col("weight") * F.lit(level)
+    return t.select("source", "source_size", "rank", "weight", F.when(full, F.col("cap").cast("double")).otherwise(F.col("weight") * F.lit(level)).alias("target"))
 
 
 def _sent(df: DataFrame, small: bool) -> DataFrame:
@@ -117,13 +116,26 @@ def cuts(rows: DataFrame, blocks: DataFrame, small: bool, rounds: int = ROUNDS)
     edge = blocks.where("cut").select(F.col("source").alias("s"), F.col("block").alias("cut_block"), "rest", (F.col("rest") - F.col("before")).alias("room"))
     own = rows.join(_sent(edge, small), F.col("source").eqNullSafe(F.col("s")))
     line = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    # The cut block is cut again by the first byte of the key, which follows the keys' order: only one such part is sorted.
+    inside = own.where(F.col("block") == F.col("cut_block")).withColumn("part", F.shiftright("key", 56))
+    by_part = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    part = (
+        inside.groupBy("source", "part", "room")
+        .agg(F.sum("size").alias("words"))
+        .withColumn("before", F.coalesce(F.sum("words").over(by_part), F.lit(0)))
+        .where((F.col("before") <= F.col("room")) & (F.col("before") + F.col("words") > F.col("room")))
+        .select(F.col("source").alias("s4"), F.col("part").alias("cut_part"), "before")
+    )
     last = (
-        own.where(F.col("block") == F.col("cut_block"))
-        .withColumn("sum", F.sum("size").over(line))
+        inside.join(_sent(part, small), F.col("source").eqNullSafe(F.col("s4")) & (F.col("part") == F.col("cut_part")))
+        .withColumn("sum", F.col("before") + F.sum("size").over(line))
         .where(F.col("sum") <= F.col("room"))
         .groupBy("source")
-        .agg(F.max("key").alias("last_key"), F.max("sum").alias("got"))
-        .select(F.col("source").alias("s2"), "last_key", "got")
+        .agg(F.max("key").alias("in_key"), F.max("sum").alias("in_got"))
+    )
+    # where no row of that part fits, all before it is taken
+    last = part.join(_sent(last, small), F.col("s4").eqNullSafe(F.col("source")), "left").select(
+        F.col("s4").alias("s2"), F.coalesce("in_key", F.shiftleft("cut_part", 56) - 1).alias("last_key"), F.coalesce("in_got", "before").alias("got")
     )
     none = F.array().cast("array<long>")
     gap = F.col("room") - F.coalesce("got", F.lit(0))
@@ -246,28 +258,36 @@ def plan(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The rows with ``_mix_size``, ``_mix_source_size``, ``_mix_target`` and ``_mix_takes``: the shards that take the row, one for each copy."""
-    p = checkpoint(plan(docs, shards).select(*[F.col(c).alias(_PRE + c) for c in ("source", "block", "passes", "whole", "cut_block", "last_key", "add_keys", "drop_keys", "drawn", "source_size", "target")]))
-    size, key = F.col(f"{_PRE}size"), F.col(f"{_PRE}key")
+    """doc_id, source and text with ``_mix_size``, ``_mix_source_size``, ``_mix_target`` and ``_mix_takes``: the shards that take the row, one for each copy."""
+    return _assigned(docs.select("doc_id", "source", "text"), shards, "_mix_")
+
+
+def _assigned(docs: DataFrame, shards: int, pre: str) -> DataFrame:
+    p = checkpoint(plan(docs, shards).select(*[F.col(c).alias(pre + c) for c in ("source", "block", "passes", "whole", "cut_block", "last_key", "add_keys", "drop_keys", "drawn", "source_size", "target")]))
+    size, key = F.col(f"{pre}size"), F.col(f"{pre}key")
     block = F.pmod(_hash(2, key), F.lit(BLOCKS)).cast("int")
-    own = docs.withColumn(f"{_PRE}size", size_of(F.col("text"))).withColumn(f"{_PRE}key", _hash(1, F.col("doc_id"), F.col("source"), size)).withColumn(f"{_PRE}at", block)
+    own = docs.withColumn(f"{pre}size", size_of(F.col("text"))).withColumn(f"{pre}key", _hash(1, F.col("doc_id"), F.col("source"), size)).withColumn(f"{pre}at", block)
     small = p.count() <= BROADCAST_ROWS
-    joined = own.join(_sent(p, small), F.col("source").eqNullSafe(F.col(f"{_PRE}source")) & (F.col(f"{_PRE}at") == F.col(f"{_PRE}block")), "left")
+    joined = own.join(_sent(p, small), F.col("source").eqNullSafe(F.col(f"{pre}source")) & (F.col(f"{pre}at") == F.col(f"{pre}block")), "left")
     never = F.lit(False)
-    first = F.col(f"{_PRE}whole") | F.coalesce((F.col(f"{_PRE}at") == F.col(f"{_PRE}cut_block")) & (key <= F.col(f"{_PRE}last_key")), never)
-    extra = (first & ~F.coalesce(F.array_contains(f"{_PRE}drop_keys", key), never)) | F.coalesce(F.array_contains(f"{_PRE}add_keys", key), never)
-    passes = F.col(f"{_PRE}passes")
+    first = F.col(f"{pre}whole") | F.coalesce((F.col(f"{pre}at") == F.col(f"{pre}cut_block")) & (key <= F.col(f"{pre}last_key")), never)
+    extra = (first & ~F.coalesce(F.array_contains(f"{pre}drop_keys", key), never)) | F.coalesce(F.array_contains(f"{pre}add_keys", key), never)
+    passes = F.col(f"{pre}passes")
     spare = F.pmod(_hash(5, key), F.lit(shards)).cast("int")
     count = F.when(size > 0, passes + F.when(F.coalesce(extra, F.lit(False)), 1).otherwise(0)).otherwise(0)
-    drawn = F.coalesce(F.transform(f"{_PRE}drawn", lambda x: x["shard"]), F.array().cast("array<int>"))
+    drawn = F.coalesce(F.transform(f"{pre}drawn", lambda x: x["shard"]), F.array().cast("array<int>"))
     # A document that was added may lie outside the drawn blocks: it goes to a shard by its hash.
     takes = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.coalesce(F.get(drawn, i - 1), spare))
-    return joined.withColumn(f"{_PRE}takes", F.when(F.coalesce(count, F.lit(0)) > 0, takes).otherwise(F.array().cast("array<int>")))
+    return joined.withColumn(f"{pre}takes", F.when(F.coalesce(count, F.lit(0)) > 0, takes).otherwise(F.array().cast("array<int>")))
 
 
 def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """The mixed rows, each as often as it is taken, with the columns of docs, laid out by shard and shuffled within."""
-    rows = assign(docs, shards).select(*docs.columns, f"{_PRE}key", F.posexplode(f"{_PRE}takes").alias(f"{_PRE}copy", f"{_PRE}shard"))
-    order = _hash(6, F.col(f"{_PRE}key"), F.col(f"{_PRE}copy"))
-    rows = rows.withColumn(f"{_PRE}order", order)
-    return rows.repartitionByRange(f"{_PRE}shard", f"{_PRE}order").sortWithinPartitions(f"{_PRE}shard", f"{_PRE}order").select(*docs.columns)
+    pre = "_mix_"
+    while any(c.lower().startswith(pre) for c in docs.columns):
+        pre += "_"
+    own = [F.col(vec.quoted(c)) for c in docs.columns]
+    rows = _assigned(docs, shards, pre).select(*own, f"{pre}key", F.posexplode(f"{pre}takes").alias(f"{pre}copy", f"{pre}shard"))
+    order = _hash(6, F.col(f"{pre}key"), F.col(f"{pre}copy"))
+    rows = rows.withColumn(f"{pre}order", order)
+    return rows.repartitionByRange(f"{pre}shard", f"{pre}order").sortWithinPartitions(f"{pre}shard", f"{pre}order").select(*own)
