@@ -183,3 +183,67 @@ def test_pii_long_secrets_are_candidates():
     for s in ("0123456789abcdef" * 20, "sk-proj-" + "Ab3_" * 50):
         assert pii.candidates(f"key {s} end") == [(4, 4 + len(s), "secret", False)]
     assert pii.candidates("0123456789abcdef" * 20_000 + "g") == []
+
+
+def test_extract_leaves_comments_and_teasers_out_but_not_text_with_such_names():
+    w = extract.Weights()
+    main = "<p>" + "main words here " * 20 + "</p>"
+    of = lambda page: extract.text_of(page, w)
+    got = of(f"<body><article>{main}<section class='comments'><article class='comment'><p>bad words</p></article></section>{main}<div id='disqus_thread'>bad</div></article></body>")
+    assert "bad" not in got and got.count("main") == 40
+    got = of(f"<body><aside><article class='teaser'><p>{'bad ' * 60}</p></article></aside><article>{main}<article>bad</article><ol class='comment-list'><li>bad</ol></article>")
+    assert "bad" not in got and got.count("main") == 20
+    got = of(f"<article>{main}<section id='navigation-methods'><p>good</p></section><div class='form-of-government'><p>good</p></div><h2 id='comments'>good</h2>{main}</article>")
+    assert got.count("good") == 3
+    assert of(f"<body><nav><ul><li>bad<article>{main}</article>").count("main") == 20  # what is never closed ends with the article
+    assert "bad" not in of(f"<body><div class='site-header'>bad</div><div class='cookie-notice'>bad</div><article>{main}<footer>bad</footer></article>")
+
+
+def test_extract_takes_time_linear_in_open_tags():
+    import time
+
+    for page in ("<span>" * 100_000 + "x", "<div>" * 100_000 + "x" + "</i>" * 100_000, "<li><b>" * 50_000, "<a " * 100_000):
+        began = time.perf_counter()
+        extract.text_of(page, extract.Weights())
+        assert time.perf_counter() - began < 5
+
+
+def test_extract_region_is_the_best_of_all():
+    import random
+
+    rng = random.Random(5)
+    w = extract.Weights()
+    score = lambda x: w.word.get(x[1], w.word_default) * len(x[2].split()) if x[0] == "w" else w.tag.get(x[1], w.tag_default) if x[0] == "t" else 0.0
+    for _ in range(200):
+        items = [rng.choice([("w", rng.choice(["p", "a", "li"]), "x " * rng.randint(1, 4), True), ("t", rng.choice(["div", "p", "/p", "li", "a"]), "", True), ("-", "p", "off", True)]) for _ in range(rng.randint(0, 25))]
+        s = [score(x) for x in items]
+        best = max([0.0, *(sum(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1))])
+        lo, hi = extract.best_region(items, w)
+        assert abs(sum(s[lo:hi]) - best) < 1e-9
+
+
+def test_licenses_labels_match_a_plain_alignment(spark):
+    import random
+
+    rng = random.Random(9)
+    parts = [t for t, _ in licenses.TEMPLATES] + ["this software ", "apache license", "the mit license", "other words between"]
+    texts = [" ".join(" ".join(rng.choice(parts).split()[rng.randint(0, 3) : rng.choice([None, 6, 12, -1])]) for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    texts += ["this software " * 40, "apache license " * 6, "and or modify it under " * 9]
+    want = []
+    for t in texts:
+        words, labels = t.split(), set()
+        for phrase, label in licenses.PHRASES:
+            p = phrase.split()
+            if any(words[i : i + len(p)] == p for i in range(len(words))):
+                labels.add(label)
+        for template, label in licenses.TEMPLATES:
+            p = template.split()
+            hits = [(i, j) for i in range(len(words) - 1) for j in range(len(p) - 1) if words[i : i + 2] == p[j : j + 2]]
+            best: dict = {}
+            for i, j in hits:
+                best[i, j] = 1 + max((n for (a, b), n in best.items() if a < i and b < j and abs((i - j) - (a - b)) <= licenses.DRIFT), default=0)
+            if max(best.values(), default=0) >= licenses.COVER * (len(p) - 1):
+                labels.add(label)
+        want.append(",".join(sorted(labels)))
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == want
