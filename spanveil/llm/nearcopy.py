@@ -6,12 +6,10 @@ keeps them in text order: two texts agree in a sketch with a chance that falls
 with edits and with reordering. Equal texts are one node, so copies cost no
 pairs. Texts that share a sketch are candidates: all pairs of a bucket of up to
 ``ALL_PAIRS`` texts; in a larger bucket each text with the text that shares most
-sketches of all, and again so among those that agree in the next sketch as well.
-Texts of a larger bucket that these links leave in several classes are then all
-compared across classes, but for pairs that cannot be similar: two texts of
-similarity 0.8 share a k-mer among the first fifth of each, in any one order of
-all k-mers (here the rarer ones first). Candidates are verified
-on whole texts: common labelled k-mers within a band around the diagonal are
+sketches of all. Texts of a larger bucket that these links leave in several
+classes are then all compared across classes, in blocks: common k-mers are
+counted by matrix products, and only links that join two classes come out.
+Candidates are verified on whole texts: common labelled k-mers within a band around the diagonal are
 aligned (longest common subsequence), and aligned / (all - aligned) must reach
 ``SIMILARITY``. Linked texts form classes (connected components by large-star and
 small-star rounds over the links).
@@ -42,11 +40,10 @@ ELL = 3
 ALL_PAIRS = 12
 #: Candidate texts up to which their ids are broadcast to fetch the texts; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 200_000
-#: Texts from which common k-mers are learned, and how many of these; both bear on the order of k-mers only.
-ORDER_TEXTS = 5000
-ORDER_KMERS = 50_000
-#: Texts of each group that are compared with all of it in the first round.
-PIVOTS = 8
+#: Texts, and bytes of them, in a block of a large bucket, about; and k-mers that are counted at once.
+BLOCK = 512
+BLOCK_BYTES = 8_000_000
+COLUMNS = 2048
 #: Width of the band, as a share of the longer text's k-mers, on either side.
 BAND = 0.25
 
@@ -150,15 +147,12 @@ def _bucket_pairs(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFram
 
 def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """a, b: distinct candidate pairs of the texts (tid, sk); and the rows (s, key, tid) in large buckets."""
-    nxt = F.transform("sk", lambda x, i: F.element_at("sk", F.pmod(i + 1, F.size("sk")) + 1))
-    rows = texts.select("tid", F.posexplode(F.arrays_zip("sk", nxt.alias("nx"))).alias("s", "z")).select("tid", F.col("s").cast("byte").alias("s"), F.col("z.sk").alias("key"), F.col("z.nx").alias("nx"))
+    rows = texts.select("tid", F.posexplode("sk").alias("s", "key")).select("tid", F.col("s").cast("byte").alias("s"), "key")
     n = checkpoint(rows.groupBy("s", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1))
     shared = checkpoint(rows.join(n, ["s", "key"]))
     support = shared.groupBy("tid").agg(F.sum("n").alias("support"))
-    rows = checkpoint(shared.drop("n").join(support, "tid"))
-    pairs, large = _bucket_pairs(rows, ["s", "key"])
-    finer, _ = _bucket_pairs(large, ["s", "key", "nx"])
-    return pairs.unionByName(finer).distinct(), large.select("s", "key", "tid")
+    pairs, large = _bucket_pairs(checkpoint(shared.drop("n").join(support, "tid")), ["s", "key"])
+    return pairs.distinct(), large.select("s", "key", "tid")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -229,83 +223,76 @@ def links(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def _kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for _, _, data, offs in vec.chunks(b.column(1)):
-            g, n = np.unique(_labelled(data, offs, WORDS)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], names=["g", "c"])
+def _across(t: pa.Table) -> pa.Table:
+    """Links between the classes of two blocks of a bucket: enough of them to join all classes that similar texts join.
 
-
-def prefixes(texts: DataFrame) -> DataFrame:
-    """tid, n (k-mers) and gs: the first k-mers of each text (tid, text) in order, of which similar texts share one.
-
-    With n k-mers, a text shares 0.8 n or more with any similar one, so not all of its first n - 0.8 n + 1 are
-    missing there. That holds for any order; the commonest of a sample of texts go last, to keep groups small.
+    Common k-mers of all pairs are counted by products of incidence matrices, some columns at a time; a pair of
+    different classes that has enough of them is verified unless earlier links have joined its classes.
     """
-    some = texts.orderBy(F.xxhash64("tid"), "tid").limit(ORDER_TEXTS).mapInArrow(_kmers, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).where("c > 2")
-    known = sorted((r["g"] % (1 << 64), r["c"]) for r in some.orderBy(F.desc("c"), "g").limit(ORDER_KMERS).collect())
-    word, count = np.array([k for k, _ in known], _U), np.array([c for _, c in known], np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j, data, offs in vec.chunks(b.column(1)):
-                g, row = _labelled(data, offs, WORDS)
-                common = np.zeros(len(g), np.int64)
-                if len(word):
-                    at = np.minimum(np.searchsorted(word, g), len(word) - 1)
-                    common = np.where(word[at] == g, count[at], 0)
-                n = np.bincount(row, minlength=j - i)
-                order = np.lexsort((g, common, row))
-                nth = np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n)
-                first = n - np.ceil(SIMILARITY * n - 1e-9).astype(np.int64) + 1
-                kept = order[nth < first[row]]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array(n.astype(np.int32)), vec.lists(g[kept].view(np.int64), np.minimum(first, n))],
-                    names=["tid", "n", "gs"],
-                )
-
-    return texts.select("tid", "text").mapInArrow(run, "tid long, n int, gs array<long>")
+    t = t.sort_by("tid")
+    tid, root = np.asarray(t["tid"]), np.asarray(t["root"])
+    labels, n = [], []
+    for i, j, data, offs in vec.chunks(t["text"].combine_chunks()):
+        g, row = _labelled(data, offs, WORDS)
+        n.append(np.bincount(row, minlength=j - i))
+        labels += np.split(g, np.cumsum(n[-1])[:-1])
+    n = np.concatenate(n)
+    word, which, freq = np.unique(np.concatenate(labels), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(n)), n)
+    column = np.where(freq > 1, np.cumsum(freq > 1) - 1, -1)[which]
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    own, lo, hi = np.asarray(t["own"]), t["lo"][0].as_py(), t["hi"][0].as_py()
+    one, two = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+    common = np.zeros((len(one), len(two)), np.float32)
+    for at in range(0, int((freq > 1).sum()), COLUMNS):
+        x, y = np.searchsorted(column, [at, at + COLUMNS])
+        m = np.zeros((len(n), COLUMNS), np.float32)
+        m[row[x:y], column[x:y] - at] = 1
+        common += m[one] @ m[two].T
+    enough = common >= SIMILARITY / (1 + SIMILARITY) * (n[one][:, None] + n[two][None]) - 1e-4
+    enough &= root[one][:, None] != root[two][None]
+    if lo == hi:
+        enough = np.triu(enough)
+    up = {int(x): int(x) for x in set(root.tolist())}
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    links = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(enough)), strict=True):
+        i, j = one[i], two[j]
+        x, y = top(int(root[i])), top(int(root[j]))
+        if x != y and similarity(labels[i], labels[j]) >= SIMILARITY:
+            up[x] = y
+            links.append((int(tid[i]), int(tid[j])))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
 def joined(large: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
     """roots (tid, root), after all similar pairs of large buckets (s, key, tid) whose texts lie in several classes.
 
-    Texts of a group (one k-mer) are compared with those of other classes in rounds, first about ``PIVOTS`` texts
-    of each group with all of it, then more each time; what a round links needs no comparison in the next.
+    The texts of such a bucket are dealt by a hash into blocks of bounded rows and bytes, and each pair of blocks is
+    one group: no pair of texts is a row, and what is emitted is at most one link for each text of a group.
     """
-
-    def several(rows: DataFrame, keys: list[str]) -> DataFrame:
-        rows = rows.join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-        mixed = rows.groupBy(*keys).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi"))
-        return checkpoint(rows.join(mixed.select(*keys), keys))
-
-    own = several(large, ["s", "key"]).select("tid").distinct()
-    first = checkpoint(prefixes(checkpoint(own.join(texts, "tid"))))
-    rows = first.select("tid", "n", F.posexplode("gs").alias("at", "g"))
-    rows = checkpoint(rows.join(rows.groupBy("g").agg(F.count("*").alias("k")).where(F.col("k") > 1), "g"))
-    # a text's place in [0, k) of its largest group: places below a bound are that many texts, about
-    u = F.pmod(F.xxhash64("tid", F.lit(13)), F.lit(1 << 30)) / (1 << 30)
-    rows = rows.drop("k").join(rows.groupBy("tid").agg(F.max("k").alias("k")), "tid").withColumn("u", u).withColumn("place", u * F.col("k"))
-    need = SIMILARITY / (1 + SIMILARITY) * (F.col("n") + F.col("nx")) - 1e-9  # k-mers that similar texts share at least
-    low, high = 0, PIVOTS
-    while True:
-        rows = several(rows, ["g"])
-        most = rows.agg(F.max("k")).first()[0]
-        if most is None or low >= most:
-            return roots
-        x = rows.where((F.col("place") >= low) & (F.col("place") < high)).select("g", F.col("tid").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("u").alias("ux"), F.col("root").alias("rx"))
-        # where two texts first meet in the order, all that they share is still to come in both
-        met = rows.join(x, "g").where((F.col("root") != F.col("rx")) & (F.struct("ux", "x") < F.struct("u", "tid")) & (F.least(F.col("n") - F.col("at"), F.col("nx") - F.col("ax")) >= need))
-        pairs = met.select(F.least("tid", "x").alias("a"), F.greatest("tid", "x").alias("b")).distinct()
-        # what they share beyond their first k-mers is bounded by what is left of the one or the other
-        left = F.greatest(F.col("n") - F.size("gs"), F.col("nx") - F.size("gx"))
-        pairs = pairs.join(first.withColumnRenamed("tid", "a"), "a").join(first.select(F.col("tid").alias("b"), F.col("n").alias("nx"), F.col("gs").alias("gx")), "b")
-        pairs = checkpoint(pairs.where(F.size(F.array_intersect("gs", "gx")) + left >= need).select("a", "b"))
-        new = checkpoint(links(texts, pairs))
-        if not new.isEmpty():
-            roots = checkpoint(components(roots.select(F.col("tid").alias("a"), F.col("root").alias("b")).unionByName(new)))
-        rows = rows.drop("root")
-        low, high = high, high * 8
+    rows = large.join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    mixed = rows.groupBy("s", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi"))
+    rows = checkpoint(rows.join(mixed.select("s", "key"), ["s", "key"]))
+    if rows.isEmpty():
+        return roots
+    texts = texts.select("tid", "text", F.octet_length("text").alias("bytes"))
+    size = rows.join(texts.select("tid", "bytes"), "tid").groupBy("s", "key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = rows.join(checkpoint(size), ["s", "key"]).withColumn("own", F.pmod(F.xxhash64("tid", F.lit(17)), F.col("blocks")).cast("int"))
+    dealt = dealt.join(texts.select("tid", "text"), "tid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("s", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "tid", "root", "text")
+    new = checkpoint(dealt.groupBy("s", "key", "lo", "hi").applyInArrow(_across, "a long, b long").distinct())
+    if new.isEmpty():
+        return roots
+    return checkpoint(components(roots.select(F.col("tid").alias("a"), F.col("root").alias("b")).unionByName(new)))
 
 
 def components(edges: DataFrame) -> DataFrame:
