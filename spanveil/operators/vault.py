@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from spanveil.cluster import checkpoint, numbered
 from spanveil.functions import rules
 from spanveil.operators import spans as sp
 
@@ -55,27 +56,45 @@ def tokens(found: DataFrame, order: list[str], nonce: str = "0000", policy: dict
     rows = rows.withColumn("canonical", rules.canonical(F.col("label"), F.col("value")))
     seen = F.struct(*order)
     first = rows.groupBy("pii_class", "canonical").agg(F.min(seen).alias("first_seen"), F.min_by("value", seen).alias("value"), F.count("*").alias("uses"))
-    n = F.row_number().over(Window.partitionBy("pii_class").orderBy("first_seen", "canonical"))
-    return first.withColumn("placeholder", F.concat_ws("_", "pii_class", n.cast("string"), F.lit(nonce))).select("placeholder", "pii_class", "value", "canonical", "uses")
+    # sorted over the cluster: a class of very many values is no task of its own
+    placed = numbered(first, "pii_class", "first_seen", "canonical", name="place")
+    base = placed.groupBy("pii_class").agg((F.min("place") - 1).alias("base"))
+    n = (F.col("place") - F.col("base")).cast("string")
+    return placed.join(base, "pii_class").withColumn("placeholder", F.concat_ws("_", "pii_class", n, F.lit(nonce))).select("placeholder", "pii_class", "value", "canonical", "uses")
 
 
 def scrub(docs: DataFrame, nonce: str = "0000", key: str = "doc_id", keep: tuple[str, ...] = rules.KEEP_LABELS) -> tuple[DataFrame, DataFrame]:
-    """Texts with every rule span as its token (or a marker, if blocked), and the vault."""
-    d = docs.withColumn("_spans", sp.merge(F.filter(sp.detect(F.col("text")), lambda s: ~s["label"].isin(*keep))))
-    hit = d.where(F.size("_spans") > 0)
-    flat = sp.spread(hit, key, s=F.col("_spans")).select(key, "s.*")
-    vault = tokens(flat, [key, "start"], nonce)
+    """Texts with every rule span as its token (or a marker, if blocked), and the vault.
+
+    Rows are told apart by a number of their own, so keys may be null or repeat:
+    no row gets another's spans. It fails closed: a span without a token (a
+    blocked class, a blank value) becomes a marker. Only rows with spans are kept
+    and joined; a row without any passes through. A null text stays null.
+    """
+    taken = {c.lower() for c in docs.columns}
+    names = []
+    for name in ("found", "row", "by"):
+        while name in taken:
+            name += "_"
+        names.append(name)
+    found, row, by = names
+    d = docs.withColumn(found, sp.merge(F.filter(sp.detect(F.col("text")), lambda s: ~s["label"].isin(*keep))))
+    some = F.coalesce(F.size(found), F.lit(0)) > 0
+    hit = checkpoint(d.where(some).withColumn(row, F.monotonically_increasing_id()))  # kept, so the numbers hold
+    flat = hit.select(F.col(key).alias("key"), F.col(row).alias("row"), F.explode(found).alias("s")).select("key", "row", "s.*")
+    vault = checkpoint(tokens(flat, ["key", "start", "row"], nonce))
+    marker = F.concat(F.lit("[BLOCKED_"), "pii_class", F.lit("]"))
     named = (
         levels(flat)
         .withColumn("canonical", rules.canonical(F.col("label"), F.col("text")))
         .join(vault.select("pii_class", "canonical", "placeholder"), ["pii_class", "canonical"], "left")
-        .withColumn("by", F.when(F.col("level") == "blocked", F.concat(F.lit("[BLOCKED_"), "pii_class", F.lit("]"))).otherwise(F.col("placeholder")))
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "by"))).alias("_by"))
+        .withColumn("by", F.when(F.col("level") == "blocked", marker).otherwise(F.coalesce("placeholder", marker)))
+        .groupBy(F.col("row").alias(row))
+        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "by"))).alias(by))
     )
-    out = d.join(named, key, "left")
-    text = F.when(F.col("_by").isNull(), F.col("text")).otherwise(sp.replaced(F.col("text"), F.col("_by"), lambda s: s["by"]))
-    return out.withColumn("scrubbed", text).withColumn("n_replaced", F.coalesce(F.size("_by"), F.lit(0))).drop("_spans", "_by"), vault
+    done = hit.join(named, row).withColumn("scrubbed", sp.replaced(F.col("text"), F.col(by), lambda s: s["by"])).withColumn("n_replaced", F.size(by)).drop(found, row, by)
+    clean = d.where(~some).withColumn("scrubbed", F.col("text")).withColumn("n_replaced", F.lit(0)).drop(found)
+    return done.unionByName(clean), vault
 
 
 def replace_variants(text: Column, variants: list[tuple[str, str, str]]) -> Column:
