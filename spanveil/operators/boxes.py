@@ -103,46 +103,79 @@ def _iou(a: dict, b: dict) -> float:
 
 
 def greedy_match(truth: DataFrame, detections: DataFrame, frame: str = "frame_id", least: float = 0.5) -> DataFrame:
-    """One detection at most for each true box: detections by falling score take the unused true box of their class with the greatest IoU, if it is ``least`` or more."""
+    """One detection at most for each true box: true boxes in order of id take the unused detection of their class with the greatest IoU, if it is ``least`` or more; of equal ones the later in order of falling score."""
     kind = truth.schema[frame].dataType.simpleString()
 
     def run(f: object, t: list[dict], d: list[dict]) -> list[tuple]:
-        free = {x["id"]: x for x in sorted(t, key=lambda x: x["id"])}
+        free = dict(enumerate(sorted(d, key=lambda r: (-r["score"], r["id"]))))
         out = []
-        for r in sorted(d, key=lambda r: (-r["score"], r["id"])):
-            v, k = max(((_iou(x, r), -i) for i, x in free.items() if x["class_id"] == r["class_id"]), default=(0.0, 0))
-            if v >= least:
-                del free[-k]
-                out.append((f, -k, r["id"], v))
+        for x in sorted(t, key=lambda x: x["id"]):
+            v, k = max(((_iou(x, r), k) for k, r in free.items() if r["class_id"] == x["class_id"]), default=(0.0, -1))
+            if v >= least and k >= 0:
+                out.append((f, x["id"], free.pop(k)["id"], v))
         return out
 
     cols = [frame, "id", "x1", "y1", "x2", "y2", "class_id"]
     return per_pair(truth.select(*cols), detections.select(*cols, "score"), frame, run, f"{frame} {kind}, truth_id long, detection_id long, iou double")
 
 
-def associate(cues: DataFrame, values: DataFrame, frame: str = "frame_id", reach: float = 400.0) -> DataFrame:
-    """Each cue's value, one to one, in cue order: on the same line to the right by distance, else below by distance."""
-    kind = cues.schema[frame].dataType.simpleString()
+#: How far right of and below a cue its value may stand, and what ranks a value below behind any beside.
+REACH_RIGHT, REACH_BELOW, BELOW = 480.0, 96.0, 10_000.0
+
 
-    def rank(q: dict, x: dict) -> tuple | None:
-        if x["y1"] <= (q["y1"] + q["y2"]) / 2 <= x["y2"] and x["x1"] >= q["x1"] and x["x1"] - q["x2"] <= reach:
-            return 0, max(0.0, x["x1"] - q["x2"]), x["id"]
-        if x["y1"] >= q["y2"] - 2 and min(x["x2"], q["x2"]) > max(x["x1"], q["x1"]) and x["y1"] - q["y2"] <= reach / 4:
-            return 1, x["y1"] - q["y2"], x["id"]
+def association_rank(cue: dict, value: dict, right: float = REACH_RIGHT, below: float = REACH_BELOW) -> float | None:
+    """How near a value stands to its cue: on the same row to the right, else below; None out of reach."""
+    tall = max(1.0, cue["y2"] - cue["y1"])
+    shared = max(0.0, min(cue["y2"], value["y2"]) - max(cue["y1"], value["y1"]))
+    gap = value["x1"] - cue["x2"]
+    if shared >= 0.45 * min(tall, max(1.0, value["y2"] - value["y1"])) and gap >= -0.35 * tall:
+        middle = abs((cue["y1"] + cue["y2"]) - (value["y1"] + value["y2"])) / 2
+        return max(0.0, gap) + 2 * middle if gap <= min(right, max(64.0, 12 * tall)) else None
+    drop, offset = value["y1"] - cue["y2"], abs(cue["x1"] - value["x1"])
+    apart = min(cue["x2"], value["x2"]) <= max(cue["x1"], value["x1"]) and offset > max(5 * tall, 120.0)
+    if drop < -0.35 * tall or drop > min(below, max(32.0, 3 * tall)) or apart:
         return None
+    return BELOW + 4 * max(0.0, drop) + offset
+
+
+def associate(cues: DataFrame, values: DataFrame, frame: str = "frame_id") -> DataFrame:
+    """Each cue's value, one to one, in order of cue ids: the unused one in reach of the least rank, then id.
+
+    A column ``label`` of the cues and ``fits`` of the values (an array of the
+    labels that a value's text is plausible for) restrict the pairs; without them all fit.
+    """
+    kind = cues.schema[frame].dataType.simpleString()
+    cols = [frame, "id", "x1", "y1", "x2", "y2"]
+    typed = "label" in cues.columns and "fits" in values.columns
 
     def run(f: object, c: list[dict], v: list[dict]) -> list[tuple]:
-        used: set[int] = set()
+        free = {x["id"]: x for x in v}
         out = []
         for q in sorted(c, key=lambda q: q["id"]):
-            best = min((k for x in v if x["id"] not in used and (k := rank(q, x))), default=None)
+            near = ((association_rank(q, x), i) for i, x in free.items() if not typed or q["label"] in (x["fits"] or ()))
+            best = min((k for k in near if k[0] is not None), default=None)
             if best:
-                used.add(best[2])
-                out.append((f, q["id"], best[2], best[0], best[1]))
+                del free[best[1]]
+                out.append((f, q["id"], best[1], best[0]))
         return out
 
-    cols = [frame, "id", "x1", "y1", "x2", "y2"]
-    return per_pair(cues.select(*cols), values.select(*cols), frame, run, f"{frame} {kind}, cue_id long, value_id long, direction int, distance double")
+    left, right = (cues.select(*cols, "label"), values.select(*cols, "fits")) if typed else (cues.select(*cols), values.select(*cols))
+    return per_pair(left, right, frame, run, f"{frame} {kind}, cue_id long, value_id long, rank double")
+
+
+def valid_region(text: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Whether a region has a text and a finite box of some size."""
+    fine = lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c) < float("inf"))
+    return F.coalesce(F.trim(text) != "", F.lit(False)) & fine(x1) & fine(y1) & fine(x2) & fine(y2) & (x2 > x1) & (y2 > y1)
+
+
+def associate_regions(regions: DataFrame, labels: list[str], frame: str = "frame_id") -> DataFrame:
+    """Values of form labels by place: valid regions (id, text, box) whose text is a cue of one of ``labels`` get the nearest plausible region that is no cue."""
+    from spanveil.functions import cues as words
+
+    r = regions.where(valid_region(F.col("text"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))).withColumn("label", words.field_cue(F.col("text")))
+    fits = F.filter(F.array(*[F.when(words.plausible(F.lit(k), F.col("text")), F.lit(k)) for k in labels]), lambda x: x.isNotNull())
+    return associate(r.where(F.col("label").isin(*labels)), r.where(F.col("label").isNull()).withColumn("fits", fits), frame)
 
 
 def same_box(regions: DataFrame, frame: str = "frame_id") -> DataFrame:

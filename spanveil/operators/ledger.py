@@ -65,10 +65,52 @@ def first_user_text(turns: DataFrame, by: str = "conv_id", order: str = "turn",
     return turns.where((F.col("role") == "user") & (F.trim("text") != "")).groupBy(by).agg(F.substring(F.min_by("text", order), 1, width).alias("first_user_text"))
 
 
-def log_line(line: Column) -> Column:
-    """A log line's kind, by its first mark that counts."""
-    t = F.lower(line)
-    return F.when(t.rlike(r"traceback|exception|\berror\b"), "error").when(t.rlike(r"\bwarn(?:ing)?\b"), "warning").when(t.rlike(r"^\s*(?:step|action)\b"), "step").when(F.trim(line) == "", "blank").otherwise("info")
+#: Terminal colours, secrets that stand in a line, frames of boxes, and the words of each channel in order.
+_COLOUR = r"\x1b\[[0-?]*[ -/]*[@-~]"
+_INLINE = r"(?i)\b([A-Z_]*(?:API_KEY|AUTH_TOKEN|PASSWORD|SECRET|TOKEN|KEY))\s*=\s*([^\s]+)"
+_FRAME = r"^[─━═╭╮╰╯┌┐└┘┄┈ ]*$"
+_CHANNELS = (
+    ("runtime", r"^---"),
+    ("reasoning", r"💭|(?i:^(?:thought|reasoning))"),
+    ("action", r"⚡|(?i:click|write|scroll|keypress|tool_call|action)"),
+    ("answer", r"📝|(?i:answer)"),
+    ("error", r"(?i:error|failed)"),
+)
+
+
+def log_line(line: Column, width: int = 2000) -> Column:
+    """What may be kept of an agent's log line: (channel, text), or null. Colours, frames and control characters go, inline secrets are masked, long lines are cut; lines with the user's task, and those of no channel, are dropped."""
+    t = F.trim(F.regexp_replace(line, _COLOUR, ""))
+    secret = t.rlike(r"^(?:user:|--- task:)")
+    t = F.regexp_replace(t, r"^[│ ]+|[│ ]+$", "")
+    kept = F.regexp_replace(F.regexp_replace(t, _INLINE, "$1=[REDACTED]"), r"[\x00-\x08\x0a-\x1f]", "")
+    kept = F.when(F.length(kept) > width, F.concat(F.substring(kept, 1, width - 3), F.lit("…"))).otherwise(kept)
+    channel = F.lit(None).cast("string")
+    for name, pattern in reversed(_CHANNELS):
+        channel = F.when(kept.rlike(pattern), F.lit(name)).otherwise(channel)
+    return F.when(~secret & ~t.rlike(_FRAME) & channel.isNotNull(), F.struct(channel.alias("channel"), kept.alias("text")))
+
+
+#: Kinds of a runner's events by how a line begins and ends (the first that holds counts).
+_EVENTS = (
+    ("engine_ready", r"^--- redaction ON"),
+    ("bypassed", r"^--- redaction OFF"),
+    ("model_found", r"advertised: True$"),
+    ("provider_connected", r"(?s)^--- preflight:.*answered a 1-token probe$"),
+    ("provider_checked", r"^--- preflight:"),
+    ("model_unavailable", r"(?s)^ERROR: model .*rejected a 1-token probe \(HTTP 402\)"),
+    ("artifacts_cleared", r"^(?:--- runs dir shredded|--- ephemeral runs dir removed)"),
+    ("agent_finished", r"^--- \w+ exit: 0"),
+    ("error", r"(?is)^(?![{\[]).*error"),
+)
+
+
+def runner_event(line: Column) -> Column:
+    """The kind of event that a runner's line tells of; null for lines that stay private."""
+    t, out = F.trim(line), F.lit(None).cast("string")
+    for kind, pattern in reversed(_EVENTS):
+        out = F.when(t.rlike(pattern), F.lit(kind)).otherwise(out)
+    return out
 
 
 def markers(text: Column, most: int = 2) -> Column:
