@@ -70,7 +70,7 @@ def summary(records: DataFrame, columns: list[str]) -> DataFrame:
 
 def content_hash(files: DataFrame, path: str = "path", sha: str = "sha256", by: str | None = None) -> DataFrame:
     """One hash over all (path, hash) in order of path: of bucket hashes, so that no group is the whole table."""
-    b = F.pmod(F.xxhash64(path), F.lit(1024)).alias("b")
+    b = F.pmod(F.conv(F.substring(F.sha2(F.col(path).cast("string"), 256), 1, 8), 16, 10).cast("long"), F.lit(1024)).alias("b")
     line = F.concat_ws(" ", F.col(path).cast("string"), sha)
     part = files.groupBy(*([by] if by else []), b).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("h"), F.count("*").alias("n"))
     return part.groupBy(*([by] if by else [])).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256).alias("content_hash"), F.sum("n").alias("n"))

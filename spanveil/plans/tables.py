@@ -120,7 +120,8 @@ def greedy_truth_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cue_association(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, t, r = _views(spark, sf_dir)
-    return boxes.associate(t.where(F.col("class") == "SECRET"), r)
+    near = F.transform(F.array("label"), lambda x: F.when(x == "EMAIL", "SECRET").when(x == "CREDIT_CARD", "CARD_NUMBER").otherwise("NAME"))
+    return boxes.associate(t.withColumn("label", F.col("class")), r.withColumn("fits", near))
 
 
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,7 +249,7 @@ def dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), "source")
-    return curate.content_hash(d, "doc_id", "sha256", "source").select("source", "n")
+    return curate.content_hash(d, "doc_id", "sha256", "source").select("source", "content_hash", "n")
 
 
 def key_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -372,7 +373,34 @@ QUERIES = {
 _IOU = "greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))"
 _AREA = "greatest(0, {0}.x2 - {0}.x1) * greatest(0, {0}.y2 - {0}.y1)"
 
+#: Greedy one-to-one choices, one step for each true box or cue of a frame, in order.
+_MATCHED = """
+WITH RECURSIVE {truth},
+c AS (SELECT t.frame_id, t.id AS k, r.id AS other, {rank} AS rank, row_number() OVER (PARTITION BY t.frame_id, t.id ORDER BY r.score DESC, r.id) AS place FROM t JOIN r ON t.frame_id = r.frame_id WHERE {fits}),
+n AS (SELECT frame_id, max(id) AS most FROM t GROUP BY 1),
+w AS (
+  SELECT frame_id, most, 0 AS k, CAST([] AS INTEGER[]) AS used, CAST(NULL AS STRUCT(rank DOUBLE, place BIGINT, other INTEGER)) AS hit FROM n
+  UNION ALL
+  SELECT frame_id, most, k, CASE WHEN hit IS NOT NULL AND {take} THEN list_append(used, hit.other) ELSE used END, CASE WHEN {take} THEN hit END FROM (
+    SELECT w.frame_id, w.most, w.k + 1 AS k, w.used, {best}(CASE WHEN c.other IS NOT NULL THEN CAST(ROW(c.rank, c.place, c.other) AS STRUCT(rank DOUBLE, place BIGINT, other INTEGER)) END) AS hit
+    FROM w LEFT JOIN c ON c.frame_id = w.frame_id AND c.k = w.k + 1 AND c.rank IS NOT NULL AND NOT list_contains(w.used, c.other) WHERE w.k < w.most GROUP BY w.frame_id, w.most, w.k, w.used)
+)
+SELECT frame_id, CAST(k AS BIGINT) AS {name}_id, CAST(hit.other AS BIGINT) AS {other}_id, hit.rank AS {what} FROM w WHERE hit IS NOT NULL
+"""
+_BOX_IOU = "greatest(0, least(t.x2, r.x2) - greatest(t.x1, r.x1)) * greatest(0, least(t.y2, r.y2) - greatest(t.y1, r.y1))"
+_TALL = "greatest(1, t.y2 - t.y1)"
+_RANK = f"""CASE WHEN greatest(0, least(t.y2, r.y2) - greatest(t.y1, r.y1)) >= 0.45 * least({_TALL}, greatest(1, r.y2 - r.y1)) AND r.x1 - t.x2 >= -0.35 * {_TALL}
+  THEN CASE WHEN r.x1 - t.x2 <= least(480, greatest(64, 12 * {_TALL})) THEN greatest(0, r.x1 - t.x2) + 2 * (abs((t.y1 + t.y2) - (r.y1 + r.y2)) / 2) END
+  WHEN r.y1 - t.y2 < -0.35 * {_TALL} OR r.y1 - t.y2 > least(96, greatest(32, 3 * {_TALL})) OR (least(t.x2, r.x2) <= greatest(t.x1, r.x1) AND abs(t.x1 - r.x1) > greatest(5 * {_TALL}, 120)) THEN NULL
+  ELSE 10000 + 4 * greatest(0, r.y1 - t.y2) + abs(t.x1 - r.x1) END"""
+
 ORACLES = {
+    "greedy_truth_match": _MATCHED.format(
+        truth=_TRUTH.strip(), rank=f"{_BOX_IOU} / ((t.x2 - t.x1) * (t.y2 - t.y1) + (r.x2 - r.x1) * (r.y2 - r.y1) - {_BOX_IOU})", fits="true", take="hit.rank >= 0.5", best="max", name="truth", other="detection", what="iou"
+    ),
+    "cue_association": _MATCHED.format(
+        truth=_TRUTH.strip(), rank=_RANK, fits="t.class = CASE r.label WHEN 'EMAIL' THEN 'SECRET' WHEN 'CREDIT_CARD' THEN 'CARD_NUMBER' ELSE 'NAME' END", take="true", best="min", name="cue", other="value", what="rank"
+    ).replace("row_number() OVER (PARTITION BY t.frame_id, t.id ORDER BY r.score DESC, r.id)", "CAST(r.id AS BIGINT)"),
     "coverage_recall": _TOTALS,
     "per_class_recall": "WITH " + _TRUTH + _COVER + "SELECT class, count(*) AS support, count(*) FILTER (hit) AS covered, CAST(count(*) FILTER (hit) AS DOUBLE) / count(*) AS recall FROM b GROUP BY 1",
     "masked_area": "WITH " + _TRUTH + "SELECT frame_id, round(least(1.0, sum(greatest(0, x2 - x1) * greatest(0, y2 - y1)) / 120000), 9) AS masked_area FROM r JOIN orders ON o_orderkey = frame_id GROUP BY 1",
@@ -393,7 +421,7 @@ ORACLES = {
     "leakage_filter": f"WITH {_LINES}, k AS (SELECT DISTINCT a.doc_id FROM l a WHERE a.split <> 'train' AND a.c IN (SELECT c FROM l WHERE split = 'train')) SELECT {_SPLIT} AS split, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM k) GROUP BY 1",
     "split_overlap": f"WITH {_LINES} SELECT count(*) AS n FROM (SELECT c FROM l WHERE split = 'train' INTERSECT SELECT c FROM l WHERE split = 'holdout')",
     "dataset_manifest": "WITH d AS (SELECT lang, source, CAST(quality AS VARCHAR) AS quality FROM documents JOIN labels USING (doc_id)) SELECT 'lang' AS dimension, lang AS value, count(*) AS n FROM d GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM d GROUP BY 2 UNION ALL SELECT 'quality', quality, count(*) FROM d GROUP BY 2",
-    "content_hash": "SELECT source, count(*) AS n FROM documents GROUP BY 1",
+    "content_hash": "WITH f AS (SELECT source, CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 1024 AS b, CAST(doc_id AS VARCHAR) || CASE WHEN text IS NULL THEN '' ELSE ' ' || sha256(text) END AS line FROM documents), p AS (SELECT source, b, sha256(string_agg(line, chr(10) ORDER BY line)) AS h, count(*) AS n FROM f GROUP BY 1, 2) SELECT source, sha256(string_agg(h, chr(10) ORDER BY b)) AS content_hash, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY 1",
     "key_parity": "WITH a AS (SELECT DISTINCT o_orderkey AS k FROM orders), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem) SELECT side, count(*) AS n FROM (SELECT 'left_only' AS side FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT 'right_only' FROM b WHERE k NOT IN (SELECT k FROM a)) GROUP BY 1",
     "english_filter": "SELECT source, count(*) AS n FROM documents WHERE (lang = 'en' OR regexp_matches(lang, '^en[-_]')) AND trim(text) <> '' GROUP BY 1",
     "record_violations": "SELECT 'x' AS problem, CAST(0 AS BIGINT) AS n WHERE 1 = 0",

@@ -61,7 +61,16 @@ def _findings(table: str, key: str, text: str, pattern: str, hint):
 email_findings, _EMAIL_SQL = _findings("documents", "doc_id", "text", rules.EMAIL, lambda t: F.contains(t, F.lit("@")))
 ip_findings, _IP_SQL = _findings("documents", "doc_id", "text", rules.IPV4, lambda t: t.rlike(r"\d\.\d"))
 url_findings, _URL_SQL = _findings("pages", "page_id", "html", rules.URL_WWW, lambda t: F.contains(t, F.lit("www.")))
-mac_findings, _MAC_SQL = _findings("documents", "doc_id", "text", rules.MAC, lambda t: t.rlike(r"[0-9A-Fa-f]{2}[:-]"))
+
+
+def mac_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hardware addresses; the documents hold none, so every fifth gets one of its own at its end."""
+    own = F.concat(F.lit(" at 00:1B:44:11:3a:"), F.lpad(F.hex(F.pmod("doc_id", F.lit(256))), 2, "0"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(F.pmod("doc_id", F.lit(5)) == 0, own).otherwise(""))
+    return spans.spread(read(spark, sf_dir, "documents").withColumn("text", text), "doc_id", value=F.regexp_extract_all("text", F.lit(rules.MAC), F.lit(0)))
+
+
+_MAC_SQL = "SELECT doc_id, m AS value FROM (" + _exploded("(SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 5 = 0 THEN ' at 00:1B:44:11:3a:' || lpad(to_hex(doc_id % 256), 2, '0') ELSE '' END AS text FROM documents)", "doc_id", "text", rules.MAC) + ")"
 
 
 def card_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,13 +133,16 @@ _CUE_SQL = "WITH t(id, text) AS (VALUES " + ", ".join(f"({i}, {sq(x)})" for i, x
 
 
 def cues_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spans.spread(read(spark, sf_dir, "documents"), "doc_id", label=F.array_distinct(rules.value_cues(F.col("text"))))
+    # the documents hold no cue of their own, so each gets one before its text
+    cue = F.element_at(F.array(*[F.lit(x) for x in _CUE_TEXTS]), (F.pmod("doc_id", F.lit(len(_CUE_TEXTS))) + 1).cast("int"))
+    own = read(spark, sf_dir, "documents").withColumn("text", F.concat(cue, F.lit(" "), F.coalesce("text", F.lit(""))))
+    d = spans.spread(own, "doc_id", label=F.array_distinct(rules.value_cues(F.col("text"))))
     return d.groupBy("label").agg(F.count("*").alias("n"))
 
 
 _CUES_SQL = "SELECT label, count(*) AS n FROM (SELECT doc_id, unnest(list_distinct(list_filter([" + ", ".join(
     f"CASE WHEN regexp_matches(text, {sq('(?i)' + p)}) THEN '{k}' END" for k, p in rules.VALUE_CUES
-) + "], lambda x: x IS NOT NULL))) AS label FROM documents) GROUP BY label"
+) + "], lambda x: x IS NOT NULL))) AS label FROM (SELECT doc_id, [" + ", ".join(sq(x) for x in _CUE_TEXTS) + f"][CAST(doc_id % {len(_CUE_TEXTS)} AS INTEGER) + 1] || ' ' || coalesce(text, '') AS text FROM documents)) GROUP BY label"
 
 
 def policy_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,9 +178,29 @@ def scrub_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scrub_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Must be empty: scrubbed texts that still hold a kept value."""
+    """Texts that hold a kept value, before scrubbing and after (none may be left)."""
     out, kept = vault.scrub(read(spark, sf_dir, "documents"))
-    return vault.leaks(out.select("doc_id", F.col("scrubbed").alias("text")), kept.select("value"), "doc_id").groupBy("kind").agg(F.count("*").alias("n"))
+    both = [vault.leaks(out.select("doc_id", F.col(c).alias("text")), kept.select("value"), "doc_id").groupBy("kind").agg(F.count("*").alias("n")).withColumn("side", F.lit(k)) for c, k in (("text", "before"), ("scrubbed", "after"))]
+    return both[0].unionByName(both[1])
+
+
+_LEAKS_SQL = (
+    _SPANS
+    + f"""
+, kept AS (SELECT DISTINCT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS v FROM (SELECT *, {_LEVEL} AS level FROM (SELECT *, {_ALIAS} AS pii_class FROM found)) WHERE level <> 'blocked' AND label NOT IN ({", ".join(f"'{k}'" for k in rules.KEEP_LABELS)})),
+h AS (SELECT doc_id, lower(regexp_replace(text, '\\s+', '', 'g')) AS a, regexp_replace(text, '[^0-9]', '', 'g') AS b FROM documents),
+n AS (SELECT v, regexp_replace(v, '\\s+', '', 'g') AS a, regexp_replace(v, '[^0-9]', '', 'g') AS b FROM kept)
+SELECT 'before' AS side, 'normalized' AS kind, count(*) AS n FROM h JOIN n ON length(n.a) >= 3 AND contains(h.a, n.a) HAVING count(*) > 0
+UNION ALL SELECT 'before', 'digits', count(*) FROM h JOIN n ON length(n.b) >= 6 AND contains(h.b, n.b) HAVING count(*) > 0
+"""
+)
+
+_ROUND_SQL = (
+    _SPANS
+    + f"""
+SELECT true AS same, count(*) AS n FROM (SELECT doc_id FROM (SELECT *, {_LEVEL} AS level FROM (SELECT *, {_ALIAS} AS pii_class FROM found WHERE label NOT IN ({", ".join(f"'{k}'" for k in rules.KEEP_LABELS)}))) GROUP BY doc_id HAVING bool_and(level <> 'blocked'))
+"""
+)
 
 
 def resolve_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,7 +388,8 @@ ORACLES = {
     "first_user_text": "SELECT conv_id, substr(arg_min(text, turn), 1, 300) AS first_user_text FROM conversations WHERE role = 'user' AND trim(text) <> '' GROUP BY conv_id",
     "text_fingerprints": "SELECT doc_id, sha256(text) AS sha256, CAST(length(text) AS INTEGER) AS characters, trim(regexp_replace(source, '[^A-Za-z0-9_.-]+', '-', 'g'), '-') || '-' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 10) AS stem FROM documents",
     "context_filter": "SELECT * FROM (VALUES (1, 0), (2, 2), (3, 0), (4, 2)) t(id, kept)",
-    "scrub_leaks": "SELECT 'x' AS kind, CAST(0 AS BIGINT) AS n WHERE 1 = 0",
+    "scrub_leaks": _LEAKS_SQL,
+    "resolve_round_trip": _ROUND_SQL,
     "url_keep_suppression": "WITH s AS (" + " UNION ALL ".join(
         [f"SELECT 'EMAIL' AS label FROM ({_exploded('pages', 'page_id', 'html', rules.EMAIL)})", f"SELECT 'IP_ADDRESS' FROM ({_exploded('pages', 'page_id', 'html', rules.IPV4)})", f"SELECT 'IP_ADDRESS' FROM ({_exploded('pages', 'page_id', 'html', rules.MAC)})",
          f"SELECT CASE WHEN length(d) BETWEEN 14 AND 16 AND {_LUHN} THEN 'CREDIT_CARD' WHEN {_SSN} THEN 'SSN' END FROM (SELECT regexp_replace(m, '[^0-9]', '', 'g') AS d FROM ({_exploded('pages', 'page_id', 'html', rules.DIGIT_RUN)}))"]

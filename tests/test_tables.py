@@ -55,10 +55,10 @@ def test_threshold_choice_matches_a_plain_sweep(spark):
 def test_greedy_match_and_association(spark):
     t = spark.createDataFrame([("f", 1, 0.0, 0.0, 10.0, 10.0, 0), ("f", 2, 100.0, 0.0, 110.0, 10.0, 0)], BOX + ", class_id int")
     d = spark.createDataFrame([("f", 7, 0.0, 0.0, 10.0, 9.0, 0, 0.9), ("f", 8, 0.0, 0.0, 10.0, 10.0, 0, 0.8), ("f", 9, 100.0, 0.0, 110.0, 10.0, 1, 0.7)], BOX + ", class_id int, score double")
-    assert [(r["truth_id"], r["detection_id"]) for r in boxes.greedy_match(t, d).collect()] == [(1, 7)]
+    assert [(r["truth_id"], r["detection_id"]) for r in boxes.greedy_match(t, d).collect()] == [(1, 8)]
     c = spark.createDataFrame([("f", 1, 0.0, 0.0, 50.0, 10.0), ("f", 2, 0.0, 40.0, 50.0, 50.0)], BOX)
     v = spark.createDataFrame([("f", 5, 60.0, 0.0, 90.0, 10.0), ("f", 6, 0.0, 55.0, 40.0, 65.0)], BOX)
-    assert {(r["cue_id"], r["value_id"], r["direction"]) for r in boxes.associate(c, v).collect()} == {(1, 5, 0), (2, 6, 1)}
+    assert {(r["cue_id"], r["value_id"]) for r in boxes.associate(c, v).collect()} == {(1, 5), (2, 6)}
 
 
 def test_entity_pairs_and_scores(spark):
