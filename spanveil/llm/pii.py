@@ -7,7 +7,8 @@ estimates each labeler's reliability for each kind; the posteriors then train a
 logistic span classifier on vote and shape features, which decides on the wider
 candidates. Base spans always stay.
 
-Edge cases: a null text counts as empty and has no spans; equal rows get equal
+Edge cases: spans that start together go by kind as listed; a probability equal to
+the threshold takes a span; a null text counts as empty and has no spans; equal rows get equal
 results; empty tables give an empty result; offsets are code points; a document
 of any length is scanned whole, in time linear in its length; further columns
 are not read.
@@ -41,15 +42,17 @@ _DIGIT = re.compile(r"[0-9]")
 
 #: Wider candidates; each is linear in the text.
 _WIDE = (
-    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,63}(?: ?(?:[(\[]dot[)\]]|\.) ?[A-Za-z0-9-]{1,63}){1,8}")),
+    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[(\[]at[)\]] ?[A-Za-z0-9-]++(?: ?(?:[(\[]dot[)\]]|\.) ?[A-Za-z0-9-]++)++")),
     ("phone", re.compile(r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])")),
     ("ssn", re.compile(r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")),
     ("card", re.compile(r"(?<![0-9A-Za-z.-])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9A-Za-z])")),
     ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")),
     ("secret", re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9_-]{8,}+|eyJ[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]{4,}+)(?![0-9A-Za-z])")),
-    ("name", re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Dear|[Nn]ame[:=]) ?\.? ?([A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30}){0,2})(?![A-Za-z])")),
+    ("name", re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Dear|[Nn]ame(?:[:=]| is)) ?\.? ?([A-Z][a-z]++(?: [A-Z][a-z]++)*+)(?![A-Za-z])")),
 )
-_HINT = {"email": ("at)", "at]"), "name": ("Mr", "Ms", "Dr", "Dear", "ame:", "ame=")}
+_HINT = {"email": ("at)", "at]"), "name": ("Mr", "Ms", "Dr", "Dear", "ame:", "ame=", "ame is")}
+#: Words in capitals in a row; a name where the first is a given name.
+_CAPITALS = re.compile(r"(?<![A-Za-z])[A-Z][a-z]++(?: [A-Z][a-z]++)++(?![A-Za-z])")
 
 #: Words that speak for a kind when they stand just before a span.
 CUES = {
@@ -72,8 +75,14 @@ GAZETTEER = {
     "secret": ("AKIA", "sk-", "eyJ", "ghp_"),
     "ssn": (),
     "iban": ("DE", "FR", "ES", "GB", "IT", "NL", "CH", "AT", "BE"),
-    "name": ("James", "Mary", "John", "Anna", "Robert", "Linda", "Maria", "David", "Alice", "Peter", "Paul", "Laura", "Hans", "Jean", "Carlos", "Sarah", "Thomas", "Julia"),
+    "name": tuple(
+        """James Mary John Anna Robert Linda Maria David Alice Peter Paul Laura Hans Jean Carlos Sarah Thomas Julia William Patricia Michael Jennifer Richard Elizabeth Joseph Susan Charles Jessica Christopher
+        Karen Daniel Nancy Matthew Lisa Anthony Margaret Mark Sandra Steven Ashley Andrew Emily Kenneth Donna George Michelle Joshua Carol Kevin Amanda Brian Melissa Edward Deborah Ronald Stephanie Timothy
+        Rebecca Jason Jeffrey Ryan Jacob Nicholas Eric Jonathan Stephen Larry Justin Scott Brandon Benjamin Samuel Frank Gregory Klaus Ursula Helga Wolfgang Sabine Stefan Petra Andreas Monika Claudia Martin
+        Sophie Pierre Marie Michel Isabelle Philippe Nathalie Nicolas Sylvie Antoine Camille Luc Jose Carmen Juan Isabel Luis Ana Miguel Pilar Javier Lucia Pedro Elena Diego Rosa Bob Jane Kim Ann""".split()
+    ),
 }
+_GIVEN = frozenset(GAZETTEER["name"])
 VOTERS = ("pattern", "checksum", "gazetteer", "context", "boundary", "shape")
 
 
@@ -164,17 +173,29 @@ def votes(text: str, start: int, end: int, kind: str, base: bool) -> tuple[int,
     )
 
 
-def candidates(text: str) -> list[tuple[int, int, str, bool]]:
-    """Base spans, and the wider ones that no earlier span overlaps."""
-    spans = [(a, b, k, True) for a, b, k in base_spans(text)]
+def _wide(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """Places of the wider candidates by kind, each kind's in order."""
     digits = bool(_DIGIT.search(text))
     for kind, pattern in _WIDE:
         hint = _HINT.get(kind)
-        if not (any(h in text for h in hint) if hint else digits or kind == "secret"):
+        if any(h in text for h in hint) if hint else digits or kind == "secret":
+            yield kind, [m.span(1) if m.lastindex else m.span() for m in pattern.finditer(text)]
+    yield "name", [m.span() for m in _CAPITALS.finditer(text) if m[0][: m[0].index(" ")] in _GIVEN]
+
+
+def candidates(text: str) -> list[tuple[int, int, str, bool]]:
+    """Base spans, and the wider ones that no earlier span overlaps: a sweep along both for each kind."""
+    spans = [(a, b, k, True) for a, b, k in base_spans(text)]
+    for kind, found in _wide(text):
+        if not found:
             continue
-        for m in pattern.finditer(text):
-            a, b = m.span(1) if m.lastindex else m.span()
-            if all(b <= x[0] or a >= x[1] for x in spans):
+        taken = sorted((x[0], x[1]) for x in spans)
+        i, reach = 0, 0  # reach: the furthest end of what begins before a candidate
+        for a, b in found:
+            while i < len(taken) and taken[i][0] <= a:
+                reach = max(reach, taken[i][1])
+                i += 1
+            if reach <= a and (i == len(taken) or taken[i][0] >= b):
                 spans.append((a, b, kind, False))
     spans.sort(key=lambda s: (s[0], _RANK[s[2]], s[1]))
     return spans
