@@ -247,3 +247,22 @@ def test_licenses_labels_match_a_plain_alignment(spark):
         want.append(",".join(sorted(labels)))
     got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_pii_candidates_match_a_plain_overlap_test():
+    import random
+    import time
+
+    rng = random.Random(4)
+    parts = ["123-45-6789", "10.0.0.1", "bob@example.org", "bob (at) example (dot) org", "+1 415 555 0136", "415-555-0136", "4111 1111 1111 1111", "My name is John Doe", "Alice Smith called Maria Lopez", "Dear Ann", "DE89 3704 0044 0532 0130 00", "sk-abcdefgh12345678", "plain words", "The End"]
+    for _ in range(200):
+        text = "".join(rng.choice(parts) + rng.choice([" ", "", ", ", "-"]) for _ in range(rng.randint(0, 12)))
+        want = [(a, b, k, True) for a, b, k in pii.base_spans(text)]
+        for kind, found in pii._wide(text):
+            want += [(a, b, kind, False) for a, b in found if all(b <= x[0] or a >= x[1] for x in want)]
+        assert sorted(pii.candidates(text)) == sorted(want)
+    found = {(text[a:b], k) for text in ("My name is John Doe", "Alice Smith called Maria Lopez", "a" * 100 + " [at] " + "b" * 80 + ".org") for a, b, k, _ in pii.candidates(text)}
+    assert {("John Doe", "name"), ("Alice Smith", "name"), ("Maria Lopez", "name"), ("a" * 100 + " [at] " + "b" * 80 + ".org", "email")} <= found
+    began = time.perf_counter()
+    pii.candidates("123-45-6789 10.0.0.1 " * 20_000)
+    assert time.perf_counter() - began < 5
