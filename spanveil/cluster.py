@@ -15,12 +15,15 @@ _shipped: set[str] = set()
 def checkpoint(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the session's shared checkpoint folder, so that lost executors cost nothing but a read.
 
-    The folder is spark.checkpoint.dir; only where that is unset (a single
-    machine, as in tests) a temporary folder is set.
+    The folder is spark.checkpoint.dir; where that is unset, a single machine (as
+    in tests) gets a temporary folder, and a cluster an error.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 

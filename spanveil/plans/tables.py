@@ -395,6 +395,24 @@ _RANK = f"""CASE WHEN greatest(0, least(t.y2, r.y2) - greatest(t.y1, r.y1)) >= 0
   ELSE 10000 + 4 * greatest(0, r.y1 - t.y2) + abs(t.x1 - r.x1) END"""
 
 ORACLES = {
+    "nms": f"""
+WITH RECURSIVE {_TRUTH.strip()},
+o AS (SELECT *, row_number() OVER (PARTITION BY frame_id, class_id ORDER BY score DESC, id) AS k FROM r),
+w AS (
+  SELECT frame_id, class_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(id INTEGER, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, score DOUBLE)[]) AS kept FROM (SELECT DISTINCT frame_id, class_id FROM o)
+  UNION ALL
+  SELECT w.frame_id, w.class_id, o.k, CASE WHEN len(list_filter(w.kept, lambda r: {_BOX_IOU.replace("t.", "o.")} / ((o.x2 - o.x1) * (o.y2 - o.y1) + (r.x2 - r.x1) * (r.y2 - r.y1) - {_BOX_IOU.replace("t.", "o.")}) > 0.7)) = 0
+    THEN list_append(w.kept, CAST(ROW(o.id, o.x1, o.y1, o.x2, o.y2, o.score) AS STRUCT(id INTEGER, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, score DOUBLE))) ELSE w.kept END
+  FROM w JOIN o ON o.frame_id = w.frame_id AND o.class_id = w.class_id AND o.k = w.k + 1
+), last AS (SELECT frame_id, class_id, arg_max(kept, k) AS kept FROM w GROUP BY 1, 2)
+SELECT frame_id, class_id, b.id AS id, b.score AS score FROM (SELECT frame_id, class_id, unnest(kept) AS b FROM last)
+""",
+    "review_cooldown": f"""
+WITH RECURSIVE e AS ({_EV}), c AS (SELECT user_id, step, count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id ORDER BY step RANGE BETWEEN 7 PRECEDING AND CURRENT ROW) AS suspicious FROM e),
+s AS (SELECT user_id, step FROM c WHERE suspicious >= 3),
+w AS (SELECT user_id, min(step) AS step FROM s GROUP BY 1 UNION ALL SELECT w.user_id, min(s.step) FROM w JOIN s ON s.user_id = w.user_id AND s.step >= w.step + 8 GROUP BY w.user_id, w.step)
+SELECT user_id, step FROM w
+""",
     "greedy_truth_match": _MATCHED.format(
         truth=_TRUTH.strip(), rank=f"{_BOX_IOU} / ((t.x2 - t.x1) * (t.y2 - t.y1) + (r.x2 - r.x1) * (r.y2 - r.y1) - {_BOX_IOU})", fits="true", take="hit.rank >= 0.5", best="max", name="truth", other="detection", what="iou"
     ),

@@ -172,6 +172,16 @@ SELECT pii_class || '_' || row_number() OVER (PARTITION BY pii_class ORDER BY fi
 )
 
 
+_REFERENCES = (
+    _SPANS
+    + f""", c AS (SELECT *, {_ALIAS} AS pii_class FROM found WHERE label NOT IN ({", ".join(f"'{k}'" for k in rules.KEEP_LABELS)})), l AS (SELECT *, {_LEVEL} AS level FROM c),
+k AS (SELECT l.doc_id, pii_class, lower(trim(regexp_replace(l.text, '\\s+', ' ', 'g'))) AS canonical, strpos(d.text, l.text) AS st FROM l JOIN documents d USING (doc_id) WHERE level <> 'blocked'),
+g AS (SELECT pii_class, canonical, min(doc_id * 1000000 + st) AS first, count(DISTINCT doc_id) AS n_docs FROM k GROUP BY 1, 2)
+SELECT pii_class || '_' || row_number() OVER (PARTITION BY pii_class ORDER BY first, canonical) || '_0000' AS placeholder, n_docs FROM g
+"""
+)
+
+
 def scrub_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = vault.scrub(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "scrubbed", "n_replaced")
@@ -259,6 +269,16 @@ def interval_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("s.doc_id").agg(F.count("*").alias("n"))
 
 
+def _places(pattern: str) -> str:
+    """SQL for the matches of a pattern in documents with a number and a dot: doc_id, s and e."""
+    return f"""SELECT doc_id, st AS s, st + length(f[i]) AS e FROM (
+  SELECT doc_id, f, i, coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS st
+  FROM (SELECT doc_id, f, g, unnest(generate_series(1, len(f))) AS i FROM (SELECT doc_id, regexp_extract_all(text, {sq(pattern)}) AS f, regexp_split_to_array(text, {sq(pattern)}) AS g FROM documents WHERE regexp_matches(text, '[0-9]\\.[0-9]')) WHERE len(f) > 0))"""
+
+
+_OVERLAP_SQL = f"WITH a AS ({_places(rules.DIGIT_RUN)}), b AS ({_places(rules.IPV4)}) SELECT a.doc_id, count(*) AS n FROM a JOIN b ON a.doc_id = b.doc_id AND a.s < b.e AND a.e > b.s GROUP BY 1"
+
+
 def url_keep_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of pages that stay after the labels that are kept in the clear."""
     s = spans.exploded(read(spark, sf_dir, "pages"), "page_id", "html").where(~F.col("label").isin(*rules.KEEP_LABELS))
@@ -389,6 +409,8 @@ ORACLES = {
     "text_fingerprints": "SELECT doc_id, sha256(text) AS sha256, CAST(length(text) AS INTEGER) AS characters, trim(regexp_replace(source, '[^A-Za-z0-9_.-]+', '-', 'g'), '-') || '-' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 10) AS stem FROM documents",
     "context_filter": "SELECT * FROM (VALUES (1, 0), (2, 2), (3, 0), (4, 2)) t(id, kept)",
     "scrub_leaks": _LEAKS_SQL,
+    "token_references": _REFERENCES,
+    "interval_overlap_join": _OVERLAP_SQL,
     "resolve_round_trip": _ROUND_SQL,
     "url_keep_suppression": "WITH s AS (" + " UNION ALL ".join(
         [f"SELECT 'EMAIL' AS label FROM ({_exploded('pages', 'page_id', 'html', rules.EMAIL)})", f"SELECT 'IP_ADDRESS' FROM ({_exploded('pages', 'page_id', 'html', rules.IPV4)})", f"SELECT 'IP_ADDRESS' FROM ({_exploded('pages', 'page_id', 'html', rules.MAC)})",
