@@ -135,7 +135,7 @@ def cuts(rows: DataFrame, blocks: DataFrame, small: bool, rounds: int = ROUNDS)
     )
     # where no row of that part fits, all before it is taken
     last = part.join(_sent(last, small), F.col("s4").eqNullSafe(F.col("source")), "left").select(
-        F.col("s4").alias("s2"), F.coalesce("in_key", F.shiftleft("cut_part", 56) - 1).alias("last_key"), F.coalesce("in_got", "before").alias("got")
+        F.col("s4").alias("s2"), F.coalesce("in_key", F.when(F.col("cut_part") > -128, F.shiftleft("cut_part", 56) - 1)).alias("last_key"), F.coalesce("in_got", "before").alias("got")
     )
     none = F.array().cast("array<long>")
     gap = F.col("room") - F.coalesce("got", F.lit(0))
