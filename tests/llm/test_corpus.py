@@ -254,3 +254,11 @@ def test_pipeline_runs_its_stages(spark, tmp_path):
             assert {r["doc_id"] for r in docs.collect()} == set(range(80))
     assert len(names) == 5 and docs.where("NOT lossless").count() == 0 and docs.count() > 40
     assert corpus_pipeline.run(spark, d).count() == docs.count()
+
+
+def test_mixing_of_many_small_sources(spark):
+    # with so many sources, some are cut before the first key of their block
+    docs = spark.range(1800).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.floor(F.col("id") / 3).cast("string")).alias("source"), F.repeat(F.lit("w "), (F.pmod("id", F.lit(3)) * 40 + 5).cast("int")).alias("text"))
+    got = mixing.assign(docs).select(F.col("_mix_size").alias("size"), F.col("_mix_target").alias("target"), F.size("_mix_takes").alias("n")).collect()
+    assert len(got) == 1800 and all(0 <= r["n"] <= 3 for r in got)
+    assert abs(sum(r["size"] * r["n"] for r in got) / sum(r["target"] / 3 for r in got) - 1) < 0.1
