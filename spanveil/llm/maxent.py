@@ -1,13 +1,21 @@
 """Language-model scores of a hashed maximum-entropy model with class-factored softmax.
 
-P(word | context) = P(class | context) * P(word | class). The class is a softmax
-over hashed n-gram and skip features of the context (the word before, the pair
-before, and the word before that alone); the most frequent words are classes of
-their own, all others fall into hashed classes, within which a word's weight is
-its smoothed count. The class weights are trained by distributed gradient
-updates: in each round every task runs mini-batch gradient steps on its share of
-the training documents from the common weights, and the results are averaged by
-feature, weighted by occurrences. Texts are scored in numpy batches that touch
+A word is reached by a path of choices: P(word | context) = P(class | context) *
+P(branch | class, context) * ... * P(word | leaf). The most frequent words are
+classes of their own, all others fall into hashed classes, each the root of a
+tree of 16 branches a node, by further bits of the word's hash; a leaf's words
+share it by their smoothed counts. Every choice is a softmax over hashed n-gram
+and skip features of the context (the word before, the pair before, and the word
+before that alone), in the tree together with the node. Depth and feature rows
+follow the number of distinct words (``LEAF``, ``PER_ROW``), so what is gathered
+about contexts grows with the corpus.
+
+Weights are offsets to the log shares of the counts, and trained by distributed
+gradient updates: in each round all tasks sum the gradients of a fixed share of
+the training documents at the common weights, the sums meet by blocks of rows,
+and each weight takes one step, scaled by the occurrences of its feature. So
+weights and scores do not depend on how the rows are partitioned, but for the
+rounding of floating-point sums. Texts are scored in numpy batches that touch
 only the weight rows of their features.
 
 Word counts cover all training documents. Words above a share ``HOT`` of all
@@ -33,16 +41,24 @@ from spanveil.cluster import checkpoint
 from spanveil.llm import vec
 
 #: Share of all tokens from which a word's count is sent to all tasks; so at most 1 / HOT words are.
-HOT = 2e-5
+HOT = 2e-6
 SINGLE = 32
 HASHED = 32
 CLASSES = SINGLE + HASHED
+#: Distinct words a leaf holds on average, at most.
+LEAF = 1024
+BRANCHES = 16
+#: Rows of each kind of feature: 2 ** BITS for classes; for branches at least so many, and one for each PER_ROW distinct words.
 BITS = 12
-ROWS = 3 << BITS
-ROUNDS = 2
+PER_ROW = 512
+ROUNDS = 3
 BATCH = 4096
 RATE = 0.5
-BLOCK = 192
+#: Occurrences that a feature must outweigh.
+PRIOR = 1.0
+BLOCK = 256
+#: Training tokens of a round for which a task of its own is worth its sums.
+TASK_TOKENS = 8_000_000
 
 _U = np.uint64
 END = int(vec.seed(5, 1).view(np.int64))
@@ -65,30 +81,32 @@ def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _context(tok: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """The rows of the three features of each token's context."""
+    """Hashes of the three features of each token's context."""
     one = np.full(len(tok), _BEGIN)
     two = one.copy()
     same = row[1:] == row[:-1]
     one[1:][same] = tok[:-1][same]
     same = row[2:] == row[:-2]
     two[2:][same] = tok[:-2][same]
-    shift = _U(64 - BITS)
-    out = np.empty((3, len(tok)), np.int16)  # rows of 3 << BITS features; sorted by radix
-    out[0] = vec.mix(one) >> shift
-    out[1] = (vec.mix(one * _U(0x9E3779B97F4A7C15) + two) >> shift) + _U(1 << BITS)
-    out[2] = (vec.mix(two + _U(77)) >> shift) + _U(2 << BITS)
-    return out
+    return np.stack([vec.mix(one), vec.mix(one * _U(0x9E3779B97F4A7C15) + two), vec.mix(two + _U(77))])
+
+
+def _rows(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Feature rows of hashes; small integers are sorted by radix."""
+    return (hashes >> _U(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
 
 
 @dataclass
 class Vocabulary:
-    """The frequent words with their counts, and each class's share of the counts."""
+    """The frequent words with their counts, and the shares of classes, branches and leaves in the counts."""
 
     word: np.ndarray  # sorted hashes
     count: np.ndarray
     single: np.ndarray  # class of each of these words, or -1
-    below: np.ndarray  # what counts are divided by, of each class
+    below: np.ndarray  # what counts are divided by, of each single word, then of each leaf
     share: np.ndarray  # of each class, smoothed
+    branch: list[np.ndarray]  # for each level: log shares of the branches (nodes x branches)
+    bits: int  # of the branches' feature rows
     tokens: int
     distinct: int
 
@@ -100,13 +118,33 @@ class Vocabulary:
         return at, self.word[at] == tok
 
     def classes(self, tok: np.ndarray, at: np.ndarray, hot: np.ndarray) -> np.ndarray:
-        c = SINGLE + ((tok >> _U(40)) % _U(HASHED)).astype(np.int64)
+        c = SINGLE + _node(tok, 0)
         if len(self.word):
             own = np.where(hot, self.single[at], -1)
             c = np.where(own >= 0, own, c)
         return c
 
 
+def _node(tok: np.ndarray, level: int) -> np.ndarray:
+    """The node of a level on each word's path; level 0 are the hashed classes."""
+    return ((tok >> _U(40 - 4 * level)) & _U(HASHED * BRANCHES**level - 1)).astype(np.int64)
+
+
+def _choices(voc: Vocabulary, tok: np.ndarray, row: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """In batches, all choices on the paths of tokens of classes y: which weights (0: classes, 1: branches), tokens, feature rows, log shares, and what is chosen."""
+    h = _context(tok, row)
+    f, start = _rows(h, BITS), np.log(np.maximum(voc.share, 1e-12)).astype(np.float32)[None]
+    for i in range(0, len(tok), BATCH):
+        yield 0, np.arange(i, min(i + BATCH, len(tok))), f[:, i : i + BATCH], start, y[i : i + BATCH]
+    deep = np.flatnonzero(y >= SINGLE)
+    for level, shares in enumerate(voc.branch):
+        for i in range(0, len(deep), BATCH):
+            at = deep[i : i + BATCH]
+            node = _node(tok[at], level)
+            own = vec.mix(node.astype(_U) + _U((level + 1) << 56))
+            yield 1, at, _rows(vec.mix(h[:, at] + own), voc.bits), shares[node], _node(tok[at], level + 1) % BRANCHES
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words, counts, held = [], [], 0
 
@@ -144,95 +182,98 @@ def counts(docs: DataFrame) -> DataFrame:
 def vocabulary(table: DataFrame, hot: float = HOT) -> Vocabulary:
     total = table.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = int(total["n"] or 0), int(total["v"])
-    rows = table.where(F.col("c") >= max(1.0, hot * n)).collect() if n else []  # 1 / hot rows at most
-    rows.sort(key=lambda r: (-r["c"], r["word"]))
-    top = {r["word"]: k for k, r in enumerate(rows[:SINGLE])}
-    rows.sort(key=lambda r: r["word"] % (1 << 64))
-    word = np.array([r["word"] for r in rows], np.int64).view(_U)
-    count = np.array([r["c"] for r in rows], np.int64)
-    single = np.array([top.get(r["word"], -1) for r in rows], np.int64)
-    below = np.full(CLASSES, 0.1)
-    mass = np.full(CLASSES, 0.1 / HASHED)  # a class that no token has met keeps the share of unknown words
-    for r in rows:
-        if r["word"] in top:
-            below[top[r["word"]]] = mass[top[r["word"]]] = r["c"] + 0.1
-    rest = table.where(~F.col("word").isin(list(top))) if top else table
-    for r in rest.groupBy((F.shiftrightunsigned("word", 40) % HASHED).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
-        below[SINGLE + r["k"]] = mass[SINGLE + r["k"]] = r["n"] + 0.1 * (r["v"] + 1)
-    return Vocabulary(word, count, single, below, mass / mass.sum(), n, v)
-
-
-def _softmax(w: np.ndarray, f: np.ndarray) -> np.ndarray:
-    z = w[f[0]]
-    z += w[f[1]]
-    z += w[f[2]]
+    rows = table.where(F.col("c") >= max(1.0, hot * n)).toArrow() if n else pa.table({"word": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})  # 1 / hot rows at most
+    word = rows["word"].to_numpy().view(_U)
+    order = np.argsort(word)
+    word, count = word[order], rows["c"].to_numpy()[order]
+    top = np.lexsort((word, -count))[:SINGLE]
+    single = np.full(len(word), -1, np.int64)
+    single[top] = np.arange(len(top))
+    depth = 1
+    while HASHED * BRANCHES**depth * LEAF < v and depth < 10:
+        depth += 1
+    leaves = np.full(HASHED * BRANCHES**depth, 0.1)  # a leaf that no token has met keeps the share of unknown words
+    rest = table.where(~F.col("word").isin(word[top].view(np.int64).tolist())) if len(top) else table
+    leaf = F.shiftrightunsigned("word", 40 - 4 * depth).bitwiseAND(F.lit(len(leaves) - 1))
+    got = rest.groupBy(leaf.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toArrow()  # a row for each leaf
+    leaves[got["k"].to_numpy()] = got["n"].to_numpy() + 0.1 * (got["v"].to_numpy() + 1)
+    below = np.full(SINGLE, 0.1)
+    below[: len(top)] = count[top] + 0.1
+    mass, branch = leaves, []
+    for _ in range(depth):
+        under = mass.reshape(-1, BRANCHES)
+        mass = under.sum(1)
+        branch.insert(0, np.log(under / mass[:, None]).astype(np.float32))
+    share = np.concatenate([np.where(np.arange(SINGLE) < len(top), below, 0.1 / HASHED), mass if n else np.full(HASHED, 0.1 / HASHED)])
+    bits = max(BITS, int(np.ceil(np.log2(max(v, 1) / PER_ROW))))
+    return Vocabulary(word, count, single, np.concatenate([below, leaves]), share / share.sum(), branch, bits, n, v)
+
+
+def _softmax(w: np.ndarray, f: np.ndarray, start: np.ndarray) -> np.ndarray:
+    z = w[0][f[0]] + start
+    z += w[1][f[1]]
+    z += w[2][f[2]]
     z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
     z /= z.sum(1, keepdims=True)
     return z
 
 
-def _update(w: np.ndarray, seen: np.ndarray, f: np.ndarray, y: np.ndarray) -> None:
-    """One gradient step on a batch."""
-    g = _softmax(w, f)
-    g[np.arange(len(y)), y] -= 1
-    for rows in f:
+def _gather(total: np.ndarray, seen: np.ndarray, f: np.ndarray, g: np.ndarray) -> None:
+    """Adds a batch's gradients and occurrences to those of its features."""
+    for k, rows in enumerate(f):
         order = np.argsort(rows, kind="stable")
         r = rows[order]
-        first = np.flatnonzero(np.diff(r, prepend=-1))
-        n = np.diff(np.append(first, len(r))).astype(np.float32)
-        u = r[first]
-        seen[u] += n
-        w[u] -= (RATE / (n + np.sqrt(seen[u])))[:, None] * np.add.reduceat(g[order], first, axis=0)
+        first = np.flatnonzero(np.diff(r.astype(np.int64), prepend=-1))
+        seen[k, r[first]] += np.diff(np.append(first, len(r)))
+        total[k, r[first]] += np.add.reduceat(g[order], first, axis=0)
 
 
-def train(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """The class weights (features x classes), from one pass over all training documents in ``rounds`` shares."""
-    # the start is the class distribution without context, a third of it from each feature
-    w = np.tile((np.log(np.maximum(voc.share, 1e-12)) / 3).astype(np.float32), (ROWS, 1))
+def train(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> list[np.ndarray]:
+    """The weights of classes and branches (features x rows x choices), from one pass over all training documents in ``rounds`` shares."""
+    shape = [(3, 1 << BITS, CLASSES), (3, 1 << voc.bits, BRANCHES)]
+    w = [np.zeros(s, np.float32) for s in shape]
+    # a choice's gradient is held against how often its feature would meet it by shares alone
+    usual = [voc.share, np.full(BRANCHES, 1 / BRANCHES)]
     rows = docs.where(in_training(F.col("doc_id"))).select("text", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)), F.lit(rounds)).alias("share"))
-    kind = "block int, task long, w binary, n binary"
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, voc.tokens // rounds // TASK_TOKENS)
+    kind = "part int, block int, task long, g binary, n binary"
 
     def total(t: pa.Table) -> pa.Table:
         t = t.sort_by("task")
-        s = np.sum([np.frombuffer(x.as_py(), np.float32) for x in t["w"]], axis=0, dtype=np.float64)
-        n = np.sum([np.frombuffer(x.as_py(), np.float32) for x in t["n"]], axis=0, dtype=np.float64)
-        return pa.table({"block": t["block"][:1], "task": t["task"][:1], "w": pa.array([s.astype(np.float32).tobytes()]), "n": pa.array([n.astype(np.float32).tobytes()])})
+        g, n = (np.sum([np.frombuffer(x.as_py(), np.float32) for x in t[c]], axis=0, dtype=np.float64).astype(np.float32) for c in "gn")
+        return pa.table({"part": t["part"][:1], "block": t["block"][:1], "task": t["task"][:1], "g": pa.array([g.tobytes()]), "n": pa.array([n.tobytes()])})
 
     for share in range(rounds):
 
-        def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = w) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], w: list[np.ndarray] = w) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            own, seen = start.copy(), np.zeros(ROWS, np.float32)
+            sums = [np.zeros(s) for s in shape]
+            seen = [np.zeros(s[:2]) for s in shape]
             for b in batches:
                 for _, _, data, offs in vec.chunks(b.column(0)):
                     tok, row = _tokens(data, offs)
-                    f = _context(tok, row)
-                    y = voc.classes(tok, *voc.find(tok))
-                    for i in range(0, len(tok), BATCH):
-                        _update(own, seen, f[:, i : i + BATCH], y[i : i + BATCH])
-            if seen.any():
-                task = TaskContext.get().partitionId()
-                at = range(0, ROWS, BLOCK)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([i // BLOCK for i in at], pa.int32()),
-                        pa.array([task] * len(at), pa.int64()),
-                        pa.array([(own[i : i + BLOCK] * seen[i : i + BLOCK, None]).tobytes() for i in at], pa.binary()),
-                        pa.array([seen[i : i + BLOCK].tobytes() for i in at], pa.binary()),
-                    ],
-                    names=["block", "task", "w", "n"],
-                )
-
-        parts = rows.where(F.col("share") == share).select("text").mapInArrow(run, kind)
-        some = parts.groupBy("block", (F.col("task") % 64).alias("salt")).applyInArrow(total, kind)
-        new = w.copy()
-        for r in some.groupBy("block").applyInArrow(total, kind).collect():  # the weights, of fixed size
-            n = np.frombuffer(r["n"], np.float32)
-            s = np.frombuffer(r["w"], np.float32).reshape(-1, CLASSES)
-            at = r["block"] * BLOCK + np.flatnonzero(n)
-            new[at] = s[n > 0] / n[n > 0, None]
+                    for part, _, f, start, y in _choices(voc, tok, row, voc.classes(tok, *voc.find(tok))):
+                        g = _softmax(w[part], f, start)
+                        g[np.arange(len(y)), y] -= 1
+                        _gather(sums[part], seen[part], f, g)
+            task = TaskContext.get().partitionId()
+            for part in (0, 1):
+                g, n = sums[part].reshape(-1, BLOCK, shape[part][2]), seen[part].reshape(-1, BLOCK)
+                for k in np.flatnonzero(n.any(1)):
+                    yield pa.RecordBatch.from_pylist([{"part": part, "block": int(k), "task": task, "g": g[k].astype(np.float32).tobytes(), "n": n[k].astype(np.float32).tobytes()}], schema)
+
+        schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("task", pa.int64()), ("g", pa.binary()), ("n", pa.binary())])
+        parts = rows.where(F.col("share") == share).select("text").coalesce(tasks).mapInArrow(run, kind)
+        some = parts.groupBy("part", "block", (F.col("task") % 64).alias("salt")).applyInArrow(total, kind)
+        new = [x.copy() for x in w]
+        for r in some.groupBy("part", "block").applyInArrow(total, kind).collect():  # one row for each block of the weights
+            choices = shape[r["part"]][2]
+            g = np.frombuffer(r["g"], np.float32).reshape(-1, choices)
+            n = np.frombuffer(r["n"], np.float32)[:, None]
+            step = -g / (n * usual[r["part"]] + PRIOR)
+            new[r["part"]].reshape(-1, BLOCK, choices)[r["block"]] += RATE * np.sign(step) * np.log1p(np.abs(step))
         w = new
     return w
 
@@ -253,12 +294,10 @@ def score(docs: DataFrame, hot: float = HOT) -> DataFrame:
                 tok, row = _tokens(data, offs)
                 at, is_hot = voc.find(tok)
                 y = voc.classes(tok, at, is_hot)
-                f = _context(tok, row)
-                lp = np.empty(len(tok))
-                for k in range(0, len(tok), BATCH):
-                    p = _softmax(weights, f[:, k : k + BATCH])
-                    lp[k : k + BATCH] = np.log10(np.maximum(p[np.arange(len(p)), y[k : k + BATCH]], 1e-30))
-                lp -= log_below[y]
+                lp = -log_below[np.where(y < SINGLE, y, SINGLE + _node(tok, len(voc.branch)))]
+                for part, picked, f, start, c in _choices(voc, tok, row, y):
+                    p = _softmax(weights[part], f, start)
+                    lp[picked] += np.log10(np.maximum(p[np.arange(len(p)), c], 1e-30))
                 top = log_count[at[is_hot]] if len(log_count) else np.zeros(0)
                 rare = np.flatnonzero(~is_hot)
                 order = rare[np.lexsort((tok[rare], row[rare]))]

@@ -63,6 +63,62 @@ def test_maxent_learns_order(spark):
     assert got and all(r["score"] > r["base_score"] + 5 for r in got)
 
 
+def _pairs_of_words(n):
+    rnd = random.Random(3)
+    return [(i, " ".join(f"left{k} right{k}" for k in (rnd.randrange(200) for _ in range(40)))) for i in range(n)]
+
+
+def test_maxent_scores_do_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame(_pairs_of_words(200), "doc_id long, text string")
+    some, other = ({r["doc_id"]: r["score"] for r in maxent.score(docs.repartition(n)).collect()} for n in (3, 7))
+    assert some.keys() == other.keys() and all(math.isclose(some[i], other[i], abs_tol=1e-2) for i in some)
+
+
+def test_maxent_learns_words_within_classes(spark):
+    # a right word follows its left word alone: to know it takes the branches, as classes hold many words
+    got = maxent.score(spark.createDataFrame(_pairs_of_words(600), "doc_id long, text string")).where("held_out").collect()
+    gain = sum(r["score"] - r["base_score"] for r in got) / sum(r["n_tokens"] for r in got)
+    assert gain > 0.5
+
+
+def test_maxent_score_is_the_plain_sum(spark):
+    import numpy as np
+    from spanveil.llm import vec
+
+    docs = spark.createDataFrame(_pairs_of_words(60), "doc_id long, text string")
+    table = maxent.counts(docs).cache()
+    count = {r["word"]: r["c"] for r in table.collect()}
+    voc = maxent.vocabulary(table)
+    w = maxent.train(docs, voc)
+    singles = set(voc.word[voc.single >= 0].view(np.int64).tolist())
+
+    def softmax(z):
+        top = max(z)
+        z = [math.exp(x - top) for x in z]
+        return [x / sum(z) for x in z]
+
+    for r in maxent.score(docs).where("doc_id < 6").collect():
+        data_, offs = vec.utf8(maxent.pa.array([dict(_pairs_of_words(60))[r["doc_id"]]]))
+        tok, row = maxent._tokens(data_, offs)
+        h, y = maxent._context(tok, row), voc.classes(tok, *voc.find(tok))
+        want = 0.0
+        for j, t in enumerate(tok.view(np.int64).tolist()):
+            at = [int(x) >> (64 - maxent.BITS) for x in h[:, j]]
+            want += math.log10(softmax([math.log(voc.share[c]) + sum(float(w[0][k][at[k]][c]) for k in range(3)) for c in range(maxent.CLASSES)])[y[j]])
+            c = count.get(t, 0) + 0.1
+            if t in singles:
+                want += math.log10(c / voc.below[y[j]])
+                continue
+            for level, shares in enumerate(voc.branch):
+                node = int(maxent._node(tok[j : j + 1], level)[0])
+                own = vec.mix(np.array([node], np.uint64) + np.uint64((level + 1) << 56))
+                at = [int(vec.mix(h[k, j : j + 1] + own)[0]) >> (64 - voc.bits) for k in range(3)]
+                z = [float(shares[node][b]) + sum(float(w[1][k][at[k]][b]) for k in range(3)) for b in range(maxent.BRANCHES)]
+                want += math.log10(softmax(z)[int(maxent._node(tok[j : j + 1], level + 1)[0]) % maxent.BRANCHES])
+            want += math.log10(c / voc.below[maxent.SINGLE + int(maxent._node(tok[j : j + 1], len(voc.branch))[0])])
+        assert math.isclose(r["score"], want, rel_tol=1e-3)
+
+
 def test_near_copies(spark):
     rnd = random.Random(8)
     docs, n = [], 0
