@@ -52,7 +52,8 @@ BRANCHES = 16
 BITS = 12
 PER_ROW = 512
 ROUNDS = 3
-BATCH = 4096
+#: Probabilities computed at once.
+BATCH = 1 << 20
 RATE = 0.5
 #: Occurrences that a feature must outweigh.
 PRIOR = 1.0
@@ -134,12 +135,14 @@ def _choices(voc: Vocabulary, tok: np.ndarray, row: np.ndarray, y: np.ndarray) -
     """In batches, all choices on the paths of tokens of classes y: which weights (0: classes, 1: branches), tokens, feature rows, log shares, and what is chosen."""
     h = _context(tok, row)
     f, start = _rows(h, BITS), np.log(np.maximum(voc.share, 1e-12)).astype(np.float32)[None]
-    for i in range(0, len(tok), BATCH):
-        yield 0, np.arange(i, min(i + BATCH, len(tok))), f[:, i : i + BATCH], start, y[i : i + BATCH]
+    size = BATCH // CLASSES
+    for i in range(0, len(tok), size):
+        yield 0, np.arange(i, min(i + size, len(tok))), f[:, i : i + size], start, y[i : i + size]
     deep = np.flatnonzero(y >= SINGLE)
+    size = BATCH // BRANCHES
     for level, shares in enumerate(voc.branch):
-        for i in range(0, len(deep), BATCH):
-            at = deep[i : i + BATCH]
+        for i in range(0, len(deep), size):
+            at = deep[i : i + size]
             node = _node(tok[at], level)
             own = vec.mix(node.astype(_U) + _U((level + 1) << 56))
             yield 1, at, _rows(vec.mix(h[:, at] + own), voc.bits), shares[node], _node(tok[at], level + 1) % BRANCHES
@@ -209,14 +212,15 @@ def vocabulary(table: DataFrame, hot: float = HOT) -> Vocabulary:
     return Vocabulary(word, count, single, np.concatenate([below, leaves]), share / share.sum(), branch, bits, n, v)
 
 
-def _softmax(w: np.ndarray, f: np.ndarray, start: np.ndarray) -> np.ndarray:
-    z = w[0][f[0]] + start
-    z += w[1][f[1]]
-    z += w[2][f[2]]
+def _weights(w: np.ndarray, f: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each choice weighs in its features, and all choices together."""
+    z = w[0].take(f[0], axis=0)
+    z += start
+    z += w[1].take(f[1], axis=0)
+    z += w[2].take(f[2], axis=0)
     z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
+    return z, z.sum(1, keepdims=True)
 
 
 def _gather(total: np.ndarray, seen: np.ndarray, f: np.ndarray, g: np.ndarray) -> None:
@@ -226,7 +230,7 @@ def _gather(total: np.ndarray, seen: np.ndarray, f: np.ndarray, g: np.ndarray) -
         r = rows[order]
         first = np.flatnonzero(np.diff(r.astype(np.int64), prepend=-1))
         seen[k, r[first]] += np.diff(np.append(first, len(r)))
-        total[k, r[first]] += np.add.reduceat(g[order], first, axis=0)
+        total[k, r[first]] += np.add.reduceat(g.take(order, axis=0), first, axis=0)
 
 
 def train(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> list[np.ndarray]:
@@ -251,13 +255,18 @@ def train(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> list[np.nda
 
             sums = [np.zeros(s) for s in shape]
             seen = [np.zeros(s[:2]) for s in shape]
+            short = [np.zeros(s, np.float32) for s in shape]  # of one chunk of texts
             for b in batches:
                 for _, _, data, offs in vec.chunks(b.column(0)):
                     tok, row = _tokens(data, offs)
                     for part, _, f, start, y in _choices(voc, tok, row, voc.classes(tok, *voc.find(tok))):
-                        g = _softmax(w[part], f, start)
+                        g, z = _weights(w[part], f, start)
+                        g /= z
                         g[np.arange(len(y)), y] -= 1
-                        _gather(sums[part], seen[part], f, g)
+                        _gather(short[part], seen[part], f, g)
+                    for part in (0, 1):
+                        sums[part] += short[part]
+                        short[part].fill(0)
             task = TaskContext.get().partitionId()
             for part in (0, 1):
                 g, n = sums[part].reshape(-1, BLOCK, shape[part][2]), seen[part].reshape(-1, BLOCK)
@@ -296,8 +305,8 @@ def score(docs: DataFrame, hot: float = HOT) -> DataFrame:
                 y = voc.classes(tok, at, is_hot)
                 lp = -log_below[np.where(y < SINGLE, y, SINGLE + _node(tok, len(voc.branch)))]
                 for part, picked, f, start, c in _choices(voc, tok, row, y):
-                    p = _softmax(weights[part], f, start)
-                    lp[picked] += np.log10(np.maximum(p[np.arange(len(p)), c], 1e-30))
+                    g, z = _weights(weights[part], f, start)
+                    lp[picked] += np.log10(np.maximum(g[np.arange(len(g)), c] / z[:, 0], 1e-30))
                 top = log_count[at[is_hot]] if len(log_count) else np.zeros(0)
                 rare = np.flatnonzero(~is_hot)
                 order = rare[np.lexsort((tok[rare], row[rare]))]
