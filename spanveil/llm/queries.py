@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanveil.cluster import ship
-from spanveil.llm import extract, licenses, linedup, maxent, mixing, nearcopy, pieces, pii, quality, topk
+from spanveil.llm import extract, licenses, linedup, maxent, mixing, nearcopy, pieces, pii, quality, resample, topk, whiten
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,14 @@ def op10_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.report(_read(spark, sf_dir, "documents"))
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.sample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -92,5 +100,38 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+# CRC-32 by its table: eight steps of the polynomial for each of 256 bytes, then a fold over a word's bytes.
+_RESAMPLE = r"""
+WITH crc AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t
+  FROM (SELECT unnest(range(256)) AS b)
+), texts AS (
+  SELECT doc_id, true AS own, text FROM documents UNION ALL SELECT item_id, false, text FROM benchmark
+), numbered AS (
+  SELECT row_number() OVER () AS r, *, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM texts
+), flat AS (
+  SELECT r, own, unnest(words) AS w FROM numbered
+), hashed AS (
+  SELECT w, xor(list_reduce(list_transform(range(octet_length(encode(w))), lambda i: CAST('0x' || hex(encode(w))[2 * i + 1 : 2 * i + 2] AS BIGINT)),
+    lambda c, x: xor(t[1 + (xor(c, x) & 255)], c >> 8), CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS b
+  FROM (SELECT DISTINCT w FROM flat), crc
+), f AS (SELECT r, own, b FROM flat JOIN hashed USING (w)),
+n AS (SELECT b, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM f GROUP BY b),
+total AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM n),
+gain AS (
+  SELECT b, CAST(floor(1000 * ln(CAST((n.t + 1) * (total.s + 10000) AS DOUBLE) / CAST((n.s + 1) * (total.t + 10000) AS DOUBLE))) AS BIGINT) AS g FROM n, total
+), weight AS (SELECT r, CAST(sum(g) AS BIGINT) AS weight FROM f JOIN gain USING (b) GROUP BY r),
+scored AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || doc_id)[1:8] AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM numbered LEFT JOIN weight USING (r) WHERE own
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS n FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM placed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk": _TOPK}
+    return {"op5_topk": _TOPK, "op12_resample": _RESAMPLE}
