@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanveil.cluster import ship
-from spanveil.llm import extract, licenses, linedup, maxent, mixing, nearcopy, pieces, pii, quality, resample, topk, whiten
+from spanveil.llm import extract, licenses, linedup, maxent, mixing, nearcopy, pieces, pii, quality, resample, suffix, topk, whiten
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,12 @@ def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.sample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op13_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix.dedup(_read(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return rows.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
