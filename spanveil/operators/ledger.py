@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,7 @@ def first_user_text(turns: DataFrame, by: str = "conv_id", order: str = "turn",
 #: Terminal colours, secrets that stand in a line, frames of boxes, and the words of each channel in order.
 _COLOUR = r"\x1b\[[0-?]*[ -/]*[@-~]"
 _INLINE = r"(?i)\b([A-Z_]*(?:API_KEY|AUTH_TOKEN|PASSWORD|SECRET|TOKEN|KEY))\s*=\s*([^\s]+)"
+_BLANK_ENDS = r"^[\x09-\x0D\x1C-\x20\x85\p{Z}]+|[\x09-\x0D\x1C-\x20\x85\p{Z}]+$"
 _FRAME = r"^[─━═╭╮╰╯┌┐└┘┄┈ ]*$"
 _CHANNELS = (
     ("runtime", r"^---"),
@@ -80,7 +83,7 @@ _CHANNELS = (
 
 def log_line(line: Column, width: int = 2000) -> Column:
     """What may be kept of an agent's log line: (channel, text), or null. Colours, frames and control characters go, inline secrets are masked, long lines are cut; lines with the user's task, and those of no channel, are dropped."""
-    t = F.trim(F.regexp_replace(line, _COLOUR, ""))
+    t = F.regexp_replace(F.regexp_replace(line, _COLOUR, ""), _BLANK_ENDS, "")
     secret = t.rlike(r"^(?:user:|--- task:)")
     t = F.regexp_replace(t, r"^[│ ]+|[│ ]+$", "")
     kept = F.regexp_replace(F.regexp_replace(t, _INLINE, "$1=[REDACTED]"), r"[\x00-\x08\x0a-\x1f]", "")
@@ -100,25 +103,35 @@ _EVENTS = (
     ("provider_checked", r"^--- preflight:"),
     ("model_unavailable", r"(?s)^ERROR: model .*rejected a 1-token probe \(HTTP 402\)"),
     ("artifacts_cleared", r"^(?:--- runs dir shredded|--- ephemeral runs dir removed)"),
-    ("agent_finished", r"^--- \w+ exit: 0"),
+    ("agent_finished", r"^--- {program} exit: 0"),
     ("error", r"(?is)^(?![{\[]).*error"),
 )
 
 
-def runner_event(line: Column) -> Column:
-    """The kind of event that a runner's line tells of; null for lines that stay private."""
-    t, out = F.trim(line), F.lit(None).cast("string")
+def runner_event(line: Column, program: str = "holo") -> Column:
+    """The kind of event that a runner's line tells of; null for lines that stay private. program: the one whose end counts."""
+    t, out = F.regexp_replace(line, _BLANK_ENDS, ""), F.lit(None).cast("string")
     for kind, pattern in reversed(_EVENTS):
-        out = F.when(t.rlike(pattern), F.lit(kind)).otherwise(out)
+        out = F.when(t.rlike(pattern.replace("{program}", re.escape(program))), F.lit(kind)).otherwise(out)
     return out
 
 
 def markers(text: Column, most: int = 2) -> Column:
-    """Tool markers of a text, ``most`` of them: (verb, tokens, id, instruction)."""
+    """Tool markers of a text, the first ``most`` of them, each id once: (verb, tokens, id, instruction). Tokens come without marks and white space."""
     p = r"⟦TOOL:([a-z_]+):([^:⟧]*):([A-Za-z0-9_-]+)(?::([^⟧]*))?⟧"
     found = F.slice(F.regexp_extract_all(text, F.lit(p), F.lit(0)), 1, most)
     part = lambda m, i: F.regexp_extract(m, p, i)
-    return F.transform(found, lambda m: F.struct(part(m, 1).alias("verb"), F.filter(F.split(part(m, 2), ","), lambda x: x != "").alias("tokens"), part(m, 3).alias("id"), F.nullif(part(m, 4), F.lit("")).alias("instruction")))
+    first = F.filter(found, lambda m, i: F.array_position(F.transform(found, lambda x: part(x, 3)), part(m, 3)) == i + 1)
+    bare = lambda x: F.regexp_replace(x, r"^[«»\s\p{Z}]+|[«»\s\p{Z}]+$", "")
+    tokens = lambda m: F.filter(F.transform(F.split(part(m, 2), ","), bare), lambda x: x != "")
+    return F.transform(first, lambda m: F.struct(part(m, 1).alias("verb"), tokens(m).alias("tokens"), part(m, 3).alias("id"), F.nullif(part(m, 4), F.lit("")).alias("instruction")))
+
+
+def new_markers(texts: DataFrame, by: str, order: str, column: str = "text", most: int = 2) -> DataFrame:
+    """The markers of each conversation whose id was not seen in an earlier text of it: by, order, place and the marker."""
+    each = texts.select(by, order, F.posexplode(markers(F.col(column), most)).alias("place", "m"))
+    seen = F.row_number().over(Window.partitionBy(by, "m.id").orderBy(order, "place"))
+    return each.withColumn("_n", seen).where(F.col("_n") == 1).drop("_n")
 
 
 def routed(verb: Column) -> Column:

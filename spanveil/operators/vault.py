@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -117,17 +117,47 @@ def replace_variants(text: Column, variants: list[tuple[str, str, str]]) -> Colu
     return F.array_join(F.zip_with(gaps, kept, lambda a, b: F.concat(a, b)), "")
 
 
+#: A token as it stands, or in its marks.
+REFERENCE = rf"«\s*{rules.PLACEHOLDER}\s*»|\b{rules.PLACEHOLDER}\b"
+
+
+def _bare(reference: Column) -> Column:
+    return F.regexp_replace(reference, r"[«»\s]", "")
+
+
 def references(text: Column) -> Column:
-    """The distinct tokens that a text names, in order."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"\b{rules.PLACEHOLDER}\b"), F.lit(0)))
+    """The distinct tokens that a text names, bare or in marks, in order."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), _bare))
 
 
 def resolve(texts: DataFrame, vault: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """texts with their tokens as values; names of unknown tokens are listed in ``unknown``."""
-    used = texts.select(F.col(key).alias("_k"), F.explode(references(F.col(column))).alias("placeholder")).join(vault.select("placeholder", "value"), "placeholder", "left")
-    found = used.groupBy("_k").agg(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("placeholder", "value"))).alias("_have"), F.array_sort(F.collect_list(F.when(F.col("value").isNull(), F.col("placeholder")))).alias("unknown"))
-    out = F.aggregate(F.coalesce("_have", F.array().cast("array<struct<placeholder:string,value:string>>")), F.col(column), lambda t, x: F.regexp_replace(t, F.concat(F.lit(r"\b"), x["placeholder"], F.lit(r"\b")), F.regexp_replace(x["value"], r"([\\$])", r"\\$1")))
-    return texts.join(found, F.col(key) == F.col("_k"), "left").withColumn("resolved", out).withColumn("unknown", F.coalesce("unknown", F.array().cast("array<string>"))).drop("_k", "_have")
+    """texts with their tokens as values; names of unknown tokens are listed in ``unknown``.
+
+    Rows are told apart by a number of their own, so keys may be null or repeat (the
+    key's column only passes through). Tokens are replaced in one pass: a value that
+    looks like a token stays as it is. Marks around a token go with it; a reference
+    that is not known stays.
+    """
+    names, taken = [], {c.lower() for c in texts.columns}
+    for name in ("row", "have"):
+        while name in taken:
+            name += "_"
+        names.append(name)
+    row, have = names
+    assert key in texts.columns
+    hit = checkpoint(texts.where(F.col(column).rlike(REFERENCE)).withColumn(row, F.monotonically_increasing_id()))  # kept, so the numbers hold
+    used = hit.select(F.col(row), F.explode(references(F.col(column))).alias("placeholder"))
+    known = vault.select("placeholder", "value").dropDuplicates(["placeholder"])
+    found = used.join(known, "placeholder", "left").groupBy(row).agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("placeholder", "value")))).alias(have),
+        F.array_sort(F.collect_list(F.when(F.col("value").isNull(), F.col("placeholder")))).alias("unknown"),
+    )
+    gaps = F.split(F.col(column), REFERENCE, -1)
+    marks = F.transform(F.regexp_extract_all(F.col(column), F.lit(REFERENCE), F.lit(0)), lambda m: F.coalesce(F.element_at(F.col(have), _bare(m)), m))
+    whole = F.array_join(F.zip_with(gaps, F.array_append(marks, F.lit("")), lambda a, b: F.concat(a, b)), "")
+    done = hit.join(found, row).withColumn("resolved", whole).drop(row, have)
+    rest = texts.where(~F.coalesce(F.col(column).rlike(REFERENCE), F.lit(False))).withColumn("unknown", F.array().cast("array<string>")).withColumn("resolved", F.col(column))
+    return done.unionByName(rest)
 
 
 #: Hidden values up to which one automaton over them is sent to all tasks; beyond, texts and values meet in a join.
@@ -210,7 +240,7 @@ def check_manifest(claimed: DataFrame, vault: DataFrame) -> DataFrame:
     nonce = F.element_at(F.split("placeholder", "_"), -1)
     known = vault.select(F.col("placeholder").alias("k"), F.lit(True).alias("known"))
     own = vault.select(F.element_at(F.split("placeholder", "_"), -1).alias("n")).distinct().withColumn("own", F.lit(True))
-    j = claimed.join(known, F.col("placeholder") == F.col("k"), "left").join(F.broadcast(own), nonce == F.col("n"), "left")
+    j = claimed.join(known, F.col("placeholder") == F.col("k"), "left").join(own, nonce == F.col("n"), "left")
     bad = F.when(~F.col("placeholder").rlike(f"^{rules.PLACEHOLDER}$"), "forged").when(F.col("known"), F.lit(None)).when(F.col("own").isNull(), "stale").otherwise("forged")
     return j.select("placeholder", bad.alias("violation"))
 
@@ -241,23 +271,3 @@ def walk(actions: DataFrame, key: str, column: str = "action") -> DataFrame:
 
     kind = actions.schema[key].dataType.simpleString()
     return actions.select(F.col(key).alias("k"), F.col(column).alias("a")).mapInPandas(run, f"k {kind}, path string, value string").withColumnRenamed("k", key)
-
-
-def authorise(refs: DataFrame, grants: DataFrame, now: Column) -> DataFrame:
-    """All or nothing for each action: an action's references (action_id, token, tool_name, argument_path, target) and the grants that cover them.
-
-    A grant covers a reference of its token, tool and path, if it is of the same
-    target or has none, has not expired, and has a use left for each reference.
-    """
-    r, g = refs.alias("r"), grants.alias("g")
-    same = (
-        (F.col("r.token") == F.col("g.token"))
-        & (F.lower("r.tool_name") == F.lower("g.tool_name"))
-        & (F.col("r.argument_path") == F.col("g.argument_path"))
-        & (F.col("g.target").isNull() | F.col("g.target").eqNullSafe(F.col("r.target")))
-        & (F.col("g.expires_at") > now)
-    )
-    j = r.join(g, same, "left").groupBy("r.action_id", "r.token", "r.tool_name", "r.argument_path", "r.target").agg(F.sum("g.remaining_uses").alias("uses"))
-    nth = F.row_number().over(Window.partitionBy("token", "tool_name", "argument_path", "target").orderBy("action_id"))
-    ok = F.coalesce(F.col("uses") >= nth, F.lit(False))
-    return j.withColumn("ok", ok).groupBy("action_id").agg(F.bool_and("ok").alias("allowed"), F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("token")))).alias("denied"))

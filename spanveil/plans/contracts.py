@@ -84,13 +84,13 @@ def executed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select(F.floor(F.col("k") / 100_000).alias("conv_id"), F.pmod("k", F.lit(100_000)).alias("turn"), "path", F.length("value").cast("long").alias("size"))
 
 
-_RUNNER = ("--- redaction ON: ", "--- redaction OFF", "--- preflight: x answered a 1-token probe", "--- preflight: ", "ERROR: model m rejected a 1-token probe (HTTP 402)", "--- runs dir shredded", "--- run exit: 0", "some Error here", '{"error": 1}', "model advertised: True", "nothing to see ")
+_RUNNER = ("\t--- redaction ON: ", "--- redaction OFF", "--- preflight: x answered a 1-token probe", "--- preflight: ", "ERROR: model m rejected a 1-token probe (HTTP 402)", "--- runs dir shredded", "--- holo exit: 0", "some Error here", '{"error": 1}', "model advertised: True", "nothing to see ")
 
 
 @query(
-    f"""WITH l AS (SELECT {_case("event_id", *_RUNNER)} || CASE WHEN event_id % 11 IN (0, 3, 6, 10) THEN event_type ELSE '' END AS line FROM events)
+    f"""WITH l AS (SELECT ltrim({_case("event_id", *_RUNNER)}, chr(9)) || CASE WHEN event_id % 11 IN (0, 3, 6, 10) THEN event_type ELSE '' END AS line FROM events)
 SELECT coalesce(CASE WHEN line LIKE '--- redaction ON%' THEN 'engine_ready' WHEN line LIKE '--- redaction OFF%' THEN 'bypassed' WHEN line LIKE '%advertised: True' THEN 'model_found' WHEN line LIKE '--- preflight:%answered a 1-token probe' THEN 'provider_connected' WHEN line LIKE '--- preflight:%' THEN 'provider_checked'
-WHEN line LIKE 'ERROR: model %rejected a 1-token probe (HTTP 402)%' THEN 'model_unavailable' WHEN line LIKE '--- runs dir shredded%' THEN 'artifacts_cleared' WHEN regexp_matches(line, '^--- [a-z]+ exit: 0') THEN 'agent_finished' WHEN contains(upper(line), 'ERROR') AND NOT line LIKE '{{%' THEN 'error' END, 'private') AS kind, count(*) AS n FROM l GROUP BY 1"""
+WHEN line LIKE 'ERROR: model %rejected a 1-token probe (HTTP 402)%' THEN 'model_unavailable' WHEN line LIKE '--- runs dir shredded%' THEN 'artifacts_cleared' WHEN regexp_matches(line, '^--- holo exit: 0') THEN 'agent_finished' WHEN contains(upper(line), 'ERROR') AND NOT line LIKE '{{%' THEN 'error' END, 'private') AS kind, count(*) AS n FROM l GROUP BY 1"""
 )
 def runner_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A runner's lines by the kind of event that they tell of."""
@@ -98,14 +98,14 @@ def runner_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").groupBy(F.coalesce(ledger.runner_event(line), F.lit("private")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-_LOG = ("--- step ", "💭 ", "⚡ do ", "│ 📝 ", "failed: ", "user: ", "│ ─── ", "MY_API_KEY=abc123 click ", "plain ", "\x1b[31mThought\x1b[0m ")
+_LOG = ("--- step ", "💭 ", "⚡ do ", "│ 📝 ", "failed: ", "user: ", "│ ─── ", "MY_API_KEY=abc123 click ", "plain ", "\x1b[31mThought\x1b[0m ", "\t user: action ", "\u00a0user: click ", "\u2003\x1b[1m--- task: ")
 
 
 @query(
-    f"""WITH l AS (SELECT doc_id, trim(regexp_replace({_case("doc_id", *_LOG)} || coalesce(text, ''), chr(27) || '\\[[0-9;]*m', '', 'g'), ' ') AS t FROM documents),
+    f"""WITH l AS (SELECT doc_id, regexp_replace(regexp_replace({_case("doc_id", *_LOG)} || coalesce(text, ''), chr(27) || '\\[[0-9;]*m', '', 'g'), '^[\\x09-\\x0D\\x1C-\\x20\\x{{85}}\\p{{Z}}]+|[\\x09-\\x0D\\x1C-\\x20\\x{{85}}\\p{{Z}}]+$', '', 'g') AS t FROM documents),
 u AS (SELECT doc_id, t, regexp_replace(regexp_replace(regexp_replace(t, '^[│ ]+|[│ ]+$', '', 'g'), '(?i)\\b([A-Z_]*(?:API_KEY|AUTH_TOKEN|PASSWORD|SECRET|TOKEN|KEY))\\s*=\\s*([^\\s]+)', '\\1=[REDACTED]', 'g'), '[\\x00-\\x08\\x0a-\\x1f]', '', 'g') AS k FROM l),
 v AS (SELECT doc_id, t, CASE WHEN length(k) > 2000 THEN substr(k, 1, 1997) || '…' ELSE k END AS k FROM u),
-c AS (SELECT doc_id, k, CASE WHEN k LIKE '---%' THEN 'runtime' WHEN contains(k, '💭') OR regexp_matches(k, '^(?i:thought|reasoning)') THEN 'reasoning' WHEN contains(k, '⚡') OR regexp_matches(k, '(?i)click|write|scroll|keypress|tool_call|action') THEN 'action' WHEN contains(k, '📝') OR regexp_matches(k, '(?i)answer') THEN 'answer' WHEN regexp_matches(k, '(?i)error|failed') THEN 'error' END AS channel FROM v WHERE NOT t LIKE 'user:%' AND NOT regexp_matches(k, '^[─━═╭╮╰╯┌┐└┘┄┈ ]*$'))
+c AS (SELECT doc_id, k, CASE WHEN k LIKE '---%' THEN 'runtime' WHEN contains(k, '💭') OR regexp_matches(k, '^(?i:thought|reasoning)') THEN 'reasoning' WHEN contains(k, '⚡') OR regexp_matches(k, '(?i)click|write|scroll|keypress|tool_call|action') THEN 'action' WHEN contains(k, '📝') OR regexp_matches(k, '(?i)answer') THEN 'answer' WHEN regexp_matches(k, '(?i)error|failed') THEN 'error' END AS channel FROM v WHERE NOT t LIKE 'user:%' AND NOT t LIKE '--- task:%' AND NOT regexp_matches(k, '^[─━═╭╮╰╯┌┐└┘┄┈ ]*$'))
 SELECT doc_id, channel, md5(k) AS text_md5 FROM c WHERE channel IS NOT NULL"""
 )
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

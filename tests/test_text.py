@@ -105,14 +105,9 @@ def test_name_variants_are_whole_words(spark):
     assert one(spark, "model odel xsecret1y NAME_1_0000", lambda t: vault.replace_variants(t, v)) == "model NAME_1_0000 xAPI_KEY_1_0000y NAME_1_0000"
 
 
-def test_walk_and_authorise(spark):
+def test_walk(spark):
     a = spark.createDataFrame([(1, '{"x":[{"y":"EMAIL_1_0000"}],"z":"q"}'), (2, "not json")], "id int, action string")
     assert {tuple(r) for r in vault.walk(a, "id").collect()} == {(1, "$.x[0].y", "EMAIL_1_0000"), (1, "$.z", "q")}
-    refs = spark.createDataFrame([(1, "T", "send", "$.to", None), (2, "T", "send", "$.to", None), (3, "U", "send", "$.to", None)], "action_id int, token string, tool_name string, argument_path string, target string")
-    grants = spark.createDataFrame([("T", "SEND", "$.to", None, 10.0, 1)], "token string, tool_name string, argument_path string, target string, expires_at double, remaining_uses int")
-    got = {r["action_id"]: r["allowed"] for r in vault.authorise(refs, grants, F.lit(5.0)).collect()}
-    assert got == {1: True, 2: False, 3: False}
-    assert not any(r["allowed"] for r in vault.authorise(refs, grants, F.lit(11.0)).collect())
 
 
 def test_manifest_checks(spark):
