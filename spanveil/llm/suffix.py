@@ -16,8 +16,8 @@ share ``span`` bytes are ordered, in buckets that no such common prefix leaves:
    suffixes are those that occur twice and differ in the byte before, by the hashes
    of their first ``span`` bytes; they are then ordered, compared and scanned by
    their bytes. A repeat longer than its context comes out in overlapping pieces.
-4. A bucket of more than ``LIMIT`` different contexts is no task of its own: each of
-   its strings becomes a row, counted by its hash (all prefixes of ``span`` bytes,
+4. A bucket of more than ``LIMIT`` different contexts is no task of its own: it is dealt out, and each
+   of its strings becomes a row, counted by its hash (all prefixes of ``span`` bytes,
    exact up to equal 64-bit hashes within a bucket).
 5. Repeats go back to the contexts' places and are united in each text.
 
@@ -108,7 +108,7 @@ def _scan(texts: DataFrame, span: int, whole: bool) -> DataFrame:
 
 
 def _cut(rows: DataFrame, span: int) -> DataFrame:
-    """h, c, copies and the bytes of the contexts that ``wanted`` (h, c, copies, place) of each text names."""
+    """h, c, copies, salt and the bytes of the contexts that ``wanted`` (h, c, copies, salt, place) of each text names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -123,9 +123,9 @@ def _cut(rows: DataFrame, span: int) -> DataFrame:
                 cut = np.zeros(len(n) + 1, np.int32)
                 np.cumsum(n, out=cut[1:])
                 binary = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(raw))])
-                yield pa.RecordBatch.from_arrays([w.field("h"), w.field("c"), w.field("copies"), binary], names=["h", "c", "copies", "context"])
+                yield pa.RecordBatch.from_arrays([*[w.field(x) for x in ("h", "c", "copies", "salt")], binary], names=["h", "c", "copies", "salt", "context"])
 
-    return rows.select("text", "wanted").mapInArrow(run, "h long, c long, copies long, context binary")
+    return rows.select("text", "wanted").mapInArrow(run, "h long, c long, copies long, salt long, context binary")
 
 
 def intervals(common: list[int], before: list[int], least: int) -> list[tuple[int, int, int]]:
@@ -189,73 +189,84 @@ def repeats(bucket: np.ndarray, copies: np.ndarray, data: np.ndarray, offs: np.n
     return own, step, step + best, vec.mix((c[at + best] - c[at]) * q[at] + best.astype(_U)).view(np.int64)
 
 
-_FOUND = "h long, c long, a array<int>, b array<int>, repeat array<long>"
-
-
-def _arrays(rows: DataFrame, span: int) -> DataFrame:
-    """h, c and the repeats of each context, from rows dealt and sorted by h: whole buckets are worked on together."""
+_FOUND = "h long, c long, copies long, a array<int>, b array<int>, repeat array<long>"
+
+
+def _bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a column of byte strings."""
+    raw = (col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col).cast(pa.large_binary())
+    if not len(raw):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, off, buf = raw.buffers()
+    offs = np.frombuffer(off, np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    return np.frombuffer(buf, np.uint8)[offs[0] : offs[-1]], offs - offs[0]
+
+
+def _searched(rows: DataFrame, span: int) -> DataFrame:
+    """h, c and the repeats of each context (h, c, copies, salt, context).
+
+    Contexts of salt 0 are dealt and sorted by h, and whole buckets are worked on
+    together. Others are of large buckets: b is null, and ``repeat`` has the hash of each
+    of their strings, not counted yet.
+    """
+
+    def arrays(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        h, cs = np.asarray(t.column("h"), np.int64), np.asarray(t.column("c"), np.int64)
+        copies = np.asarray(t.column("copies"), np.int64)
+        new = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        ends = np.append(new[1:], len(h))
+        lo = 0
+        while lo < len(new):  # about LIMIT contexts at a time
+            hi = max(lo + 1, int(np.searchsorted(ends, new[lo] + LIMIT, "right")))
+            i, j = int(new[lo]), int(ends[hi - 1])
+            data, offs = _bytes(t.column("context").slice(i, j - i))
+            own, a, b, name = repeats(np.searchsorted(new, np.arange(i, j), "right"), copies[i:j], data, offs, span)
+            order = np.argsort(own, kind="stable")
+            count = np.bincount(own, minlength=j - i)
+            some = count > 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[i:j][some]), pa.array(cs[i:j][some]), pa.array(copies[i:j][some]), *[vec.lists(x[order].astype(kind), count[some]) for x, kind in ((a, np.int32), (b, np.int32), (name, np.int64))]],
+                names=["h", "c", "copies", "a", "b", "repeat"],
+            )
+            lo = hi
+
+    def strings(t: pa.Table) -> pa.RecordBatch:
+        data, offs = _bytes(t.column("context"))
+        number = np.diff(offs) - span + 1
+        step = np.arange(int(number.sum())) - np.repeat(np.cumsum(number) - number, number)
+        at = np.repeat(offs[:-1], number) + step
+        c, q = _sums(data)
+        w = vec.mix((c[at + span] - c[at]) * q[at] + _U(span)).view(np.int64)
+        none = pa.nulls(len(t), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([*[t.column(x).combine_chunks() for x in ("h", "c", "copies")], vec.lists(step.astype(np.int32), number), none, vec.lists(w, number)], names=["h", "c", "copies", "a", "b", "repeat"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: pa.Table | None = None
-
-        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            h, cs = np.asarray(t.column("h"), np.int64), np.asarray(t.column("c"), np.int64)
-            new = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            ends = np.append(new[1:], len(h))
-            lo = 0
-            while lo < len(new):  # about LIMIT contexts at a time
-                hi = max(lo + 1, int(np.searchsorted(ends, new[lo] + LIMIT, "right")))
-                i, j = int(new[lo]), int(ends[hi - 1])
-                part = t.slice(i, j - i).combine_chunks()
-                raw = part.column("context").combine_chunks().cast(pa.large_binary())
-                _, off, buf = raw.buffers()
-                offs = np.frombuffer(off, np.int64)[raw.offset : raw.offset + len(raw) + 1]
-                data = np.frombuffer(buf, np.uint8)[offs[0] : offs[-1]]
-                bucket = np.searchsorted(new, np.arange(i, j), "right")
-                own, a, b, name = repeats(bucket, np.asarray(part.column("copies"), np.int64), data, offs - offs[0], span)
-                order = np.argsort(own, kind="stable")
-                count = np.bincount(own, minlength=j - i)
-                some = count > 0
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[i:j][some]), pa.array(cs[i:j][some]), *[vec.lists(x[order].astype(kind), count[some]) for x, kind in ((a, np.int32), (b, np.int32), (name, np.int64))]],
-                    names=["h", "c", "a", "b", "repeat"],
-                )
-                lo = hi
-
         for batch in batches:
-            if not len(batch):
-                continue
             t = pa.Table.from_batches([batch])
+            salt = np.asarray(t.column("salt"), np.int64)
+            n = int(np.searchsorted(salt, 1))  # sorted: those of salt 0 come first
+            if n < len(t):
+                yield strings(t.slice(n))
+                t = t.slice(0, n)
             t = t if left is None else pa.concat_tables([left, t])
-            h = np.asarray(t.column("h"), np.int64)
-            whole = int(np.searchsorted(h, h[-1]))  # the last bucket may go on
-            if whole:
-                yield from done(t.slice(0, whole))
-            left = t.slice(whole)
-        if left is not None and len(left):
-            yield from done(left)
-
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, _FOUND)
-
-
-def _strings(rows: DataFrame, span: int) -> DataFrame:
-    """h, c and the repeated strings of contexts in large buckets: a row for each string, counted by its hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = b.column(3).cast(pa.large_binary())
-            _, off, buf = raw.buffers()
-            offs = np.frombuffer(off, np.int64)[raw.offset : raw.offset + len(raw) + 1]
-            data = np.frombuffer(buf, np.uint8)[offs[0] : offs[-1]] if len(raw) else np.zeros(0, np.uint8)
-            offs = offs - offs[0]
-            number = np.diff(offs) - span + 1
-            at = np.repeat(offs[:-1] - np.cumsum(number) + number, number) + np.arange(int(number.sum()))
-            c, q = _sums(data)
-            w = vec.mix((c[at + span] - c[at]) * q[at] + _U(span)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), vec.lists(w, number)], names=["h", "c", "copies", "w"])
-
-    each = written(rows.mapInArrow(run, "h long, c long, copies long, w array<long>")).select("h", "c", "copies", F.posexplode("w").alias("a", "w"))
-    twice = each.groupBy("h", "w").agg(F.sum("copies").alias("n")).where(F.col("n") > 1).drop("n")
+            left = None
+            if len(t):
+                h = np.asarray(t.column("h"), np.int64)
+                whole = int(np.searchsorted(h, h[-1]))  # the last bucket may go on
+                if whole:
+                    yield from arrays(t.slice(0, whole))
+                left = t.slice(whole)
+        if left is not None:
+            yield from arrays(left)
+
+    return rows.repartition("h", "salt").sortWithinPartitions("salt", "h").mapInArrow(run, _FOUND)
+
+
+def _counted(rows: DataFrame, span: int) -> DataFrame:
+    """h, c, a, b and repeat of the contexts of large buckets: their strings that occur twice, each a row counted by its hash."""
+    each = rows.select("h", "c", "copies", F.explode(F.arrays_zip("a", "repeat")).alias("z")).select("h", "c", "copies", F.col("z.a").alias("a"), F.col("z.repeat").alias("w"))
+    twice = written(each.groupBy("h", "w").agg(F.sum("copies").alias("n")).where(F.col("n") > 1).drop("n"))
     found = each.join(twice, ["h", "w"]).groupBy("h", "c").agg(F.array_sort(F.collect_list(F.struct("a", "w"))).alias("x"))
     return found.select("h", "c", F.col("x.a").alias("a"), F.transform("x.a", lambda a: a + span).alias("b"), F.col("x.w").alias("repeat"))
 
@@ -265,25 +276,23 @@ def _places(docs: DataFrame, span: int, limit: int) -> tuple[DataFrame, DataFram
     ship(docs.sparkSession)
     rid = F.xxhash64(F.col("doc_id").cast("string"), F.lit(0), F.col("text"))
     docs = docs.select(rid.alias("rid"), "doc_id", "text")
-    again = _scan(docs, span, False).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("h")
+    # written tables: a join of two exchanges of them is one that Spark may split
+    again = written(_scan(docs, span, False).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("h"))
     places = written(_scan(docs, span, True).join(again, "h"))
     # one row for each different context, with one place of it
     single = written(places.groupBy("h", "c").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "place")).alias("one")).select("h", "c", "copies", "one.rid", "one.place"))
     size = written(single.groupBy("h").agg(F.count("*").alias("m")))
     sized = single.join(size, "h")
-    alone = sized.where(F.col("m") == 1).select(
-        "h", "c", F.array(F.lit(0)).alias("a"), F.array((F.col("place").bitwiseAND(F.lit(0xFFFF)) + (span - 1)).cast("int")).alias("b"), F.array(F.col("c")).alias("repeat")
-    )
-    # rows equal in id and text are one; the exchange of texts serves both joins
+    width = F.col("place").bitwiseAND(F.lit(0xFFFF)) + (span - 1)
+    alone = sized.where(F.col("m") == 1).select("h", "c", F.array(F.lit(0)).alias("a"), F.array(width.cast("int")).alias("b"), F.array(F.col("c")).alias("repeat"))
+    # rows equal in id and text are one
     texts = docs.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies"))
-
-    def cut(rows: DataFrame) -> DataFrame:
-        wanted = rows.groupBy("rid").agg(F.collect_list(F.struct("h", "c", "copies", "place")).alias("wanted"))
-        return _cut(texts.join(wanted, "rid"), span)
-
-    found = alone.unionByName(_arrays(cut(sized.where((F.col("m") > 1) & (F.col("m") <= limit))), span))
+    salt = F.when(F.col("m") > limit, F.pmod("c", F.lit(1 << 20)) + 1).otherwise(F.lit(0).cast("long"))
+    wanted = sized.where(F.col("m") > 1).groupBy("rid").agg(F.collect_list(F.struct("h", "c", "copies", salt.alias("salt"), "place")).alias("wanted"))
+    several = written(_searched(_cut(texts.select("rid", "text").join(wanted, "rid"), span), span))
+    found = alone.unionByName(several.where(F.col("b").isNotNull()).drop("copies"))
     if size.where(F.col("m") > limit).limit(1).count():
-        found = found.unionByName(_strings(cut(sized.where(F.col("m") > limit)), span))
+        found = found.unionByName(_counted(several.where(F.col("b").isNull()), span))
     met = places.join(found, ["h", "c"]).groupBy("rid").agg(F.collect_set(F.struct("place", "a", "b", "repeat")).alias("found"))
     return texts, met
 
