@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import cmp_to_key
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanveil.functions import geometry as geo
+from spanveil.functions import rules
+from spanveil.operators import grid
 from spanveil.operators.grouped import per_group, per_pair
 
 
@@ -24,18 +27,42 @@ def suppress(regions: DataFrame, frame: str = "frame_id", limit: float = 0.7, mo
     return out.withColumn("_n", nth).where(F.col("_n") <= most).drop("_n")
 
 
-def should_merge(a: tuple, b: tuple) -> bool:
-    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    if w <= 0 or h <= 0:
-        return False
-    i = w * h
-    sa, sb = max(0.0, a[2] - a[0]) * max(0.0, a[3] - a[1]), max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1])
-    return i / max(1.0, sa + sb - i) >= 0.35 or i / max(1.0, min(sa, sb)) >= 0.55
+#: The share of the union, or of the smaller box (each of one pixel at least), from which two regions are one.
+SAME, INSIDE = 0.35, 0.55
+
+
+def _one(box: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of the other boxes are one region with a box."""
+    side = lambda b: np.maximum(0.0, b[..., 2:] - b[..., :2]).prod(-1)
+    w = np.minimum(box[2:], others[:, 2:]) - np.maximum(box[:2], others[:, :2])
+    i = np.maximum(0.0, w).prod(-1)
+    a, b = side(box), side(others)
+    return (i > 0) & ((i / np.maximum(1.0, a + b - i) >= SAME) | (i / np.maximum(1.0, np.minimum(a, b)) >= INSIDE))
 
 
-def _joined(new: list, old: list) -> list:
-    a, b = new[0], old[0]
-    return [(min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])), list(dict.fromkeys([*new[1], *old[1]])), list(dict.fromkeys([*new[2], *old[2]])), max(new[3], old[3])]
+def fused_groups(boxes: np.ndarray) -> list[list[int]]:
+    """Which of ordered boxes become one region each, in order of joining.
+
+    Regions stand in a row. A new box goes along it from the last to the first and takes
+    what is one with it: once by itself, then with all that it has taken so far, again
+    and again until a walk takes nothing; then it stands last.
+    """
+    hull, member = np.zeros((0, 4)), []
+    for n, box in enumerate(np.asarray(boxes, float)):
+        whole, own, alone = box.copy(), [n], True
+        while True:
+            at, taken = len(member), 0
+            while len(hit := np.flatnonzero(_one(box if alone else whole, hull[:at]))):
+                at = int(hit[-1])
+                whole = np.append(np.minimum(whole[:2], hull[at, :2]), np.maximum(whole[2:], hull[at, 2:]))
+                own += member.pop(at)
+                hull = np.delete(hull, at, 0)
+                taken += 1
+            if not taken:
+                break
+            alone = False
+        hull, member = np.vstack([hull, whole]), [*member, own]
+    return member
 
 
 def fuse(regions: DataFrame, frame: str = "frame_id") -> DataFrame:
@@ -46,23 +73,14 @@ def fuse(regions: DataFrame, frame: str = "frame_id") -> DataFrame:
     kind = regions.schema[frame].dataType.simpleString()
 
     def run(f: object, rows: list[dict]) -> list[tuple]:
-        out: list[list] = []
-        size = 0
-        for r in sorted(rows, key=lambda r: (-r["score"], r["id"])):
-            new = [(r["x1"], r["y1"], r["x2"], r["y2"]), r["labels"], r["sources"], r["score"]]
-            # first all that the box itself meets, then what the union meets, until it meets nothing
-            for i in reversed([i for i, k in enumerate(out) if should_merge(new[0], k[0])]):
-                new = _joined(new, out.pop(i))
-            met = len(out) < size
-            while met:
-                met = False
-                for i in range(len(out) - 1, -1, -1):
-                    if should_merge(new[0], out[i][0]):
-                        new, met = _joined(new, out.pop(i)), True
-            size = len(out) + 1
-            out.append(new)
-        out.sort(key=lambda x: (x[0][1], x[0][0]))
-        return [(f, i, *b, " + ".join(labels), labels, sources, s) for i, (b, labels, sources, s) in enumerate(out)]
+        rows = sorted(rows, key=lambda r: (-r["score"], r["id"]))
+        xy = np.array([[r["x1"], r["y1"], r["x2"], r["y2"]] for r in rows], float)
+        out = []
+        for group in fused_groups(xy):
+            every = lambda c, g=group: list(dict.fromkeys(x for i in g for x in rows[i][c]))
+            out.append((*xy[group, :2].min(0).tolist(), *xy[group, 2:].max(0).tolist(), every("labels"), every("sources"), max(rows[i]["score"] for i in group)))
+        out.sort(key=lambda x: (x[1], x[0]))
+        return [(f, i, *x[:4], " + ".join(x[4]), *x[4:]) for i, x in enumerate(out)]
 
     return per_group(regions, frame, run, f"{frame} {kind}, idx int, x1 double, y1 double, x2 double, y2 double, label string, labels array<string>, sources array<string>, score double")
 
@@ -81,12 +99,17 @@ def reading_order(findings: DataFrame, frame: str = "frame_id", slack: float = 1
 
 
 def best_coverage(truth: DataFrame, regions: DataFrame, frame: str = "frame_id") -> DataFrame:
-    """truth with the greatest coverage by any region of its frame, and that region."""
-    t = truth.withColumn("_t", F.struct("x1", "y1", "x2", "y2")).alias("t")
-    r = regions.select(F.col(frame).alias("_f"), F.col("id").alias("region_id"), F.struct("x1", "y1", "x2", "y2").alias("_r"))
-    j = t.join(r, F.col(frame) == F.col("_f"), "left").withColumn("_c", F.when(F.col("_f").isNotNull(), geo.coverage(F.col("_r"), F.col("_t"))))
-    best = F.struct("_c", (-F.col("region_id")).alias("o"))
-    return j.groupBy(*[c for c in truth.columns]).agg(F.coalesce(F.max("_c"), F.lit(0.0)).alias("coverage"), F.max_by("region_id", best).alias("region_id"))
+    """truth with the greatest coverage by any region of its frame, and that region (of equal ones the smallest id; the frame's first, if none covers any of it)."""
+    found = grid.best(truth, regions, lambda t, r: geo.coverage(r, t), frame, "coverage", "region_id")
+    first = regions.groupBy(F.col(frame).alias("_f")).agg(F.min("id").alias("_first"))
+    return found.join(first, F.col(frame) == F.col("_f"), "left").withColumn("region_id", F.coalesce("region_id", "_first")).withColumn("coverage", F.coalesce("coverage", F.lit(0.0))).drop("_f", "_first")
+
+
+def best_overlap(regions: DataFrame, annotations: DataFrame, frame: str = "frame_id", least: float = 0.5) -> DataFrame:
+    """regions with the annotation of their frame that they overlap most (the greater of both boxes' shares), if it is ``least`` or more; of equal ones the smallest id."""
+    found = grid.best(regions, annotations, grid.overlap, frame, "overlap", "annotation_id")
+    ok = F.col("overlap") >= least
+    return found.withColumn("annotation_id", F.when(ok, F.col("annotation_id"))).withColumn("overlap", F.when(ok, F.col("overlap")))
 
 
 def masked_area(regions: DataFrame, frame: str = "frame_id", width: str = "width", height: str = "height") -> DataFrame:
@@ -119,23 +142,30 @@ def greedy_match(truth: DataFrame, detections: DataFrame, frame: str = "frame_id
     return per_pair(truth.select(*cols), detections.select(*cols, "score"), frame, run, f"{frame} {kind}, truth_id long, detection_id long, iou double")
 
 
-#: How far right of and below a cue its value may stand, and what ranks a value below behind any beside.
-REACH_RIGHT, REACH_BELOW, BELOW = 480.0, 96.0, 10_000.0
+#: A cue's reach (at most, at least, in heights) to the right, below and aside, and what ranks a value below behind any beside.
+REACH = {"right": (480.0, 64.0, 12.0), "below": (96.0, 32.0, 3.0), "aside": (float("inf"), 120.0, 5.0)}
+ROW, BACK, BELOW = 0.45, 0.35, 10_000.0
+
+
+def _tall(b: Column) -> Column:
+    return F.greatest(F.lit(1.0), b["y2"] - b["y1"])
+
+
+def reach(cue: Column) -> dict[str, Column]:
+    """How far a cue looks, by its height."""
+    return {k: F.least(F.lit(most), F.greatest(F.lit(least), times * _tall(cue))) for k, (most, least, times) in REACH.items()}
 
 
-def association_rank(cue: dict, value: dict, right: float = REACH_RIGHT, below: float = REACH_BELOW) -> float | None:
-    """How near a value stands to its cue: on the same row to the right, else below; None out of reach."""
-    tall = max(1.0, cue["y2"] - cue["y1"])
-    shared = max(0.0, min(cue["y2"], value["y2"]) - max(cue["y1"], value["y1"]))
-    gap = value["x1"] - cue["x2"]
-    if shared >= 0.45 * min(tall, max(1.0, value["y2"] - value["y1"])) and gap >= -0.35 * tall:
-        middle = abs((cue["y1"] + cue["y2"]) - (value["y1"] + value["y2"])) / 2
-        return max(0.0, gap) + 2 * middle if gap <= min(right, max(64.0, 12 * tall)) else None
-    drop, offset = value["y1"] - cue["y2"], abs(cue["x1"] - value["x1"])
-    apart = min(cue["x2"], value["x2"]) <= max(cue["x1"], value["x1"]) and offset > max(5 * tall, 120.0)
-    if drop < -0.35 * tall or drop > min(below, max(32.0, 3 * tall)) or apart:
-        return None
-    return BELOW + 4 * max(0.0, drop) + offset
+def association_rank(cue: Column, value: Column) -> Column:
+    """How near a value stands to its cue: on the same row to the right, else below; null out of reach."""
+    far, back = reach(cue), -BACK * _tall(cue)
+    span = lambda a, b: F.least(cue[b], value[b]) - F.greatest(cue[a], value[a])
+    right, down, shift = value["x1"] - cue["x2"], value["y1"] - cue["y2"], F.abs(value["x1"] - cue["x1"])
+    in_row = (F.greatest(F.lit(0.0), span("y1", "y2")) >= ROW * F.least(_tall(cue), _tall(value))) & (right >= back)
+    middles = F.abs(cue["y1"] + cue["y2"] - value["y1"] - value["y2"])
+    beside = F.when(right <= far["right"], F.greatest(F.lit(0.0), right) + middles)
+    under = F.when(down.between(back, far["below"]) & ((span("x1", "x2") > 0) | (shift <= far["aside"])), BELOW + 4 * F.greatest(F.lit(0.0), down) + shift)
+    return F.when(in_row, beside).otherwise(under)
 
 
 def associate(cues: DataFrame, values: DataFrame, frame: str = "frame_id") -> DataFrame:
@@ -143,24 +173,36 @@ def associate(cues: DataFrame, values: DataFrame, frame: str = "frame_id") -> Da
 
     A column ``label`` of the cues and ``fits`` of the values (an array of the
     labels that a value's text is plausible for) restrict the pairs; without them all fit.
+    Candidates are found by the grid, with each cue's reach as its box; only they are
+    gone through in order.
     """
     kind = cues.schema[frame].dataType.simpleString()
-    cols = [frame, "id", "x1", "y1", "x2", "y2"]
     typed = "label" in cues.columns and "fits" in values.columns
+    xy = ("x1", "y1", "x2", "y2")
+    own = F.struct(*[F.col(c).cast("double").alias(c) for c in xy])
+    far, back = reach(own), BACK * _tall(own)
+    around = [
+        F.least(own["x1"] - far["aside"], own["x2"] - back).alias("x1"),
+        F.least(own["y1"], own["y2"] - back).alias("y1"),
+        F.greatest(own["x2"] + far["right"], own["x1"] + far["aside"]).alias("x2"),
+        (own["y2"] + far["below"]).alias("y2"),
+    ]
+    c = cues.select(frame, "id", own.alias("own"), *(["label"] if typed else []), *around)
+    v = values.select(frame, "id", *[F.col(x).cast("double").alias(x) for x in xy], *(["fits"] if typed else []))
+    met = grid.pairs(c, v, frame, touch=True)
+    if typed:
+        met = met.where(F.array_contains("r.fits", F.col("l.label")))
+    near = met.select(F.col(f"l.{frame}").alias(frame), F.col("l.id").alias("cue_id"), F.col("r.id").alias("value_id"), association_rank(F.col("l.own"), F.col("r")).alias("rank")).where(F.col("rank").isNotNull())
 
-    def run(f: object, c: list[dict], v: list[dict]) -> list[tuple]:
-        free = {x["id"]: x for x in v}
-        out = []
-        for q in sorted(c, key=lambda q: q["id"]):
-            near = ((association_rank(q, x), i) for i, x in free.items() if not typed or q["label"] in (x["fits"] or ()))
-            best = min((k for k in near if k[0] is not None), default=None)
-            if best:
-                del free[best[1]]
-                out.append((f, q["id"], best[1], best[0]))
-        return out
+    def run(f: object, rows: list[dict]) -> list[tuple]:
+        out, used = {}, set()
+        for r in sorted(rows, key=lambda r: (r["cue_id"], r["rank"], r["value_id"])):
+            if r["cue_id"] not in out and r["value_id"] not in used:
+                used.add(r["value_id"])
+                out[r["cue_id"]] = (f, r["cue_id"], r["value_id"], r["rank"])
+        return list(out.values())
 
-    left, right = (cues.select(*cols, "label"), values.select(*cols, "fits")) if typed else (cues.select(*cols), values.select(*cols))
-    return per_pair(left, right, frame, run, f"{frame} {kind}, cue_id long, value_id long, rank double")
+    return per_group(near, frame, run, f"{frame} {kind}, cue_id long, value_id long, rank double")
 
 
 def valid_region(text: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -178,6 +220,35 @@ def associate_regions(regions: DataFrame, labels: list[str], frame: str = "frame
     return associate(r.where(F.col("label").isin(*labels)), r.where(F.col("label").isNull()).withColumn("fits", fits), frame)
 
 
+def valued(matches: DataFrame, regions: DataFrame, frame: str = "frame_id") -> DataFrame:
+    """Matches of ``associate_regions`` as regions: the value's box, the cue's label, and a score of the value's ``ocr_confidence`` between 0.5 and 0.96."""
+    from spanveil.functions import cues as words
+
+    r = regions.select(F.col(frame).alias("_f"), F.col("id").alias("_i"), words.field_cue(F.col("text")).alias("label"), "x1", "y1", "x2", "y2", "ocr_confidence")
+    cue = r.select("_f", F.col("_i").alias("cue_id"), "label")
+    value = r.drop("label").withColumnRenamed("_i", "value_id")
+    score = F.least(F.lit(0.96), F.greatest(F.lit(0.5), rules.finite(F.col("ocr_confidence"), 0.5)))
+    both = matches.join(cue, (F.col(frame) == F.col("_f")) & (matches["cue_id"] == cue["cue_id"])).drop("_f").drop(cue["cue_id"])
+    return both.join(value, (F.col(frame) == F.col("_f")) & (both["value_id"] == value["value_id"])).select(frame, "cue_id", both["value_id"], "label", "x1", "y1", "x2", "y2", score.alias("score"))
+
+
+def contextual_regions(regions: DataFrame, frame: str = "frame_id") -> DataFrame:
+    """Names in greetings, delivery lines and order lines as regions, and the address that stands on and under a delivery line: frame, id, label, box, score."""
+    from spanveil.functions import cues as words
+
+    xy = ("x1", "y1", "x2", "y2")
+    r = regions.where(valid_region(F.col("text"), *[F.col(c) for c in xy])).withColumn("text", F.trim("text")).withColumn("found", words.contextual_name(F.col("text"))).where(F.col("found").isNotNull())
+    box = F.struct(*[F.col(c).cast("double").alias(c) for c in xy])
+    start = F.position(F.col("found.name"), F.col("text")) - 1
+    grown = lambda left, up, right, down: F.struct((box["x1"] - left).alias("x1"), (box["y1"] - up).alias("y1"), (box["x2"] + right).alias("x2"), (box["y2"] + down).alias("y2"))
+    two = F.lit(2.0)
+    name = F.when(F.col("found.how") == "greeting", grown(two, two, two, two)).otherwise(words.text_range_box(box, F.col("text"), start, F.length("found.name")))
+    place = F.when(F.col("found.how") == "delivery", grown(F.lit(0.0), F.lit(0.0), (box["x2"] - box["x1"]) * 0.25, box["y2"] - box["y1"]))
+    score = F.least(F.lit(0.96), F.greatest(F.lit(0.5), rules.finite(F.col("ocr_confidence"), 0.5)))
+    each = F.filter(F.array(F.struct(F.lit("NAME").alias("label"), name.alias("box")), F.struct(F.lit("ADDRESS").alias("label"), place.alias("box"))), lambda x: x["box"].isNotNull())
+    return r.select(frame, "id", F.explode(each).alias("e"), score.alias("score")).select(frame, "id", "e.label", "e.box.*", "score")
+
+
 def same_box(regions: DataFrame, frame: str = "frame_id") -> DataFrame:
     """Regions of equal coordinates as one, with all labels and the best score."""
     return regions.groupBy(frame, "x1", "y1", "x2", "y2").agg(F.array_sort(F.collect_set("label")).alias("labels"), F.max("score").alias("score"), F.count("*").alias("n"))
@@ -185,9 +256,11 @@ def same_box(regions: DataFrame, frame: str = "frame_id") -> DataFrame:
 
 def outside_rois(findings: DataFrame, rois: DataFrame, frame: str = "frame_id") -> DataFrame:
     """Findings whose centre lies in no region of interest of their frame."""
-    f, r = findings.alias("f"), rois.alias("r")
-    b = lambda t: F.struct(*[F.col(f"{t}.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
-    return f.join(r, (F.col(f"f.{frame}") == F.col(f"r.{frame}")) & geo.center_in(b("f"), b("r")), "left_anti")
+    x, y = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
+    rows = findings.withColumn("_at", F.struct(F.col(frame), x.alias("x"), y.alias("y")))
+    points = rows.select("_at").distinct().select(F.col(f"_at.{frame}").alias(frame), *[F.col(f"_at.{a}").alias(b) for a, b in (("x", "x1"), ("y", "y1"), ("x", "x2"), ("y", "y2"))])
+    inside = grid.pairs(points, rois.select(frame, "x1", "y1", "x2", "y2"), frame, touch=True).select(F.struct(F.col(f"l.{frame}"), F.col("l.x1").alias("x"), F.col("l.y1").alias("y")).alias("_in")).distinct()
+    return rows.join(inside, F.col("_at") == F.col("_in"), "left_anti").drop("_at")
 
 
 def padded_rois(regions: DataFrame, frame: str = "frame_id", pad: float = 8.0) -> DataFrame:

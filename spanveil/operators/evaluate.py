@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanveil.functions import rules
-from spanveil.operators import boxes
+from spanveil.operators import boxes, grid
 from spanveil.operators.grouped import per_pair
 
 COVERED = 0.98
@@ -28,11 +28,12 @@ def region_totals(frames: DataFrame, truth: DataFrame, regions: DataFrame, frame
     """One row of totals: recall, proposal precision, secret misses, hard negatives, masked area."""
     best = boxes.best_coverage(truth, regions, frame).withColumn("hit", F.col("coverage") >= covered).withColumn("secret", F.col("class").isin(*rules.SECRET_CLASSES))
     t = best.groupBy(frame).agg(F.count("*").alias("truth"), F.count_if("hit").alias("covered"), F.count_if("secret").alias("secrets"), F.count_if(F.col("secret") & F.col("hit")).alias("secrets_covered"))
-    tt = truth.select(F.col(frame).alias("_f"), F.struct("x1", "y1", "x2", "y2").alias("_t"), F.col("class").alias("_c"), F.col("source_class").alias("_s"))
     from spanveil.functions import geometry as geo
 
-    ok = (F.col(frame) == F.col("_f")) & (geo.coverage(F.struct("x1", "y1", "x2", "y2"), F.col("_t")) >= covered) & boxes.compatible(F.col("_c"), F.col("_s"), F.col("labels"))
-    matched = regions.join(tt, ok, "left_semi").groupBy(frame).agg(F.count("*").alias("matched"))
+    xy = ("x1", "y1", "x2", "y2")
+    met = grid.pairs(truth.select(frame, "class", "source_class", *xy), regions.select(frame, "id", "labels", *xy), frame)
+    fit = met.where((geo.coverage(F.col("r"), F.col("l")) >= covered) & boxes.compatible(F.col("l.class"), F.col("l.source_class"), F.col("r.labels")))
+    matched = fit.select(F.col(f"r.{frame}").alias(frame), "r.id").distinct().groupBy(frame).agg(F.count("*").alias("matched"))
     r = regions.groupBy(frame).agg(F.count("*").alias("predictions"), F.sum(geo.area(F.struct("x1", "y1", "x2", "y2"))).alias("area"))
     each = frames.join(t, frame, "left").join(r, frame, "left").join(matched, frame, "left").fillna(0)
     size = F.col("width") * F.col("height")
@@ -68,11 +69,11 @@ def path_saves(truth: DataFrame, regions: DataFrame, frame: str = "frame_id", co
     """Which path (visual, ocr, fused; column ``path``) covers each true box, summed up."""
     from spanveil.functions import geometry as geo
 
-    t = truth.withColumn("_t", F.struct("x1", "y1", "x2", "y2"))
-    r = regions.select(F.col(frame).alias("_f"), "path", F.struct("x1", "y1", "x2", "y2").alias("_r"))
-    j = t.join(r, F.col(frame) == F.col("_f"), "left").withColumn("hit", F.coalesce(geo.coverage(F.col("_r"), F.col("_t")) >= covered, F.lit(False)))
-    has = lambda p: F.coalesce(F.bool_or(F.col("hit") & (F.col("path") == p)), F.lit(False)).alias(p)
-    each = j.groupBy(frame, "id", "class").agg(has("visual"), has("ocr"), has("fused"))
+    xy = ("x1", "y1", "x2", "y2")
+    met = grid.pairs(truth.select(frame, "id", *xy), regions.select(frame, "path", *xy), frame).where(geo.coverage(F.col("r"), F.col("l")) >= covered)
+    hits = met.groupBy(F.col(f"l.{frame}").alias("_f"), F.col("l.id").alias("_i")).agg(F.collect_set("r.path").alias("_paths"))
+    has = lambda p: F.coalesce(F.array_contains("_paths", p), F.lit(False)).alias(p)
+    each = truth.select(frame, "id", "class").distinct().join(hits, (F.col(frame) == F.col("_f")) & (F.col("id") == F.col("_i")), "left").select("class", has("visual"), has("ocr"), has("fused"))
     v, o, f = F.col("visual"), F.col("ocr"), F.col("fused")
     secret = F.col("class").isin(*rules.SECRET_CLASSES)
     return each.agg(
