@@ -246,28 +246,7 @@ def check_manifest(claimed: DataFrame, vault: DataFrame) -> DataFrame:
 
 
 def walk(actions: DataFrame, key: str, column: str = "action") -> DataFrame:
-    """Every text of a JSON document with its path: key, path, value. Documents of any depth, in Arrow batches."""
-    import json
-
-    def texts(x: object, path: str) -> Iterator[tuple[str, str]]:
-        if isinstance(x, str):
-            yield path, x
-        elif isinstance(x, list):
-            for i, y in enumerate(x):
-                yield from texts(y, f"{path}[{i}]")
-        elif isinstance(x, dict):
-            for k, y in x.items():
-                yield from texts(y, f"{path}.{k}")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for k, a in zip(b["k"], b["a"], strict=True):
-                try:
-                    rows += [(k, p, v) for p, v in texts(json.loads(a or "null"), "$")]
-                except ValueError:
-                    continue
-            yield pd.DataFrame(rows, columns=["k", "path", "value"])
-
-    kind = actions.schema[key].dataType.simpleString()
-    return actions.select(F.col(key).alias("k"), F.col(column).alias("a")).mapInPandas(run, f"k {kind}, path string, value string").withColumnRenamed("k", key)
+    """Every text of a JSON document with its path: key, path, value. Documents of any depth, level by level."""
+    from spanveil.operators import walks
+
+    return walks.texts(actions, key, column)

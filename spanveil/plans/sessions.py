@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.operators import approvals, ledger, vault
+from spanveil.operators import approvals, feed, ledger, vault, walks, windows
 from spanveil.plans.contracts import _case, _pick
 from spanveil.plans.text import read
 
@@ -126,3 +126,88 @@ def markers_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+
+
+_SLOT = "CAST('0x' || md5('7:slot:' || (i - 200))[1:8] AS BIGINT) % 200"
+_FEED = f"""r AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY source, doc_id) - 1 AS i FROM documents),
+p AS (SELECT doc_id, n_chars, greatest(i - 200, -1) AS step, CASE WHEN i < 200 THEN i ELSE {_SLOT} END AS slot FROM r),
+q AS (SELECT *, lead(step) OVER (PARTITION BY slot ORDER BY step) AS gone FROM p),
+f AS (SELECT doc_id, n_chars, gone + 1 AS position FROM q WHERE gone IS NOT NULL UNION ALL
+  SELECT doc_id, n_chars, row_number() OVER (ORDER BY CAST('0x' || md5('7:rest:' || slot)[1:8] AS BIGINT), slot) + (SELECT count(*) - 200 FROM r) FROM q WHERE gone IS NULL)"""
+
+
+def _fed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feed.buffered(read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "source", "doc_id", seed=7, buffer=200)
+
+
+@query(f"WITH {_FEED} SELECT doc_id, position FROM f")
+def buffered_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order in which a shuffle with a buffer of 200 gives the documents out."""
+    return _fed(spark, sf_dir).select("doc_id", "position")
+
+
+@query(f"WITH {_FEED} SELECT doc_id, row_number() OVER (ORDER BY position) AS place FROM f WHERE n_chars % 3 <> 0 QUALIFY place <= 100")
+def feed_taken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred accepted documents of that feed (as many as a training split asks for)."""
+    return feed.taken(_fed(spark, sf_dir), F.pmod("n_chars", F.lit(3)) != 0, 100).select("doc_id", "place")
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents),
+w AS (SELECT doc_id, n, greatest(1, CAST(ceil((n - 64) / 320.0) AS BIGINT)) AS k FROM t)
+SELECT doc_id, k AS windows, n + 64 * (k - 1) AS tokens, n AS "distinct" FROM w"""
+)
+def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of each document, the tokens in them, and how many different ones."""
+    w = windows.cut(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    t = windows.token_rows(w).groupBy("doc_id").agg(F.count("*").alias("tokens"), F.count_distinct("number").alias("distinct"))
+    n = w.groupBy("doc_id").agg(F.count("*").alias("windows"))
+    return n.join(t, "doc_id", "left").select("doc_id", "windows", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("distinct", F.lit(0)).alias("distinct"))
+
+
+_CALLS = "to_json(struct(concat(role, ' EMAIL_', turn % 3 + 1, '_0000 «NAME_1_0000»') AS name, array(named_struct('q', substring(text, 1, 20), 'deep', array(array(concat('x EMAIL_1_0000 ', role), string(turn))))) AS list, named_struct('value', named_struct('filename', role)) AS more))"
+
+
+@query(
+    """SELECT conv_id, turn, '$.name' AS path, 'EMAIL_' || (turn % 3 + 1) || '_0000' AS token FROM conversations UNION ALL SELECT conv_id, turn, '$.name', 'NAME_1_0000' FROM conversations UNION ALL SELECT conv_id, turn, '$.list[0].deep[0][0]', 'EMAIL_1_0000' FROM conversations"""
+)
+def token_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token references in nested arguments, with their paths."""
+    c = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("k"), F.expr(_CALLS).alias("action"))
+    return walks.references(c, "k").select(F.floor(F.col("k") / 100_000).alias("conv_id"), F.pmod("k", F.lit(100_000)).alias("turn"), "path", "token")
+
+
+@query("SELECT path, count(*) AS n FROM conversations, (VALUES ('$.more.value'), ('$.more.value.filename')) p(path) GROUP BY 1")
+def forbidden_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that no report may have, by path."""
+    c = read(spark, sf_dir, "conversations").select("conv_id", F.expr(_CALLS).alias("action"))
+    return walks.forbidden(c, "conv_id", "action").groupBy("path").agg(F.count("*").alias("n"))
+
+
+_REPORT = (
+    '{"pipeline":"p1","profile":"balanced","dimensions":{"width":640,"height":480},"counts":{"visual":3,"ocr":"2"},"timings":{"total":12.5},"warnings":["a"],"regions":[{"x1":1,"y1":2,"x2":"3","y2":4,"label":"NAME","labels":["NAME"],"sources":["OCR"],"score":0.5}]}',
+    '{"pipeline":"p2","profile":"balanced"}',
+    '{"pipeline":"p1","profile":"balanced","dimensions":{"width":0,"height":480}}',
+    '{"pipeline":"p1","profile":"balanced","dimensions":{"width":1,"height":4.5}}',
+    '{"pipeline":"p1","profile":"balanced","dimensions":{"width":640,"height":480},"counts":{"bad key":3},"timings":{},"warnings":[],"regions":[]}',
+    '{"pipeline":"p1","profile":"balanced","dimensions":{"width":640,"height":480},"counts":{"a":-1},"timings":{},"warnings":[],"regions":[]}',
+    '{"pipeline":"p1","profile":"balanced","dimensions":{"width":640,"height":480},"counts":{},"timings":{"a":null},"warnings":"x","regions":[]}',
+    '{"pipeline":"p1","profile":"balanced","dimensions":{"width":640,"height":480},"counts":{},"timings":{"a":null},"warnings":[],"regions":[{"x1":1}]}',
+    "not json",
+)
+
+
+@query(
+    f"""WITH r AS (SELECT event_id, event_id % 9 AS c, replace({_case("event_id", *_REPORT)}, '12.5', CAST(event_id % 50 AS VARCHAR)) AS r FROM events)
+SELECT CASE c WHEN 1 THEN 'pipeline' WHEN 2 THEN 'dimensions.width' WHEN 3 THEN 'dimensions.height' WHEN 4 THEN 'counts' WHEN 5 THEN 'counts' WHEN 6 THEN 'warnings' WHEN 7 THEN 'regions' WHEN 8 THEN 'report' ELSE 'none' END AS problem, count(*) AS n,
+  CAST(sum(CASE WHEN c = 0 THEN event_id % 50 END) AS DOUBLE) AS total, CAST(sum(CASE WHEN c = 0 THEN 3 END) AS DOUBLE) AS x2, CAST(sum(CASE WHEN c = 0 THEN 640 END) AS DOUBLE) AS width FROM r GROUP BY 1"""
+)
+def report_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports by what is wrong with them, and sums of what is kept of the others."""
+    text = F.replace(_pick(F.col("event_id"), *_REPORT), F.lit("12.5"), F.pmod("event_id", F.lit(50)).cast("string"))
+    r = walks.normalised_reports(
+        read(spark, sf_dir, "events").select("event_id", text.alias("r")), "event_id", "r", {"pipeline": "p1", "profile": "balanced"}, ("dimensions.width", "dimensions.height"), (), ("warnings",), ("counts", "timings"), ("regions",)
+    )
+    return r.groupBy(F.coalesce("problem", F.lit("none")).alias("problem")).agg(
+        F.count("*").alias("n"), F.sum(F.col("amounts")["timings"]["total"]).alias("total"), F.sum(F.get(F.col("regions")["regions"], F.lit(0))["x2"]).alias("x2"), F.sum(F.col("numbers")["dimensions.width"]).alias("width")
+    )
