@@ -1,6 +1,7 @@
 """Approvals over actions, token references, markers and log lines."""
 
 import json
+import os
 import random
 
 import pytest
@@ -113,8 +114,10 @@ def test_stream_agrees_and_timers_drop_grants(spark, tmp_path):
         random.Random(k).shuffle(part)
         (d / f"{k}.json").write_text("\n".join(json.dumps(r | {"ts": f"1970-01-01T00:{int(r['at']) // 60:02d}:{int(r['at']) % 60:02d}Z"}) for r in part))
     late = {"session": "s9", "seq": 999, "kind": "revoke", "token": "x", "tool_name": "t", "argument_path": "$", "ts": "1970-01-02T00:00:00Z"}
-    (d / "9.json").write_text(json.dumps(late))
-    (d / "99.json").write_text(json.dumps(late | {"seq": 1000}))
+    (d / "3.json").write_text(json.dumps(late))
+    (d / "4.json").write_text(json.dumps(late | {"seq": 1000}))
+    for n, f in enumerate(sorted(d.iterdir(), key=lambda f: (len(f.stem), f.stem))):
+        os.utime(f, (1_700_000_000 + n, 1_700_000_000 + n))  # files are read in order of their times
     s = spark.readStream.schema("ts timestamp, " + approvals.EVENT).option("maxFilesPerTrigger", 1).json(str(d))
     q = approvals.stream(s).writeStream.format("memory").queryName("approvals").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
