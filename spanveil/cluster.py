@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 _shipped: set[str] = set()
 
 
-def _shared(spark: SparkSession) -> str:
+def shared(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where that is unset, a single machine (as in tests) gets a temporary folder, and a cluster an error."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
@@ -26,13 +26,13 @@ def _shared(spark: SparkSession) -> str:
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the session's shared checkpoint folder, so that lost executors cost nothing but a read."""
-    _shared(df.sparkSession)
+    shared(df.sparkSession)
     return df.checkpoint()
 
 
 def written(df: DataFrame) -> DataFrame:
     """df, computed once and kept as Parquet in the shared checkpoint folder: smaller than a checkpoint, and later reads take only the columns that they use."""
-    path = f"{_shared(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{shared(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

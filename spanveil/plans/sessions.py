@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanveil.cluster import shared
 from spanveil.operators import approvals, feed, ledger, vault, walks, windows
 from spanveil.plans.contracts import _case, _pick
 from spanveil.plans.text import read
+from spanveil.sources import history
+from spanveil.streaming import imports
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -211,3 +216,45 @@ def report_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy(F.coalesce("problem", F.lit("none")).alias("problem")).agg(
         F.count("*").alias("n"), F.sum(F.col("amounts")["timings"]["total"]).alias("total"), F.sum(F.get(F.col("regions")["regions"], F.lit(0))["x2"]).alias("x2"), F.sum(F.col("numbers")["dimensions.width"]).alias("width")
     )
+
+
+_RUN = "'run-2024' || lpad(CAST(conv_id // 1000000 AS VARCHAR), 4, '0') || '-' || lpad(CAST(conv_id % 1000000 AS VARCHAR), 6, '0') || '-' || md5(CAST(conv_id AS VARCHAR))[1:4]"
+
+
+@query(
+    f"""SELECT {_RUN} AS run_id, arg_min(text, turn) FILTER (role = 'user') AS prompt, CAST(min(turn) AS DOUBLE) AS started_at, CAST(max(turn) AS DOUBLE) AS finished_at, CASE WHEN max(turn) % 2 = 0 THEN 'running' ELSE 'done' END AS status,
+CAST(count(*) FILTER (role = 'assistant') AS BIGINT) AS calls, CAST(coalesce(sum(CASE WHEN role = 'assistant' AND turn > 2 THEN length(text) END), 0) AS BIGINT) AS characters FROM conversations GROUP BY conv_id"""
+)
+def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written to a store of runs, listed with their calls, and the replies' length in the calls from the third turn on."""
+    c = read(spark, sf_dir, "conversations")
+    number = F.lpad(F.floor(F.col("conv_id") / 1_000_000).cast("string"), 4, "0")
+    run = F.concat(F.lit("run-2024"), number, F.lit("-"), F.lpad(F.pmod("conv_id", F.lit(1_000_000)).cast("string"), 6, "0"), F.lit("-"), F.substring(F.md5(F.col("conv_id").cast("string")), 1, 4))
+    t = c.withColumn("run_id", run)
+    status = F.when(F.pmod(F.max("turn"), F.lit(2)) == 0, "running").otherwise("done")
+    runs = t.groupBy("run_id").agg(F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("prompt"), F.min("turn").alias("started_at"), F.max("turn").alias("finished_at"), status.alias("status"))
+    folder = f"{shared(spark)}/runs-{uuid.uuid4().hex}"
+    history.save(runs.select("run_id", F.to_json(F.struct("prompt", "started_at", "finished_at", "status")).alias("record")), folder, "run")
+    calls = t.where("role = 'assistant'").select("run_id", (F.col("turn") + 1).alias("call_id"), F.to_json(F.struct("turn", F.col("text").alias("reply"), F.col("text").alias("response"))).alias("record"))
+    history.save(calls, folder, "call")
+    late = history.view(spark, folder, "calls").where("call_id > 3").groupBy("run_id").agg(F.sum(F.length(F.get_json_object("record", "$.reply"))).alias("characters"))
+    return history.view(spark, folder).join(late, "run_id", "left").withColumn("characters", F.coalesce("characters", F.lit(0)).cast("long"))
+
+
+@query(
+    """WITH r AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn % 3 = 0 THEN 'web' ELSE 'phone' END AS platform, 't' || conv_id AS task, role, text, turn FROM conversations),
+a AS (SELECT id, 'high' AS risk, role AS category FROM r WHERE turn % 2 = 0 UNION ALL SELECT id, 'unknown', 'unknown' FROM r WHERE turn % 4 = 0)
+SELECT count(*) AS records, (SELECT count(*) FROM a) AS annotations, count(*) FILTER (turn % 2 = 1) AS unannotated, count(DISTINCT task) AS trajectories,
+  (SELECT string_agg(risk || ':' || n, ',' ORDER BY risk) FROM (SELECT risk, count(*) AS n FROM a GROUP BY 1)) AS risks, (SELECT string_agg(category || ':' || n, ',' ORDER BY category) FROM (SELECT category, count(*) AS n FROM a GROUP BY 1)) AS categories,
+  (SELECT string_agg(platform || ':' || n, ',' ORDER BY platform) FROM (SELECT platform, count(*) AS n FROM r GROUP BY 1)) AS platforms FROM r"""
+)
+def import_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of conversations imported as annotated screens."""
+    t, none = F.col("turn"), F.lit(None).cast("string")
+    label = lambda risk, category: F.struct(risk.alias("label"), category.alias("category"), F.col("text").alias("ocr_text"), none.alias("draw_type"), F.lit(True).alias("is_task_essential"), F.array(F.lit(1.0)).alias("bbox_percent"))
+    labels = F.array_compact(F.array(F.when(t % 2 == 0, label(F.lit("high"), F.col("role"))), F.when(t % 4 == 0, label(none, none))))
+    rows = read(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + t).alias("id"), F.when(t % 3 == 0, "web").otherwise("phone").alias("platform"), F.concat(F.lit("t"), F.col("conv_id").cast("string")).alias("task_folder"), F.coalesce("text", F.lit("")).alias("task_goal"), t.cast("int").alias("step_index"), F.lit("x.png").alias("image"), labels.alias("privacy_labels"), none.alias("outcome"), F.lit(False).alias("done")
+    )
+    said = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["k"], x["n"].cast("string"))), ",").alias(c)
+    return imports.manifest(imports.projected(rows)).select("records", "annotations", "unannotated", "trajectories", said("risks"), said("categories"), said("platforms"))
