@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -63,21 +63,24 @@ def tokens(found: DataFrame, order: list[str], nonce: str = "0000", policy: dict
     return placed.join(base, "pii_class").withColumn("placeholder", F.concat_ws("_", "pii_class", n, F.lit(nonce))).select("placeholder", "pii_class", "value", "canonical", "uses")
 
 
-def scrub(docs: DataFrame, nonce: str = "0000", key: str = "doc_id", keep: tuple[str, ...] = rules.KEEP_LABELS) -> tuple[DataFrame, DataFrame]:
+def scrub(docs: DataFrame, nonce: str = "0000", key: str = "doc_id", keep: tuple[str, ...] = rules.KEEP_LABELS, counters: Observation | None = None) -> tuple[DataFrame, DataFrame]:
     """Texts with every rule span as its token (or a marker, if blocked), and the vault.
 
     Rows are told apart by a number of their own, so keys may be null or repeat:
     no row gets another's spans. It fails closed: a span without a token (a
     blocked class, a blank value) becomes a marker. Only rows with spans are kept
     and joined; a row without any passes through. A null text stays null.
+
+    ``counters`` is filled by the first action on the texts, in the same pass: documents, changed, replaced and blocked
+    (spans), tokens (replaced less blocked), and of each class of the policy its spans.
     """
     taken = {c.lower() for c in docs.columns}
     names = []
-    for name in ("found", "row", "by"):
+    for name in ("found", "row", "by", "kinds"):
         while name in taken:
             name += "_"
         names.append(name)
-    found, row, by = names
+    found, row, by, kinds = names
     d = docs.withColumn(found, sp.merge(F.filter(sp.detect(F.col("text")), lambda s: ~s["label"].isin(*keep))))
     some = F.coalesce(F.size(found), F.lit(0)) > 0
     hit = checkpoint(d.where(some).withColumn(row, F.monotonically_increasing_id()))  # kept, so the numbers hold
@@ -90,11 +93,21 @@ def scrub(docs: DataFrame, nonce: str = "0000", key: str = "doc_id", keep: tuple
         .join(vault.select("pii_class", "canonical", "placeholder"), ["pii_class", "canonical"], "left")
         .withColumn("by", F.when(F.col("level") == "blocked", marker).otherwise(F.coalesce("placeholder", marker)))
         .groupBy(F.col("row").alias(row))
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "by"))).alias(by))
+        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "by", "pii_class"))).alias(by))
     )
-    done = hit.join(named, row).withColumn("scrubbed", sp.replaced(F.col("text"), F.col(by), lambda s: s["by"])).withColumn("n_replaced", F.size(by)).drop(found, row, by)
+    done = hit.join(named, row).withColumn("scrubbed", sp.replaced(F.col("text"), F.col(by), lambda s: s["by"])).withColumn("n_replaced", F.size(by))
     clean = d.where(~some).withColumn("scrubbed", F.col("text")).withColumn("n_replaced", F.lit(0)).drop(found)
-    return done.unionByName(clean), vault
+    if counters is None:
+        return done.drop(found, row, by).unionByName(clean), vault
+    kind = F.transform(by, lambda s: F.struct(s["pii_class"].alias("kind"), F.startswith(s["by"], F.lit("[BLOCKED_")).alias("blocked")))
+    none = F.array().cast("array<struct<kind:string,blocked:boolean>>")
+    out = done.withColumn(kinds, kind).drop(found, row, by).unionByName(clean.withColumn(kinds, none))
+    n = lambda test: F.coalesce(F.sum(F.size(F.filter(kinds, test))), F.lit(0))
+    counts = [F.count("*").alias("documents"), F.count_if(F.col("n_replaced") > 0).alias("changed"), n(lambda x: F.lit(True)).alias("replaced"), n(lambda x: x["blocked"]).alias("blocked"), n(lambda x: ~x["blocked"]).alias("tokens")]
+    of = lambda c: lambda x: x["kind"] == c
+    counts += [n(of(c)).alias(c) for c in rules.POLICY]
+    counts += [n(lambda x: ~x["kind"].isin(*rules.POLICY)).alias("other")]
+    return out.observe(counters, *counts).drop(kinds), vault
 
 
 def replace_variants(text: Column, variants: list[tuple[str, str, str]]) -> Column:

@@ -92,6 +92,25 @@ def test_scrub_keeps_no_value_and_resolves_back(spark):
     assert back["resolved"] == "to Bob@x.org and EMAIL_9_0000" and back["unknown"] == ["EMAIL_9_0000"]
 
 
+def test_scrub_counts_in_the_same_pass(spark):
+    from pyspark.sql import Observation
+
+    rows = [(1, "mail Bob@x.org, card 4111 1111 1111 1111", "k"), (1, "bob@x.org and 10.0.0.1", "k"), (None, None, "k"), (3, "nothing", "k"), (4, "ssn 123-45-6789", "k")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, kinds string").repartition(3)
+    seen = Observation("scrub")
+    out, kept = vault.scrub(docs, counters=seen)
+    assert out.columns == vault.scrub(docs)[0].columns and {r["kinds"] for r in out.collect()} == {"k"}
+    got = seen.get
+    again = out.agg(F.count("*").alias("documents"), F.count_if(F.col("n_replaced") > 0).alias("changed"), F.sum("n_replaced").alias("replaced")).first().asDict()
+    assert {k: got[k] for k in again} == again == {"documents": 5, "changed": 3, "replaced": 5}
+    text = " ".join(r["scrubbed"] or "" for r in out.collect())
+    assert got["blocked"] == text.count("[BLOCKED_") and got["tokens"] == got["replaced"] - got["blocked"] == 2
+    assert (got["EMAIL"], got["CARD_NUMBER"], got["SSN"], got["other"]) == (2, 1, 1, 1) and kept.count() == 1
+    empty = Observation("none")
+    vault.scrub(docs.limit(0), counters=empty)[0].collect()
+    assert empty.get["documents"] == 0 and empty.get["replaced"] == 0
+
+
 def test_leaks_both_ways_agree(spark):
     outs = spark.createDataFrame([(1, "call 555-12 34 99 now"), (2, "the Secret  Word"), (3, "nothing"), (4, None)], "id int, text string")
     vals = spark.createDataFrame([("5551234 99",), ("secretword",), ("no",), (None,)], "value string")
