@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -146,30 +145,74 @@ def selected_assets(assets: DataFrame, names: tuple[str, ...] = (), groups: tupl
 
 
 def forbidden_fields(reports: DataFrame, key: str, column: str, fields: tuple[str, ...]) -> DataFrame:
-    """Places of a JSON document of any depth at which a forbidden field stands: key, path."""
-
-    def places(x: object, path: str) -> Iterator[str]:
-        if isinstance(x, list):
-            for i, y in enumerate(x):
-                yield from places(y, f"{path}[{i}]")
-        elif isinstance(x, dict):
-            for k, y in x.items():
-                if k in fields:
-                    yield f"{path}.{k}"
-                yield from places(y, f"{path}.{k}")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for k, text in zip(b["k"], b["a"], strict=True):
-                try:
-                    rows += [(k, p) for p in places(json.loads(text or "null"), "$")]
-                except ValueError:
-                    rows.append((k, "$"))  # what cannot be read cannot be cleared
-            yield pd.DataFrame(rows, columns=["k", "path"])
-
-    kind = reports.schema[key].dataType.simpleString()
-    return reports.select(F.col(key).alias("k"), F.col(column).alias("a")).mapInPandas(run, f"k {kind}, path string").withColumnRenamed("k", key)
+    """Places of a JSON document of any depth at which a forbidden field stands: key, path. What cannot be read cannot be cleared: its place is the top."""
+    from spanveil.operators import walks
+
+    found = walks.nodes(reports, key, column).where(F.col("name").isin(*fields)).select(key, "path")
+    return found.unionByName(walks.broken(reports, key, column).select(key, F.lit("$").alias("path")))
+
+
+def deep_contract(documents: DataFrame, key: str, column: str, required: list[tuple[str, str, str]]) -> DataFrame:
+    """Named checks of JSON manifests at any depth: (dotted path, test, value as text). Tests: ``=`` (the JSON value itself, lists in order), ``>=`` (a whole number), ``sha256`` (64 hex digits). key, name, actual, required, passed; a missing field fails, and a text is no number."""
+    v = F.try_parse_json(F.col(column).cast("string"))
+    checks = []
+    for path, test, want in required:
+        x = F.try_variant_get(v, f"$.{path}", "variant")
+        actual = F.when(~F.is_variant_null(x), F.to_json(x)) if test == "=" else F.try_variant_get(x, "$", "string")
+        kind = F.schema_of_variant(x)
+        ok = {
+            "=": F.to_json(x) == F.to_json(F.try_parse_json(F.lit(want))),
+            ">=": (kind == "BIGINT") & (F.try_variant_get(x, "$", "long") >= (int(want) if test == ">=" else 0)),
+            "sha256": (kind == "STRING") & F.try_variant_get(x, "$", "string").rlike("^[0-9a-f]{64}$"),
+        }[test]
+        checks.append(F.struct(F.lit(path).alias("name"), actual.alias("actual"), F.lit(f"{test} {want}".strip()).alias("required"), F.coalesce(ok, F.lit(False)).alias("passed")))
+    return documents.select(F.col(key), F.explode(F.array(*checks)).alias("c")).select(key, "c.*")
+
+
+def label_row_problem(line: Column, annotation: Column, classes: list[str], width: Column, height: Column) -> Column:
+    """What is wrong with a label line (class cx cy w h) and the annotation (class, bbox_xyxy) that it must be of; null if nothing."""
+    p = F.split(F.trim(line), r"\s+")
+    number = [F.get(p, i).try_cast("double") for i in range(5)]
+    box = annotation["bbox_xyxy"]
+    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    at = [F.get(box, i) for i in range(4)]
+    place = F.array_position(F.array(*[F.lit(c) for c in classes]), annotation["class"]) - 1
+    return _first(
+        ("bbox", F.coalesce(F.size(box) != 4, F.lit(True))),
+        ("number", ~(fine(at[0]) & fine(at[1]) & fine(at[2]) & fine(at[3]))),
+        ("outside", ~F.coalesce((at[0] >= 0) & (at[0] < at[2]) & (at[2] <= width) & (at[1] >= 0) & (at[1] < at[3]) & (at[3] <= height), F.lit(False))),
+        ("format", F.coalesce(F.size(p) != 5, F.lit(True))),
+        ("numeric", ~(F.get(p, 0).try_cast("int").isNotNull() & fine(number[1]) & fine(number[2]) & fine(number[3]) & fine(number[4]))),
+        ("class", ~F.coalesce(number[0] == place, F.lit(False))),
+        ("range", ~(number[1].between(0, 1) & number[2].between(0, 1) & (number[3] > 0) & (number[3] <= 1) & (number[4] > 0) & (number[4] <= 1))),
+    )
+
+
+def label_file_problems(records: DataFrame, key: str, classes: list[str]) -> DataFrame:
+    """Problems of records (lines, annotations, width, height) and their label lines: key, line (from 1; 0: the numbers differ), problem."""
+    n = F.size("lines") != F.size("annotations")
+    rows = records.select(key, F.posexplode(F.arrays_zip("lines", "annotations")).alias("at", "z"), "width", "height").where(~n)
+    own = rows.select(key, (F.col("at") + 1).alias("line"), label_row_problem(F.col("z.lines"), F.col("z.annotations"), classes, F.col("width"), F.col("height")).alias("problem"))
+    return records.where(n).select(key, F.lit(0).alias("line"), F.lit("count").alias("problem")).unionByName(own.where(F.col("problem").isNotNull()))
+
+
+def with_instructions(messages: Column, instructions: str, begin: str, end: str, prefix: str) -> Column:
+    """Messages (role, content) with a block of instructions, once however often it is done.
+
+    Earlier blocks and lines of the prefix go. The system messages become one, the first message, with the block at its end;
+    without any, the block ends the last user message; without that the result is null.
+    """
+    block = F.lit(f"{begin}\n{instructions}\n{end}")
+    message = lambda role, content: F.struct(role.alias("role"), content.alias("content"))
+    bare = F.transform(messages, lambda m: message(m["role"], strip_block(F.coalesce(m["content"], F.lit("")), begin, end, prefix)))
+    broken = F.exists(bare, lambda m: m["content"].isNull())
+    system = F.filter(bare, lambda m: m["role"] == "system")
+    others = F.filter(bare, lambda m: ~F.coalesce(m["role"] == "system", F.lit(False)))
+    said = F.filter(F.transform(system, lambda m: F.regexp_replace(m["content"], r"\s+$", "")), lambda c: F.trim(c) != "")
+    top = F.array(message(F.lit("system"), F.array_join(F.array_append(said, block), "\n\n")))
+    last = F.array_max(F.transform(others, lambda m, i: F.when(m["role"] == "user", i)))
+    told = F.transform(others, lambda m, i: F.when(i == last, message(m["role"], F.concat_ws("\n\n", F.nullif(m["content"], F.lit("")), block))).otherwise(m))
+    return F.when(~broken & (F.size(system) > 0), F.concat(top, others)).when(~broken & last.isNotNull(), told)
 
 
 def contract(manifest: DataFrame, required: list[tuple[str, str]]) -> DataFrame:

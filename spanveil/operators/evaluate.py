@@ -65,6 +65,44 @@ def by_class(truth: DataFrame, regions: DataFrame, column: str = "class", covere
     return best.groupBy(column).agg(F.count("*").alias("support"), F.count_if(F.col("coverage") >= covered).alias("covered")).withColumn("recall", ratio(F.col("covered"), F.col("support")))
 
 
+def by_source(truth: DataFrame, regions: DataFrame, frame: str = "frame_id", covered: float = COVERED) -> DataFrame:
+    """Recall by class, by source class and overall, and of each source of regions (every source of a region counts), in one pass each: dimension, value, support, covered, recall."""
+    from spanveil.functions import geometry as geo
+
+    xy = ("x1", "y1", "x2", "y2")
+    best = boxes.best_coverage(truth, regions, frame).withColumn("hit", F.col("coverage") >= covered)
+    sums = best.groupingSets([[F.col("class")], [F.col("source_class")], []], F.col("class"), F.col("source_class")).agg(F.count("*").alias("support"), F.count_if("hit").alias("covered"), F.grouping("class").alias("_c"), F.grouping("source_class").alias("_s"))
+    name = F.when(F.col("_c") == 0, "class").when(F.col("_s") == 0, "source_class").otherwise("all")
+    own = sums.select(name.alias("dimension"), F.coalesce("class", "source_class", F.lit("all")).alias("value"), "support", "covered")
+    met = grid.pairs(truth.select(frame, "id", *xy), regions.select(frame, "sources", *xy), frame).where(geo.coverage(F.col("r"), F.col("l")) >= covered)
+    each = met.select(F.col("l").alias("t"), F.explode(F.array_distinct("r.sources")).alias("value")).distinct().groupBy("value").agg(F.count("*").alias("covered"))
+    # as many rows as there are sources, against one number
+    support = truth.agg(F.count("*").alias("support"))
+    sources = regions.select(F.explode("sources").alias("value")).distinct().join(each, "value", "left").crossJoin(support)
+    rows = own.unionByName(sources.select(F.lit("source").alias("dimension"), "value", "support", F.coalesce("covered", F.lit(0)).alias("covered")))
+    return rows.withColumn("recall", ratio(F.col("covered"), F.col("support")))
+
+
+def detector_report(frames: DataFrame, truth: DataFrame, regions: DataFrame, frame: str = "frame_id", covered: float = COVERED) -> DataFrame:
+    """Support, covered, missed and recall by class and by the frames' page_type, and each page type's false proposals: regions that cover no true box."""
+    from spanveil.functions import geometry as geo
+
+    xy = ("x1", "y1", "x2", "y2")
+    best = boxes.best_coverage(truth, regions, frame).withColumn("hit", F.col("coverage") >= covered).join(frames.select(frame, "page_type"), frame)
+    sums = best.groupingSets([[F.col("class")], [F.col("page_type")]], F.col("class"), F.col("page_type")).agg(F.count("*").alias("support"), F.count_if("hit").alias("covered"), F.grouping("class").alias("_c"))
+    own = sums.select(F.when(F.col("_c") == 0, "class").otherwise("page_type").alias("dimension"), F.coalesce("class", "page_type").alias("value"), "support", "covered")
+    right = grid.pairs(truth.select(frame, *xy), regions.select(frame, "id", *xy), frame).where(geo.coverage(F.col("r"), F.col("l")) >= covered).select(F.col(f"r.{frame}").alias(frame), "r.id").distinct()
+    wrong = regions.join(right, [frame, "id"], "left_anti").join(frames.select(frame, "page_type"), frame).groupBy(F.col("page_type").alias("value")).agg(F.count("*").alias("false_proposals")).withColumn("dimension", F.lit("page_type"))
+    j = own.join(wrong, ["dimension", "value"], "full_outer").fillna(0, ["support", "covered", "false_proposals"])
+    return j.withColumn("missed", F.col("support") - F.col("covered")).withColumn("recall", ratio(F.col("covered"), F.col("support")))
+
+
+def sliced(rows: DataFrame, slices: dict[str, Column], **measures: Column) -> DataFrame:
+    """Measures of several slices (by name: which rows) in one pass over the rows: slice, n and each measure (a sum of a column over the slice)."""
+    sums = [F.struct(F.lit(k).alias("slice"), F.count_if(F.coalesce(test, F.lit(False))).alias("n"), *[F.coalesce(F.sum(F.when(test, m)), F.lit(0)).alias(name) for name, m in measures.items()]) for k, test in slices.items()]
+    return rows.agg(F.array(*sums).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+
+
 def path_saves(truth: DataFrame, regions: DataFrame, frame: str = "frame_id", covered: float = COVERED) -> DataFrame:
     """Which path (visual, ocr, fused; column ``path``) covers each true box, summed up."""
     from spanveil.functions import geometry as geo

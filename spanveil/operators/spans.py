@@ -258,3 +258,16 @@ def overlap(spans: DataFrame, findings: DataFrame, key: str) -> DataFrame:
     """Spans and findings of one key that share a character."""
     s, f = spans.alias("s"), findings.alias("f")
     return s.join(f, (F.col(f"s.{key}") == F.col(f"f.{key}")) & (F.col("s.start") < F.col("f.end")) & (F.col("s.end") > F.col("f.start")))
+
+
+def projected(found: DataFrame, entries: DataFrame, key: str, keep: tuple[str, ...] = rules.KEEP_LABELS) -> DataFrame:
+    """Spans of an assembled document on the findings that it was made of: each finding's values (clipped to it, by start), labels and sources, and whether one is sensitive.
+
+    found: key, start, end, label, score, source; entries: key, idx, start, end. A finding without a span is there, too.
+    """
+    j = overlap(found, entries, key)
+    at = lambda c: F.col(f"f.{c}")
+    value = F.struct((F.greatest(F.col("s.start"), at("start")) - at("start")).alias("start"), (F.least(F.col("s.end"), at("end")) - at("start")).alias("end"), F.col("s.label"), F.col("s.score"), F.col("s.source"))
+    g = j.groupBy(at(key).alias(key), at("idx").alias("idx")).agg(F.array_sort(F.collect_list(value)).alias("values"))
+    names = lambda c: F.array_sort(F.array_distinct(F.transform(F.coalesce("values", F.array().cast("array<struct<start:int,end:int,label:string,score:double,source:string>>")), lambda v: v[c])))
+    return entries.join(g, [key, "idx"], "left").select(key, "idx", "values", names("label").alias("labels"), names("source").alias("sources"), F.coalesce(F.exists("values", lambda v: ~v["label"].isin(*keep)), F.lit(False)).alias("sensitive"))

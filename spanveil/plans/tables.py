@@ -13,7 +13,7 @@ from spanveil.functions import geometry as geo
 from spanveil.functions import rules
 from spanveil.operators import boxes, curate, evaluate, ledger
 from spanveil.plans.text import read
-from spanveil.sources import files, synthetic
+from spanveil.sources import files
 
 _TRUTH = """
 t AS (SELECT l_orderkey AS frame_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS id,
@@ -261,18 +261,6 @@ def english_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").where(curate.english(F.col("lang"), F.col("text"))).groupBy("source").agg(F.count("*").alias("n"))
 
 
-def record_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Must be empty: synthetic records whose spans are wrong."""
-    r = synthetic.records(spark, "train", 500, noise=0.2)
-    return curate.violations(r, ["NAME", "EMAIL", "PHONE", "API_KEY"]).groupBy("problem").agg(F.count("*").alias("n"))
-
-
-def synthetic_luhn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Made-up cards, and how many pass the Luhn check (all)."""
-    v = spark.range(2000).select(synthetic.fake_values(F.col("id")).alias("v"))
-    return v.agg(F.count("*").alias("n"), F.count_if(F.call_function("luhn_check", F.col("v.card"))).alias("valid"))
-
-
 def support_minimums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.support_minimums(read(spark, sf_dir, "documents"), "lang", {"en": 0.5, "fr": 0.3, "xx": 0.01})
 
@@ -364,7 +352,7 @@ QUERIES = {
     for f in (
         per_class_recall, masked_area, nms, fuse_regions, greedy_truth_match, cue_association, reading_order, same_box_merge, iou_pairs, rois_outside, yolo_lines,
         latency_percentiles, threshold_sweep, threshold_choice, gates_report, dataset_adequacy, path_saves, confusion_matrix,
-        hash_sample, systematic_sample, dedup_first, leakage_filter, split_overlap, dataset_manifest, content_hash, key_parity, english_filter, record_violations, synthetic_luhn, support_minimums,
+        hash_sample, systematic_sample, dedup_first, leakage_filter, split_overlap, dataset_manifest, content_hash, key_parity, english_filter, support_minimums,
         watchdog_window, review_cooldown, consecutive_dedup, ring_buffer, latest_state, first_capture, carried_value, json_props, variant_keys, onoff_benchmark,
         grouping_sets_ext, session_window_ext, tumbling_window_ext, asof_ext, approx_ext,
     )
@@ -442,8 +430,6 @@ SELECT user_id, step FROM w
     "content_hash": "WITH f AS (SELECT source, CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 1024 AS b, CAST(doc_id AS VARCHAR) || CASE WHEN text IS NULL THEN '' ELSE ' ' || sha256(text) END AS line FROM documents), p AS (SELECT source, b, sha256(string_agg(line, chr(10) ORDER BY line)) AS h, count(*) AS n FROM f GROUP BY 1, 2) SELECT source, sha256(string_agg(h, chr(10) ORDER BY b)) AS content_hash, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY 1",
     "key_parity": "WITH a AS (SELECT DISTINCT o_orderkey AS k FROM orders), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem) SELECT side, count(*) AS n FROM (SELECT 'left_only' AS side FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT 'right_only' FROM b WHERE k NOT IN (SELECT k FROM a)) GROUP BY 1",
     "english_filter": "SELECT source, count(*) AS n FROM documents WHERE (lang = 'en' OR regexp_matches(lang, '^en[-_]')) AND trim(text) <> '' GROUP BY 1",
-    "record_violations": "SELECT 'x' AS problem, CAST(0 AS BIGINT) AS n WHERE 1 = 0",
-    "synthetic_luhn": "SELECT CAST(2000 AS BIGINT) AS n, CAST(2000 AS BIGINT) AS valid",
     "support_minimums": "WITH a AS (SELECT count(*) AS c FROM documents), w(lang, share) AS (VALUES ('en', 0.5), ('fr', 0.3), ('xx', 0.01)) SELECT w.lang, coalesce(n, 0) AS n, CAST(ceil(share * c) AS BIGINT) AS required, coalesce(n, 0) >= ceil(share * c) AS passed FROM w CROSS JOIN a LEFT JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY 1) d ON d.lang = w.lang",
     "watchdog_window": f"WITH e AS ({_EV}), w AS (SELECT event_id, user_id, CAST(step AS INTEGER) AS step, count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id ORDER BY step RANGE BETWEEN 7 PRECEDING AND CURRENT ROW) AS suspicious FROM e) SELECT * FROM w WHERE suspicious >= 3",
     "consecutive_dedup": "WITH e AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) SELECT event_id, user_id, event_type FROM e WHERE p IS DISTINCT FROM event_type",

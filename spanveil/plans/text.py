@@ -122,16 +122,6 @@ _CUE_TEXTS = (
 )
 
 
-def cue_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([(i, x) for i, x in enumerate(_CUE_TEXTS)], "id long, text string")
-    return t.select("id", F.array_join(F.array_sort(F.array_distinct(rules.value_cues(F.col("text")))), ",").alias("labels"))
-
-
-_CUE_SQL = "WITH t(id, text) AS (VALUES " + ", ".join(f"({i}, {sq(x)})" for i, x in enumerate(_CUE_TEXTS)) + ") SELECT CAST(id AS BIGINT) AS id, coalesce(array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(
-    f"CASE WHEN regexp_matches(text, {sq('(?i)' + p)}) THEN '{k}' END" for k, p in rules.VALUE_CUES
-) + "], lambda x: x IS NOT NULL))), ','), '') AS labels FROM t"
-
-
 def cues_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the documents hold no cue of their own, so each gets one before its text
     cue = F.element_at(F.array(*[F.lit(x) for x in _CUE_TEXTS]), (F.pmod("doc_id", F.lit(len(_CUE_TEXTS))) + 1).cast("int"))
@@ -150,13 +140,6 @@ def policy_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("level").agg(F.count("*").alias("n"))
 
 
-def policy_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vault.grouped_policy(vault.snapshot(spark))
-
-
-_SNAPSHOT = "WITH p(place, pii_class, level) AS (VALUES " + ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(rules.POLICY.items())) + ") SELECT level, string_agg(pii_class, ',' ORDER BY place) AS classes FROM p GROUP BY level"
-
-
 def token_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans.exploded(read(spark, sf_dir, "documents"))
     return vault.tokens(found, ["doc_id", "start"]).select("placeholder", "pii_class", "canonical", "uses")
@@ -285,18 +268,6 @@ def url_keep_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("label").agg(F.count("*").alias("n"))
 
 
-def context_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which model spans survive their context (fixed examples)."""
-    rows = [
-        (1, "Margulis", [(0, 3, "GIVEN_NAME", 0.551, "ner", "Mar"), (3, 6, "GIVEN_NAME", 0.529, "ner", "gul")]),
-        (2, "John Smith", [(0, 4, "GIVEN_NAME", 0.462, "ner", "John"), (5, 10, "SURNAME", 0.85, "ner", "Smith")]),
-        (3, "build 5173 done", [(6, 10, "BUILDING_NUMBER", 0.9, "ner", "5173")]),
-        (4, "Ship to 12 Oak Street", [(8, 10, "BUILDING_NUMBER", 0.9, "ner", "12"), (11, 21, "STREET_NAME", 0.9, "ner", "Oak Street")]),
-    ]
-    t = spark.createDataFrame(rows, f"id int, text string, spans array<{rules.SPAN}>")
-    return t.select("id", F.size(spans.contextual(F.col("spans"), F.col("text"))).alias("kept"))
-
-
 def premask_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked texts' lengths (null for a null text), and how many stretches of each are masked (0 where nothing is found)."""
     d = read(spark, sf_dir, "documents")
@@ -310,36 +281,6 @@ def token_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.explode(vault.references(F.col("scrubbed"))).alias("placeholder")).groupBy("placeholder").agg(F.count("*").alias("n_docs"))
 
 
-_FIELD_TEXTS = ("E-mail address:", "Full name *", "Card number", "CVV", "Tax ID", "Submit", "Address line 2", "passphrase")
-
-
-def bare_cue_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([(i, x) for i, x in enumerate(_CUE_TEXTS)], "id long, text string")
-    return t.select("id", F.array_join(F.array_sort(cues.bare_cues(F.col("text"))), ",").alias("labels"))
-
-
-_BARE_SQL = "WITH t(id, text) AS (VALUES " + ", ".join(f"({i}, {sq(x)})" for i, x in enumerate(_CUE_TEXTS)) + ") SELECT CAST(id AS BIGINT) AS id, coalesce(array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(
-    f"CASE WHEN regexp_matches(text, {sq(p)}) THEN '{k}' END" for k, p in cues.BARE_CUES
-) + "], lambda x: x IS NOT NULL))), ','), '') AS labels FROM t"
-
-
-def field_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([(i, x) for i, x in enumerate(_FIELD_TEXTS)], "id long, text string")
-    return t.select("id", cues.field_cue(F.col("text")).alias("label"))
-
-
-_FIELD_SQL = "WITH t(id, text) AS (VALUES " + ", ".join(f"({i}, {sq(x)})" for i, x in enumerate(_FIELD_TEXTS)) + r"), n AS (SELECT id, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '[\s:*]+$', '') AS s FROM t) SELECT CAST(id AS BIGINT) AS id, CASE " + " ".join(
-    f"WHEN regexp_matches(s, {sq('(?i)' + p)}) THEN '{k}'" for k, p in cues.FIELD_CUES
-) + " END AS label FROM n"
-
-
-def label_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of another model in the engine's vocabulary, with their policy level."""
-    t = spark.createDataFrame([(k,) for k in (*cues.MODEL_LABELS, "odd_label")], "source_label string")
-    return t.withColumn("label", cues.model_label(F.col("source_label"))).withColumn("level", rules.level_of(F.col("label")))
-
-
-_VOCABULARY_SQL = "WITH t(source_label, label) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in (*cues.MODEL_LABELS.items(), ("odd_label", "ODD_LABEL"))) + f"), c AS (SELECT *, {_ALIAS} AS pii_class FROM t) SELECT source_label, label, {_LEVEL} AS level FROM c"
 
 
 def documents_by_visual_class(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,9 +293,6 @@ _VISUAL_SQL = _SPANS + f", c AS (SELECT {_ALIAS} AS pii_class FROM found) SELECT
 
 
 QUERIES = {
-    "bare_cue_labels": bare_cue_labels,
-    "field_cues": field_cues,
-    "label_vocabulary": label_vocabulary,
     "documents_by_visual_class": documents_by_visual_class,
     "pii_class_counts": pii_class_counts,
     "email_findings": email_findings,
@@ -365,10 +303,8 @@ QUERIES = {
     "ssn_findings": ssn_findings,
     "span_offsets": span_offsets,
     "span_merge": span_merge,
-    "cue_labels": cue_labels,
     "cues_in_documents": cues_in_documents,
     "policy_levels": policy_levels,
-    "policy_snapshot": policy_snapshot,
     "token_assignment": token_assignment,
     "scrub_documents": scrub_documents,
     "scrub_leaks": scrub_leaks,
@@ -380,15 +316,11 @@ QUERIES = {
     "text_fingerprints": text_fingerprints,
     "interval_overlap_join": interval_overlap_join,
     "url_keep_suppression": url_keep_suppression,
-    "context_filter": context_filter,
     "premask_projection": premask_projection,
     "token_references": token_references,
 }
 
 ORACLES = {
-    "bare_cue_labels": _BARE_SQL,
-    "field_cues": _FIELD_SQL,
-    "label_vocabulary": _VOCABULARY_SQL,
     "documents_by_visual_class": _VISUAL_SQL,
     "pii_class_counts": _SPANS + f", c AS (SELECT *, {_ALIAS} AS pii_class FROM found) SELECT pii_class, {_LEVEL} AS level, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM c GROUP BY 1, 2",
     "email_findings": _EMAIL_SQL,
@@ -398,16 +330,13 @@ ORACLES = {
     "card_findings": _SPANS + "SELECT doc_id, text AS value FROM found WHERE label = 'CREDIT_CARD'",
     "ssn_findings": _SPANS + "SELECT doc_id, text AS value FROM found WHERE label = 'SSN'",
     "span_offsets": _OFFSETS,
-    "cue_labels": _CUE_SQL,
     "cues_in_documents": _CUES_SQL,
     "policy_levels": _SPANS + f", c AS (SELECT {_ALIAS} AS pii_class FROM found) SELECT {_LEVEL} AS level, count(*) AS n FROM c GROUP BY 1",
-    "policy_snapshot": _SNAPSHOT,
     "token_assignment": _TOKENS,
     "leak_scan": _LEAKS,
     "role_mask_texts": r"SELECT conv_id, turn, CAST(length(text) AS INTEGER) AS n_chars, substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 160) AS preview FROM conversations WHERE role IN ('user', 'tool')",
     "first_user_text": "SELECT conv_id, substr(arg_min(text, turn), 1, 300) AS first_user_text FROM conversations WHERE role = 'user' AND trim(text) <> '' GROUP BY conv_id",
     "text_fingerprints": "SELECT doc_id, sha256(text) AS sha256, CAST(length(text) AS INTEGER) AS characters, trim(regexp_replace(source, '[^A-Za-z0-9_.-]+', '-', 'g'), '-') || '-' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 10) AS stem FROM documents",
-    "context_filter": "SELECT * FROM (VALUES (1, 0), (2, 2), (3, 0), (4, 2)) t(id, kept)",
     "scrub_leaks": _LEAKS_SQL,
     "token_references": _REFERENCES,
     "interval_overlap_join": _OVERLAP_SQL,
