@@ -181,7 +181,7 @@ def leaks(outputs: DataFrame, values: DataFrame, key: str, output: str = "text",
     """Distinct pairs of an output's key (null is one, too) and a hidden value that it contains, by normal form (3 characters or more) or by digits (6 or more).
 
     Up to ``most`` values, each text runs once through an automaton of all of
-    them. More values meet the texts by a hash of their first characters.
+    them. More values meet the texts by a hash of their rarest stretch.
     """
     form = (lambda c: F.regexp_replace(casefold(nfkc(c)), r"\s+", "")) if normalise else (lambda c: F.lower(F.regexp_replace(F.col(c), r"\s+", "")))
     outs = outputs.select(F.col(key), form(output).alias("hay"), rules.digits(F.col(output)).alias("hay_digits"))
@@ -219,16 +219,36 @@ def leaks(outputs: DataFrame, values: DataFrame, key: str, output: str = "text",
     return outs.mapInArrow(run, f"{key} {kind}, value string, kind string").distinct()
 
 
+#: Lengths of the stretches by which values and texts meet, the longest that a value has first.
+STRETCHES = (24, 12, 6, 3)
+
+
 def _leaks_joined(outs: DataFrame, vals: DataFrame, key: str) -> DataFrame:
-    """The same by a join on the hash of a value's first characters, for any number of values."""
+    """The same by joins, for any number of values: each value waits at the stretch of it that fewest texts have, and only texts with that stretch are searched for it.
+
+    A value with a stretch that no text has meets nothing. Texts are numbered, so they are fetched once for all their candidates.
+    """
+    texts = checkpoint(outs.withColumn("_row", F.monotonically_increasing_id()))  # kept, so the numbers hold
+
+    def stretches(c: Column | str, n: int) -> Column:
+        c = F.col(c) if isinstance(c, str) else c
+        at = F.sequence(F.lit(1), F.length(c) - (n - 1))
+        return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.substring(c, i, F.lit(n)))))
 
     def met(hay: str, needle: str, least: int, kind: str) -> DataFrame:
-        a = outs.where(F.length(hay) >= least)
-        at = F.sequence(F.lit(1), F.length(hay) - least + 1)
-        grams = F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.substring(F.col(hay), i, F.lit(least)))))
-        b = vals.where(F.length(needle) >= least).select("value", needle, F.xxhash64(F.substring(needle, 1, least)).alias("g"))
-        near = a.select(F.col(key).alias("_k"), F.explode(grams).alias("g")).join(b, "g").select("_k", "value", needle)
-        return near.join(a, F.col("_k").eqNullSafe(F.col(key))).where(F.contains(F.col(hay), F.col(needle))).select(key, "value", F.lit(kind).alias("kind"))
+        sizes = [n for n in STRETCHES if n >= least]
+        pairs = None
+        for n, longer in zip(sizes, [None, *sizes], strict=False):
+            own = vals.where(F.length(needle) >= n)
+            own = own if longer is None else own.where(F.length(needle) < longer)
+            waits = own.select("value", F.col(needle).alias("want"), F.explode(stretches(needle, n)).alias("g"))
+            has = texts.where(F.length(hay) >= n).select("_row", F.explode(stretches(hay, n)).alias("g"))
+            often = has.join(waits.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count("*").alias("n"))
+            rare = waits.join(often, "g", "left").groupBy("value", "want").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r")).where(F.col("r.n") > 0)
+            near = has.join(rare.select("value", "want", F.col("r.g").alias("g")), "g").select("_row", "value", "want")
+            pairs = near if pairs is None else pairs.unionByName(near)
+        found = texts.select("_row", key, hay).join(pairs, "_row").where(F.contains(F.col(hay), F.col("want")))
+        return found.select(key, "value", F.lit(kind).alias("kind"))
 
     return met("hay", "needle", 3, "normalized").unionByName(met("hay_digits", "digits", 6, "digits")).distinct()
 

@@ -87,18 +87,19 @@ def sse_lines(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(F.concat(F.lit("data: "), F.to_json(F.struct(*columns)), F.lit("\n\n")).alias("value"))
 
 
-def lsof_connections(raw: DataFrame, order: str = "at", column: str = "value") -> DataFrame:
-    """Connections out of lsof field lines (p pid, c command, n name), each with the process last named before it."""
+def lsof_connections(raw: DataFrame, order: str = "at", column: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
+    """Connections out of lsof field lines (p pid, c command, n name), each with the process last named before it; ``by``: what tells listings (of samples, machines) apart."""
     from pyspark.sql import Window
 
     v = F.col(column)
     rest = F.substring(v, 2, 1 << 20)
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)  # one listing of one machine
+    # without ``by`` all lines are one listing, of one machine at one time
+    w = (Window.partitionBy(*by) if by else Window).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     kind = F.substring(v, 1, 1)
     x = raw.withColumn("pid", F.last(F.when(kind == "p", rest.try_cast("int")), True).over(w)).withColumn("_s", F.count_if(kind == "p").over(w))
     x = x.withColumn("process", F.last(F.when(kind == "c", F.struct(F.col("_s").alias("s"), rest.alias("c"))), True).over(w)).where(kind == "n")
     name = F.split(rest, "->")
-    return x.select("pid", F.when(F.col("process.s") == F.col("_s"), F.col("process.c")).alias("process"), F.get(name, F.lit(0)).alias("local"), F.get(name, F.lit(1)).alias("remote"))
+    return x.select(*by, "pid", F.when(F.col("process.s") == F.col("_s"), F.col("process.c")).alias("process"), F.get(name, F.lit(0)).alias("local"), F.get(name, F.lit(1)).alias("remote"))
 
 
 def data_url_bytes(url: Column) -> Column:

@@ -210,3 +210,17 @@ def test_leaks_of_repeated_and_null_keys_agree(spark):
     want = [("1", "secretword", "normalized"), ("None", "5551234", "digits"), ("None", "5551234", "normalized"), ("None", "secretword", "normalized")]
     for most in (10, 1):
         assert sorted((str(r["id"]), r["value"], r["kind"]) for r in vault.leaks(outs, vals, "id", most=most).collect()) == want
+
+
+def test_leaks_of_many_values_by_stretches(spark):
+    import random
+
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcd") for _ in range(rnd.randrange(1, 9)))
+    texts = [(i if i % 5 else None, " ".join(word() for _ in range(rnd.randrange(0, 40)))) for i in range(120)] + [(500, "x" * 60), (501, None), (502, "12-34-56-78 z")]
+    values = [(word() + " " + word() * rnd.randrange(1, 5),) for _ in range(150)] + [(texts[7][1][3:40],), ("xxxx" * 8,), ("345678",), ("3456",), (None,), ("",)]
+    outs, vals = spark.createDataFrame(texts, "id int, text string").repartition(3), spark.createDataFrame(values, "value string")
+    squeezed = lambda t: "".join((t or "").split())
+    digits = lambda t: "".join(c for c in t or "" if c.isdigit())
+    want = {(i, v, "normalized") for i, t in texts for (v,) in values if v and len(squeezed(v)) >= 3 and squeezed(v) in squeezed(t)} | {(i, v, "digits") for i, t in texts for (v,) in values if len(digits(v)) >= 6 and digits(v) in digits(t)}
+    assert {tuple(r) for r in vault.leaks(outs, vals, "id", most=3).collect()} == want == {tuple(r) for r in vault.leaks(outs, vals, "id").collect()}
