@@ -354,3 +354,19 @@ def coalesced_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = F.when(F.pmod(n, F.lit(len(_SPOKEN))) == i, spans.coalesce_same(F.lit(text), s)).otherwise(out)
     said = F.array_join(F.transform(out, lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), " ")
     return read(spark, sf_dir, "events").select("event_id", said.alias("spans"), F.round(F.array_max(F.transform(out, lambda s: s["score"])), 6).alias("best"))
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '(?s).') AS c, length(text) >= 30 AS long FROM documents WHERE text IS NOT NULL),
+e AS (SELECT *, list_transform(range(len(c)), lambda i: CASE WHEN NOT regexp_matches(c[i + 1], '^[\s\p{Z}]$') AND NOT (long AND i = 7) AND CAST('0x' || md5(doc_id || ':' || i)[1:8] AS BIGINT) / 4294967296.0 < 0.003 THEN '' WHEN c[i + 1] IN ('O', 'o', 'I', 'l', 'S', 'B') AND CAST('0x' || md5(doc_id || ':' || i)[9:16] AS BIGINT) / 4294967296.0 < 0.025
+  THEN CASE c[i + 1] WHEN 'O' THEN '0' WHEN 'o' THEN '0' WHEN 'I' THEN '1' WHEN 'l' THEN '1' WHEN 'S' THEN '5' ELSE '8' END ELSE c[i + 1] END) AS o FROM t)
+SELECT doc_id, md5(array_to_string(o, '')) AS md5, CASE WHEN long THEN '0-' || (5 - len(list_filter(o[1:5], lambda x: x = ''))) || ' ' || (7 - len(list_filter(o[1:7], lambda x: x = ''))) || '-' || (8 - len(list_filter(o[1:8], lambda x: x = ''))) || ' ' || (10 - len(list_filter(o[1:10], lambda x: x = ''))) || '-' || (30 - len(list_filter(o[1:30], lambda x: x = ''))) ELSE '' END AS spans,
+  CAST(len(list_filter(range(len(c)), lambda i: o[i + 1] <> c[i + 1])) AS INTEGER) AS operations FROM e"""
+)
+def recogniser_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a recogniser might read them, with their spans moved along."""
+    s = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit("NAME").alias("label"))
+    found = F.when(F.length("text") >= 30, F.array(s(0, 5), s(7, 8), s(10, 30))).otherwise(F.array().cast("array<struct<start:int,end:int,label:string>>"))
+    n = read(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", synthetic.noised(F.col("text"), found, F.col("doc_id").cast("string")).alias("n"))
+    said = F.array_join(F.transform("n.spans", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), " ")
+    return n.select("doc_id", F.md5("n.text").alias("md5"), said.alias("spans"), F.size("n.operations").alias("operations"))

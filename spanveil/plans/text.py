@@ -227,6 +227,15 @@ UNION SELECT doc_id, md5(value), 'digits' FROM d JOIN n ON length(digits) >= 6 A
 """
 
 
+_LEAK_ITEMS = r"""
+WITH v AS (SELECT item_id, 0 AS line, text AS value FROM benchmark UNION ALL SELECT item_id, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS INTEGER), unnest(string_split(text, chr(10))) FROM benchmark),
+u AS (SELECT DISTINCT value, lower(regexp_replace(value, '\s+', '', 'g')) AS needle, regexp_replace(value, '[^0-9]', '', 'g') AS digits FROM v),
+d AS (SELECT doc_id, lower(regexp_replace(text, '\s+', '', 'g')) AS hay, regexp_replace(text, '[^0-9]', '', 'g') AS hay_digits FROM documents),
+p AS (SELECT doc_id, value, 'normalized' AS kind FROM d JOIN u ON length(needle) >= 3 AND contains(hay, needle) UNION SELECT doc_id, value, 'digits' FROM d JOIN u ON length(digits) >= 6 AND contains(hay_digits, digits))
+SELECT DISTINCT doc_id, item_id, line, kind FROM p JOIN v USING (value)
+"""
+
+
 def role_mask_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read(spark, sf_dir, "conversations").where(F.col("role").isin("user", "tool"))
     return t.select("conv_id", "turn", F.length("text").alias("n_chars"), rules.preview(F.col("text")).alias("preview"))
@@ -334,6 +343,7 @@ ORACLES = {
     "policy_levels": _SPANS + f", c AS (SELECT {_ALIAS} AS pii_class FROM found) SELECT {_LEVEL} AS level, count(*) AS n FROM c GROUP BY 1",
     "token_assignment": _TOKENS,
     "leak_scan": _LEAKS,
+    "leak_scan_items": _LEAK_ITEMS,
     "role_mask_texts": r"SELECT conv_id, turn, CAST(length(text) AS INTEGER) AS n_chars, substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 160) AS preview FROM conversations WHERE role IN ('user', 'tool')",
     "first_user_text": "SELECT conv_id, substr(arg_min(text, turn), 1, 300) AS first_user_text FROM conversations WHERE role = 'user' AND trim(text) <> '' GROUP BY conv_id",
     "text_fingerprints": "SELECT doc_id, sha256(text) AS sha256, CAST(length(text) AS INTEGER) AS characters, trim(regexp_replace(source, '[^A-Za-z0-9_.-]+', '-', 'g'), '-') || '-' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 10) AS stem FROM documents",

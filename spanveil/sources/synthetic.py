@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanveil.functions import rules
 
@@ -58,3 +62,59 @@ def records(spark: SparkSession, split: str, n: int, seed: int = 0, noise: float
         F.lit("US").alias("region"),
         noisy.alias("noisy"),
     )
+
+
+# What a recogniser reads in place of some letters, and how often it does so or loses one.
+READ_AS = {"O": "0", "o": "0", "I": "1", "l": "1", "S": "5", "B": "8"}
+REPLACED, DELETED = 0.025, 0.003
+
+
+_NOISED = (
+    T.StructType()
+    .add("text", "string")
+    .add("spans", T.ArrayType(T.StructType().add("start", "integer").add("end", "integer").add("label", "string").add("value", "string")))
+    .add("operations", T.ArrayType(T.StructType().add("op", "string").add("index", "integer").add("was", "string").add("becomes", "string")))
+)
+
+
+def _draws(key: str, at: int) -> tuple[float, float]:
+    """Two numbers in [0, 1) for a place: one for losing it, one for misreading it."""
+    h = hashlib.md5(f"{key}:{at}".encode()).hexdigest()
+    return int(h[:8], 16) / 2**32, int(h[8:16], 16) / 2**32
+
+
+@F.pandas_udf(_NOISED)
+def _noised(texts: pd.Series, spans: pd.Series, keys: pd.Series, replaced: pd.Series, deleted: pd.Series) -> pd.DataFrame:
+    rows = []
+    for text, found, key, often, lost in zip(texts, spans, keys, replaced, deleted, strict=True):
+        if text is None:
+            rows.append((None, None, None))
+            continue
+        found = [] if found is None else [(int(s["start"]), int(s["end"]), s["label"]) for s in found]
+        single = {a for a, b, _ in found if b - a == 1}
+        out, ops, before = [], [], [0]
+        for i, c in enumerate(text):
+            gone, misread = _draws(key, i)
+            if gone < lost and i not in single and not c.isspace():
+                ops.append({"op": "delete", "index": i, "was": c, "becomes": ""})
+            elif c in READ_AS and misread < often:
+                ops.append({"op": "replace", "index": i, "was": c, "becomes": READ_AS[c]})
+                out.append(READ_AS[c])
+            else:
+                out.append(c)
+            before.append(len(out))
+        noisy = "".join(out)
+        new = [(before[a], before[b], label) for a, b, label in found]
+        if any(b <= a for a, b, _ in new):
+            noisy, new, ops = text, found, []
+        rows.append((noisy, [{"start": a, "end": b, "label": label, "value": noisy[a:b]} for a, b, label in new], ops))
+    return pd.DataFrame(rows, columns=["text", "spans", "operations"])
+
+
+def noised(text: Column, spans: Column, key: Column, replaced: float = REPLACED, deleted: float = DELETED) -> Column:
+    """A text as a recogniser might read it, its spans (start, end, label) moved along, and the operations: drawn by hash of the key and the place.
+
+    White space and spans of one character are not lost; if a span would vanish, the text stays as it is. A null text stays null.
+    A struct (text, spans of (start, end, label, value), operations of (op, index, was, becomes)).
+    """
+    return _noised(text, spans, key.cast("string"), F.lit(replaced), F.lit(deleted))

@@ -123,3 +123,28 @@ def test_sources(spark, tmp_path):
     p = str(tmp_path / "x")
     assert files.write_jsonl(spark.createDataFrame([(1, "a"), (2, "b")], "i int, s string"), p).first()["records"] == 2
     assert files.read_jsonl(spark, p, "i int, s string", strict=True).count() == 2
+
+
+def test_recogniser_noise(spark):
+    from spanveil.sources import synthetic
+
+    text = "Old Bill Sold 10 lOllIpops to B " * 40
+    spans = [(0, 3, "A"), (4, 8, "B"), (30, 31, "C"), (100, 140, "D")]
+    rows = [(f"k{i}", text, spans) for i in range(20)] + [("n", None, None), ("e", "", []), ("s", " \n ", None), ("v", "o", [(0, 1, "A")])]
+    kind = "k string, t string, s array<struct<start:int,end:int,label:string>>"
+    df = spark.createDataFrame(rows, kind)
+    out = {r["k"]: r["n"] for r in df.select("k", synthetic.noised(F.col("t"), F.col("s"), F.col("k"), 0.5, 0.1).alias("n")).collect()}
+    assert len({n["text"] for k, n in out.items() if k[0] == "k"}) == 20
+    for k, n in out.items():
+        if k[0] == "k":
+            back = list(text)
+            for o in n["operations"]:
+                assert back[o["index"]] == o["was"] and (o["op"] == "replace") == (o["becomes"] != "")
+                back[o["index"]] = o["becomes"]
+            assert "".join(back) == n["text"]
+            for (a, b, label), s in zip(spans, n["spans"], strict=True):
+                assert s["label"] == label and s["value"] == n["text"][s["start"] : s["end"]] == "".join(back[a:b]) != ""
+            assert " " in n["text"]
+    assert out["n"]["text"] is None and (out["e"]["text"], out["s"]["text"]) == ("", " \n ") and out["v"]["text"] in ("o", "0")
+    same = df.select(synthetic.noised(F.col("t"), F.col("s"), F.col("k"), 0.0, 0.0)["text"].alias("t"), F.col("t").alias("w")).where("NOT t <=> w")
+    assert same.count() == 0
