@@ -83,7 +83,8 @@ def features(data: np.ndarray, offs: np.ndarray, max_n: int = 1) -> tuple[np.nda
         size = e - s
         begin = np.cumsum(size + 1) - size - 1
         joined = np.full(int(begin[-1] + size[-1]) + 1, 0x20, np.uint8)
-        joined[np.repeat(begin - s, size) + (at := np.flatnonzero(vec.ALNUM[data]))] = data[at]
+        at = np.flatnonzero(vec.ALNUM[data])
+        joined[np.repeat(begin - s, size) + at] = data[at]
         data, s, e = joined, begin, begin + size
     crcs, rows = [], []
     for n in range(1, max_n + 1):

@@ -17,7 +17,7 @@ shorter vectors count as padded with entries of 0; a null id passes; repeated ro
 count each time; with fewer than ``k`` dimensions there are as many components;
 where the eigenvalue is 0 (to rounding: fewer different rows than components) the
 direction is any orthogonal one, and whitened is null; an empty table gives no
-rows; a deviation beyond a long is null; further columns are not read.
+rows; entries beyond 2**51 count as that, and a deviation beyond a long is null; further columns are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ from spanveil.cluster import checkpoint, ship
 COMPONENTS = 8
 SCALE = 1024
 OFFSET = 100_000
+#: Whole numbers farther from 0 (entries above 2e15) count as this.
+FARTHEST = 1 << 61
 #: Residual, as a share of the largest eigenvalue, below which a Ritz pair is settled.
 TOLERANCE = 1e-14
 #: Rows that a task multiplies at once.
@@ -44,7 +46,8 @@ def integers(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
     """vec_id, x: the whole numbers of the rows that take part."""
     c = F.transform(vec_col, lambda v: v.cast("double"))
     fine = F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return vectors.where(F.col(vec_col).isNotNull() & fine).select(F.col(id_col).alias("vec_id"), F.transform(c, lambda v: F.floor(v * SCALE).cast("long") + OFFSET).alias("x"))
+    bound = lambda x: F.greatest(F.lit(-FARTHEST), F.least(F.lit(FARTHEST), x))
+    return vectors.where(F.col(vec_col).isNotNull() & fine).select(F.col(id_col).alias("vec_id"), F.transform(c, lambda v: bound(F.floor(v * SCALE).cast("long")) + OFFSET).alias("x"))
 
 
 class Fit:
