@@ -1,4 +1,4 @@
-"""Structured Streaming operators: deduplication, windows, and stateful rings, grants and watchdogs."""
+"""Structured Streaming operators: deduplication, windows, and stateful rings and watchdogs (approvals have their own module)."""
 
 from __future__ import annotations
 
@@ -40,13 +40,12 @@ class Watchdog(StatefulProcessor):
         steps, halted = self.state.get() if self.state.exists() else ([], False)
         steps = list(steps)
         out = []
-        for pdf in rows:
-            for r in pdf.sort_values("step").itertuples(index=False):
-                if r.kind in self.kinds:
-                    steps.append(int(r.step))
-                steps = [s for s in steps if s > r.step - self.window]
-                halted = bool(halted or len(steps) >= self.threshold)
-                out.append((key[0], int(r.step), len(steps), halted))
+        for r in pd.concat(list(rows)).sort_values("step").itertuples(index=False):  # the whole batch, not each Arrow chunk, in order
+            if r.kind in self.kinds:
+                steps.append(int(r.step))
+            steps = [s for s in steps if s > r.step - self.window]
+            halted = bool(halted or len(steps) >= self.threshold)
+            out.append((key[0], int(r.step), len(steps), halted))
         self.state.update((steps, halted))
         yield pd.DataFrame(out, columns=["key", "step", "suspicious", "halted"])
 
@@ -60,28 +59,6 @@ def watchdog(events: DataFrame, window: int = 8, threshold: int = 3, kinds: tupl
     return events.groupBy("key").transformWithStateInPandas(Watchdog(window, threshold, kinds), f"key {kind}, step long, suspicious int, halted boolean", "Append", "None")
 
 
-def _grant_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    uses, expires = state.get if state.exists else (0, 0.0)
-    out = []
-    for pdf in batches:
-        for r in pdf.sort_values("at").itertuples(index=False):
-            if r.kind == "grant":
-                uses, expires = int(r.uses), float(r.expires)
-            elif r.kind == "revoke":
-                uses = 0
-            else:
-                ok = uses > 0 and r.at < expires
-                uses -= ok
-                out.append((key[0], float(r.at), bool(ok), int(uses)))
-    state.update((int(uses), float(expires)))
-    yield pd.DataFrame(out, columns=["token", "at", "allowed", "left"])
-
-
-def grants(events: DataFrame) -> DataFrame:
-    """Uses of tokens (token, at, kind, uses, expires) allowed by the grants before them: use counts and expiry are kept as state."""
-    return events.groupBy("token").applyInPandasWithState(_grant_step, "token string, at double, allowed boolean, left int", "uses int, expires double", "append", GroupStateTimeout.NoTimeout)
-
-
 def _ring_step(capacity: int):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ids = list(state.get[0]) if state.exists else []
@@ -112,4 +89,4 @@ def run_batch(df: DataFrame, name: str, mode: str = "append", checkpoint: str |
     return df.sparkSession.table(name)
 
 
-__all__ = ["Watchdog", "first_seen", "grants", "ring", "run_batch", "sessions", "tumbling", "watchdog"]
+__all__ = ["Watchdog", "first_seen", "ring", "run_batch", "sessions", "tumbling", "watchdog"]

@@ -23,12 +23,6 @@ def test_tumbling(spark, tmp_path):
     assert sorted((r["n"], r["value"]) for r in got.collect()) == [(1, 4.0), (2, 3.0)]
 
 
-def test_grants(spark, tmp_path):
-    rows = [{"token": "T", "at": 1.0, "kind": "grant", "uses": 1, "expires": 9.0}, {"token": "T", "at": 2.0, "kind": "use"}, {"token": "T", "at": 3.0, "kind": "use"}, {"token": "U", "at": 1.0, "kind": "use"}]
-    got = st.run_batch(st.grants(stream(spark, tmp_path, rows, "token string, at double, kind string, uses int, expires double")), "grants", checkpoint=str(tmp_path / "c"))
-    assert {(r["token"], r["at"]): r["allowed"] for r in got.collect()} == {("T", 2.0): True, ("T", 3.0): False, ("U", 1.0): False}
-
-
 def test_ring(spark, tmp_path):
     got = st.run_batch(st.ring(stream(spark, tmp_path, [{"key": "a", "id": i} for i in range(10)], "key string, id long"), 4), "ring", "update", str(tmp_path / "c"))
     assert [(r["held"], r["first"], r["last"], r["evicted"]) for r in got.collect()] == [(4, 6, 9, 6)]
@@ -39,3 +33,14 @@ def test_watchdog(spark, tmp_path):
     rows = [{"key": "a", "step": i, "kind": "error" if i in (1, 2, 4) else "ok"} for i in range(7)]
     got = st.run_batch(st.watchdog(stream(spark, tmp_path, rows, "key string, step long, kind string")), "watchdog", checkpoint=str(tmp_path / "c"))
     assert [(r["step"], r["halted"]) for r in got.orderBy("step").collect()] == [(i, i >= 4) for i in range(7)]
+
+
+def test_watchdog_orders_the_whole_batch(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        rows = [{"key": "a", "step": i, "kind": "error" if i < 3 else "ok"} for i in range(20)][::-1]
+        got = st.run_batch(st.watchdog(stream(spark, tmp_path, rows, "key string, step long, kind string")), "ordered", checkpoint=str(tmp_path / "c"))
+        assert [(r["step"], r["halted"]) for r in got.orderBy("step").collect()] == [(i, i >= 2) for i in range(20)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
