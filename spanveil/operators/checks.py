@@ -59,9 +59,10 @@ def box_problem(x: Column, y: Column, w: Column, h: Column, visible: Column, cli
 
 def elements(text: Column, count: Column, kind: str) -> Column:
     """A struct (elements, problem) of a JSON list of objects (DDL ``kind``) that must hold ``count`` of them."""
-    # a list of other things than objects does not parse as a list of maps
-    shape = F.from_json(text, "array<map<string,string>>")
-    bad = shape.isNull() | F.exists(shape, lambda x: x.isNull())
+    # members as variants: nested ones stay what they are, and neither null nor a bare object counts as a list of objects
+    whole = F.try_parse_json(text)
+    shape = F.when(F.schema_of_variant(whole).startswith("ARRAY"), F.try_variant_get(whole, "$", "array<variant>"))
+    bad = shape.isNull() | F.exists(shape, lambda x: ~F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False)))
     problem = F.when(F.coalesce(bad, F.lit(True)), "invalid").when(~F.coalesce(count == F.size(shape), F.lit(False)), "count")
     return F.struct(F.when(problem.isNull(), F.from_json(text, f"array<{kind}>")).alias("elements"), problem.alias("problem"))
 

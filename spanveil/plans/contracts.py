@@ -486,15 +486,16 @@ def computed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT problem, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 3 = 1 THEN 'invalid' WHEN o_orderkey % 4 = 0 THEN 'count' ELSE 'none' END AS problem FROM orders) GROUP BY 1"""
+    """SELECT problem, count(*) AS n, CAST(sum(CASE WHEN problem = 'none' AND o_orderkey % 6 IN (0, 2) THEN o_orderkey ELSE 0 END) AS BIGINT) AS keys FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (1, 3, 5) THEN 'invalid' WHEN o_orderkey % 4 = 0 THEN 'count' ELSE 'none' END AS problem FROM orders) GROUP BY 1"""
 )
 def element_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON lists of elements by what is wrong with them."""
     k = F.col("o_orderkey")
-    text = _pick(k, '[{"key": "a"}, {"key": "b"}]', "[1, 2]", "[]")
-    count = F.when(F.pmod(k, F.lit(3)) == 2, 0).otherwise(2) + F.when(F.pmod(k, F.lit(4)) == 0, 1).otherwise(0)
+    text = F.replace(_pick(k, '[{"key": "{k}"}, {"key": {"deep": [1, null]}}]', "[1, 2]", '[{"key": "{k}", "more": {"key": [{}]}}, {}]', '{"key": "{k}"}', "[]", '[{"key": "{k}"}, null]'), F.lit("{k}"), k.cast("string"))
+    count = F.when(F.pmod(k, F.lit(6)) == 4, 0).otherwise(2) + F.when(F.pmod(k, F.lit(4)) == 0, 1).otherwise(0)
     e = checks.elements(text, count, "struct<key:string>")
-    return read(spark, sf_dir, "orders").groupBy(F.coalesce(e["problem"], F.lit("none")).alias("problem")).agg(F.count("*").alias("n"))
+    key = F.coalesce(F.get(e["elements"], F.lit(0))["key"].try_cast("long"), F.lit(0))
+    return read(spark, sf_dir, "orders").groupBy(F.coalesce(e["problem"], F.lit("none")).alias("problem")).agg(F.count("*").alias("n"), F.sum(key).alias("keys"))
 
 
 @query(
