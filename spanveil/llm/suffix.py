@@ -16,9 +16,11 @@ share ``span`` bytes are ordered, in buckets that no such common prefix leaves:
    suffixes are those that occur twice and differ in the byte before, by the hashes
    of their first ``span`` bytes; they are then ordered, compared and scanned by
    their bytes. A repeat longer than its context comes out in overlapping pieces.
-4. A bucket of more than ``LIMIT`` different contexts is no task of its own: it is dealt out, and each
-   of its strings becomes a row, counted by its hash (all prefixes of ``span`` bytes,
-   exact up to equal 64-bit hashes within a bucket).
+4. A bucket of more than ``LIMIT`` different contexts is no task of its own: it is dealt out, and its
+   contexts are divided. Equal strings have their anchor at equal places, so strings whose anchors lie in
+   one block of ``WIDTHS`` places share all bytes but those of the block: their core. A core that occurs
+   once is dropped, one in equal surroundings repeats whole, and only what is left (where
+   a repeat ends) is divided further, down to single strings (exact up to equal 64-bit hashes).
 5. Repeats go back to the contexts' places and are united in each text.
 
 A context holds less than 2 x ``span`` bytes, so tasks are bounded by ``LIMIT`` contexts
@@ -46,6 +48,8 @@ from spanveil.llm import vec
 SPAN = 200
 #: Different contexts of a bucket up to which one task orders its suffixes.
 LIMIT = 1024
+#: Places of the anchor in a block, as contexts of larger buckets are divided; each divides the one before.
+WIDTHS = (16, 4, 1)
 #: Bytes of text looked at together.
 _PIECE = 1 << 18
 _U = np.uint64
@@ -189,7 +193,7 @@ def repeats(bucket: np.ndarray, copies: np.ndarray, data: np.ndarray, offs: np.n
     return own, step, step + best, vec.mix((c[at + best] - c[at]) * q[at] + best.astype(_U)).view(np.int64)
 
 
-_FOUND = "h long, c long, copies long, a array<int>, b array<int>, repeat array<long>"
+_FOUND = "h long, c long, copies long, a array<int>, b array<int>, repeat array<long>, context binary"
 
 
 def _bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,10 +210,11 @@ def _searched(rows: DataFrame, span: int) -> DataFrame:
     """h, c and the repeats of each context (h, c, copies, salt, context).
 
     Contexts of salt 0 are dealt and sorted by h, and whole buckets are worked on
-    together. Others are of large buckets: b is null, and ``repeat`` has the hash of each
-    of their strings, not counted yet.
+    together. Others are of large buckets and pass with their bytes, not searched yet.
     """
 
+    names = ["h", "c", "copies", "a", "b", "repeat", "context"]
+
     def arrays(t: pa.Table) -> Iterator[pa.RecordBatch]:
         h, cs = np.asarray(t.column("h"), np.int64), np.asarray(t.column("c"), np.int64)
         copies = np.asarray(t.column("copies"), np.int64)
@@ -224,21 +229,13 @@ def _searched(rows: DataFrame, span: int) -> DataFrame:
             order = np.argsort(own, kind="stable")
             count = np.bincount(own, minlength=j - i)
             some = count > 0
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h[i:j][some]), pa.array(cs[i:j][some]), pa.array(copies[i:j][some]), *[vec.lists(x[order].astype(kind), count[some]) for x, kind in ((a, np.int32), (b, np.int32), (name, np.int64))]],
-                names=["h", "c", "copies", "a", "b", "repeat"],
-            )
+            found = [vec.lists(x[order].astype(kind), count[some]) for x, kind in ((a, np.int32), (b, np.int32), (name, np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array(h[i:j][some]), pa.array(cs[i:j][some]), pa.array(copies[i:j][some]), *found, pa.nulls(int(some.sum()), pa.binary())], names=names)
             lo = hi
 
-    def strings(t: pa.Table) -> pa.RecordBatch:
-        data, offs = _bytes(t.column("context"))
-        number = np.diff(offs) - span + 1
-        step = np.arange(int(number.sum())) - np.repeat(np.cumsum(number) - number, number)
-        at = np.repeat(offs[:-1], number) + step
-        c, q = _sums(data)
-        w = vec.mix((c[at + span] - c[at]) * q[at] + _U(span)).view(np.int64)
-        none = pa.nulls(len(t), pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([*[t.column(x).combine_chunks() for x in ("h", "c", "copies")], vec.lists(step.astype(np.int32), number), none, vec.lists(w, number)], names=["h", "c", "copies", "a", "b", "repeat"])
+    def passed(t: pa.Table) -> pa.RecordBatch:
+        none = [pa.nulls(len(t), pa.list_(x)) for x in (pa.int32(), pa.int32(), pa.int64())]
+        return pa.RecordBatch.from_arrays([*[t.column(x).combine_chunks() for x in ("h", "c", "copies")], *none, t.column("context").combine_chunks()], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: pa.Table | None = None
@@ -247,7 +244,7 @@ def _searched(rows: DataFrame, span: int) -> DataFrame:
             salt = np.asarray(t.column("salt"), np.int64)
             n = int(np.searchsorted(salt, 1))  # sorted: those of salt 0 come first
             if n < len(t):
-                yield strings(t.slice(n))
+                yield passed(t.slice(n))
                 t = t.slice(0, n)
             t = t if left is None else pa.concat_tables([left, t])
             left = None
@@ -263,12 +260,61 @@ def _searched(rows: DataFrame, span: int) -> DataFrame:
     return rows.repartition("h", "salt").sortWithinPartitions("salt", "h").mapInArrow(run, _FOUND)
 
 
-def _counted(rows: DataFrame, span: int) -> DataFrame:
-    """h, c, a, b and repeat of the contexts of large buckets: their strings that occur twice, each a row counted by its hash."""
-    each = rows.select("h", "c", "copies", F.explode(F.arrays_zip("a", "repeat")).alias("z")).select("h", "c", "copies", F.col("z.a").alias("a"), F.col("z.repeat").alias("w"))
-    twice = written(each.groupBy("h", "w").agg(F.sum("copies").alias("n")).where(F.col("n") > 1).drop("n"))
-    found = each.join(twice, ["h", "w"]).groupBy("h", "c").agg(F.array_sort(F.collect_list(F.struct("a", "w"))).alias("x"))
-    return found.select("h", "c", F.col("x.a").alias("a"), F.transform("x.a", lambda a: a + span).alias("b"), F.col("x.w").alias("repeat"))
+def blocks(h: np.ndarray, data: np.ndarray, offs: np.ndarray, own: np.ndarray, a: np.ndarray, n: np.ndarray, span: int, width: int) -> tuple[np.ndarray, ...]:
+    """range, first string, number of strings, core hash and text hash of the blocks of ranges (of n strings from a, in context own) of contexts with anchors h."""
+    k = max(2, span // 8)
+    c, q = _sums(data)
+    run = vec.mix((c[k:] - c[:-k]) * q[: len(data) - k + 1])
+    row = np.repeat(np.arange(len(h)), np.diff(offs))[: len(run)]
+    hit = np.flatnonzero((run == h.view(_U)[row]) & (np.arange(len(run)) + k <= offs[1:][row]))
+    anchor = (hit - offs[row[hit]])[np.flatnonzero(np.diff(row[hit], prepend=-1))][own]  # the first run of that hash
+    high, low = (anchor - a) // width, (anchor - a - n + 1) // width
+    count = high - low + 1
+    of = np.repeat(np.arange(len(own)), count)
+    last = anchor[of] - width * (high[of] - (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)))  # where the block's last string would start
+    first = np.maximum(a[of], last - width + 1)
+    number = np.minimum((a + n)[of], last + 1) - first
+    at = offs[:-1][own[of]]
+    s, e = at + last, at + last - width + 1 + span
+    core = vec.mix(vec.mix((c[e] - c[s]) * q[s]) + h.view(_U)[own[of]] + ((anchor[of] - last) * 2 + 1).astype(_U))
+    s, size = at + first, number + span - 1
+    return of, first, number, core.view(np.int64), vec.mix((c[s + size] - c[s]) * q[s] + size.astype(_U)).view(np.int64)
+
+
+def _blocks(rows: DataFrame, span: int, width: int) -> DataFrame:
+    """h, c, copies, a, n, core and own of the blocks of the ranges (a, n) of contexts (h, c, copies, context, ranges)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offs = _bytes(b.column(3))
+            if not len(data):
+                continue
+            size, r = np.asarray(b.column(4).value_lengths(), np.int64), b.column(4).flatten()
+            row = np.repeat(np.arange(len(b)), size)
+            of, a, n, core, own = blocks(np.asarray(b.column(0), np.int64), data, offs, row, np.asarray(r.field("a"), np.int64), np.asarray(r.field("n"), np.int64), span, width)
+            at = pa.array(row[of])
+            new = [pa.array(a.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(core), pa.array(own)]
+            yield pa.RecordBatch.from_arrays([*[b.column(i).take(at) for i in range(3)], *new], names=["h", "c", "copies", "a", "n", "core", "own"])
+
+    return rows.select("h", "c", "copies", "context", "ranges").mapInArrow(run, "h long, c long, copies long, a int, n int, core long, own long")
+
+
+def _divided(large: DataFrame, span: int) -> DataFrame:
+    """h, c, a, b and repeat of the contexts (h, c, copies, context) of large buckets: blocks of strings, each a row, counted by their cores and divided where a repeat ends."""
+    number = F.length("context") - (span - 1)
+    rest = large.withColumn("ranges", F.array(F.struct(F.lit(0).alias("a"), number.alias("n"))))
+    found: DataFrame | None = None
+    for width in (w for w in WIDTHS if 8 * w <= span or w == 1):
+        parts = written(_blocks(rest, span, width))
+        each = parts.groupBy("core", "own").agg(F.sum("copies").alias("n"))
+        cores = written(each.groupBy("core").agg(F.sum("n").alias("n"), F.count("*").alias("m")).where(F.col("n") > 1).select("core", (F.col("m") == 1).alias("whole")))
+        met = written(parts.drop("copies").join(cores, "core"))
+        whole = met.where("whole").select("h", "c", "a", (F.col("a") + F.col("n") + (span - 1)).alias("b"), F.col("own").alias("repeat"))
+        found = whole if found is None else found.unionByName(whole)
+        again = met.where(~F.col("whole")).groupBy("h", "c").agg(F.collect_list(F.struct("a", "n")).alias("ranges"))
+        rest = large.join(again, ["h", "c"])
+    found = found.groupBy("h", "c").agg(F.array_sort(F.collect_list(F.struct("a", "b", "repeat"))).alias("x"))
+    return found.select("h", "c", *[F.col(f"x.{x}").alias(x) for x in ("a", "b", "repeat")])
 
 
 def _places(docs: DataFrame, span: int, limit: int) -> tuple[DataFrame, DataFrame]:
@@ -290,9 +336,9 @@ def _places(docs: DataFrame, span: int, limit: int) -> tuple[DataFrame, DataFram
     salt = F.when(F.col("m") > limit, F.pmod("c", F.lit(1 << 20)) + 1).otherwise(F.lit(0).cast("long"))
     wanted = sized.where(F.col("m") > 1).groupBy("rid").agg(F.collect_list(F.struct("h", "c", "copies", salt.alias("salt"), "place")).alias("wanted"))
     several = written(_searched(_cut(texts.select("rid", "text").join(wanted, "rid"), span), span))
-    found = alone.unionByName(several.where(F.col("b").isNotNull()).drop("copies"))
+    found = alone.unionByName(several.where(F.col("context").isNull()).drop("copies", "context"))
     if size.where(F.col("m") > limit).limit(1).count():
-        found = found.unionByName(_counted(several.where(F.col("b").isNull()), span))
+        found = found.unionByName(_divided(several.where(F.col("context").isNotNull()).select("h", "c", "copies", "context"), span))
     met = places.join(found, ["h", "c"]).groupBy("rid").agg(F.collect_set(F.struct("place", "a", "b", "repeat")).alias("found"))
     return texts, met
 

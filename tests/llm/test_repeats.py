@@ -93,3 +93,51 @@ def test_pieces_do_not_matter(spark, monkeypatch):
         return {(r, s + j, h) for rs, hs, _, ss, ns in suffix.contexts(data_, offs, 16) for r, h, s, n in zip(rs.tolist(), hs.tolist(), ss.tolist(), ns.tolist(), strict=True) for j in range(n)}
 
     assert strings(1 << 18) == strings(100)
+
+
+def hot(seed, n, size):
+    """One passage in every row, among text of its own, of one of few edges, or of another's."""
+    rnd = random.Random(seed)
+    some = lambda k, letters="abcdefgh ": "".join(rnd.choice(letters) for _ in range(k))
+    passage, edges = some(2 * size), [some(size // 6) for _ in range(5)]
+    rows = []
+    for i in range(n):
+        cut = rnd.choice([0, 0, rnd.randrange(size // 4)])
+        rows.append((i, some(size // 2) + rnd.choice([*edges, "", some(3)]) + passage[cut : 2 * size - rnd.choice([0, cut])] + rnd.choice([*edges, "", some(2)]) + some(size // 2)))
+    return rows + [(n + i, some(size) + "é" * rnd.randrange(size, 2 * size)) for i in range(9)] + [(n + 20, rows[0][1])]
+
+
+def most_rows(spark, since):
+    """Rows of the largest join, generator or Arrow function of the executions after ``since``."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, most = store.executionsList(), 0
+    for i in range(runs.size()):
+        if (run := runs.apply(i)).executionId() > since:
+            values, nodes = store.executionMetrics(run.executionId()), store.planGraph(run.executionId()).allNodes()
+            for k in range(nodes.size()):
+                node = nodes.apply(k)
+                for m in range(node.metrics().size()) if any(x in node.name() for x in ("Join", "Generate", "Arrow")) else ():
+                    metric = node.metrics().apply(m)
+                    if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                        most = max(most, int(values.apply(metric.accumulatorId()).replace(",", "")))
+    return most
+
+
+@pytest.mark.parametrize(("seed", "span"), [(1, 200), (2, 40), (3, 13)])
+def test_large_buckets(spark, seed, span):
+    rows = hot(seed, 150, span)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = expected(rows, span)
+    for limit in (1, 20):
+        assert got(suffix.dedup(docs, span, limit)) == want
+
+
+def test_a_large_bucket_is_no_row_for_each_string(spark):
+    rows = hot(4, 600, 200)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    since = max([runs.apply(i).executionId() for i in range(runs.size())], default=-1)
+    assert suffix.dedup(docs, 200, 32).count() == len(rows)
+    strings = sum(len(r[1].encode()) - 199 for r in rows)
+    assert most_rows(spark, since) < strings / 4
