@@ -39,9 +39,9 @@ THETA = 1.0
 CHARS = 1 << 18
 #: Longest word that is filtered together with others, and the characters of words that are.
 SHORT = 48
-TOGETHER = 24_000
+TOGETHER = 20_000
 #: Lattice nodes that a worker keeps for later batches, at most (but for those of one batch).
-KEEP = 300_000
+KEEP = 600_000
 _SLOTS = 19
 
 _SPACE = "▁"
@@ -82,29 +82,37 @@ class Lattice:
             raise ValueError("the model has no byte pieces, so not every text can be coded")
         self.longest = max(map(len, self.known))
         self.theta = theta
-        # All pieces in a hash table: slots of one entry, and a sorted rest for those that found theirs taken.
-        rows = []
+        # All pieces and their ends in a hash table: slots of one entry, and a sorted rest for those that found theirs taken.
+        chars = sorted(set("".join(self.known)))
+        codes = dict(zip(chars, self._char(np.array(list(map(ord, chars)), np.uint32)).tolist(), strict=True))
+        ends: dict[int, tuple[int, float]] = {}
+        inner: set[int] = set()  # those that go on to the left
         for p, (i, lp) in self.known.items():
             h, w = 0, 1
             for c in reversed(p):
-                h = (h + int(self._char(np.array([ord(c)], np.uint32))[0]) * w) & 0xFFFFFFFFFFFFFFFF
+                if h:
+                    inner.add(h)
+                    ends.setdefault(h, (-1, -math.inf))
+                h = (h + codes[c] * w) & 0xFFFFFFFFFFFFFFFF
                 w = w * int(_BASE) & 0xFFFFFFFFFFFFFFFF
-            rows.append((h, i, lp))
-        rows.sort()
-        self.hashes = np.array([r[0] for r in rows] + [0], _U)
-        self.ids = np.array([r[1] for r in rows] + [0], np.int32)
-        self.scores = np.array([r[2] for r in rows] + [0.0])
+            ends[h] = (i, lp)
+        rows = sorted(ends)
+        self.hashes = np.array([*rows, 0], _U)
+        self.ids = np.array([*(ends[h][0] for h in rows), -1], np.int32)
+        self.scores = np.array([*(ends[h][1] for h in rows), -np.inf])
+        self.inner = np.array([*(h in inner for h in rows), False])
         self.slot = np.full(1 << _SLOTS, len(rows), np.int32)
+        at = (self.hashes[:-1] >> _U(64 - _SLOTS)).astype(np.int64)
+        new = np.append(True, at[1:] != at[:-1])  # sorted, so those of one slot are neighbours
+        self.slot[at[new]] = np.flatnonzero(new)
         self.taken = np.zeros(1 << _SLOTS, bool)
-        for k, h in enumerate((self.hashes[:-1] >> _U(64 - _SLOTS)).astype(np.int64)):
-            if self.slot[h] == len(rows):
-                self.slot[h] = k
-            else:
-                self.taken[h] = True
+        self.taken[at[~new]] = True
         self.lens = np.array([len(p) for p in pieces], np.int64)
         self.starts = np.cumsum(self.lens) - self.lens
         self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
         self.wide: dict[int, int] = {}  # characters coded as several bytes, and their number
+        # of edges, by node: summed probabilities, pieces and nodes before; the first edge of each node; all with room for more
+        self.cum, self.piece, self.prev, self.first = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.clear()
 
     @staticmethod
@@ -114,10 +122,7 @@ class Lattice:
     def clear(self) -> None:
         self.end: dict[str, int] = {}  # the last node of each word
         self.nodes = 0
-        self.cum = np.zeros(0)
-        self.first = np.zeros(0, np.int64)
-        self.piece = np.zeros(0, np.int32)
-        self.prev = np.zeros(0, np.int32)
+        self.edges = 0
 
     def _fallback(self, cp: int) -> int:
         if cp < 128:
@@ -138,59 +143,72 @@ class Lattice:
         return e
 
     def _together(self, units: list[str], lens: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Words in order of falling length."""
-        first = np.cumsum(lens) - lens
-        cp = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
-        n, m = len(cp), min(self.longest, int(lens[0]))
-        at = np.arange(n) - np.repeat(first, lens) + 1  # characters of the word up to and with this one
+        """Words in order of falling length. Their first characters are the first nodes, then all second ones, and so on."""
+        count = np.append(np.searchsorted(-lens, -np.arange(1, int(lens[0]) + 1), "right"), 0)
+        base = np.append(0, np.cumsum(count))  # the first node of each place (from 0)
+        n, most = int(lens.sum()), min(self.longest, int(lens[0]))
+        place = np.repeat(np.arange(len(count)), count)
+        word = np.arange(n) - base[place]
+        cp = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)[(np.cumsum(lens) - lens)[word] + place]
         code = self._char(cp)
-        h = np.zeros(n, _U)
+        before = np.arange(n) - count[place - 1]  # the node of the character before
+        before[: base[1]] = -1
         w = 1
-        entry = np.full((m, n), len(self.ids) - 1, np.int32)
-        live = np.arange(n)
-        most = 1
-        for k in range(1, m + 1):
-            live = live[at[live] >= k]
-            h[live] += code[live - (k - 1)] * _U(w)
+        lp = np.full((most, n), -np.inf)
+        edges: list[tuple[np.ndarray, np.ndarray]] = []
+        live = left = np.arange(n)  # the last and the first character of what is looked up
+        h = code
+        m = 1
+        for k in range(1, most + 1):
+            e = self._find(h)
+            ids = self.ids[e]
+            hit = ids >= 0
+            at = live[hit]
+            lp[k - 1, at] = self.scores[e[hit]]
+            edges.append((at, ids[hit]))
+            if len(at):
+                m = k
+            if k == 1 and len(at) < n:
+                bare = live[~hit]
+                chars, which = np.unique(cp[bare], return_inverse=True)
+                edges[0] = np.append(at, bare), np.append(ids[hit], np.array([self._fallback(int(c)) for c in chars], np.int32)[which])
+                lp[0, bare] = _UNKNOWN * self.theta
+            more = np.flatnonzero(self.inner[e])
+            left = before[left[more]]
+            if len(more) and left.min() < 0:
+                inside = left >= 0
+                more, left = more[inside], left[inside]
+            if not len(more):
+                break
             w = w * int(_BASE) & 0xFFFFFFFFFFFFFFFF
-            e = self._find(h[live])
-            if (e < len(self.ids) - 1).any():
-                entry[k - 1, live] = e
-                most = k
-        m = most
-        entry = entry[:m]
-        none = entry == len(self.ids) - 1
-        lp, ids = self.scores[entry], self.ids[entry]
-        lp[none] = -np.inf
-        bare = np.flatnonzero(none[0])
-        if len(bare):
-            chars, which = np.unique(cp[bare], return_inverse=True)
-            ids[0, bare] = np.array([self._fallback(int(c)) for c in chars], np.int32)[which]
-            lp[0, bare] = _UNKNOWN * self.theta
-            none[0, bare] = False
+            live, h = live[more], h[more] + code[left] * _U(w)
+        p = lp[:m]
         alpha = np.zeros(n)
-        p = np.zeros((m, n))
-        for j in range(1, int(lens[0]) + 1):
-            g = first[: np.searchsorted(-lens, -j, "right")] + j - 1
-            a = lp[: min(j, m)][:, g]
-            for k in range(1, min(j - 1, m) + 1):
-                a[k - 1] += alpha[g - k]
+        for j in range(int(lens[0])):
+            g = slice(base[j], base[j + 1])
+            a = p[: j + 1, g]
+            for k in range(1, min(j, m) + 1):
+                a[k - 1] += alpha[base[j - k] : base[j - k] + count[j]]
             top = a.max(0)
-            e = np.exp(a - top)
-            s = e.sum(0)
+            a -= top
+            np.exp(a, out=a)
+            s = a.sum(0)
             alpha[g] = top + np.log(s)
-            p[: len(a), g] = e / s
-        p = np.cumsum(p, axis=0)
-        p /= p[-1]
-        g, k = np.nonzero(~none.T)
-        k += 1
+            a /= s
+            p[j + 1 :, g] = 0
+        np.cumsum(p, axis=0, out=p)
+        p /= p[-1].copy()
+        g = np.concatenate([x for x, _ in edges])
+        order = np.argsort(g.astype(np.uint16) if n <= 1 << 16 else g, kind="stable")  # small integers are sorted by radix
+        k = np.repeat(np.arange(len(edges)), [len(x) for x, _ in edges])[order]
+        g, ids = g[order], np.concatenate([x for _, x in edges])[order]
         first_edge = np.flatnonzero(np.diff(g, prepend=-1))
-        prev = np.where(at[g] == k, -1, self.nodes + g - k)
-        cum = p[k - 1, g]
+        prev = np.where(place[g] == k, -1, self.nodes + base[place[g] - k - 1] + word[g])
+        cum = p[k, g]
         cum[np.append(first_edge[1:], len(g)) - 1] = 1.0
-        self.end.update(zip(units, (self.nodes + first + lens - 1).tolist(), strict=True))
+        self.end.update(zip(units, (self.nodes + base[lens - 1] + np.arange(len(lens))).tolist(), strict=True))
         self.nodes += n
-        return cum, ids[k - 1, g], prev.astype(np.int32), first_edge
+        return cum, ids, prev.astype(np.int32), first_edge
 
     def _alone(self, unit: str) -> tuple[np.ndarray, ...]:
         alpha = [0.0]
@@ -233,17 +251,22 @@ class Lattice:
         lens = np.array(list(map(len, new)), np.int64)
         order = np.argsort(-lens, kind="stable")
         order = order[lens[order] <= SHORT]
-        parts = [(self.cum, self.piece, self.prev, self.first)]
         part = np.cumsum(lens[order]) // TOGETHER
         for o in np.split(order, np.flatnonzero(np.diff(part)) + 1):
             if len(o):
-                parts.append(self._together([new[j] for j in o], lens[o]))
-        parts += [self._alone(new[j]) for j in np.flatnonzero(lens > SHORT)]
-        at = 0
-        for k, (c, i, p, f) in enumerate(parts):
-            parts[k] = (c, i, p, f + at * (k > 0))
-            at += len(c)
-        self.cum, self.piece, self.prev, self.first = (np.concatenate(x) for x in zip(*parts, strict=True))
+                self._keep(*self._together([new[j] for j in o], lens[o]))
+        for j in np.flatnonzero(lens > SHORT):
+            self._keep(*self._alone(new[j]))
+
+    def _keep(self, cum: np.ndarray, piece: np.ndarray, prev: np.ndarray, first: np.ndarray) -> None:
+        """Adds the edges of the newest nodes."""
+        for name, new, at in (("cum", cum, self.edges), ("piece", piece, self.edges), ("prev", prev, self.edges), ("first", first + self.edges, self.nodes - len(first))):
+            have = getattr(self, name)
+            if at + len(new) > len(have):
+                have = np.resize(have, (at + len(new)) * 5 // 4) if len(have) else np.zeros((at + len(new)) * 5 // 4, have.dtype)
+                setattr(self, name, have)
+            have[at : at + len(new)] = new
+        self.edges += len(cum)
 
     def sample(self, node: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For words by last node and random base: the number of pieces of each, and all pieces in text order."""
@@ -254,7 +277,7 @@ class Lattice:
         while len(live):
             k += 1
             u = (vec.mix(base[live] + _U(k * int(_STEP) & 0xFFFFFFFFFFFFFFFF)) >> _U(11)).astype(np.float64) * 2.0**-53
-            e = self.first[node]
+            e = self.first[node].astype(np.int64)
             on = np.flatnonzero(self.cum[e] <= u)
             while len(on):
                 e[on] += 1

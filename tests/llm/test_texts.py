@@ -22,6 +22,25 @@ def test_pieces_round_trip_and_repeat(spark):
     assert pieces.encode(data.empty(spark)).count() == 0
 
 
+def test_pieces_look_up_only_what_may_go_on(monkeypatch):
+    rnd = random.Random(6)
+    words = sorted({"▁" + "".join(rnd.choice(["ou", "an", "que", "eau", "é", "x", "漢"]) for _ in range(rnd.randrange(1, 9))) for _ in range(3000)})
+    together, alone = pieces.Lattice(pieces.MODEL, 1.0), pieces.Lattice(pieces.MODEL, 1.0)
+    asked = []
+    find = pieces.Lattice._find
+    monkeypatch.setattr(pieces.Lattice, "_find", lambda self, x: (asked.append(len(x)), find(self, x))[1])
+    together.filter(set(words))
+    assert sum(asked) < 4 * sum(map(len, words))
+    monkeypatch.setattr(pieces, "SHORT", 0)
+    alone.filter(set(words))
+    base = np.random.default_rng(1).integers(0, 1 << 62, len(words)).astype(np.uint64)
+    drawn = []
+    for lat in (together, alone):
+        n, ids = lat.expand(*lat.sample(np.array([lat.end[w] for w in words]), base))
+        drawn.append((n.tolist(), ids.tolist()))
+    assert drawn[0] == drawn[1]
+
+
 def test_pieces_sample_the_lattice():
     lat = pieces.lattice(pieces.MODEL, 1.0)
     word = "▁then"
