@@ -19,8 +19,8 @@ share ``span`` bytes are ordered, in buckets that no such common prefix leaves:
 4. A bucket of more than ``LIMIT`` different contexts is no task of its own: it is dealt out, and its
    contexts are divided. Equal strings have their anchor at equal places, so strings whose anchors lie in
    one block of ``WIDTHS`` places share all bytes but those of the block: their core. A core that occurs
-   once is dropped, one in equal surroundings repeats whole, and only what is left (where
-   a repeat ends) is divided further, down to single strings (exact up to equal 64-bit hashes).
+   once is dropped, and one in equal surroundings repeats whole. Any other (where a repeat ends) is a bucket again, of the
+   different texts of its blocks, and goes through 3 or, above ``LIMIT``, is divided further, down to single strings (exact up to equal 64-bit hashes).
 5. Repeats go back to the contexts' places and are united in each text.
 
 A context holds less than 2 x ``span`` bytes, so tasks are bounded by ``LIMIT`` contexts
@@ -260,61 +260,72 @@ def _searched(rows: DataFrame, span: int) -> DataFrame:
     return rows.repartition("h", "salt").sortWithinPartitions("salt", "h").mapInArrow(run, _FOUND)
 
 
-def blocks(h: np.ndarray, data: np.ndarray, offs: np.ndarray, own: np.ndarray, a: np.ndarray, n: np.ndarray, span: int, width: int) -> tuple[np.ndarray, ...]:
-    """range, first string, number of strings, core hash and text hash of the blocks of ranges (of n strings from a, in context own) of contexts with anchors h."""
+def blocks(h: np.ndarray, data: np.ndarray, offs: np.ndarray, span: int, width: int) -> tuple[np.ndarray, ...]:
+    """context, first string, number of strings, core hash and text hash of the blocks of contexts with anchors h."""
     k = max(2, span // 8)
     c, q = _sums(data)
     run = vec.mix((c[k:] - c[:-k]) * q[: len(data) - k + 1])
     row = np.repeat(np.arange(len(h)), np.diff(offs))[: len(run)]
     hit = np.flatnonzero((run == h.view(_U)[row]) & (np.arange(len(run)) + k <= offs[1:][row]))
-    anchor = (hit - offs[row[hit]])[np.flatnonzero(np.diff(row[hit], prepend=-1))][own]  # the first run of that hash
-    high, low = (anchor - a) // width, (anchor - a - n + 1) // width
+    anchor = (hit - offs[row[hit]])[np.flatnonzero(np.diff(row[hit], prepend=-1))]  # the first run of that hash
+    n = np.diff(offs) - span + 1
+    high, low = anchor // width, (anchor - n + 1) // width
     count = high - low + 1
-    of = np.repeat(np.arange(len(own)), count)
+    of = np.repeat(np.arange(len(h)), count)
     last = anchor[of] - width * (high[of] - (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)))  # where the block's last string would start
-    first = np.maximum(a[of], last - width + 1)
-    number = np.minimum((a + n)[of], last + 1) - first
-    at = offs[:-1][own[of]]
+    first = np.maximum(0, last - width + 1)
+    number = np.minimum(n[of], last + 1) - first
+    at = offs[:-1][of]
     s, e = at + last, at + last - width + 1 + span
-    core = vec.mix(vec.mix((c[e] - c[s]) * q[s]) + h.view(_U)[own[of]] + ((anchor[of] - last) * 2 + 1).astype(_U))
+    core = vec.mix(vec.mix((c[e] - c[s]) * q[s]) + h.view(_U)[of] + ((anchor[of] - last) * 2 + 1).astype(_U))
     s, size = at + first, number + span - 1
     return of, first, number, core.view(np.int64), vec.mix((c[s + size] - c[s]) * q[s] + size.astype(_U)).view(np.int64)
 
 
 def _blocks(rows: DataFrame, span: int, width: int) -> DataFrame:
-    """h, c, copies, a, n, core and own of the blocks of the ranges (a, n) of contexts (h, c, copies, context, ranges)."""
+    """bucket, h, c, copies, first, n, core and own of the blocks of contexts (bucket, h, c, copies, context)."""
+    names = ["bucket", "h", "c", "copies", "first", "n", "core", "own"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offs = _bytes(b.column(3))
+            data, offs = _bytes(b.column(4))
             if not len(data):
                 continue
-            size, r = np.asarray(b.column(4).value_lengths(), np.int64), b.column(4).flatten()
-            row = np.repeat(np.arange(len(b)), size)
-            of, a, n, core, own = blocks(np.asarray(b.column(0), np.int64), data, offs, row, np.asarray(r.field("a"), np.int64), np.asarray(r.field("n"), np.int64), span, width)
-            at = pa.array(row[of])
-            new = [pa.array(a.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(core), pa.array(own)]
-            yield pa.RecordBatch.from_arrays([*[b.column(i).take(at) for i in range(3)], *new], names=["h", "c", "copies", "a", "n", "core", "own"])
-
-    return rows.select("h", "c", "copies", "context", "ranges").mapInArrow(run, "h long, c long, copies long, a int, n int, core long, own long")
-
-
-def _divided(large: DataFrame, span: int) -> DataFrame:
-    """h, c, a, b and repeat of the contexts (h, c, copies, context) of large buckets: blocks of strings, each a row, counted by their cores and divided where a repeat ends."""
-    number = F.length("context") - (span - 1)
-    rest = large.withColumn("ranges", F.array(F.struct(F.lit(0).alias("a"), number.alias("n"))))
-    found: DataFrame | None = None
-    for width in (w for w in WIDTHS if 8 * w <= span or w == 1):
-        parts = written(_blocks(rest, span, width))
-        each = parts.groupBy("core", "own").agg(F.sum("copies").alias("n"))
-        cores = written(each.groupBy("core").agg(F.sum("n").alias("n"), F.count("*").alias("m")).where(F.col("n") > 1).select("core", (F.col("m") == 1).alias("whole")))
-        met = written(parts.drop("copies").join(cores, "core"))
-        whole = met.where("whole").select("h", "c", "a", (F.col("a") + F.col("n") + (span - 1)).alias("b"), F.col("own").alias("repeat"))
-        found = whole if found is None else found.unionByName(whole)
-        again = met.where(~F.col("whole")).groupBy("h", "c").agg(F.collect_list(F.struct("a", "n")).alias("ranges"))
-        rest = large.join(again, ["h", "c"])
-    found = found.groupBy("h", "c").agg(F.array_sort(F.collect_list(F.struct("a", "b", "repeat"))).alias("x"))
-    return found.select("h", "c", *[F.col(f"x.{x}").alias(x) for x in ("a", "b", "repeat")])
+            of, first, n, core, own = blocks(np.asarray(b.column(1), np.int64), data, offs, span, width)
+            new = [pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(core), pa.array(own)]
+            yield pa.RecordBatch.from_arrays([*[b.column(i).take(pa.array(of)) for i in range(4)], *new], names=names)
+
+    return rows.select("bucket", "h", "c", "copies", "context").mapInArrow(run, "bucket long, h long, c long, copies long, first int, n int, core long, own long")
+
+
+def _divided(rows: DataFrame, span: int, limit: int, widths: tuple[int, ...]) -> DataFrame:
+    """bucket, c, a, b and repeat of the contexts (bucket, h, c, copies, context) of large buckets, h their anchor.
+
+    Each core is a bucket of its own, and its contexts are the different texts of its blocks: up
+    to ``limit`` of them are ordered in a task, more are divided again.
+    """
+    width, *rest = widths
+    parts = written(_blocks(rows, span, width))
+    one = F.min(F.struct("bucket", "c", "first", "n")).alias("one")
+    each = written(parts.groupBy("core", "own").agg(F.first("h").alias("h"), F.sum("copies").alias("copies"), one))
+    cores = written(each.groupBy("core").agg(F.sum("copies").alias("n"), F.count("*").alias("m")).where(F.col("n") > 1).select("core", "m"))
+    met = written(parts.drop("h", "copies").join(cores, "core"))
+    end = F.col("first") + F.col("n") + (span - 1)
+    found = met.where("m = 1").select("bucket", "c", F.array(F.struct(F.col("first").alias("a"), end.alias("b"), F.col("own").alias("repeat"))).alias("x"))
+    if rest:
+        again = each.join(cores.where("m > 1"), "core").select("core", "own", "m", F.col("h").alias("anchor"), F.col("copies").alias("all"), "one.*")
+        text = F.substring("context", F.col("first") + 1, F.col("n") + (span - 1))
+        inner = again.join(rows.select("bucket", "c", "context"), ["bucket", "c"])
+        inner = written(inner.select(F.col("core").alias("bucket"), F.col("anchor").alias("h"), F.col("own").alias("c"), F.col("all").alias("copies"), "m", text.alias("context")))
+        small = inner.where(F.col("m") <= limit).select(F.col("bucket").alias("h"), "c", "copies", F.lit(0).cast("long").alias("salt"), "context")
+        got = _searched(small, span).select(F.col("h").alias("bucket"), "c", "a", "b", "repeat")
+        if inner.where(F.col("m") > limit).limit(1).count():
+            got = got.unionByName(_divided(inner.where(F.col("m") > limit), span, limit, tuple(rest)))
+        got = written(got.select(F.col("bucket").alias("core"), F.col("c").alias("own"), F.arrays_zip("a", "b", "repeat").alias("z")))
+        moved = F.transform("z", lambda z: F.struct((z["a"] + F.col("first")).alias("a"), (z["b"] + F.col("first")).alias("b"), z["repeat"].alias("repeat")))
+        found = found.unionByName(met.where("m > 1").join(got, ["core", "own"]).select("bucket", "c", moved.alias("x")))
+    found = found.groupBy("bucket", "c").agg(F.array_sort(F.flatten(F.collect_list("x"))).alias("x"))
+    return found.select("bucket", "c", *[F.col(f"x.{x}").alias(x) for x in ("a", "b", "repeat")])
 
 
 def _places(docs: DataFrame, span: int, limit: int) -> tuple[DataFrame, DataFrame]:
@@ -338,7 +349,9 @@ def _places(docs: DataFrame, span: int, limit: int) -> tuple[DataFrame, DataFram
     several = written(_searched(_cut(texts.select("rid", "text").join(wanted, "rid"), span), span))
     found = alone.unionByName(several.where(F.col("context").isNull()).drop("copies", "context"))
     if size.where(F.col("m") > limit).limit(1).count():
-        found = found.unionByName(_divided(several.where(F.col("context").isNotNull()).select("h", "c", "copies", "context"), span))
+        large = several.where(F.col("context").isNotNull()).select(F.col("h").alias("bucket"), "h", "c", "copies", "context")
+        widths = tuple(w for w in WIDTHS if 8 * w <= span or w == 1)
+        found = found.unionByName(_divided(large, span, limit, widths).withColumnRenamed("bucket", "h"))
     met = places.join(found, ["h", "c"]).groupBy("rid").agg(F.collect_set(F.struct("place", "a", "b", "repeat")).alias("found"))
     return texts, met
 

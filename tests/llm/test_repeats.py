@@ -141,3 +141,46 @@ def test_a_large_bucket_is_no_row_for_each_string(spark):
     assert suffix.dedup(docs, 200, 32).count() == len(rows)
     strings = sum(len(r[1].encode()) - 199 for r in rows)
     assert most_rows(spark, since) < strings / 4
+
+
+def arrow_rows(spark, since, name):
+    """Rows of all Arrow functions with a column of that name in the executions after ``since``."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, rows = store.executionsList(), 0
+    for i in range(runs.size()):
+        if (run := runs.apply(i)).executionId() > since:
+            values, nodes = store.executionMetrics(run.executionId()), store.planGraph(run.executionId()).allNodes()
+            for k in range(nodes.size()):
+                node = nodes.apply(k)
+                for m in range(node.metrics().size()) if node.name() == "MapInArrow" and name in node.desc() else ():
+                    metric = node.metrics().apply(m)
+                    if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                        rows += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return rows
+
+
+def test_blocks_of_a_large_bucket_grow_with_its_contexts(spark):
+    def made(n):
+        docs = spark.createDataFrame(hot(4, n, 200), "doc_id long, text string").repartition(3)
+        runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+        since = max([runs.apply(i).executionId() for i in range(runs.size())], default=-1)
+        assert suffix.dedup(docs, 200, 32).count() == n + 10
+        return arrow_rows(spark, since, "own#")
+
+    few, many = made(300), made(600)
+    assert 0 < many < min(2.5 * few, 40_000)  # of 266,945 strings; blocks of all widths together
+
+
+def test_groups_of_large_buckets_name_equal_texts(spark):
+    span = 40
+    rows = hot(5, 60, span)
+    texts = {k: t.encode() for k, t in rows}
+    found = suffix.groups(spark.createDataFrame(rows, "doc_id long, text string"), span, 20).collect()
+    names, gone = {}, {k: bytearray(len(t)) for k, t in texts.items()}
+    for r in found:
+        part = texts[r["doc_id"]][r["start"] : r["end"]]
+        assert len(part) >= span and names.setdefault(r["repeat"], part) == part
+        gone[r["doc_id"]][r["start"] : r["end"]] = b"\1" * len(part)
+    assert len(set(names.values())) == len(names)
+    assert [sum(v) for v in gone.values()] == [sum(g) for g in removed([t for _, t in rows], span)[1]]
