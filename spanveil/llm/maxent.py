@@ -224,13 +224,16 @@ def _weights(w: np.ndarray, f: np.ndarray, start: np.ndarray) -> tuple[np.ndarra
 
 
 def _gather(total: np.ndarray, seen: np.ndarray, f: np.ndarray, g: np.ndarray) -> None:
-    """Adds a batch's gradients and occurrences to those of its features."""
+    """Adds a batch's gradients and occurrences to those of its features: total is features x choices x rows, so that each choice is one count."""
+    columns = g.T.astype(np.float64, order="C")
     for k, rows in enumerate(f):
-        order = np.argsort(rows, kind="stable")
-        r = rows[order]
-        first = np.flatnonzero(np.diff(r.astype(np.int64), prepend=-1))
-        seen[k, r[first]] += np.diff(np.append(first, len(r)))
-        total[k, r[first]] += np.add.reduceat(g.take(order, axis=0), first, axis=0)
+        at, r, n = slice(None), rows.astype(np.intp), seen.shape[1]
+        if len(r) < n:  # a large table is touched only in the batch's rows
+            at, r = np.unique(r, return_inverse=True)
+            n = len(at)
+        seen[k, at] += np.bincount(r, minlength=n)
+        for own, column in zip(total[k], columns, strict=True):
+            own[at] += np.bincount(r, column, n)
 
 
 def train(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> list[np.ndarray]:
@@ -253,9 +256,8 @@ def train(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> list[np.nda
         def run(batches: Iterator[pa.RecordBatch], w: list[np.ndarray] = w) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            sums = [np.zeros(s) for s in shape]
+            sums = [np.zeros((s[0], s[2], s[1])) for s in shape]
             seen = [np.zeros(s[:2]) for s in shape]
-            short = [np.zeros(s, np.float32) for s in shape]  # of one chunk of texts
             for b in batches:
                 for _, _, data, offs in vec.chunks(b.column(0)):
                     tok, row = _tokens(data, offs)
@@ -263,13 +265,10 @@ def train(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> list[np.nda
                         g, z = _weights(w[part], f, start)
                         g /= z
                         g[np.arange(len(y)), y] -= 1
-                        _gather(short[part], seen[part], f, g)
-                    for part in (0, 1):
-                        sums[part] += short[part]
-                        short[part].fill(0)
+                        _gather(sums[part], seen[part], f, g)
             task = TaskContext.get().partitionId()
             for part in (0, 1):
-                g, n = sums[part].reshape(-1, BLOCK, shape[part][2]), seen[part].reshape(-1, BLOCK)
+                g, n = sums[part].swapaxes(1, 2).reshape(-1, BLOCK, shape[part][2]), seen[part].reshape(-1, BLOCK)
                 for k in np.flatnonzero(n.any(1)):
                     yield pa.RecordBatch.from_pylist([{"part": part, "block": int(k), "task": task, "g": g[k].astype(np.float32).tobytes(), "n": n[k].astype(np.float32).tobytes()}], schema)
 

@@ -2,9 +2,11 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +83,32 @@ def test_maxent_learns_words_within_classes(spark):
     assert gain > 0.5
 
 
+def test_maxent_gradients_are_summed_by_row_at_the_cost_of_the_weights():
+    rng = np.random.default_rng(3)
+    spent = []
+    for n, rows, choices in ((16_384, 4_096, maxent.CLASSES), (500, 4_096, maxent.BRANCHES), (0, 4_096, maxent.BRANCHES)):
+        f = rng.integers(rows, size=(3, n)).astype(np.uint16)
+        f[0, ::2] = 7  # a frequent word
+        w, start = rng.normal(0, 0.3, (3, rows, choices)).astype(np.float32), np.zeros((1, choices), np.float32)
+        g = rng.normal(0, 1, (n, choices)).astype(np.float32)
+        total, seen = np.zeros((3, choices, rows)), np.zeros((3, rows))
+        maxent._gather(total, seen, f, g)
+        for k in range(3):
+            want = np.zeros((rows, choices))
+            np.add.at(want, f[k], g)
+            assert np.allclose(total[k].T, want, atol=1e-9)
+            assert (seen[k] == np.bincount(f[k], minlength=rows)).all()
+        if not spent:  # the best of some, so that a busy machine does not matter
+            for work in (lambda: maxent._weights(w, f, start), lambda: maxent._gather(total, seen, f, g)):
+                times = []
+                for _ in range(15):
+                    since = time.process_time()
+                    work()
+                    times.append(time.process_time() - since)
+                spent.append(min(times))
+    assert spent[1] < 3 * spent[0]
+
+
 def test_maxent_score_is_the_plain_sum(spark):
     import numpy as np
     from spanveil.llm import vec
