@@ -54,6 +54,11 @@ PER_ROW = 512
 ROUNDS = 3
 #: Probabilities computed at once.
 BATCH = 1 << 20
+#: Of these, so many are worked on at a time, and so many turned to columns.
+NEAR = 1 << 16
+TURN = 1 << 13
+#: Sums of weights within which no power overflows or vanishes in single precision.
+FAR = 80
 RATE = 0.5
 #: Occurrences that a feature must outweigh.
 PRIOR = 1.0
@@ -66,6 +71,17 @@ END = int(vec.seed(5, 1).view(np.int64))
 _BEGIN = vec.seed(5, 2)
 
 
+_memory: dict[str, np.ndarray] = {}
+
+
+def _held(name: str, shape: tuple[int, int], dtype: type) -> np.ndarray:
+    """An array in the memory that the last call of this name got, as new pages for each batch cost more than some of the work on them."""
+    n = shape[0] * shape[1]
+    if len(_memory.get(name, ())) < n:
+        _memory[name] = np.empty(n, dtype)
+    return _memory[name][:n].reshape(shape)
+
+
 def in_training(doc_id: Column) -> Column:
     """Whether a document is learned from."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 != 0
@@ -145,7 +161,8 @@ def _choices(voc: Vocabulary, tok: np.ndarray, row: np.ndarray, y: np.ndarray) -
             at = deep[i : i + size]
             node = _node(tok[at], level)
             own = vec.mix(node.astype(_U) + _U((level + 1) << 56))
-            yield 1, at, _rows(vec.mix(h[:, at] + own), voc.bits), shares[node], _node(tok[at], level + 1) % BRANCHES
+            start = shares.take(node, axis=0, out=_held("start", (len(node), BRANCHES), np.float32), mode="clip")
+            yield 1, at, _rows(vec.mix(h[:, at] + own), voc.bits), start, _node(tok[at], level + 1) % BRANCHES
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,19 +230,30 @@ def vocabulary(table: DataFrame, hot: float = HOT) -> Vocabulary:
 
 
 def _weights(w: np.ndarray, f: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What each choice weighs in its features, and all choices together."""
-    z = w[0].take(f[0], axis=0)
-    z += start
-    z += w[1].take(f[1], axis=0)
-    z += w[2].take(f[2], axis=0)
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    return z, z.sum(1, keepdims=True)
+    """What each choice weighs in its features (held until the next call), and all choices together."""
+    n, choices = f.shape[1], w.shape[2]
+    f, z, total = f.astype(np.intp), _held("z", (n, choices), np.float32), np.empty((n, 1), np.float32)
+    size = NEAR // choices
+    more = _held("more", (min(n, size), choices), np.float32)
+    for i in range(0, n, size):  # what is worked on stays in the processor's cache
+        at = slice(i, i + size)
+        own = z[at]
+        w[0].take(f[0, at], axis=0, out=own, mode="clip")
+        own += start if len(start) == 1 else start[at]
+        for k in (1, 2):
+            own += w[k].take(f[k, at], axis=0, out=more[: len(own)], mode="clip")
+        if own.max() > FAR or own.min() < -FAR:  # else no power is too large or small
+            own -= own.max(1, keepdims=True)
+        np.exp(own, out=own)
+        own.sum(1, keepdims=True, out=total[at])
+    return z, total
 
 
 def _gather(total: np.ndarray, seen: np.ndarray, f: np.ndarray, g: np.ndarray) -> None:
     """Adds a batch's gradients and occurrences to those of its features: total is features x choices x rows, so that each choice is one count."""
-    columns = g.T.astype(np.float64, order="C")
+    columns, size = _held("columns", g.shape[::-1], np.float64), TURN // g.shape[1]
+    for i in range(0, len(g), size):  # few rows at a time, as each is a stride away from the next
+        columns[:, i : i + size] = g[i : i + size].T
     for k, rows in enumerate(f):
         at, r, n = slice(None), rows.astype(np.intp), seen.shape[1]
         if len(r) < n:  # a large table is touched only in the batch's rows

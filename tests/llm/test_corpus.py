@@ -109,6 +109,49 @@ def test_maxent_gradients_are_summed_by_row_at_the_cost_of_the_weights():
     assert spent[1] < 3 * spent[0]
 
 
+def test_maxent_batches_cost_little_more_than_their_looking_up_and_counting():
+    rng = np.random.default_rng(4)
+    n, rows, choices = 16_384, 4_096, maxent.CLASSES
+    f = rng.integers(rows, size=(3, n)).astype(np.uint16)
+    at = f.astype(np.intp)
+    w, start = rng.normal(0, 0.3, (3, rows, choices)).astype(np.float32), np.zeros((1, choices), np.float32)
+    g = rng.normal(0, 1, (n, choices)).astype(np.float32)
+    total, seen, columns = np.zeros((3, choices, rows)), np.zeros((3, rows)), g.T.astype(np.float64, order="C")
+
+    def looked_up():
+        z = w[0].take(at[0], axis=0)
+        z += w[1].take(at[1], axis=0)
+        z += w[2].take(at[2], axis=0)
+        return np.exp(z, out=z)
+
+    def counted():
+        for r in at:
+            for column in columns:
+                np.bincount(r, column, rows)
+
+    best = [math.inf] * 4
+    for _ in range(15):  # by turns, and the best of some, so that a busy machine does not matter
+        for k, work in enumerate((lambda: maxent._weights(w, f, start), looked_up, lambda: maxent._gather(total, seen, f, g), counted)):
+            since = time.process_time()
+            work()
+            best[k] = min(best[k], time.process_time() - since)
+    assert best[0] + best[2] < 1.9 * (best[1] + best[3])
+
+
+def test_maxent_weights_of_any_size():
+    rng = np.random.default_rng(5)
+    rows, choices = 50, maxent.BRANCHES
+    for spread in (0.5, 30, 300):  # the last two beyond what powers in single precision hold
+        w = rng.normal(0, spread, (3, rows, choices)).astype(np.float32)
+        for n in (0, 1, 9_000):
+            f, start = rng.integers(rows, size=(3, n)).astype(np.uint16), rng.normal(0, 1, (n, choices)).astype(np.float32)
+            z = start + w[0][f[0]] + w[1][f[1]] + w[2][f[2]].astype(np.float64)
+            want = np.exp(z - z.max(1, keepdims=True, initial=-np.inf))
+            got, sums = maxent._weights(w, f, start)
+            assert got.shape == (n, choices) and np.isfinite(got).all() and np.isfinite(sums).all()
+            assert np.allclose(got / sums, want / want.sum(1, keepdims=True), rtol=1e-4 * max(1, spread), atol=1e-6)
+
+
 def test_maxent_score_is_the_plain_sum(spark):
     import numpy as np
     from spanveil.llm import vec
