@@ -26,16 +26,16 @@ def nearest_rank(x: str, q: float) -> Column:
 
 def region_totals(frames: DataFrame, truth: DataFrame, regions: DataFrame, frame: str = "frame_id", covered: float = COVERED) -> DataFrame:
     """One row of totals: recall, proposal precision, secret misses, hard negatives, masked area."""
-    best = boxes.best_coverage(truth, regions, frame).withColumn("hit", F.col("coverage") >= covered).withColumn("secret", F.col("class").isin(*rules.SECRET_CLASSES))
-    t = best.groupBy(frame).agg(F.count("*").alias("truth"), F.count_if("hit").alias("covered"), F.count_if("secret").alias("secrets"), F.count_if(F.col("secret") & F.col("hit")).alias("secrets_covered"))
     from spanveil.functions import geometry as geo
 
     xy = ("x1", "y1", "x2", "y2")
-    met = grid.pairs(truth.select(frame, "class", "source_class", *xy), regions.select(frame, "id", "labels", *xy), frame)
-    fit = met.where((geo.coverage(F.col("r"), F.col("l")) >= covered) & boxes.compatible(F.col("l.class"), F.col("l.source_class"), F.col("r.labels")))
-    matched = fit.select(F.col(f"r.{frame}").alias(frame), "r.id").distinct().groupBy(frame).agg(F.count("*").alias("matched"))
-    r = regions.groupBy(frame).agg(F.count("*").alias("predictions"), F.sum(geo.area(F.struct("x1", "y1", "x2", "y2"))).alias("area"))
-    each = frames.join(t, frame, "left").join(r, frame, "left").join(matched, frame, "left").fillna(0)
+    best = boxes.covered(truth.select(frame, "class", *xy), regions, frame, covered).withColumn("secret", F.col("class").isin(*rules.SECRET_CLASSES))
+    t = best.groupBy(frame).agg(F.count("*").alias("truth"), F.count_if("hit").alias("covered"), F.count_if("secret").alias("secrets"), F.count_if(F.col("secret") & F.col("hit")).alias("secrets_covered"))
+    fits = lambda r, t: (geo.coverage(r, t) >= covered) & boxes.compatible(t["class"], t["source_class"], r["labels"])
+    met = grid.found(regions.select(frame, "id", "labels", *xy), truth.select(frame, "class", "source_class", *xy), fits, lambda t: F.lit(True), frame, "fit")
+    one = met.groupBy(frame, "id").agg(F.count("*").alias("n"), F.sum(geo.area(F.struct(*xy))).alias("area"), F.coalesce(F.bool_or(F.size("fit") > 0), F.lit(False)).alias("fit"))
+    r = one.groupBy(frame).agg(F.sum("n").alias("predictions"), F.sum("area").alias("area"), F.count_if("fit").alias("matched"))
+    each = frames.join(t, frame, "left").join(r, frame, "left").fillna(0)
     size = F.col("width") * F.col("height")
     total = each.agg(
         F.count("*").alias("records"),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanveil.functions import cues
-from spanveil.operators import boxes, grid
+from spanveil.operators import boxes, evaluate, grid
 
 BOX = "frame_id long, id long, x1 double, y1 double, x2 double, y2 double"
 
@@ -64,6 +64,76 @@ def test_a_frame_of_very_many_boxes(spark):
     assert n < got.count() < 2 * n
 
 
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+
+
+def scene(spark, n=150):
+    """Frames, true boxes and regions with classes, labels, sources and paths."""
+    c = F.pmod("id", F.lit(3)).cast("int")
+    pick = lambda *names: F.element_at(F.array(*[F.lit(x) for x in names]), c + 1)
+    t = spark.createDataFrame(made(11, n), BOX).withColumns({"class": pick("NAME", "CARD_NUMBER", "SECRET"), "source_class": pick("NAME", "CARD_NUMBER", "API_KEY")})
+    grown = {k: F.col(k) + (F.lit(d) if k in ("x2", "y2") else F.lit(-d)) for k, d in (("x1", 2), ("y1", 2), ("x2", 2), ("y2", 2))}
+    r = t.where("id % 4 > 0").withColumns(grown).withColumns({"labels": F.array(pick("GIVEN_NAME", "EMAIL", "SECRET")), "sources": F.array(pick("OCR", "VISUAL", "OCR"), F.lit("OCR")), "path": pick("visual", "ocr", "fused")}).drop("class", "source_class")
+    frames = spark.createDataFrame([(0, "a"), (1, "b"), (2, "a"), (9, "c")], "frame_id long, page_type string").withColumns({"width": F.lit(900), "height": F.lit(600)})
+    return frames, t, r
+
+
+REPORTS = {
+    "totals": lambda f, t, r: evaluate.region_totals(f, t, r),
+    "classes": lambda f, t, r: evaluate.by_class(t, r),
+    "sources": lambda f, t, r: evaluate.by_source(t, r),
+    "detector": lambda f, t, r: evaluate.detector_report(f, t, r),
+    "paths": lambda f, t, r: evaluate.path_saves(t, r),
+    "overlap": lambda f, t, r: boxes.best_overlap(r.drop("labels", "sources"), t),
+    "association": lambda f, t, r: boxes.associate(t, r),
+}
+
+
+@pytest.mark.parametrize("name", REPORTS)
+def test_small_frames_are_not_dealt_to_tiles(spark, monkeypatch, name):
+    # a box was dealt to its tiles of every level, several rows of each; a frame of few boxes needs none
+    given = scene(spark)
+    whole = REPORTS[name](*given)
+    assert "sequence(" not in plan(whole)
+    want = sorted(map(repr, whole.collect()))
+    for few in (0, 90):  # all frames by tiles; some
+        monkeypatch.setattr(grid, "FEW", few)
+        assert sorted(map(repr, REPORTS[name](*given).collect())) == want
+        monkeypatch.setattr(grid, "BROADCAST_ROWS", 0)
+
+
+def test_pairs_of_a_full_frame_are_not_sorted_for_their_best(spark, monkeypatch):
+    monkeypatch.setattr(grid, "FEW", 0)
+    a, b = spark.createDataFrame(made(3, 60), BOX), spark.createDataFrame(made(4, 60), BOX)
+    assert "SortAggregate" not in plan(boxes.best_overlap(a, b))
+    # small boxes, of one level, and one wide one: no rows at the levels between
+    rows = [(1, i, float(i), 0.0, i + 10.0, 10.0) for i in range(50)] + [(1, 50, 0.0, 0.0, 3000.0, 5.0)]
+    c = spark.createDataFrame(rows, BOX)
+    dealt = []
+    monkeypatch.setattr(grid, "_dealt", lambda *x, old=grid._dealt: dealt.append(old(*x)) or dealt[-1])
+    assert grid.pairs(c, c).count() == sum(p[2] < q[4] and q[2] < p[4] for p in rows for q in rows)
+    assert dealt[0].where("_l_id < 50").count() <= 50 * 3
+
+
+def test_packed_scores_keep_their_order(spark):
+    rnd = random.Random(1)
+    scores = [0.0, 1.0, 0.5, 1 / 3, 2.0**-900, 1 - 2.0**-53, 2.0**-7, 0.98, 7.5] + [rnd.random() ** rnd.choice([1, 9, 40]) for _ in range(300)]
+    rows = [(x, n) for x in scores for n in (-5, 0, 2**62, -(2**62))]
+    got = spark.createDataFrame(rows, "s double, n long").withColumn("p", grid._packed(F.col("s"), F.col("n"))).select("*", grid._score(F.col("p")).alias("s2"), grid._number(F.col("p")).alias("n2")).collect()
+    assert all((r["s"], r["n"]) == (r["s2"], r["n2"]) for r in got)
+    assert [(r["s"], r["n"]) for r in sorted(got, key=lambda r: r["p"])] == sorted(rows, key=lambda r: (r[0], -r[1]))
+
+
+@pytest.mark.parametrize("few", [0, 90])
+def test_tiles_find_what_frames_find(spark, monkeypatch, few):
+    monkeypatch.setattr(grid, "FEW", few)
+    test_pairs(spark, False)
+    test_pairs(spark, True)
+    test_best_partner(spark)
+    test_outside(spark)
+
+
 def test_outside(spark):
     a, b = made(5, 150), made(6, 6)
     got = {r["id"] for r in boxes.outside_rois(spark.createDataFrame(a, BOX), spark.createDataFrame(b, BOX)).collect()}
