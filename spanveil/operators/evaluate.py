@@ -88,11 +88,12 @@ def detector_report(frames: DataFrame, truth: DataFrame, regions: DataFrame, fra
     from spanveil.functions import geometry as geo
 
     xy = ("x1", "y1", "x2", "y2")
-    best = boxes.best_coverage(truth, regions, frame).withColumn("hit", F.col("coverage") >= covered).join(frames.select(frame, "page_type"), frame)
+    best = boxes.covered(truth.select(frame, "class", *xy), regions, frame, covered).join(frames.select(frame, "page_type"), frame)
     sums = best.groupingSets([[F.col("class")], [F.col("page_type")]], F.col("class"), F.col("page_type")).agg(F.count("*").alias("support"), F.count_if("hit").alias("covered"), F.grouping("class").alias("_c"))
     own = sums.select(F.when(F.col("_c") == 0, "class").otherwise("page_type").alias("dimension"), F.coalesce("class", "page_type").alias("value"), "support", "covered")
-    right = grid.pairs(truth.select(frame, *xy), regions.select(frame, "id", *xy), frame).where(geo.coverage(F.col("r"), F.col("l")) >= covered).select(F.col(f"r.{frame}").alias(frame), "r.id").distinct()
-    wrong = regions.join(right, [frame, "id"], "left_anti").join(frames.select(frame, "page_type"), frame).groupBy(F.col("page_type").alias("value")).agg(F.count("*").alias("false_proposals")).withColumn("dimension", F.lit("page_type"))
+    met = grid.found(regions.select(frame, "id", *xy), truth.select(frame, *xy), lambda r, t: geo.coverage(r, t) >= covered, lambda t: F.lit(True), frame, "right")
+    one = met.groupBy(frame, "id").agg(F.count("*").alias("n"), F.coalesce(F.bool_or(F.size("right") > 0), F.lit(False)).alias("right"))
+    wrong = one.where(~F.col("right") | F.col("id").isNull()).join(frames.select(frame, "page_type"), frame).groupBy(F.col("page_type").alias("value")).agg(F.sum("n").alias("false_proposals")).withColumn("dimension", F.lit("page_type"))
     j = own.join(wrong, ["dimension", "value"], "full_outer").fillna(0, ["support", "covered", "false_proposals"])
     return j.withColumn("missed", F.col("support") - F.col("covered")).withColumn("recall", ratio(F.col("covered"), F.col("support")))
 
