@@ -70,12 +70,12 @@ def by_source(truth: DataFrame, regions: DataFrame, frame: str = "frame_id", cov
     from spanveil.functions import geometry as geo
 
     xy = ("x1", "y1", "x2", "y2")
-    best = boxes.best_coverage(truth, regions, frame).withColumn("hit", F.col("coverage") >= covered)
+    met = grid.found(truth.select(frame, "id", "class", "source_class", *xy), regions.select(frame, "sources", *xy), lambda t, r: geo.coverage(r, t) >= covered, lambda r: r["sources"], frame, "by")
+    best = met.withColumn("hit", F.lit(covered <= 0) | F.coalesce(F.size("by") > 0, F.lit(False)))
     sums = best.groupingSets([[F.col("class")], [F.col("source_class")], []], F.col("class"), F.col("source_class")).agg(F.count("*").alias("support"), F.count_if("hit").alias("covered"), F.grouping("class").alias("_c"), F.grouping("source_class").alias("_s"))
     name = F.when(F.col("_c") == 0, "class").when(F.col("_s") == 0, "source_class").otherwise("all")
     own = sums.select(name.alias("dimension"), F.coalesce("class", "source_class", F.lit("all")).alias("value"), "support", "covered")
-    met = grid.pairs(truth.select(frame, "id", *xy), regions.select(frame, "sources", *xy), frame).where(geo.coverage(F.col("r"), F.col("l")) >= covered)
-    each = met.select(F.col("l").alias("t"), F.explode(F.array_distinct("r.sources")).alias("value")).distinct().groupBy("value").agg(F.count("*").alias("covered"))
+    each = met.select(frame, "id", *xy, F.explode(F.flatten("by")).alias("value")).distinct().groupBy("value").agg(F.count("*").alias("covered"))
     # as many rows as there are sources, against one number
     support = truth.agg(F.count("*").alias("support"))
     sources = regions.select(F.explode("sources").alias("value")).distinct().join(each, "value", "left").crossJoin(support)
