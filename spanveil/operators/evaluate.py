@@ -109,10 +109,9 @@ def path_saves(truth: DataFrame, regions: DataFrame, frame: str = "frame_id", co
     from spanveil.functions import geometry as geo
 
     xy = ("x1", "y1", "x2", "y2")
-    met = grid.pairs(truth.select(frame, "id", *xy), regions.select(frame, "path", *xy), frame).where(geo.coverage(F.col("r"), F.col("l")) >= covered)
-    hits = met.groupBy(F.col(f"l.{frame}").alias("_f"), F.col("l.id").alias("_i")).agg(F.collect_set("r.path").alias("_paths"))
-    has = lambda p: F.coalesce(F.array_contains("_paths", p), F.lit(False)).alias(p)
-    each = truth.select(frame, "id", "class").distinct().join(hits, (F.col(frame) == F.col("_f")) & (F.col("id") == F.col("_i")), "left").select("class", has("visual"), has("ocr"), has("fused"))
+    met = grid.found(truth.select(frame, "id", "class", *xy), regions.select(frame, "path", *xy), lambda t, r: geo.coverage(r, t) >= covered, lambda r: r["path"], frame, "by")
+    has = lambda p: F.coalesce(F.bool_or(F.array_contains("by", p)), F.lit(False)).alias(p)
+    each = met.groupBy(frame, "id", "class").agg(has("visual"), has("ocr"), has("fused"))
     v, o, f = F.col("visual"), F.col("ocr"), F.col("fused")
     secret = F.col("class").isin(*rules.SECRET_CLASSES)
     return each.agg(
