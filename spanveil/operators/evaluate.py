@@ -61,8 +61,8 @@ def region_totals(frames: DataFrame, truth: DataFrame, regions: DataFrame, frame
 
 def by_class(truth: DataFrame, regions: DataFrame, column: str = "class", covered: float = COVERED) -> DataFrame:
     """Support, covered and recall of each class."""
-    best = boxes.best_coverage(truth, regions)
-    return best.groupBy(column).agg(F.count("*").alias("support"), F.count_if(F.col("coverage") >= covered).alias("covered")).withColumn("recall", ratio(F.col("covered"), F.col("support")))
+    best = boxes.covered(truth.select("frame_id", column, "x1", "y1", "x2", "y2"), regions, share=covered)
+    return best.groupBy(column).agg(F.count("*").alias("support"), F.count_if("hit").alias("covered")).withColumn("recall", ratio(F.col("covered"), F.col("support")))
 
 
 def by_source(truth: DataFrame, regions: DataFrame, frame: str = "frame_id", covered: float = COVERED) -> DataFrame:
